@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("warc", "mixing")
+MODULES = ("warc", "near_dups", "url_rules", "quality", "mixing")
 
 
 def _modules():
