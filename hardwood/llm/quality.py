@@ -20,7 +20,7 @@ from hardwood.llm.common import SPACES, broadcast_if_small, table, words
 
 BUCKETS = 1 << 14
 #: Mean log ratio per n-gram below which a document fails.
-THRESHOLD = -0.7
+THRESHOLD = -0.1
 #: Trusted ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 SYMBOLS = "#*$%&|<>"

@@ -18,7 +18,8 @@ from hardwood.llm.common import ascii_lower, broadcast_if_small, table
 
 #: (host, path, verdict), as the contract states them.
 LISTED = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
+#: A rule needs this share of the labelled URLs, this many of them at least, and this confidence.
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 25, 0.6
 BAD = "label=bad"
 #: Tokens of rules that may be broadcast; more are joined by a shuffle.
 BROADCAST_TOKENS = 100_000
@@ -59,10 +60,11 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(listed, segments, keys)))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """From (tokens, bad boolean): rule_id, items, confidence, support, index_token of the rules for the bad label."""
     baskets = labelled.where(F.size("tokens") > 0).select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    support = min(1.0, max(min_support, min_count / max(1, baskets.count())))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rules = rules.withColumn("rule_id", F.xxhash64("items"))
