@@ -23,12 +23,14 @@ LOWERED[65:91] += 32
 
 
 class Words(NamedTuple):
-    """The words of a slice: byte positions, the row within the slice, and the hash."""
+    """The words of a slice: byte positions, the row within the slice, the hash, and hashes of leading bytes (0 for
+    words that aren't longer)."""
 
     start: np.ndarray
     end: np.ndarray
     row: np.ndarray
     hash: np.ndarray
+    prefixes: list[np.ndarray]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -72,12 +74,12 @@ def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE, prefixes: tuple[int, ...] = ()) -> Words:
     """Words are runs of bytes that aren't in `space`; A-Z count as a-z. Rows never share a word."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(none, none, none, np.zeros(0, np.uint64))
+        return Words(none, none, none, np.zeros(0, np.uint64), [np.zeros(0, np.uint64) for _ in prefixes])
     inside = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -90,7 +92,13 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -
     sums[0] = 0
     np.cumsum(_VALUE[LOWERED[data]] * power[:n], out=sums[1:])
     h = mix64((sums[end] - sums[start]) * inverse[start])
-    return Words(start, end, np.searchsorted(offsets, start, "right") - 1, h)
+    leading = []
+    for k in prefixes:
+        long = np.flatnonzero(end - start > k)
+        part = np.zeros(len(start), np.uint64)
+        part[long] = mix64((sums[start[long] + k] - sums[start[long]]) * inverse[start[long]] + np.uint64(k))
+        leading.append(part)
+    return Words(start, end, np.searchsorted(offsets, start, "right") - 1, h, leading)
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
