@@ -35,8 +35,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
 
     Targets share the sum of all sizes by weight and stop at max_epochs times the source's size; the excess goes to
     the others by weight until none is above. That is the level L with sum(min(cap, L * weight)) = the whole, found
-    by ordering sources by cap / weight and trying each number of capped sources (the highest level that fits). One row a source goes through here,
-    never rows of documents.
+    by ordering sources by cap / weight and trying each number of capped sources (the highest level that fits). One row
+    a source goes through here, never rows of documents.
     """
     # "s..." sorts after "n" by code point, but the null source has to be last.
     by_name = Window.orderBy(F.col("_src") == "n", "_src")
@@ -83,9 +83,10 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken; the document at a source's cut stays whole."""
-    columns = docs.columns
-    out = mix(with_sizes(docs), sums_from=with_sizes(docs.select("doc_id", "source", "text")), **options)
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    light = docs.select("doc_id", "source", "text")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", F.col("text").alias("_text"))
+    out = mix(with_sizes(rows, text="_text").drop("_text"), sums_from=with_sizes(light), **options)
+    return out.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

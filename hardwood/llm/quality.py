@@ -106,7 +106,8 @@ def judged(docs: DataFrame, weights: list[float], text: str = "text", threshold:
 
 def passing(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that pass, with the columns of docs."""
-    return judged(docs, ratio_weights(docs, labels), **options).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return judged(rows, ratio_weights(docs, labels), **options).where("kept").select("_row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
