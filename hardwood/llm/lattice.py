@@ -1,18 +1,21 @@
 """Language-model scores by subword lattices.
 
 Each word, with a mark for the space before it, spans a lattice whose arcs are the pieces of an existing vocabulary;
-a character without a piece has the arc of its byte pieces. The probability of a word is the sum over all its
-segmentations, by a forward recursion in log space, and a document's is the product over its words and its end.
+a character without a piece has the arc of its byte pieces, and a frequent training word also has one arc as a whole.
+The probability of a word is the sum over all its segmentations, by a forward recursion in log space. A document's is
+the product over its words and its end, summed over a few components (one for each frequent language of the training
+documents, one for the rest), so that a text's language need not be known when it is scored.
 
-The vocabulary is given; its scores are learned here. Rank order gives the first distribution, then some rounds of
-expectation maximisation over all distinct training words, weighted by their counts, replace it: each task sums its
-expected piece counts, and one number a piece reaches the driver.
+The vocabulary is given; the scores of its arcs are learned here, for each component. Rank order gives the first
+distribution, then some rounds of expectation maximisation over all distinct training words, weighted by their counts,
+replace it: each task sums its expected uses, and one number an arc and component reaches the driver.
 
 The base is a word unigram with add-one counts. Words that are frequent in training (FREQUENT of them at most) are
 looked up in a broadcast table; the counts of all others come from a shuffled join, so no word is cut off.
 
-Defined cases: null, empty and blank texts have the end token only; rows without doc_id count as training rows;
-repeated rows count as often as they occur; without training rows every count is 0; an empty table gives no rows.
+Defined cases: null, empty and blank texts have the end token only; rows without doc_id count as training rows, rows
+without lang belong to the rest; repeated rows count as often as they occur; without training rows every count is 0
+and the scores are those of the rank order; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,27 +37,44 @@ FOLDS, HELD = 7, 2
 ROUNDS = 3
 #: Added to every piece's expected count.
 PRIOR = 0.01
+#: Taken from the uses of each word's own arc and given to its pieces, as other words have to be expected.
+DISCOUNT = 0.75
 #: Words whose counts are broadcast; the rest is joined.
-FREQUENT = 50_000
+FREQUENT = 100_000
+#: Languages with a component of their own.
+LANGUAGES = 7
 #: Distinct words whose probability a worker remembers, and code points above which a word is scored on its own.
-REMEMBERED, LONG = 500_000, 512
+REMEMBERED, LONG = 400_000, 512
 
 
 class Scores(NamedTuple):
-    """log probability of every piece, and of the end of a document."""
+    """Natural logs, by component: of each piece, of the words with an arc of their own, of the end of a document, and
+    of the component itself."""
 
     pieces: np.ndarray
-    end: float
+    words: dict[str, int]
+    whole: np.ndarray
+    ends: np.ndarray
+    shares: np.ndarray
 
 
-def first_scores(v: Vocabulary) -> Scores:
-    """By rank: the piece at rank r weighs 1 / (r + 10), bytes as the last ranks."""
+def normalised(pieces: np.ndarray, words: dict[str, int], whole: np.ndarray, documents: np.ndarray) -> Scores:
+    """From expected uses, (components, pieces) and (components, words), and the documents of each component."""
+    ends = documents + PRIOR
+    total = pieces.sum(1) + whole.sum(1) + ends
+    with np.errstate(divide="ignore"):
+        return Scores(np.log(pieces / total[:, None]), words, np.log(whole / total[:, None]), np.log(ends / total), np.log(ends / ends.sum()))
+
+
+def first_scores(v: Vocabulary, words: dict[str, int], whole: np.ndarray, documents: np.ndarray) -> Scores:
+    """The piece at rank r weighs 1 / (r + 10), bytes as the last ranks; pieces get half of a component's mass and
+    its frequent words, by their counts, the other half."""
     n = len(v.pieces)
     order = sorted(range(n), key=lambda i: (not v.normal[i], -v.scores[i], i))
     w = np.zeros(n)
     w[order] = 1 / (np.arange(n) + 10.0)
-    w /= w.sum() * 1.01
-    return Scores(np.log(w), math.log(0.01 / 1.01))
+    mass = np.maximum(whole.sum(1), 1.0)
+    return normalised(w / w.sum() * mass[:, None], words, whole, documents)
 
 
 class Lattice:
@@ -62,19 +82,21 @@ class Lattice:
 
     def __init__(self, vocabulary: Vocabulary, scores: Scores):
         self.table, self.v, self.scores = PieceTable(vocabulary), vocabulary, scores
-        self.known: dict[bytes, float] = {}
-
-    def _arcs(self, batch: list[str], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """By arc length: piece ids (-1: none) and log weights, (words, positions)."""
-        found = self.table.substrings(code_points(batch, length))
-        weights = [np.where(ids >= 0, self.scores.pieces[ids], -np.inf) for ids in found]
-        for r, i in zip(*np.nonzero(found[0] < 0), strict=True):
-            weights[0][r, i] = sum(self.scores.pieces[b] for b in self._bytes(batch[r][i]))
-        return found, weights
+        # Looked up with -1 for no piece.
+        self.padded = np.concatenate([scores.pieces, np.full((len(scores.pieces), 1), -np.inf)], 1)
+        self.slots: dict[bytes, int] = {}
+        self.known = np.zeros((0, len(scores.pieces)))
 
     def _bytes(self, char: str) -> list[int]:
         return [self.v.byte_ids[b] if self.v.byte_ids[b] >= 0 else self.v.unknown for b in char.encode()]
 
+    def _weights(self, found: list[np.ndarray], batch: list[str], k: int) -> list[np.ndarray]:
+        """Log weights of the arcs in component k, by arc length: (words, positions)."""
+        weights = [self.padded[k][ids] for ids in found]
+        for r, i in zip(*np.nonzero(found[0] < 0), strict=True):
+            weights[0][r, i] = sum(self.scores.pieces[k, b] for b in self._bytes(batch[r][i]))
+        return weights
+
     @staticmethod
     def _forward(weights: list[np.ndarray]) -> np.ndarray:
         """log sum over all segmentations of the first j code points, j = 0..L."""
@@ -82,45 +104,67 @@ class Lattice:
         alpha = np.full((n, size + 1), -np.inf)
         alpha[:, 0] = 0
         for j in range(1, size + 1):
-            options = np.stack([alpha[:, j - k] + weights[k - 1][:, j - k] for k in range(1, min(j, len(weights)) + 1)], 1)
-            top = options.max(1)
-            alpha[:, j] = top + np.log(np.exp(options - top[:, None]).sum(1))
+            options = np.stack([alpha[:, j - k] + weights[k - 1][:, j - k] for k in range(1, min(j, len(weights)) + 1)])
+            top = options.max(0)
+            alpha[:, j] = top + np.log(np.exp(options - top).sum(0))
         return alpha
 
-    def log_probs(self, batch: list[str]) -> np.ndarray:
-        """Natural log probability of each word (with its space mark)."""
-        out = np.zeros(len(batch))
+    def _parts(self, batch: list[str]) -> Iterator[list[int]]:
         for index in by_length(batch):
-            length = len(batch[index[0]])
-            for part in [index] if length <= LONG else [[i] for i in index]:
-                out[part] = self._forward(self._arcs([batch[i] for i in part], length)[1])[:, -1]
+            yield from [index] if len(batch[index[0]]) <= LONG else [[i] for i in index]
+
+    def _whole(self, batch: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slot (-1: none) and log weight of each word's own arc."""
+        slot = np.array([self.scores.words.get(w[1:], -1) for w in batch])
+        return slot, np.where(slot >= 0, self.scores.whole[k][slot] if self.scores.words else -np.inf, -np.inf)
+
+    def log_probs(self, batch: list[str]) -> np.ndarray:
+        """Log probability of each word (with its space mark) in each component."""
+        out = np.zeros((len(batch), len(self.scores.pieces)))
+        for index in self._parts(batch):
+            part = [batch[i] for i in index]
+            found = self.table.substrings(code_points(part, len(part[0])))
+            for k in range(out.shape[1]):
+                out[index, k] = np.logaddexp(self._forward(self._weights(found, part, k))[:, -1], self._whole(part, k)[1])
         return out
 
-    def expected(self, batch: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected number of uses of every piece over the words, each weighted by its count."""
-        total = np.zeros(len(self.v.pieces))
-        for index in by_length(batch):
-            length, c = len(batch[index[0]]), counts[index]
-            found, weights = self._arcs([batch[i] for i in index], length)
+    def expected(self, batch: list[str], counts: np.ndarray, k: int) -> np.ndarray:
+        """Expected uses of every piece, then of every own arc, over words of component k that occur so often."""
+        n = len(self.v.pieces)
+        total = np.zeros(n + len(self.scores.words))
+        for index in self._parts(batch):
+            part = [batch[i] for i in index]
+            length = len(part[0])
+            found = self.table.substrings(code_points(part, length))
+            weights = self._weights(found, part, k)
             alpha = self._forward(weights)
             # The backward pass is the forward pass over the mirrored arcs.
             beta = self._forward([w[:, ::-1] for w in weights])[:, ::-1]
-            for k, (ids, w) in enumerate(zip(found, weights, strict=True), 1):
-                use = np.exp(alpha[:, : length + 1 - k] + w + beta[:, k:] - alpha[:, -1:]) * c[:, None]
+            slot, own = self._whole(part, k)
+            both = np.logaddexp(alpha[:, -1], own)
+            whole = np.maximum(np.exp(own - both) * counts[index] - DISCOUNT, 0)
+            left = (counts[index] - whole)[:, None]
+            total += np.bincount(n + slot[slot >= 0], whole[slot >= 0], len(total))
+            for m, (ids, w) in enumerate(zip(found, weights, strict=True), 1):
+                use = np.exp(alpha[:, : length + 1 - m] + w + beta[:, m:] - alpha[:, -1:]) * left
                 total += np.bincount(ids[ids >= 0], use[ids >= 0], len(total))
-                if k == 1:
+                if m == 1:
                     for r, i in zip(*np.nonzero(ids < 0), strict=True):
-                        for b in self._bytes(batch[index[r]][i]):
+                        for b in self._bytes(part[r][i]):
                             total[b] += use[r, i]
         return total
 
-    def of_words(self, wanted: list[bytes]) -> None:
-        """Makes self.known hold these words."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in dict.fromkeys(wanted) if w not in self.known]
+    def slots_of(self, texts: list[list[bytes]]) -> list[int]:
+        """Rows of self.known for all words of the texts in a row."""
+        if len(self.slots) > REMEMBERED:
+            self.slots.clear()
+            self.known = self.known[:0]
+        new = list({w for ws in texts for w in ws if w not in self.slots})
         if new:
-            self.known.update(zip(new, self.log_probs([SPACE + w.decode() for w in new]).tolist(), strict=True))
+            self.slots.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.known = np.concatenate([self.known, self.log_probs([SPACE + w.decode() for w in new])])
+        slots = self.slots
+        return [slots[w] for ws in texts for w in ws]
 
 
 _lattices: dict[int, Lattice] = {}
@@ -128,7 +172,7 @@ _lattices: dict[int, Lattice] = {}
 
 def _lattice(v: Vocabulary, scores: Scores) -> Lattice:
     """One per worker process and model."""
-    key = hash((scores.pieces.tobytes(), scores.end))
+    key = hash((scores.pieces.tobytes(), scores.whole.tobytes()))
     if key not in _lattices:
         _lattices.clear()
         _lattices[key] = Lattice(v, scores)
@@ -143,31 +187,35 @@ def held_out(doc_id: Column) -> Column:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over the texts, A-Z lower-cased. Each task sums its own words before the shuffle."""
-    return docs.select(F.explode(words(ascii_lower(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    """(component, word, c) over the texts, A-Z lower-cased. Each task sums its own words before the shuffle."""
+    return docs.select("component", F.explode(words(ascii_lower(F.col("text")))).alias("word")).groupBy("component", "word").agg(F.count("*").alias("c"))
+
 
+def learn_scores(counts: DataFrame, own: dict[str, int], whole: np.ndarray, documents: np.ndarray, v: Vocabulary, rounds: int = ROUNDS) -> Scores:
+    """Scores by expectation maximisation over the rows of word_counts.
 
-def learn_scores(counts: DataFrame, documents: int, v: Vocabulary, rounds: int = ROUNDS) -> Scores:
-    """Scores of the pieces by expectation maximisation over the distinct words of counts, each as often as it
-    occurs, and the ends of so many documents."""
-    scores = first_scores(v)
-    context = counts.sparkSession.sparkContext
+    own: words with an arc of their own, whole: their counts by component, documents: of each component."""
+    scores = first_scores(v, own, whole, documents)
+    context, n = counts.sparkSession.sparkContext, len(v.pieces)
     for _ in range(rounds):
         shared = context.broadcast((v, scores))
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(*shared.value)
-            total = np.zeros(len(lattice.v.pieces))
+            total = np.zeros((len(lattice.padded), n + len(lattice.scores.words)))
             for batch in batches:
-                total += lattice.expected([SPACE + w for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float))
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "uses"])
-
-        uses = counts.select("word", "c").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
-        total = np.full(len(v.pieces), PRIOR)
-        total[uses.column("piece").to_numpy()] += uses.column("uses").to_numpy()
-        whole = total.sum() + documents + PRIOR
-        scores = Scores(np.log(total / whole), math.log((documents + PRIOR) / whole))
+                component, c = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(float)
+                text = [SPACE + w for w in batch.column(1).to_pylist()]
+                for k in np.unique(component):
+                    at = np.flatnonzero(component == k)
+                    total[k] += lattice.expected([text[i] for i in at], c[at], k)
+            k, arc = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(arc, pa.int32()), pa.array(total[k, arc])], ["component", "arc", "uses"])
+
+        uses = counts.select("component", "word", "c").mapInArrow(expect, "component int, arc int, uses double").groupBy("component", "arc").agg(F.sum("uses").alias("uses")).toArrow()
+        total = np.zeros((len(documents), n + len(own)))
+        total[uses.column("component").to_numpy(), uses.column("arc").to_numpy()] = uses.column("uses").to_numpy()
+        scores = normalised(total[:, :n] + PRIOR, own, total[:, n:], documents)
         shared.destroy()
     return scores
 
@@ -189,9 +237,11 @@ def _score_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Record
         texts = batch.column(1)
         for lo in range(0, len(texts), 64):
             split = [(t.as_py() or "").encode().lower().split() for t in texts.slice(lo, 64)]
-            lattice.of_words([w for ws in split for w in ws])
-            known, out = lattice.known, []
-            for ws in split:
+            slots = lattice.slots_of(split)
+            logs = lattice.known[slots] if slots else np.zeros((0, len(scores.ends)))
+            cut = np.r_[0, np.cumsum([len(ws) for ws in split])]
+            out = []
+            for i, ws in enumerate(split):
                 n_frequent, base, rare = int(ends > 0), base_of_end, {}
                 for w in ws:
                     c = frequent.get(w)
@@ -200,7 +250,8 @@ def _score_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Record
                     else:
                         n_frequent += 1
                         base += c
-                score = (math.fsum([known[w] for w in ws]) + scores.end) * to10
+                by_component = logs[cut[i] : cut[i + 1]].sum(0) + scores.ends + scores.shares
+                score = float(np.logaddexp.reduce(by_component)) * to10
                 out.append((row, len(ws) + 1, n_frequent, base, score, [{"word": w.decode(), "n": n} for w, n in rare.items()]))
                 row += 1
             a, b, c, d, e, f = zip(*out, strict=True)
@@ -210,20 +261,32 @@ def _score_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Record
             )
 
 
-def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, rounds: int = ROUNDS, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, languages: int = LANGUAGES, rounds: int = ROUNDS, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text, lang): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lattice")
-    docs = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out"), "lang")
     training = docs.where("not held_out")
-    counts = scratch.keep(word_counts(training), "counts")
+    by_lang = training.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     ends = training.count()
+    rest = ends - sum(r["count"] for r in by_lang)
+    documents = np.array([*([rest] if rest or not by_lang else []), *(r["count"] for r in by_lang)], float)
+    component = F.lit(0)
+    for i, r in enumerate(by_lang, len(documents) - len(by_lang)):
+        component = F.when(F.col("lang") == r.lang, F.lit(i)).otherwise(component)
+    by_component = scratch.keep(word_counts(training.withColumn("component", component)), "by_component")
+    counts = scratch.keep(by_component.groupBy("word").agg(F.sum("c").alias("c")), "counts")
     n, v_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, distinct = n + ends, v_words + (ends > 0)
     denominator = n + distinct + 1
-    scores = learn_scores(counts, ends, v, rounds)
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent)
-    known = {r.word.encode(): math.log10((r.c + 1) / denominator) for r in top.collect()}
+    top = F.broadcast(counts.orderBy(F.desc("c"), "word").limit(frequent).withColumnRenamed("c", "all"))
+    rows = by_component.join(top, "word").collect()  # frequent * (languages + 1) rows at most
+    known = {r.word.encode(): math.log10((r["all"] + 1) / denominator) for r in rows}
+    own = {w: i for i, w in enumerate(sorted({r.word for r in rows}))}
+    whole = np.zeros((len(documents), len(own)))
+    for r in rows:
+        whole[r.component, own[r.word]] = r.c
+    scores = learn_scores(by_component, own, whole, documents, v, rounds)
     shared = spark.sparkContext.broadcast((v, scores, known, denominator, ends))
     rows = scratch.keep(docs.mapInArrow(lambda b: _score_rows(b, shared), _DOC), "rows")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
@@ -238,7 +301,7 @@ def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, rou
 
 def op6_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base score and lattice score."""
-    return lattice_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), read_vocabulary())
+    return lattice_scores(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read_vocabulary())
 
 
 QUERIES = {"op6_lattice_scores": op6_lattice_scores}
