@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("token_counts", "warc", "near_dups", "toxicity", "url_rules", "lattice", "quality", "pieces", "mixing")
+MODULES = ("token_counts", "warc", "near_dups", "toxicity", "url_rules", "lattice", "quality", "pieces", "knn", "mixing")
 
 
 def _modules():
@@ -15,8 +15,13 @@ def _modules():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: f for m in _modules() for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.ORACLE.items()}
+    import corpus_pipeline
+
+    sql = {name: sql for m in _modules() for name, sql in m.ORACLE.items()}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
