@@ -38,14 +38,19 @@ SALTS = 16
 LARGEST = 1 << 28
 
 
-def points(vectors: DataFrame, k: int = K) -> DataFrame:
-    """(x array<long>, ids array<long>): the distinct scaled vectors, each with its k + 1 smallest ids.
-
-    Ids are cut in two steps, so that a vector of a third of all rows doesn't meet in one task."""
+def scaled(vectors: DataFrame) -> DataFrame:
+    """(vec_id, x array<long>) of the vectors that take part, repeated rows once."""
     x = F.transform("embedding", lambda c: F.floor(c.cast("double") * F.lit(float(SCALE))).cast("long"))
-    fine = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(1e12)))
+    fine = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
     v = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(fine)
-    v = v.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).dropDuplicates(["vec_id", "x"]).withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    return v.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).dropDuplicates(["vec_id", "x"])
+
+
+def points(rows: DataFrame, k: int = K) -> DataFrame:
+    """(x, ids array<long>): the distinct vectors of scaled rows, each with its k + 1 smallest ids.
+
+    Ids are cut in two steps, so that a vector of a third of all rows doesn't meet in one task."""
+    v = rows.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
     for part in (["x", "_salt"], ["x"]):
         w = Window.partitionBy(*part).orderBy("vec_id")
         v = v.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
@@ -139,7 +144,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, pivots: int = PIVOTS
 
     What the driver gets doesn't grow with the rows: the pivots, k + 1 distances a cell, one number a group and cell."""
     scratch = scratch or Scratch(vectors.sparkSession, "knn")
-    pts = scratch.keep(points(vectors, k), "points")
+    rows = scaled(vectors)
+    pts = scratch.keep(points(rows, k), "points")
     dims = sorted(r[0] for r in pts.select(F.size("x")).distinct().limit(1000).collect())
     chosen = {dim: np.array([r.x for r in pts.where(F.size("x") == dim).orderBy(F.xxhash64("x"), "x").limit(pivots).collect()], np.int64) for dim in dims}
     cells = scratch.keep(pts.mapInArrow(lambda b: _assign(b, chosen), "x array<long>, ids array<long>, dim int, cell int, d double"), "cells")
@@ -152,15 +158,15 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, pivots: int = PIVOTS
     for r in near.groupBy("dim", "cell").agg(F.collect_list("d").alias("ds")).collect():
         nearest[r.dim][r.cell] = np.array(r.ds)
 
-    asked = cells.select("x", "dim", "cell", F.explode(F.filter("ids", lambda i: i % every == 0)).alias("query_id"))
-    asked = scratch.keep(asked, "asked")
+    asked = rows.where(F.col("vec_id") % every == 0).select("x", F.col("vec_id").alias("query_id"))
+    asked = scratch.keep(asked.mapInArrow(lambda b: _assign(b, chosen), "x array<long>, query_id long, dim int, cell int, d double"), "asked")
     counts = {(r.dim, r.cell): r["count"] for r in asked.groupBy("dim", "cell").count().collect()}
     group_of, sizes = _groups(chosen, counts)
     grouped = asked.withColumn("grp", F.element_at(_lookup(group_of), F.concat_ws(":", "dim", "cell")))
-    rows = grouped.select("x", "dim", "grp").mapInArrow(lambda b: _summarise(b, chosen, nearest, k), "dim int, grp int, cell int, gap double, norm double")
+    summary = grouped.select("x", "dim", "grp").mapInArrow(lambda b: _summarise(b, chosen, nearest, k), "dim int, grp int, cell int, gap double, norm double")
     gaps = {dim: np.full((max(g for (d, _), g in group_of.items() if d == dim) + 1, len(chosen[dim])), -np.inf) for dim in dims}
     norms = {dim: np.zeros(len(gaps[dim])) for dim in dims}
-    for r in rows.groupBy("dim", "grp", "cell").agg(F.max("gap").alias("gap"), F.max("norm").alias("norm")).collect():
+    for r in summary.groupBy("dim", "grp", "cell").agg(F.max("gap").alias("gap"), F.max("norm").alias("norm")).collect():
         gaps[r.dim][r.grp, r.cell] = r.gap
         norms[r.dim][r.grp] = r.norm
 

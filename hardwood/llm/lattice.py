@@ -43,8 +43,9 @@ DISCOUNT = 0.75
 FREQUENT = 100_000
 #: Languages with a component of their own.
 LANGUAGES = 7
-#: Distinct words whose probability a worker remembers, and code points above which a word is scored on its own.
-REMEMBERED, LONG = 400_000, 512
+#: Arcs of up to so many code points are worked on for all words at once, longer ones singly; words of more code points
+#: than LONG are scored one by one.
+DENSE, LONG = 4, 512
 
 
 class Scores(NamedTuple):
@@ -77,6 +78,39 @@ def first_scores(v: Vocabulary, words: dict[str, int], whole: np.ndarray, docume
     return normalised(w / w.sum() * mass[:, None], words, whole, documents)
 
 
+class Arcs(NamedTuple):
+    """Arcs of a batch of equal-length words: log weights of the short ones by length, (components, words, start), and
+    the long ones, which are few, one by one."""
+
+    dense: list[np.ndarray]
+    row: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    weight: np.ndarray
+
+    def mirrored(self, size: int) -> Arcs:
+        return Arcs([w[:, :, ::-1] for w in self.dense], self.row, size - self.start - self.length, self.length, self.weight)
+
+
+def forward(arcs: Arcs, size: int) -> np.ndarray:
+    """log sum over all segmentations of the first j code points, j = 0..size: (components, words, size + 1)."""
+    k, n, _ = arcs.dense[0].shape
+    alpha = np.full((k, n, size + 1), -np.inf)
+    alpha[:, :, 0] = 0
+    order = np.argsort(arcs.start + arcs.length, kind="stable")
+    row, start, weight = arcs.row[order], arcs.start[order], arcs.weight[:, order]
+    bounds = np.searchsorted((arcs.start + arcs.length)[order], np.arange(size + 2))
+    for j in range(1, size + 1):
+        options = np.stack([alpha[:, :, j - m] + arcs.dense[m - 1][:, :, j - m] for m in range(1, min(j, len(arcs.dense)) + 1)])
+        top = options.max(0)
+        total = top + np.log(np.exp(options - top).sum(0))
+        own = slice(bounds[j], bounds[j + 1])
+        for c in range(k if own.stop > own.start else 0):
+            np.logaddexp.at(total[c], row[own], alpha[c, row[own], start[own]] + weight[c, own])
+        alpha[:, :, j] = total
+    return alpha
+
+
 class Lattice:
     """Word probabilities under Scores."""
 
@@ -84,100 +118,69 @@ class Lattice:
         self.table, self.v, self.scores = PieceTable(vocabulary), vocabulary, scores
         # Looked up with -1 for no piece.
         self.padded = np.concatenate([scores.pieces, np.full((len(scores.pieces), 1), -np.inf)], 1)
-        self.slots: dict[bytes, int] = {}
-        self.known = np.zeros((0, len(scores.pieces)))
 
     def _bytes(self, char: str) -> list[int]:
         return [self.v.byte_ids[b] if self.v.byte_ids[b] >= 0 else self.v.unknown for b in char.encode()]
 
-    def _weights(self, found: list[np.ndarray], batch: list[str], k: int) -> list[np.ndarray]:
-        """Log weights of the arcs in component k, by arc length: (words, positions)."""
-        weights = [self.padded[k][ids] for ids in found]
+    def _arcs(self, found: list[np.ndarray], batch: list[str], components: slice) -> Arcs:
+        padded = self.padded[components]
+        dense = [padded[:, ids] for ids in found[:DENSE]]
         for r, i in zip(*np.nonzero(found[0] < 0), strict=True):
-            weights[0][r, i] = sum(self.scores.pieces[k, b] for b in self._bytes(batch[r][i]))
-        return weights
-
-    @staticmethod
-    def _forward(weights: list[np.ndarray]) -> np.ndarray:
-        """log sum over all segmentations of the first j code points, j = 0..L."""
-        n, size = weights[0].shape
-        alpha = np.full((n, size + 1), -np.inf)
-        alpha[:, 0] = 0
-        for j in range(1, size + 1):
-            options = np.stack([alpha[:, j - k] + weights[k - 1][:, j - k] for k in range(1, min(j, len(weights)) + 1)])
-            top = options.max(0)
-            alpha[:, j] = top + np.log(np.exp(options - top).sum(0))
-        return alpha
+            dense[0][:, r, i] = padded[:, self._bytes(batch[r][i])].sum(1)
+        long = [(m, *np.nonzero(ids >= 0)) for m, ids in enumerate(found[DENSE:], DENSE + 1)]
+        row, start = (np.concatenate([x[i] for x in long] or [np.zeros(0, np.int64)]) for i in (1, 2))
+        length = np.concatenate([np.full(len(x[1]), x[0]) for x in long] or [np.zeros(0, np.int64)])
+        ids = np.concatenate([found[m - 1][r, i] for m, r, i in long] or [np.zeros(0, np.int32)])
+        return Arcs(dense, row, start, length, padded[:, ids])
 
     def _parts(self, batch: list[str]) -> Iterator[list[int]]:
         for index in by_length(batch):
             yield from [index] if len(batch[index[0]]) <= LONG else [[i] for i in index]
 
-    def _whole(self, batch: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Slot (-1: none) and log weight of each word's own arc."""
-        slot = np.array([self.scores.words.get(w[1:], -1) for w in batch])
-        return slot, np.where(slot >= 0, self.scores.whole[k][slot] if self.scores.words else -np.inf, -np.inf)
+    def _whole(self, batch: list[str], components: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Slot (-1: none) and log weights of each word's own arc."""
+        get = self.scores.words.get
+        slot = np.array([get(w[1:], -1) for w in batch])
+        weights = np.full((len(self.padded[components]), len(batch)), -np.inf)
+        weights[:, slot >= 0] = self.scores.whole[components][:, slot[slot >= 0]]
+        return slot, weights
 
     def log_probs(self, batch: list[str]) -> np.ndarray:
-        """Log probability of each word (with its space mark) in each component."""
-        out = np.zeros((len(batch), len(self.scores.pieces)))
+        """Log probability of each word (with its space mark) in each component: (words, components)."""
+        out, every = np.zeros((len(batch), len(self.padded))), slice(None)
         for index in self._parts(batch):
             part = [batch[i] for i in index]
             found = self.table.substrings(code_points(part, len(part[0])))
-            for k in range(out.shape[1]):
-                out[index, k] = np.logaddexp(self._forward(self._weights(found, part, k))[:, -1], self._whole(part, k)[1])
+            alpha = forward(self._arcs(found, part, every), len(part[0]))[:, :, -1]
+            out[index] = np.logaddexp(alpha, self._whole(part, every)[1]).T
         return out
 
-    def expected(self, batch: list[str], counts: np.ndarray, k: int) -> np.ndarray:
-        """Expected uses of every piece, then of every own arc, over words of component k that occur so often."""
-        n = len(self.v.pieces)
+    def expected(self, batch: list[str], counts: np.ndarray, component: int) -> np.ndarray:
+        """Expected uses of every piece, then of every own arc, over words of a component that occur so often."""
+        n, only = len(self.v.pieces), slice(component, component + 1)
         total = np.zeros(n + len(self.scores.words))
         for index in self._parts(batch):
             part = [batch[i] for i in index]
-            length = len(part[0])
-            found = self.table.substrings(code_points(part, length))
-            weights = self._weights(found, part, k)
-            alpha = self._forward(weights)
+            size = len(part[0])
+            found = self.table.substrings(code_points(part, size))
+            arcs = self._arcs(found, part, only)
+            alpha = forward(arcs, size)[0]
             # The backward pass is the forward pass over the mirrored arcs.
-            beta = self._forward([w[:, ::-1] for w in weights])[:, ::-1]
-            slot, own = self._whole(part, k)
-            both = np.logaddexp(alpha[:, -1], own)
-            whole = np.maximum(np.exp(own - both) * counts[index] - DISCOUNT, 0)
-            left = (counts[index] - whole)[:, None]
+            beta = forward(arcs.mirrored(size), size)[0][:, ::-1]
+            slot, own = self._whole(part, only)
+            whole = np.maximum(np.exp(own[0] - np.logaddexp(alpha[:, -1], own[0])) * counts[index] - DISCOUNT, 0)
+            left = counts[index] - whole
             total += np.bincount(n + slot[slot >= 0], whole[slot >= 0], len(total))
-            for m, (ids, w) in enumerate(zip(found, weights, strict=True), 1):
-                use = np.exp(alpha[:, : length + 1 - m] + w + beta[:, m:] - alpha[:, -1:]) * left
-                total += np.bincount(ids[ids >= 0], use[ids >= 0], len(total))
-                if m == 1:
-                    for r, i in zip(*np.nonzero(ids < 0), strict=True):
-                        for b in self._bytes(part[r][i]):
-                            total[b] += use[r, i]
+            for m, ids in enumerate(found, 1):
+                r, i = np.nonzero(ids >= 0)
+                weight = self.scores.pieces[component, ids[r, i]]
+                total += np.bincount(ids[r, i], np.exp(alpha[r, i] + weight + beta[r, i + m] - alpha[r, -1]) * left[r], len(total))
+            for r, i in zip(*np.nonzero(found[0] < 0), strict=True):
+                use = np.exp(alpha[r, i] + arcs.dense[0][0, r, i] + beta[r, i + 1] - alpha[r, -1]) * left[r]
+                for b in self._bytes(part[r][i]):
+                    total[b] += use
         return total
 
-    def slots_of(self, texts: list[list[bytes]]) -> list[int]:
-        """Rows of self.known for all words of the texts in a row."""
-        if len(self.slots) > REMEMBERED:
-            self.slots.clear()
-            self.known = self.known[:0]
-        new = list({w for ws in texts for w in ws if w not in self.slots})
-        if new:
-            self.slots.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.known = np.concatenate([self.known, self.log_probs([SPACE + w.decode() for w in new])])
-        slots = self.slots
-        return [slots[w] for ws in texts for w in ws]
-
-
-_lattices: dict[int, Lattice] = {}
-
-
-def _lattice(v: Vocabulary, scores: Scores) -> Lattice:
-    """One per worker process and model."""
-    key = hash((scores.pieces.tobytes(), scores.whole.tobytes()))
-    if key not in _lattices:
-        _lattices.clear()
-        _lattices[key] = Lattice(v, scores)
-    return _lattices[key]
-
 
 # -- training --------------------------------------------------------------------------------------------------------
 
@@ -222,43 +225,61 @@ def learn_scores(counts: DataFrame, own: dict[str, int], whole: np.ndarray, docu
 
 # -- scoring ---------------------------------------------------------------------------------------------------------
 
-_DOC = "row long, doc_id long, held_out boolean, n_tokens long, frequent long, base double, score double, rare array<struct<word:string,n:int>>"
+_DOC = "row long, doc_id long, held_out boolean, n_tokens long, frequent long, base double, logs array<double>, rare array<struct<word:string,n:int>>"
 _RARE = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
+_tables: dict[int, tuple] = {}
+
+
+def _frequent_table(shared) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """Slot, base score and log probabilities of the frequent words, worked out once per worker process and model."""
+    v, scores, frequent = shared.value[:3]
+    key = hash((scores.pieces.tobytes(), scores.whole.tobytes()))
+    if key not in _tables:
+        _tables.clear()
+        names = list(frequent)
+        logs = Lattice(v, scores).log_probs([SPACE + w.decode() for w in names])
+        _tables[key] = {w: i for i, w in enumerate(names)}, np.array([*frequent.values(), 0.0]), np.concatenate([logs, np.zeros((1, logs.shape[1]))])
+    return _tables[key]
 
 
 def _score_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    v, scores, frequent, denominator, ends = shared.value
-    lattice = _lattice(v, scores)
-    to10 = 1 / math.log(10)
+    """Sums over the end and the frequent words of each text, and its other words with their counts."""
+    denominator, ends = shared.value[3:]
+    slots, base_of, logs_of = _frequent_table(shared)
     base_of_end = math.log10((ends + 1) / denominator)
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        ids, held = batch.column(0), batch.column(2)
-        texts = batch.column(1)
+        ids, held, texts = batch.column(0), batch.column(2), batch.column(1)
         for lo in range(0, len(texts), 64):
             split = [(t.as_py() or "").encode().lower().split() for t in texts.slice(lo, 64)]
-            slots = lattice.slots_of(split)
-            logs = lattice.known[slots] if slots else np.zeros((0, len(scores.ends)))
-            cut = np.r_[0, np.cumsum([len(ws) for ws in split])]
-            out = []
-            for i, ws in enumerate(split):
-                n_frequent, base, rare = int(ends > 0), base_of_end, {}
-                for w in ws:
-                    c = frequent.get(w)
-                    if c is None:
-                        rare[w] = rare.get(w, 0) + 1
-                    else:
-                        n_frequent += 1
-                        base += c
-                by_component = logs[cut[i] : cut[i + 1]].sum(0) + scores.ends + scores.shares
-                score = float(np.logaddexp.reduce(by_component)) * to10
-                out.append((row, len(ws) + 1, n_frequent, base, score, [{"word": w.decode(), "n": n} for w, n in rare.items()]))
-                row += 1
-            a, b, c, d, e, f = zip(*out, strict=True)
+            n, size = len(split), np.array([len(ws) for ws in split])
+            slot = np.fromiter((slots.get(w, -1) for ws in split for w in ws), np.int64, size.sum())
+            of = np.repeat(np.arange(n), size)
+            base = np.bincount(of, base_of[slot], n) + base_of_end
+            logs = np.stack([np.bincount(of, logs_of[slot, k], n) for k in range(logs_of.shape[1])], 1)
+            frequent = np.bincount(of, slot >= 0, n).astype(np.int64) + (ends > 0)
+            rare: list[dict[str, int]] = [{} for _ in split]
+            begin = np.cumsum(size) - size
+            for i in np.flatnonzero(slot < 0).tolist():
+                d = of[i]
+                w = split[d][i - begin[d]].decode()
+                rare[d][w] = rare[d].get(w, 0) + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), ids.slice(lo, 64), held.slice(lo, 64), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64()), pa.array(e, pa.float64()), pa.array(f, _RARE)],
-                ["row", "doc_id", "held_out", "n_tokens", "frequent", "base", "score", "rare"],
-            )
+                [
+                    pa.array(row + np.arange(n)), ids.slice(lo, n), held.slice(lo, n), pa.array(size + 1), pa.array(frequent), pa.array(base), pa.array(list(logs), pa.list_(pa.float64())),
+                    pa.array([[{"word": w, "n": c} for w, c in r.items()] for r in rare], _RARE),
+                ],
+                ["row", "doc_id", "held_out", "n_tokens", "frequent", "base", "logs", "rare"],
+            )
+            row += n
+
+
+def _rare_logs(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Adds logs, the log probabilities of each word by component, to (word, c)."""
+    lattice = Lattice(*shared.value[:2])
+    for batch in batches:
+        logs = lattice.log_probs([SPACE + w for w in batch.column(0).to_pylist()])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(logs), pa.list_(pa.float64()))], ["word", "c", "logs"])
 
 
 def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, languages: int = LANGUAGES, rounds: int = ROUNDS, scratch: Scratch | None = None) -> DataFrame:
@@ -290,12 +311,18 @@ def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, lan
     shared = spark.sparkContext.broadcast((v, scores, known, denominator, ends))
     rows = scratch.keep(docs.mapInArrow(lambda b: _score_rows(b, shared), _DOC), "rows")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    found = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = found.groupBy("row").agg(F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
+    distinct_rare = rare.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"))
+    priced = scratch.keep(distinct_rare.mapInArrow(lambda b: _rare_logs(b, shared), "word string, c long, logs array<double>"), "priced")
+    found, components = rare.join(priced, "word"), range(len(documents))
+    n_base = F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))
+    sums = found.groupBy("row").agg(F.sum(n_base).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"), *(F.sum(F.col("n") * F.col("logs")[k]).alias(f"more_{k}") for k in components))
     out = rows.drop("rare").join(sums, "row", "left")
+    each = F.array(*(F.col("logs")[k] + F.coalesce(f"more_{k}", F.lit(0.0)) + F.lit(float(scores.ends[k] + scores.shares[k])) for k in components))
+    out = out.withColumn("_each", each).withColumn("_top", F.array_max("_each"))
+    total = F.col("_top") + F.log(F.aggregate("_each", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_top"))))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("frequent") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (total / F.lit(math.log(10))).alias("score"),
     )
 
 

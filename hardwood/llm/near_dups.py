@@ -3,13 +3,15 @@
 1. One pass over the texts gives each document the size and fingerprint of its shingle set, MinHash signatures and
    band keys. Equal sets are one node from here on, named by the smallest doc_id.
 2. Nodes that share a band key are candidates. Each node is first compared with one of the smallest nodes of its
-   buckets only, the one it shares most bands with; verified links join nodes into clusters. After that only pairs of
-   different clusters are left to compare, so a group of thousands of copies never becomes all its pairs.
+   buckets only, the one it shares most bands with; verified links join nodes into clusters. Then the nodes outside
+   the largest cluster of a bucket are compared with their most alike partners, and at last with all nodes of other
+   clusters that are left. So a group of thousands of copies doesn't become all its pairs, and no link is left out.
 3. A comparison reads the signatures in batches. A pair is dropped once the posterior probability that its similarity
    reaches the threshold is below the chosen miss probability; the rest is verified on the full shingle sets.
 4. Connected components of the links, by repeated minima and pointer jumps.
 
-With 30 bands of 5 rows a pair at similarity 0.85 shares no band with probability 3e-8.
+With 30 bands of 5 rows a pair at similarity 0.85 shares no band with probability 3e-8, at 0.8 with 7e-6; lower
+thresholds are refused.
 
 Defined cases: texts without words (null, empty, blank) have an empty set and are linked with nothing; a text of fewer
 words than a shingle has one shingle; rows without doc_id are linked with nothing, have no component and are kept; rows
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hardwood.llm import wordbytes
@@ -34,21 +36,28 @@ BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
 #: Hashes read between two looks at the posterior.
 BATCH = 25
-#: Buckets of more nodes than this are compared in blocks of so many nodes.
-BLOCK = 64
+#: Buckets of more nodes than SMALL are compared in blocks of about BLOCK nodes.
+SMALL, BLOCK = 32, 256
+#: Hashes, of 8 bits, of the long signatures that decide about the pairs left in large buckets.
+LONG = 1024
+#: Most alike partners that a node outside the largest cluster of a large bucket is compared with before all others.
+BEST = 4
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
+_LONG_XOR = _rng.integers(0, 1 << 32, LONG, dtype=np.uint32)
+_LONG_MUL = _rng.integers(0, 1 << 32, LONG, dtype=np.uint32) | np.uint32(1)
 
 
-def min_matches(percent: int, miss: float, batch: int = BATCH, hashes: int = HASHES) -> list[tuple[int, int]]:
-    """(hashes read, fewest equal ones to go on): with m of n equal and an even prior, the similarity reaches
-    percent/100 with probability P(Binomial(n + 1, percent/100) <= m)."""
+def min_matches(percent: int, miss: float, looks: list[int]) -> list[tuple[int, int]]:
+    """(hashes read, fewest equal ones to go on) at each look: with m of n equal and an even prior, the similarity
+    reaches percent/100 with probability P(Binomial(n + 1, percent/100) <= m)."""
     t, found = percent / 100, []
-    for n in range(batch, hashes + 1, batch):
+    for n in looks:
         below, m = 0.0, 0
         while m <= n:
-            below += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
+            ways = math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m)
+            below += math.exp(ways + m * math.log(t) + (n + 1 - m) * math.log(1 - t))
             if below >= miss:
                 break
             m += 1
@@ -56,14 +65,19 @@ def min_matches(percent: int, miss: float, batch: int = BATCH, hashes: int = HAS
     return found
 
 
-def promising(a: np.ndarray, b: np.ndarray, tests: list[tuple[int, int]]) -> np.ndarray:
-    """Which rows of a and b (signatures) pass every test; later batches are read for the survivors only."""
+SHORT_LOOKS = list(range(BATCH, HASHES + 1, BATCH))
+LONG_LOOKS = [64, 128, 256, 512, LONG]
+
+
+def promising(a: np.ndarray, b: np.ndarray, tests: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a and b (signatures) pass every test, and how many hashes they share; later batches are read for
+    the survivors only."""
     alive, equal, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
     for n, least in tests:
         equal = equal + (a[alive, done:n] == b[alive, done:n]).sum(1)
         stay = equal >= least
         alive, equal, done = alive[stay], equal[stay], n
-    return alive
+    return alive, equal
 
 
 # -- one pass over the texts -----------------------------------------------------------------------------------------
@@ -71,6 +85,21 @@ def promising(a: np.ndarray, b: np.ndarray, tests: list[tuple[int, int]]) -> np.
 SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>"
 
 
+def _minima(h: np.ndarray, begin: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
+    """For each set (its hashes from begin on) and each hash function the least value."""
+    low = np.empty((len(begin), len(xor)), np.uint32)
+    v = (h >> np.uint64(32)).astype(np.uint32)
+    x, y = np.empty_like(v), np.empty_like(v)
+    for j in range(len(xor) if len(begin) else 0):
+        np.bitwise_xor(v, xor[j], out=x)
+        np.multiply(x, mul[j], out=x)
+        np.right_shift(x, np.uint32(15), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.multiply(x, np.uint32(0x2C1B3C6D), out=x)
+        low[:, j] = np.minimum.reduceat(x, begin)
+    return low
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -82,16 +111,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             begin = np.r_[0, np.cumsum(sizes[full])[:-1]].astype(np.int64)
             f1 = np.add.reduceat(h, begin) if len(full) else h[:0]
             f2 = np.bitwise_xor.reduceat(wordbytes.mix64(h + np.uint64(1)), begin) if len(full) else h[:0]
-            low = np.empty((len(full), HASHES), np.uint32)
-            v = (h >> np.uint64(32)).astype(np.uint32)
-            x, y = np.empty_like(v), np.empty_like(v)
-            for j in range(HASHES if len(full) else 0):
-                np.bitwise_xor(v, _XOR[j], out=x)
-                np.multiply(x, _MUL[j], out=x)
-                np.right_shift(x, np.uint32(15), out=y)
-                np.bitwise_xor(x, y, out=x)
-                np.multiply(x, np.uint32(0x2C1B3C6D), out=x)
-                low[:, j] = np.minimum.reduceat(x, begin)
+            low = _minima(h, begin, _XOR, _MUL)
             sig = ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
             key = np.zeros((len(full), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
             for r in range(ROWS):
@@ -128,6 +148,16 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["node", "shingles"])
 
 
+def _long_signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, data, offsets in wordbytes.slices(batch.column(1), 1 << 18):
+            row, h = wordbytes.shingles(wordbytes.words(data, offsets), k)
+            full, begin = np.unique(row, return_index=True)
+            low = _minima(h, begin, _LONG_XOR, _LONG_MUL)
+            sig = ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + full)), pa.array([x.tobytes() for x in sig], pa.binary())], ["node", "sig"])
+
+
 # -- verification ----------------------------------------------------------------------------------------------------
 
 
@@ -136,7 +166,7 @@ def _prune(batches: Iterator[pa.RecordBatch], tests) -> Iterator[pa.RecordBatch]
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in (2, 3))
-        yield batch.select([0, 1]).take(pa.array(promising(a, b, tests)))
+        yield batch.select([0, 1]).take(pa.array(promising(a, b, tests)[0]))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, miss: float, k: int, scratch: Scratch) -> DataFrame:
@@ -144,7 +174,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     thousands of pairs is a skewed key of plain exchanges, which adaptive execution splits."""
     sig = nodes.select("node", "sig")
     with_sigs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    tests = min_matches(percent, miss)
+    tests = min_matches(percent, miss, SHORT_LOOKS)
     left = scratch.keep(with_sigs.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda x: _prune(x, tests), "a long, b long"), "promising")
     wanted = scratch.keep(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
@@ -197,51 +227,81 @@ def _best_pivots(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs
 
 
-def _compare_block(tests):
+def _compare_block(tests, kind: type, best: int | None):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         q, t = pdf[pdf.asks], pdf[~pdf.asks]
         if not len(q) or not len(t):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        sig_q, sig_t = (np.frombuffer(b"".join(x.sig), np.uint16).reshape(-1, HASHES) for x in (q, t))
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "equal": pd.Series(dtype="int64")})
+        sig_q, sig_t = (np.frombuffer(b"".join(x.sig), kind).reshape(len(x), -1) for x in (q, t))
+        band_q, band_t = (np.stack(x.bands.to_list()) for x in (q, t))
         i, j = np.nonzero(q.cluster.to_numpy()[:, None] != t.cluster.to_numpy()[None, :])
-        ok = promising(sig_q[i], sig_t[j], tests) if len(i) else i
-        a, b = q.node.to_numpy()[i[ok]], t.node.to_numpy()[j[ok]]
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+        ok, equal = promising(sig_q[i], sig_t[j], tests)
+        i, j = i[ok], j[ok]
+        # A pair counts in the first band that both share, and nowhere else.
+        first = (band_q[i] == band_t[j]).argmax(1) == pdf.band.iat[0]
+        i, j, equal = i[first], j[first], equal[first]
+        if best and len(i):
+            order = np.lexsort((j, -equal, i))
+            i, j, equal = i[order], j[order], equal[order]
+            rank = np.arange(len(i)) - np.flatnonzero(np.r_[True, i[1:] != i[:-1]])[np.cumsum(np.r_[True, i[1:] != i[:-1]]) - 1]
+            i, j, equal = i[rank < best], j[rank < best], equal[rank < best]
+        return pd.DataFrame({"a": q.node.to_numpy()[i], "b": t.node.to_numpy()[j], "equal": equal})
 
     return compare
 
 
-def _across_clusters(buckets: DataFrame, percent: int, miss: float, scratch: Scratch) -> DataFrame:
-    """(a, b) with a > b, for nodes of one bucket in different clusters. buckets: bucket, node, cluster, sig.
+def _across_clusters(nodes: DataFrame, docs: DataFrame, clusters: DataFrame, percent: int, miss: float, k: int, best: int | None, scratch: Scratch) -> DataFrame:
+    """(a, b) with a > b, for nodes of one bucket in different clusters.
 
-    Buckets of up to BLOCK nodes give their pairs. In larger ones the nodes outside the largest cluster ask all
+    Buckets of up to SMALL nodes give their pairs. In larger ones the nodes outside the largest cluster ask all
     others: both are dealt into blocks, and a task compares the signatures of two blocks without making rows of pairs.
+    best: of the promising pairs in larger buckets, only so many of the most alike for each asking node; if None, all
+    of them, by long signatures, which are made for the nodes of these buckets only.
     """
-    light = buckets.select("bucket", "node", "cluster")
-    per_cluster = light.groupBy("bucket", "cluster").agg(F.count("*").alias("c"))
+    buckets = nodes.join(clusters, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"), F.posexplode("bands").alias("band", "bucket"))
+    per_cluster = buckets.groupBy("bucket", "cluster").agg(F.count("*").alias("c"))
     stats = per_cluster.groupBy("bucket").agg(F.count("*").alias("clusters"), F.sum("c").alias("n"), F.max(F.struct("c", "cluster")).alias("m")).where("clusters > 1")
     stats = scratch.keep(stats.select("bucket", "n", F.col("m.cluster").alias("main"), (F.col("n") - F.col("m.c")).alias("rest")), "stats")
-    small = scratch.keep(light.join(stats.where(F.col("n") <= BLOCK).select("bucket"), "bucket"), "small")
+    mixed = scratch.keep(buckets.join(stats, "bucket"), "mixed")
+    small = mixed.where(F.col("n") <= SMALL).select("bucket", "node", "cluster")
     other = small.select("bucket", F.col("node").alias("b"), F.col("cluster").alias("cluster_b"))
     pairs = small.withColumnRenamed("node", "a").join(other, "bucket").where("a > b and cluster <> cluster_b").select("a", "b")
-    large = buckets.join(stats.where(F.col("n") > BLOCK), "bucket")
+    large = mixed.where(F.col("n") > SMALL)
+    if best:
+        tests, kind, sig = min_matches(percent, miss, SHORT_LOOKS), np.uint16, nodes.select("node", "sig")
+    else:
+        tests, kind = min_matches(percent, miss, LONG_LOOKS), np.uint8
+        wanted = scratch.keep(large.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+        sig = texts.mapInArrow(lambda x: _long_signatures(x, k), "node long, sig binary").dropDuplicates(["node"])
+        sig = scratch.keep(sig, "long")
+    large = large.join(nodes.select("node", "bands"), "node").join(sig, "node")
     large = large.withColumn("asking", F.ceil(F.col("rest") / BLOCK).cast("int")).withColumn("asked", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("asking")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("asked")).cast("int")
-    as_asking = large.where("cluster <> main").select("bucket", own[0].alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"), F.lit(True).alias("asks"), "node", "cluster", "sig")
-    as_asked = large.select("bucket", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), own[1].alias("j"), F.lit(False).alias("asks"), "node", "cluster", "sig")
-    blocks = as_asking.unionByName(as_asked).groupBy("bucket", "i", "j").applyInPandas(_compare_block(min_matches(percent, miss)), "a long, b long")
-    return scratch.keep(pairs.unionByName(blocks).distinct(), "pairs")
+    columns = ["node", "cluster", "band", "sig", "bands"]
+    as_asking = large.where("cluster <> main").select("bucket", own[0].alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"), F.lit(True).alias("asks"), *columns)
+    as_asked = large.select("bucket", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), own[1].alias("j"), F.lit(False).alias("asks"), *columns)
+    found = as_asking.unionByName(as_asked).groupBy("bucket", "i", "j").applyInPandas(_compare_block(tests, kind, best), "a long, b long, equal long")
+    if best:
+        order = Window.partitionBy("a").orderBy(F.desc("equal"), "b")
+        found = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= best)
+    found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    out = scratch.keep(pairs.unionByName(found).distinct(), "pairs")
+    scratch.drop(stats, mixed)
+    return out
 
 
 # -- the operator ----------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, miss: float = 1e-9, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, miss: float = 1e-6, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= percent * union of their k-word shingle sets. miss: the probability,
     at each look at a pair's signatures, at which the pair may be dropped though it is a link.
     """
+    if percent < 80:
+        raise ValueError("the bands are made for similarities of 0.8 and more")
     scratch = scratch or Scratch(docs.sparkSession, "near")
     sketch = scratch.keep(sketches(docs, k), "sketch")
     full = sketch.where("f1 is not null and doc_id is not null")
@@ -249,11 +309,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, miss: float
     nodes = scratch.keep(nodes.select("node", "f1", "f2", "m.sig", "m.bands"), "nodes")
     first = _best_pivots(nodes.select("node", F.explode("bands").alias("bucket")), scratch)
     links = verified(first, nodes, docs, percent, miss, k, scratch)
-    clusters = components(links, scratch)
-    named = nodes.join(clusters, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"), "sig", F.explode("bands").alias("bucket"))
-    second = _across_clusters(named, percent, miss, scratch)
-    more = verified(second, nodes, docs, percent, miss, k, scratch)
-    groups = components(links.unionByName(more), scratch)
+    tested = first
+    for best in (BEST, None):
+        pairs = _across_clusters(nodes, docs, components(links, scratch), percent, miss, k, best, scratch)
+        pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"), "untested")
+        links = links.unionByName(verified(pairs, nodes, docs, percent, miss, k, scratch))
+        tested = tested.unionByName(pairs)
+    groups = components(links, scratch)
     named = scratch.keep(nodes.join(groups, "node", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "node").alias("component_id")), "named")
     light = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("f1")).alias("f1"), "f2")
     out = light.join(named, (light.f1 == named.g1) & (light.f2 == named.g2), "left")
@@ -261,7 +323,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, miss: float
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, percent: int = 85, k: int = 3, miss: float = 1e-9) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = 85, k: int = 3, miss: float = 1e-6) -> DataFrame:
     """docs with one document of each group; of rows that share a doc_id one stays."""
     decided = near_duplicates(docs, percent, k, miss)
     keep = Scratch(docs.sparkSession, "kept").keep(decided.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hardwood.llm import wordbytes
 from hardwood.llm.common import table
@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Distinct units that a worker remembers, and code points from which a unit is segmented on its own.
-REMEMBERED, LONG = 300_000, 256
+REMEMBERED, LONG = 150_000, 256
 #: Cells (words * length) of one batch of equal-length words.
 CELLS = 1 << 15
 
@@ -312,28 +312,45 @@ def _segmenter(shared) -> Segmenter:
     return _segmenters[key]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "pieces") -> DataFrame:
-    """docs with the column `into`: the ids of its text, as array<int>."""
+def _appended(batch: pa.RecordBatch, lo: int, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """n rows of the batch from lo on, with these columns instead of any of their names."""
+    kept = [i for i, name in enumerate(batch.schema.names) if name not in columns]
+    return pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, n) for i in kept), *columns.values()], [*(batch.schema.names[i] for i in kept), *columns])
+
+
+def _pieces_of(sizes: Iterator[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows whose sizes sum to about `most`, one row at least."""
+    lo, total, hi = 0, 0, 0
+    for hi, size in enumerate(sizes, 1):
+        total += size
+        if total >= most:
+            yield lo, hi
+            lo, total = hi, 0
+    if lo < hi:
+        yield lo, hi
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "pieces", check: str | None = None) -> DataFrame:
+    """docs with the column `into`: the ids of its text, as array<int>. check: also a boolean column of this name,
+    whether the ids decode to the text, found in the same pass."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    where = docs.columns.index(text)
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(shared)
-        for texts in batches:
-            parts = []
-            values = texts.tolist()
-            lo = 0
-            while lo < len(values):
-                hi, size = lo, 0
-                while hi < len(values) and (hi == lo or size < 1 << 21):
-                    size += len(values[hi] or "")
-                    hi += 1
-                flat, ends = segmenter.encode(values[lo:hi])
-                parts += [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                lo = hi
-            yield pd.Series(parts, index=texts.index, dtype=object)
-
-    return docs.withColumn(into, ids(F.col(text)))
+        decoder = Decoder(shared.value) if check else None
+        for batch in batches:
+            for lo, hi in _pieces_of((len(t.as_py() or "") for t in batch.column(where)), 1 << 20):
+                texts = batch.column(where).slice(lo, hi - lo).to_pylist()
+                flat, ends = segmenter.encode(texts)
+                added = {into: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))}
+                if check:
+                    back = decoder.decode([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+                    added[check] = pa.array([d == (t or "").replace(SPACE, " ") for d, t in zip(back, texts, strict=True)])
+                yield _appended(batch, lo, hi - lo, added)
+
+    out = T.StructType([f for f in docs.schema if f.name not in (into, check)]).add(into, T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(run, out.add(check, "boolean") if check else out)
 
 
 class Decoder:
@@ -363,31 +380,24 @@ class Decoder:
 def decode(encoded: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", into: str = "decoded") -> DataFrame:
     """encoded with the column `into`: the text of the ids."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    where = encoded.columns.index(pieces)
 
-    @F.pandas_udf("string")
-    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
-        for ids in batches:
-            values, out, lo = [np.zeros(0, np.int64) if x is None else np.asarray(x) for x in ids], [], 0
-            while lo < len(values):
-                hi, size = lo, 0
-                while hi < len(values) and (hi == lo or size < 1 << 20):
-                    size += len(values[hi])
-                    hi += 1
-                out += decoder.decode(values[lo:hi])
-                lo = hi
-            yield pd.Series(out, index=ids.index, dtype=object)
+        for batch in batches:
+            ids = batch.column(where)
+            for lo, hi in _pieces_of((len(x.values) if x.is_valid else 0 for x in ids), 1 << 19):
+                each = [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64) for x in ids.slice(lo, hi - lo)]
+                yield _appended(batch, lo, hi - lo, {into: pa.array(decoder.decode(each), pa.string())})
 
-    return encoded.withColumn(into, texts(F.col(pieces)))
+    return encoded.mapInArrow(run, T.StructType([f for f in encoded.schema if f.name != into]).add(into, "string"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, and whether they decode to its text."""
-    vocabulary = read_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, vocabulary), vocabulary)
-    exact = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
-    return both.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", exact.alias("round_trip"))
+    encoded = encode(docs, read_vocabulary(), check="round_trip")
+    return encoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "round_trip")
 
 
 QUERIES = {"op8_sentencepiece": op8_sentencepiece}

@@ -70,7 +70,10 @@ def _bucket(buckets: int):
 
 
 def ratio_weights(docs: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS) -> list[float]:
-    """Log ratio of the trusted to the raw multinomial for each bucket, counts smoothed by one.
+    """Log ratio of the trusted to the raw multinomial for each bucket.
+
+    Raw counts are smoothed by one; the trusted ones by `buckets` draws from the raw multinomial, so that few trusted
+    documents say little: the fewer there are, the nearer every ratio is to 1.
 
     Trusted are the documents that labels marks with quality 1. Counts cover every document; each task sums its own
     n-grams by bucket before the shuffle, and the driver gets one row a bucket."""
@@ -82,9 +85,10 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, text: str = "text", bucket
     raw, target = sum(r.raw for r in counts), sum(r.trusted for r in counts)
     weights = [0.0] * buckets
     if target:
-        weights = [math.log((raw + buckets) / (target + buckets))] * buckets
+        weights = [math.log(buckets / (target + buckets))] * buckets
         for r in counts:
-            weights[r.bucket] += math.log((r.trusted + 1) / (r.raw + 1))
+            p = (r.raw + 1) / (raw + buckets)
+            weights[r.bucket] = math.log((r.trusted + buckets * p) / ((target + buckets) * p))
     return weights
 
 
