@@ -66,12 +66,19 @@ def season_and_recent(games: DataFrame, window: int = 10) -> DataFrame:
 
 
 def strength_of_schedule(games: DataFrame, window: int = 10) -> DataFrame:
-    """Mean season net rating of the opponents met, over all games and over the last ones; repeats count each time."""
+    """Mean season net rating of the opponents met, over all games and over the last ones; repeats count each time.
+
+    Ratings are summed as whole ten-thousandths, so that the order of the rows can't change a mean."""
     pairs = newest_first(with_opponent(games))
     net = usable(pairs).groupBy("team_id").agg(ratio_metrics()["net_rating"].alias("net"))
     met = usable(pairs).select("team_id", "opponent_team_id", "n_desc").join(net.withColumnRenamed("team_id", "opponent_team_id"), "opponent_team_id")
-    out = met.groupBy("team_id").agg(F.round(F.avg("net"), 4).alias("sos_season"), F.round(F.avg(F.when(F.col("n_desc") <= window, F.col("net"))), 4).alias("sos_recent"))
-    return out.withColumn("sos_delta", F.round(F.col("sos_recent") - F.col("sos_season"), 4))
+    whole = F.round(F.col("net") * 10000).cast("long")
+
+    def mean(x: Column) -> Column:
+        return F.sum(x) / (F.count(x) * F.lit(10000.0))
+
+    out = met.groupBy("team_id").agg(mean(whole).alias("sos_season"), mean(F.when(F.col("n_desc") <= window, whole)).alias("sos_recent"))
+    return out.withColumn("sos_delta", F.col("sos_recent") - F.col("sos_season"))
 
 
 def flags(metrics: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def _composite(f):
     g = f.groupBy("player_id").pivot("stat", ["click", "error", "purchase", "signup", "view"]).agg(F.avg("value"))
     kinds = ["click", "error", "purchase", "signup", "view"]
     score = ratings.weighted_score([F.col(k) for k in kinds], [1.0, -2.0, 3.0, 1.5, 0.5])
-    return g.select("player_id", F.round(score, 4).alias("score"))
+    return g.select("player_id", F.round(score, 10).alias("score"))
 
 
 def _last_n(f):
@@ -176,7 +176,7 @@ ORACLE = {
                FROM wn JOIN av USING (player_id) WHERE games_hit / games_played >= 0.2)
         SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY rank_score DESC, threshold, window_size) AS position FROM sc QUALIFY position <= 3""",
     "composite_score": f"""{_T}, p AS (SELECT player_id, stat, avg(value) AS a, CASE stat WHEN 'click' THEN 1.0 WHEN 'error' THEN -2.0 WHEN 'purchase' THEN 3.0 WHEN 'signup' THEN 1.5 WHEN 'view' THEN 0.5 END::DOUBLE AS w FROM lg GROUP BY player_id, stat)
-        SELECT player_id, round(sum(w * a) / nullif(sum(abs(w)), 0), 4) AS score FROM p GROUP BY player_id""",
+        SELECT player_id, round(sum(w * a) / nullif(sum(abs(w)), 0), 10) AS score FROM p GROUP BY player_id""",
     "threshold_grid": f"{_L} SELECT DISTINCT player_id, stat, threshold FROM lg, {_TH}",
     "streaks_left_outer_roster": f"""{_L}, {_CUR} SELECT player_id, coalesce(c_name, 'N/A') AS name, coalesce(c_mktsegment, 'N/A') AS team, threshold, streak_games
         FROM cs LEFT JOIN customer ON c_custkey = player_id AND c_custkey % 3 <> 0""",

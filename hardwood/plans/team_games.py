@@ -90,9 +90,10 @@ _M = f"""
 ms AS (SELECT team_id, count(*) AS season_games, count(*) FILTER (WHERE n_desc <= 10) AS recent_games, {sql_metrics('_season')}, {sql_metrics('_recent', 'n_desc <= 10')} FROM ga GROUP BY team_id),
 md AS (SELECT *, {', '.join(f'round({m}_recent - {m}_season, 4) AS {m}_delta' for m in teams.METRICS)} FROM ms)"""
 _SOS = f"""
-nt AS (SELECT team_id AS opponent_team_id, net_rating_season AS net FROM ms),
-so AS (SELECT team_id, round(avg(net), 4) AS sos_season, round(avg(net) FILTER (WHERE n_desc <= 10), 4) AS sos_recent FROM ga JOIN nt USING (opponent_team_id) GROUP BY team_id),
-sd AS (SELECT *, round(sos_recent - sos_season, 4) AS sos_delta FROM so)"""
+nt AS (SELECT team_id AS opponent_team_id, CAST(round(net_rating_season * 10000) AS BIGINT) AS net FROM ms),
+so AS (SELECT team_id, CAST(sum(net) AS DOUBLE) / (count(net) * 10000.0::DOUBLE) AS sos_season,
+       CAST(sum(net) FILTER (WHERE n_desc <= 10) AS DOUBLE) / (count(net) FILTER (WHERE n_desc <= 10) * 10000.0::DOUBLE) AS sos_recent FROM ga JOIN nt USING (opponent_team_id) GROUP BY team_id),
+sd AS (SELECT *, sos_recent - sos_season AS sos_delta FROM so)"""
 _FL = "fl AS (" + " UNION ALL ".join(f"SELECT team_id, '{n}' AS flag, '{m}' AS metric, {m}_delta AS delta FROM md WHERE {m}_delta {'>=' if s > 0 else '<='} {t}::DOUBLE" for n, m, t, s in ratings.FLAG_RULES) + ")"
 _ENV = """
 sd2 AS (SELECT g.game_id, g.is_home, g.team_id, off_rating_season AS f, def_rating_season AS e, pace_season AS p, tov_pct_season AS t, three_share_season AS h FROM ga g JOIN ms USING (team_id)),
