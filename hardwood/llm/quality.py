@@ -111,7 +111,10 @@ def judged(docs: DataFrame, weights: list[float], text: str = "text", threshold:
 def passing(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that pass, with the columns of docs."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return judged(rows, ratio_weights(docs, labels), **options).where("kept").select("_row.*")
+    decided = judged(rows, ratio_weights(docs, labels), **options)
+    # A plain filter would be pushed below the features, each of which it would then repeat for every use of it.
+    once = decided.select(F.explode(F.array(F.struct("_row", "kept"))).alias("_d"))
+    return once.where("_d.kept").select("_d._row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
