@@ -33,6 +33,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: A word needs to be in so many documents of the sample to get a weight.
 MIN_DOCS = 5
 FOLDS = 5
+#: Features that the fit sums at a time.
+BLOCK = 1 << 20
 
 _APART = np.zeros(256, bool)
 _APART[: 0x80] = True
@@ -84,21 +86,30 @@ def fit(features: list[np.ndarray], firsts: list[np.ndarray], toxic: np.ndarray,
     first = np.concatenate([f + s for f, s in zip(firsts, shift, strict=True)]).astype(np.int64)
     doc = np.repeat(np.arange(len(features)), [len(f) for f in firsts])
     sentence = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.r_[first, len(word)]))
-    used = (docs_with[word] >= MIN_DOCS) & (word > 0)
-    names, slot = np.unique(word[used], return_inverse=True)
-    slot, sentence = slot.astype(np.int32), sentence[used]
+    docs_with[0] = 0
+    used = docs_with[word] >= MIN_DOCS
+    slot, sentence = word[used], sentence[used]
+    names = np.flatnonzero(docs_with >= MIN_DOCS)
+    slot = np.cumsum(docs_with >= MIN_DOCS, dtype=np.int32)[slot] - np.int32(1)
     del word, used
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(slot), BLOCK)]
     n, total = len(names), weight.sum()
     theta = np.zeros(n + 1)
     per_doc = max(1.0, len(first) / len(features))
     theta[n] = np.log(max(1e-6, (weight * toxic).sum() / total) / per_doc)
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for i in range(1, rounds + 1):
-        z = np.bincount(sentence, theta[slot], len(first)) + theta[n]
+        z = np.full(len(first), theta[n])
+        for b in blocks:
+            part = np.bincount(sentence[b] - sentence[b.start], theta[slot[b]])
+            z[sentence[b.start] : sentence[b.start] + len(part)] += part
         s = np.bincount(doc, np.logaddexp(0, z), len(features)).clip(1e-9, 50)
         slope = weight / total * np.where(toxic, -1 / np.expm1(s), 1.0)
         by_sentence = slope[doc] * (0.5 + 0.5 * np.tanh(z / 2))
-        g = np.r_[np.bincount(slot, by_sentence[sentence], n) + decay * theta[:n] / max(1, n) ** 0.5, by_sentence.sum()]
+        by_word = decay * theta[:n] / max(1, n) ** 0.5
+        for b in blocks:
+            by_word += np.bincount(slot[b], by_sentence[sentence[b]], n)
+        g = np.r_[by_word, by_sentence.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     weights[names] = theta[:n]
@@ -159,6 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     counts = {k: max(1, int((toxic == k).sum())) for k in (False, True)}
     weight = np.where(toxic, shares.get(True, 0) / counts[True], shares.get(False, 0) / counts[False])
     lists = [[np.asarray(x.values) for x in got.column(c)] for c in ("features", "firsts")]
+    del got
     return fit(*lists, toxic, weight)
 
 
