@@ -266,17 +266,19 @@ def _across_clusters(nodes: DataFrame, docs: DataFrame, clusters: DataFrame, per
     small = mixed.where(F.col("n") <= SMALL).select("bucket", "node", "cluster")
     other = small.select("bucket", F.col("node").alias("b"), F.col("cluster").alias("cluster_b"))
     pairs = small.withColumnRenamed("node", "a").join(other, "bucket").where("a > b and cluster <> cluster_b").select("a", "b")
-    large = mixed.where(F.col("n") > SMALL)
+    # One row a node, with its large buckets, until the signatures are there: they are not joined once per bucket.
+    entry = F.struct("bucket", "band", "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("asking"), F.ceil(F.col("n") / BLOCK).cast("int").alias("asked"))
+    large = mixed.where(F.col("n") > SMALL).groupBy("node", "cluster").agg(F.collect_list(entry).alias("entries"))
     if best:
-        tests, kind, sig = min_matches(percent, miss, SHORT_LOOKS), np.uint16, nodes.select("node", "sig")
+        tests, kind = min_matches(percent, miss, SHORT_LOOKS), np.uint16
     else:
         tests, kind = min_matches(percent, miss, LONG_LOOKS), np.uint8
-        wanted = scratch.keep(large.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+        wanted = scratch.keep(large.select(F.col("node").alias("doc_id")), "wanted")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-        sig = texts.mapInArrow(lambda x: _long_signatures(x, k), "node long, sig binary").dropDuplicates(["node"])
-        sig = scratch.keep(sig, "long")
-    large = large.join(nodes.select("node", "bands"), "node").join(sig, "node")
-    large = large.withColumn("asking", F.ceil(F.col("rest") / BLOCK).cast("int")).withColumn("asked", F.ceil(F.col("n") / BLOCK).cast("int"))
+        sig = scratch.keep(texts.mapInArrow(lambda x: _long_signatures(x, k), "node long, sig binary").dropDuplicates(["node"]), "long")
+        large = large.join(sig, "node")
+    large = large.join(nodes.select("node", "bands", *(["sig"] if best else [])), "node")
+    large = large.select("node", "cluster", "sig", "bands", F.inline("entries"))
     own = F.pmod(F.xxhash64("node"), F.col("asking")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("asked")).cast("int")
     columns = ["node", "cluster", "band", "sig", "bands"]
     as_asking = large.where("cluster <> main").select("bucket", own[0].alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"), F.lit(True).alias("asks"), *columns)
