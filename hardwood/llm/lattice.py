@@ -48,6 +48,22 @@ LANGUAGES = 7
 DENSE, LONG = 4, 512
 
 
+#: Rows and bytes of words that a task takes at a time, so that there are many words of each length and component.
+GATHER_ROWS, GATHER_BYTES = 100_000, 8 << 20
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = GATHER_ROWS, most: int = GATHER_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Scores(NamedTuple):
     """Natural logs, by component: of each piece, of the words with an arc of their own, of the end of a document, and
     of the component itself."""
@@ -206,7 +222,7 @@ def learn_scores(counts: DataFrame, own: dict[str, int], whole: np.ndarray, docu
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(*shared.value)
             total = np.zeros((len(lattice.padded), n + len(lattice.scores.words)))
-            for batch in batches:
+            for batch in gathered(batches):
                 component, c = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(float)
                 text = [SPACE + w for w in batch.column(1).to_pylist()]
                 for k in np.unique(component):
@@ -277,7 +293,7 @@ def _score_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Record
 def _rare_logs(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Adds logs, the log probabilities of each word by component, to (word, c)."""
     lattice = Lattice(*shared.value[:2])
-    for batch in batches:
+    for batch in gathered(batches):
         logs = lattice.log_probs([SPACE + w for w in batch.column(0).to_pylist()])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(logs), pa.list_(pa.float64()))], ["word", "c", "logs"])
 
