@@ -1,17 +1,19 @@
 """Language-model scores by subword lattices.
 
 Each word, with a mark for the space before it, spans a lattice whose arcs are the pieces of an existing vocabulary;
-a character without a piece has the arc of its byte pieces, and a frequent training word also has one arc as a whole.
+a character without a piece has the arc of its byte pieces, and every training word also has one arc as a whole.
 The probability of a word is the sum over all its segmentations, by a forward recursion in log space. A document's is
 the product over its words and its end, summed over a few components (one for each frequent language of the training
 documents, one for the rest), so that a text's language need not be known when it is scored.
 
 The vocabulary is given; the scores of its arcs are learned here, for each component. Rank order gives the first
 distribution, then some rounds of expectation maximisation over all distinct training words, weighted by their counts,
-replace it: each task sums its expected uses, and one number an arc and component reaches the driver.
+replace it: each task sums its expected uses of pieces, and one number a piece and component reaches the driver. The
+uses of the words' own arcs stay in a written table, (component, word, c, uses), which each round replaces.
 
 The base is a word unigram with add-one counts. Words that are frequent in training (FREQUENT of them at most) are
-looked up in a broadcast table; the counts of all others come from a shuffled join, so no word is cut off.
+looked up in a broadcast table; the counts and own arcs of all others come from a shuffled join, so no word is cut off
+and FREQUENT changes no result.
 
 Defined cases: null, empty and blank texts have the end token only; rows without doc_id count as training rows, rows
 without lang belong to the rest; repeated rows count as often as they occur; without training rows every count is 0
@@ -39,7 +41,7 @@ ROUNDS = 3
 PRIOR = 0.01
 #: Taken from the uses of each word's own arc and given to its pieces, as other words have to be expected.
 DISCOUNT = 0.75
-#: Words whose counts are broadcast; the rest is joined.
+#: Words whose counts and own arcs are broadcast; the rest is joined.
 FREQUENT = 100_000
 #: Languages with a component of their own.
 LANGUAGES = 7
@@ -65,14 +67,20 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = GATHER_ROWS, most: i
 
 
 class Scores(NamedTuple):
-    """Natural logs, by component: of each piece, of the words with an arc of their own, of the end of a document, and
-    of the component itself."""
+    """Natural logs, by component: of each piece, of the words with an arc of their own, of the end of a document, of
+    the component itself, and of all uses together. Without words, whole has the own arcs of a table's words in one sum."""
 
     pieces: np.ndarray
     words: dict[str, int]
     whole: np.ndarray
     ends: np.ndarray
     shares: np.ndarray
+    total: np.ndarray
+
+    def own(self, uses: np.ndarray) -> np.ndarray:
+        """Log weights of own arcs by their uses, (components, words)."""
+        with np.errstate(divide="ignore"):
+            return np.log(uses) - self.total[:, None]
 
 
 def normalised(pieces: np.ndarray, words: dict[str, int], whole: np.ndarray, documents: np.ndarray) -> Scores:
@@ -80,12 +88,12 @@ def normalised(pieces: np.ndarray, words: dict[str, int], whole: np.ndarray, doc
     ends = documents + PRIOR
     total = pieces.sum(1) + whole.sum(1) + ends
     with np.errstate(divide="ignore"):
-        return Scores(np.log(pieces / total[:, None]), words, np.log(whole / total[:, None]), np.log(ends / total), np.log(ends / ends.sum()))
+        return Scores(np.log(pieces / total[:, None]), words, np.log(whole / total[:, None]), np.log(ends / total), np.log(ends / ends.sum()), np.log(total))
 
 
 def first_scores(v: Vocabulary, words: dict[str, int], whole: np.ndarray, documents: np.ndarray) -> Scores:
     """The piece at rank r weighs 1 / (r + 10), bytes as the last ranks; pieces get half of a component's mass and
-    its frequent words, by their counts, the other half."""
+    its own arcs, by their words' counts, the other half."""
     n = len(v.pieces)
     order = sorted(range(n), key=lambda i: (not v.normal[i], -v.scores[i], i))
     w = np.zeros(n)
@@ -161,20 +169,28 @@ class Lattice:
         weights[:, slot >= 0] = self.scores.whole[components][:, slot[slot >= 0]]
         return slot, weights
 
-    def log_probs(self, batch: list[str]) -> np.ndarray:
-        """Log probability of each word (with its space mark) in each component: (words, components)."""
+    def log_probs(self, batch: list[str], own: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of each word (with its space mark) in each component: (words, components).
+
+        own: log weights of the words' own arcs, (components, words); by default those of the scores."""
         out, every = np.zeros((len(batch), len(self.padded))), slice(None)
+        own = self._whole(batch, every)[1] if own is None else own
         for index in self._parts(batch):
             part = [batch[i] for i in index]
             found = self.table.substrings(code_points(part, len(part[0])))
             alpha = forward(self._arcs(found, part, every), len(part[0]))[:, :, -1]
-            out[index] = np.logaddexp(alpha, self._whole(part, every)[1]).T
+            out[index] = np.logaddexp(alpha, own[:, index]).T
         return out
 
     def expected(self, batch: list[str], counts: np.ndarray, component: int) -> np.ndarray:
         """Expected uses of every piece, then of every own arc, over words of a component that occur so often."""
-        n, only = len(self.v.pieces), slice(component, component + 1)
-        total = np.zeros(n + len(self.scores.words))
+        slot, own = self._whole(batch, slice(component, component + 1))
+        pieces, whole = self.uses(batch, counts, component, own[0])
+        return np.concatenate([pieces, np.bincount(slot[slot >= 0], whole[slot >= 0], len(self.scores.words))])
+
+    def uses(self, batch: list[str], counts: np.ndarray, component: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected uses of every piece, and of each word's own arc, whose log weights are given."""
+        only, total, wholes = slice(component, component + 1), np.zeros(len(self.v.pieces)), np.zeros(len(batch))
         for index in self._parts(batch):
             part = [batch[i] for i in index]
             size = len(part[0])
@@ -183,10 +199,9 @@ class Lattice:
             alpha = forward(arcs, size)[0]
             # The backward pass is the forward pass over the mirrored arcs.
             beta = forward(arcs.mirrored(size), size)[0][:, ::-1]
-            slot, own = self._whole(part, only)
-            whole = np.maximum(np.exp(own[0] - np.logaddexp(alpha[:, -1], own[0])) * counts[index] - DISCOUNT, 0)
+            whole = np.maximum(np.exp(own[index] - np.logaddexp(alpha[:, -1], own[index])) * counts[index] - DISCOUNT, 0)
             left = counts[index] - whole
-            total += np.bincount(n + slot[slot >= 0], whole[slot >= 0], len(total))
+            wholes[index] = whole
             for m, ids in enumerate(found, 1):
                 r, i = np.nonzero(ids >= 0)
                 weight = self.scores.pieces[component, ids[r, i]]
@@ -195,7 +210,7 @@ class Lattice:
                 use = np.exp(alpha[r, i] + arcs.dense[0][0, r, i] + beta[r, i + 1] - alpha[r, -1]) * left[r]
                 for b in self._bytes(part[r][i]):
                     total[b] += use
-        return total
+        return total, wholes
 
 
 # -- training --------------------------------------------------------------------------------------------------------
@@ -210,33 +225,51 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("component", F.explode(words(ascii_lower(F.col("text")))).alias("word")).groupBy("component", "word").agg(F.count("*").alias("c"))
 
 
-def learn_scores(counts: DataFrame, own: dict[str, int], whole: np.ndarray, documents: np.ndarray, v: Vocabulary, rounds: int = ROUNDS) -> Scores:
-    """Scores by expectation maximisation over the rows of word_counts.
+_STEP = "component int, word string, c long, uses double, arc int"
+
 
-    own: words with an arc of their own, whole: their counts by component, documents: of each component."""
-    scores = first_scores(v, own, whole, documents)
+def learn_scores(counts: DataFrame, documents: np.ndarray, v: Vocabulary, scratch: Scratch, rounds: int = ROUNDS) -> tuple[Scores, DataFrame]:
+    """Scores by expectation maximisation over the rows of word_counts, a table kept in scratch that goes; and these
+    rows with the uses of their own arcs.
+
+    documents: of each component."""
     context, n = counts.sparkSession.sparkContext, len(v.pieces)
+    whole = np.zeros((len(documents), 1))
+    for r in counts.groupBy("component").agg(F.sum("c").alias("c")).collect():
+        whole[r.component] = r.c
+    scores = first_scores(v, {}, whole, documents)
+    kept, learned = counts, counts.select("component", "word", "c", F.col("c").cast("double").alias("uses"))
     for _ in range(rounds):
         shared = context.broadcast((v, scores))
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            """The words with their new uses, and then the task's sums: of each piece, and at n of all own arcs."""
             lattice = Lattice(*shared.value)
-            total = np.zeros((len(lattice.padded), n + len(lattice.scores.words)))
+            total = np.zeros((len(lattice.padded), n + 1))
+            names = ["component", "word", "c", "uses", "arc"]
             for batch in gathered(batches):
-                component, c = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(float)
-                text = [SPACE + w for w in batch.column(1).to_pylist()]
+                component, c, before = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(float), batch.column(3).to_numpy()
+                text, after = [SPACE + w for w in batch.column(1).to_pylist()], np.zeros(len(c))
                 for k in np.unique(component):
                     at = np.flatnonzero(component == k)
-                    total[k] += lattice.expected([text[i] for i in at], c[at], k)
+                    own = lattice.scores.own(before[None, at])[k]
+                    pieces, after[at] = lattice.uses([text[i] for i in at], c[at], k, own)
+                    total[k, :n] += pieces
+                    total[k, n] += after[at].sum()
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(after), pa.nulls(len(c), pa.int32())], names)
             k, arc = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(arc, pa.int32()), pa.array(total[k, arc])], ["component", "arc", "uses"])
+            none = [pa.nulls(len(k), t) for t in (pa.string(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *none, pa.array(total[k, arc]), pa.array(arc, pa.int32())], names)
 
-        uses = counts.select("component", "word", "c").mapInArrow(expect, "component int, arc int, uses double").groupBy("component", "arc").agg(F.sum("uses").alias("uses")).toArrow()
-        total = np.zeros((len(documents), n + len(own)))
-        total[uses.column("component").to_numpy(), uses.column("arc").to_numpy()] = uses.column("uses").to_numpy()
-        scores = normalised(total[:, :n] + PRIOR, own, total[:, n:], documents)
+        step = scratch.keep(learned.mapInArrow(expect, _STEP), "uses")
         shared.destroy()
-    return scores
+        scratch.drop(kept)
+        kept, learned = step, step.where("word is not null").drop("arc")
+        sums = step.where("arc is not null").groupBy("component", "arc").agg(F.sum("uses").alias("uses")).toArrow()
+        total = np.zeros((len(documents), n + 1))
+        total[sums.column("component").to_numpy(), sums.column("arc").to_numpy()] = sums.column("uses").to_numpy()
+        scores = normalised(total[:, :n] + PRIOR, {}, total[:, n:], documents)
+    return scores, learned
 
 
 # -- scoring ---------------------------------------------------------------------------------------------------------
@@ -246,21 +279,25 @@ _RARE = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
 _tables: dict[int, tuple] = {}
 
 
+def _by_component(lists: pa.ListArray, components: int) -> np.ndarray:
+    """(components, rows) of lists with one number for each component."""
+    return lists.flatten().to_numpy().reshape(-1, components).T if len(lists) else np.zeros((components, 0))
+
+
 def _frequent_table(shared) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
     """Slot, base score and log probabilities of the frequent words, worked out once per worker process and model."""
-    v, scores, frequent = shared.value[:3]
-    key = hash((scores.pieces.tobytes(), scores.whole.tobytes()))
+    v, scores, names, base, uses = shared.value[:5]
+    key = hash((scores.pieces.tobytes(), uses.tobytes(), tuple(names)))
     if key not in _tables:
         _tables.clear()
-        names = list(frequent)
-        logs = Lattice(v, scores).log_probs([SPACE + w.decode() for w in names])
-        _tables[key] = {w: i for i, w in enumerate(names)}, np.array([*frequent.values(), 0.0]), np.concatenate([logs, np.zeros((1, logs.shape[1]))])
+        logs = Lattice(v, scores).log_probs([SPACE + w for w in names], scores.own(uses))
+        _tables[key] = {w.encode(): i for i, w in enumerate(names)}, np.append(base, 0.0), np.concatenate([logs, np.zeros((1, logs.shape[1]))])
     return _tables[key]
 
 
 def _score_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Sums over the end and the frequent words of each text, and its other words with their counts."""
-    denominator, ends = shared.value[3:]
+    denominator, ends = shared.value[5:]
     slots, base_of, logs_of = _frequent_table(shared)
     base_of_end = math.log10((ends + 1) / denominator)
     row = TaskContext.get().partitionId() << 33
@@ -291,11 +328,11 @@ def _score_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Record
 
 
 def _rare_logs(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Adds logs, the log probabilities of each word by component, to (word, c)."""
+    """Logs, the log probabilities of each word by component, in place of uses in (word, c, uses)."""
     lattice = Lattice(*shared.value[:2])
     for batch in gathered(batches):
-        logs = lattice.log_probs([SPACE + w for w in batch.column(0).to_pylist()])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(logs), pa.list_(pa.float64()))], ["word", "c", "logs"])
+        logs = lattice.log_probs([SPACE + w for w in batch.column(0).to_pylist()], lattice.scores.own(_by_component(batch.column(2), len(lattice.padded))))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(logs), pa.list_(pa.float64()))], ["word", "c", "logs"])
 
 
 def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, languages: int = LANGUAGES, rounds: int = ROUNDS, scratch: Scratch | None = None) -> DataFrame:
@@ -312,22 +349,18 @@ def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, lan
     for i, r in enumerate(by_lang, len(documents) - len(by_lang)):
         component = F.when(F.col("lang") == r.lang, F.lit(i)).otherwise(component)
     by_component = scratch.keep(word_counts(training.withColumn("component", component)), "by_component")
-    counts = scratch.keep(by_component.groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    scores, learned = learn_scores(by_component, documents, v, scratch, rounds)
+    uses = F.array(*(F.sum(F.when(F.col("component") == k, F.col("uses")).otherwise(0.0)) for k in range(len(documents))))
+    counts = scratch.keep(learned.groupBy("word").agg(F.sum("c").alias("c"), uses.alias("uses")), "counts")
     n, v_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, distinct = n + ends, v_words + (ends > 0)
     denominator = n + distinct + 1
-    top = F.broadcast(counts.orderBy(F.desc("c"), "word").limit(frequent).withColumnRenamed("c", "all"))
-    rows = by_component.join(top, "word").collect()  # frequent * (languages + 1) rows at most
-    known = {r.word.encode(): math.log10((r["all"] + 1) / denominator) for r in rows}
-    own = {w: i for i, w in enumerate(sorted({r.word for r in rows}))}
-    whole = np.zeros((len(documents), len(own)))
-    for r in rows:
-        whole[r.component, own[r.word]] = r.c
-    scores = learn_scores(by_component, own, whole, documents, v, rounds)
-    shared = spark.sparkContext.broadcast((v, scores, known, denominator, ends))
+    top = counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
+    base = np.log10((top.column("c").to_numpy() + 1) / denominator)
+    shared = spark.sparkContext.broadcast((v, scores, top.column("word").to_pylist(), base, _by_component(top.column("uses").combine_chunks(), len(documents)), denominator, ends))
     rows = scratch.keep(docs.mapInArrow(lambda b: _score_rows(b, shared), _DOC), "rows")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    distinct_rare = rare.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"))
+    distinct_rare = rare.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("uses", F.array(*[F.lit(0.0)] * len(documents))).alias("uses"))
     priced = scratch.keep(distinct_rare.mapInArrow(lambda b: _rare_logs(b, shared), "word string, c long, logs array<double>"), "priced")
     found, components = rare.join(priced, "word"), range(len(documents))
     n_base = F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))

@@ -94,3 +94,10 @@ def test_no_training_rows_and_empty_table(spark):
     row = lattice.lattice_scores(frame(spark, [(held, "some text", "en", "s", 1)]), v).collect()
     assert row[0].n_known == 0 and row[0].train_tokens == 0 and math.isfinite(row[0].score)
     assert lattice.lattice_scores(frame(spark, []), v).count() == 0
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark):
+    """Every training word has its own arc, whether it is looked up or joined."""
+    docs, v = frame(spark, odd_documents()), pieces.read_vocabulary()
+    got = [sorted(((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lattice.lattice_scores(docs, v, frequent=n).collect()), key=str) for n in (1000, 3, 0)]
+    assert got[0] == got[1] == got[2]
