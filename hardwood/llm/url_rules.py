@@ -2,7 +2,8 @@
 
 FP-growth over the token sets of labelled URLs finds combinations that go with a bad label. Rules above a support and
 a confidence match new URLs by an inverted index: each rule stands under its rarest token, a URL looks up its own
-tokens, and the few rules found are then checked in full.
+tokens, and the few rules found are then checked in full. Labels and parent domains of a host follow from it, so they
+are mined in its place, in baskets of their own: no combination is left out but those that say the same twice.
 
 Defined cases: a null url, or one without "://", has an empty host and path, no tokens and is allowed; repeated rows
 are judged one by one; without labels there are no mined rules; an empty table gives no rows.
@@ -18,8 +19,9 @@ from hardwood.llm.common import ascii_lower, broadcast_if_small, table
 
 #: (host, path, verdict), as the contract states them.
 LISTED = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: A rule needs this share of the labelled URLs, this many of them at least, and this confidence.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 25, 0.6
+#: A rule needs this many labelled URLs and this confidence; a share of the labelled URLs is not asked for, so that
+#: evidence enough for one table is enough for a larger one.
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.0, 25, 0.6
 BAD = "label=bad"
 #: Tokens of rules that may be broadcast; more are joined by a shuffle.
 BROADCAST_TOKENS = 100_000
@@ -60,10 +62,20 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(listed, segments, keys)))
 
 
+def label_tokens(tokens: Column, host: Column) -> Column:
+    """The tokens with, in place of the host, each of its labels but the last, and itself and each parent domain."""
+    labels = F.split(host, r"\.")
+    each = F.transform(F.filter(F.slice(labels, 1, F.size(labels) - 1), lambda x: x != ""), lambda x: F.concat(F.lit("label="), x))
+    starts = F.when(F.size(labels) > 1, F.sequence(F.lit(1), F.size(labels) - 1)).otherwise(F.array().cast("array<int>"))
+    domains = F.transform(starts, lambda i: F.concat(F.lit("domain="), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    return F.array_distinct(F.concat(F.filter(tokens, lambda t: ~t.startswith("host=")), each, domains))
+
+
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """From (tokens, bad boolean): rule_id, items, confidence, support, index_token of the rules for the bad label."""
     baskets = labelled.where(F.size("tokens") > 0).select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    support = min(1.0, max(min_support, min_count / max(1, baskets.count())))
+    # Half a URL less than the count, as the product with the number of baskets is rounded up.
+    support = min(1.0, max(min_support, (min_count - 0.5) / max(1, baskets.count())))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
@@ -72,6 +84,12 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count:
     return rules.join(rarest.select("rule_id", F.col("m.token").alias("index_token")), "rule_id")
 
 
+def mine_all_rules(labelled: DataFrame) -> DataFrame:
+    """The rules of mine_rules over tokens and over label_tokens, each once."""
+    by_label = labelled.select(F.col("label_tokens").alias("tokens"), "bad")
+    return mine_rules(labelled.select("tokens", "bad")).unionByName(mine_rules(by_label)).dropDuplicates(["rule_id"])
+
+
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, mined (items of the mined rule that blocks, most confident first), confidence.
 
@@ -79,7 +97,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     p = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, listed = listed_rule(F.col("host"), F.col("path"))
-    p = p.withColumns({"rule": rule, "_listed": listed, "_tokens": tokens(F.col("url"), F.col("host"), F.col("path")), "_row": F.monotonically_increasing_id()})
+    own = tokens(F.col("url"), F.col("host"), F.col("path"))
+    p = p.withColumns({"rule": rule, "_listed": listed, "_tokens": F.array_union(own, label_tokens(own, F.col("host"))), "_row": F.monotonically_increasing_id()})
     index = broadcast_if_small(rules.select("index_token", "items", "confidence"), BROADCAST_TOKENS)
     found = p.withColumn("_token", F.explode_outer("_tokens")).join(index, F.col("_token") == F.col("index_token"), "left")
     fits = F.size(F.array_except("items", "_tokens")) == 0
@@ -90,18 +109,19 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(tokens, bad) of the pages whose path names a labelled document: the first number in the path is its doc_id."""
+    """(tokens, label_tokens, bad) of the pages whose path names a labelled document: the first number in the path is its doc_id."""
     host, path = host_and_path(F.col("url"))
     number = F.expr("try_cast(nullif(regexp_extract(path, '([0-9]+)', 1), '') as long)")
     p = pages.select("url", host.alias("host"), path.alias("path")).withColumn("doc_id", number)
     bad = labels.groupBy("doc_id").agg(F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("bad"))
-    return p.join(bad, "doc_id").select(tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "bad")
+    own = tokens(F.col("url"), F.col("host"), F.col("path"))
+    return p.join(bad, "doc_id").select(own.alias("tokens"), label_tokens(own, F.col("host")).alias("label_tokens"), "bad")
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict: by the listed rules, else by the mined ones."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    rules = mine_rules(labelled_urls(pages, table(spark, sf_dir, "labels")))
+    rules = mine_all_rules(labelled_urls(pages, table(spark, sf_dir, "labels")))
     return judge(pages, rules)
 
 

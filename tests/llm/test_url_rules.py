@@ -77,3 +77,18 @@ def tokens_of(url):
 def test_empty_tables(spark, tmp_path):
     d = tables(spark, tmp_path, pages=frame(spark, [], PAGES), labels=frame(spark, [], LABELS))
     assert url_rules.op5_url_rules(spark, d).count() == 0
+
+
+def test_rules_by_host_label_and_by_count_alone(spark, tmp_path):
+    """26 bad pages of 14,000 that share a host label or a parent domain and nothing else are blocked, unlabelled ones too."""
+    n, rows = 14_000, []
+    for i in range(n):
+        bad = "casino" if i < 26 else "parent" if i < 52 else None
+        host = {"casino": f"w{i}.casino.d{i}.info", "parent": f"w{i}.shop.host.net", None: f"g{i}.host.net"}[bad]
+        rows.append((i, f"http://{host}/{i}", None))
+    new = ["http://x.casino.y.com/1000000", "http://shop.host.net/1000000", "http://a.b.shop.host.net/", "http://casino/", "http://x.host.net/1000000", "http://casino.y.com/"]
+    pages = frame(spark, [*rows, *((n + i, u, None) for i, u in enumerate(new))], PAGES)
+    d = tables(spark, tmp_path, pages=pages, labels=frame(spark, [(i, int(i >= 52), 0) for i in range(n)], LABELS))
+    got = {r.page_id: r.verdict for r in url_rules.op5_url_rules(spark, d).collect()}
+    assert len(got) == n + len(new) and all((got[i] == "block") == (i < 52) for i in range(n))
+    assert [got[n + i] for i in range(len(new))] == ["block", "block", "block", "allow", "allow", "block"]
