@@ -325,11 +325,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, miss: float
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
+def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """docs with _key, one number for each doc_id and text that occur together, and the table (_key, _id) of them."""
+    for seed in range(8):
+        hashed = lambda salt: F.xxhash64(F.lit(salt), F.col("doc_id"), F.col("text"), F.col("text").isNull())
+        keyed = docs.withColumn("_key", hashed(2 * seed))
+        other = hashed(2 * seed + 1)
+        ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("_id"), F.min(other).alias("_low"), F.max(other).alias("_high"))
+        ids = scratch.keep(ids, "ids")
+        if ids.where("_low <> _high").isEmpty():
+            return keyed, ids.select("_key", "_id")
+    raise RuntimeError("no seed tells all rows apart")
+
+
 def deduplicated(docs: DataFrame, percent: int = 85, k: int = 3, miss: float = 1e-6) -> DataFrame:
-    """docs with one document of each group; of rows that share a doc_id one stays."""
-    decided = near_duplicates(docs, percent, k, miss)
-    keep = Scratch(docs.sparkSession, "kept").keep(decided.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """docs with one document of each group, the one with the smallest doc_id; repeated rows stay once.
+
+    Rows that share a doc_id and differ in text are documents of their own here."""
+    scratch = Scratch(docs.sparkSession, "kept")
+    keyed, ids = _keyed(docs.where("doc_id is not null"), scratch)
+    decided = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), percent, k, miss)
+    groups = decided.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(ids, "_key").groupBy("component_id")
+    keep = scratch.keep(groups.agg(F.min(F.struct("_id", "_key")).alias("m")).select("m._key"), "kept")
+    named = keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

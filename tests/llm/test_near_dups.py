@@ -97,3 +97,10 @@ def test_components_of_a_chain(spark):
     links = frame(spark, [(i + 1, i) for i in range(40)] + [(101, 100)], "a long, b long")
     found = {r.node: r.component for r in near_dups.components(links, Scratch(spark, "t")).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_deduplicated_keeps_other_texts_of_a_shared_id(spark):
+    texts = {"a": "one two three four five six", "b": "seven eight nine ten eleven twelve", "c": "red green blue black white grey"}
+    rows = [(1, texts["a"]), (1, texts["b"]), (1, texts["b"]), (2, texts["a"]), (2, texts["c"]), (3, texts["b"].upper()), (4, ""), (4, None), (4, None)]
+    out = near_dups.deduplicated(frame(spark, rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(1, texts["a"]), (1, texts["b"]), (2, texts["c"]), (4, ""), (4, None)], key=str)
