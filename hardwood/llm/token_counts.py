@@ -5,8 +5,9 @@ every context limit: how many documents are longer, how many tokens they hold, w
 limit, and which length is a given quantile. The suffix sums are formed in two levels (blocks of lengths, then within
 each block), so no task gets all lengths.
 
-Defined cases: null and empty texts have length 0; the texts of special tokens are ordinary text; repeated rows count
-as often as they occur; an empty table has an empty histogram, and its totals are null or 0.
+Defined cases: null and empty texts have length 0; the texts of special tokens are ordinary text; texts are encoded
+whole, however long; repeated rows count as often as they occur; documents of equal length share a row; no column but
+the text is read; an empty table has an empty histogram, and its totals are null or 0.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits texts before byte pairs are merged; a fixed value of this public vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths of one block of the suffix sums.
-BLOCK = 1024
+BLOCK = 256
 
 
 def load_ranks(path: str) -> bytes:
@@ -62,15 +63,16 @@ def token_lengths(docs: DataFrame, ranks: str = RANKS, text: str = "text") -> Da
     return docs.select(text).mapInArrow(lengths, "n_tokens long")
 
 
-def histogram(lengths: DataFrame) -> DataFrame:
-    """From n_tokens: one row per length, with n_docs and the suffix sums.
+def histogram(lengths: DataFrame, scratch: Scratch) -> DataFrame:
+    """From n_tokens: one row per length, with n_docs and the suffix sums. The counts, which several parts of the plan
+    read, are written first, so that every text is encoded once.
 
     docs_longer, tokens_longer: of documents longer than this; truncated_tokens: the sum of min(length, this);
     docs_upto: documents of at most this length."""
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    counts = scratch.keep(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "counts")
     h = counts.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK).cast("long")).withColumn("_tokens", F.col("n_docs") * F.col("n_tokens"))
     blocks = h.groupBy("_block").agg(F.sum("n_docs").alias("_bd"), F.sum("_tokens").alias("_bt"))
-    # One row per 1024 lengths: the only rows that meet in one task.
+    # One row per block of lengths: the only rows that meet in one task.
     after = Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("_block", *(F.coalesce(F.sum(c).over(after), F.lit(0)).alias(n) for c, n in (("_bd", "_d_after"), ("_bt", "_t_after"))), F.sum("_bd").over(Window.partitionBy(F.lit(0))).alias("_docs"))
     inside = Window.partitionBy("_block").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -108,7 +110,8 @@ def truncated(h: DataFrame, limits: list[int]) -> DataFrame:
 def op1_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram of the encoded lengths of all documents, with the sums that answer every context limit."""
     lengths = token_lengths(table(spark, sf_dir, "documents"))
-    counted = Scratch(spark, "lengths").keep(histogram(lengths), "histogram")
+    scratch = Scratch(spark, "lengths")
+    counted = scratch.keep(histogram(lengths, scratch), "histogram")
     return with_truncation(counted, totals(counted).first().tokens or 0)
 
 
