@@ -1,6 +1,11 @@
+import math
 import random
+import re
 import zlib
 
+import numpy as np
+import pytest
+
 from hardwood.llm import toxicity
 from tests.llm.helpers import frame, odd_documents, tables
 
@@ -66,3 +71,65 @@ def test_clean_keeps_columns(spark):
     assert out.columns == docs.columns
     kept = {r.doc_id for r in out.collect()}
     assert len(kept & {i for i, _, t in labels if not t}) >= 220 and len(kept & {i for i, _, t in labels if t}) <= 5
+
+
+def plain_sentences(text):
+    """Words of each sentence, with their prefixes, as bytes."""
+    found = []
+    for part in re.split(rb"[\n!.?]", text.encode()):
+        words = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", part)]
+        if words:
+            found.append([p for w in words for p in [w, *(w[:k] + b"*" for k in toxicity.PREFIXES if len(w) > k)]])
+    return found
+
+
+def test_scores_like_a_plain_noisy_or(spark):
+    """Every score is recomputed sentence by sentence, from the weight that the model has for each word and prefix."""
+    rows, labels = corpus(300)
+    rows += [(9000 + i, *r[1:]) for i, r in enumerate(odd_documents())]
+    docs = frame(spark, rows)
+    model = toxicity.train(docs, frame(spark, labels, LABELS))
+    weight = {}
+
+    def learn(w):  # the feature of a word, read from a text of this word alone
+        data = np.frombuffer(w, np.uint8)
+        f = toxicity.sentences(data, np.array([0, len(data)])).feature
+        return f[0], dict(zip(toxicity.PREFIXES, f[1:], strict=True))
+
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    for i, text, *_ in rows[-20:] + rows[:40]:
+        none = 0.0
+        for features in plain_sentences(text or ""):
+            z = model.bias
+            for f in features:
+                if f not in weight:
+                    if f.endswith(b"*"):
+                        weight[f] = model.weights[learn(f[:-1] + b"z")[1][len(f) - 1]]
+                    else:
+                        weight[f] = model.weights[learn(f)[0]]
+                z += float(weight[f])
+            none += math.log1p(math.exp(z))
+        assert got[i] == pytest.approx(1 - math.exp(-none), abs=1e-6)
+
+
+def test_gradient_of_the_noisy_or():
+    rng = np.random.default_rng(3)
+    z, doc = rng.normal(size=12), np.array([0, 0, 0, 1, 1, 2, 2, 2, 2, 3, 3, 3])
+    toxic, weight = np.array([True, False, True, False]), rng.random(4)
+    g, loss = toxicity.gradient(z, doc, toxic, weight)
+    p = [1 - np.prod([1 - 1 / (1 + math.exp(-x)) for x in z[doc == d]]) for d in range(4)]
+    assert loss == pytest.approx(-sum(w * math.log(x if t else 1 - x) for w, x, t in zip(weight, p, toxic, strict=True)))
+    for i in range(12):
+        up = z.copy()
+        up[i] += 1e-6
+        assert g[i] == pytest.approx((toxicity.gradient(up, doc, toxic, weight)[1] - loss) / 1e-6, abs=1e-4)
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    """Long labelled texts, and many rows of one labelled id, don't reach the driver."""
+    rows, labels = corpus(120)
+    rows += [(1001, "long text " * 20000, "en", "s", 1)] + [(1002, f"copy {i} of a text", "en", "s", 1) for i in range(200)]
+    labels += [(1001, 1, 1), (1002, 1, 0)]
+    model = toxicity.train(frame(spark, rows), frame(spark, labels, LABELS), sample_bytes=(20_000, 20_000))
+    shorter = toxicity.train(frame(spark, [r for r in rows if r[0] < 1001] + [(1002, "copy 0 of a text", "en", "s", 1)]), frame(spark, labels, LABELS), sample_bytes=(20_000, 20_000))
+    assert model.bias == shorter.bias and (model.weights == shorter.weights).all() and model.weights.any()
