@@ -1,12 +1,14 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key. Within its source the keys form one random order, cut into key ranges; sums
-per range, a running sum over the ranges and a running sum inside each range give each document the number of words
-before it. A source's budget is then some whole epochs and a rest, and the cut falls where the rest is used up.
-
-Defined cases: null or blank texts have size 0 and are never taken; a null source is a source of its own; repeated
-rows are separate documents with the same key; an empty table gives no rows; columns of the input are kept, and those
-named like an added column are replaced.
+Every document gets a hash-random key. Within its source the keys form one random order, cut into key ranges, whose
+number follows from the number of documents; sums per range, running sums over the ranges and a running sum inside each
+range give each document the number of words before it. A source's budget is then some whole epochs and a rest, and the
+cut falls where the rest is used up.
+
+Defined cases: null or blank texts have size 0 and are never taken; a null source is a source of its own; documents
+that share an id, or have none, get keys of their own by their texts; rows that repeat both are separate documents with
+one key, in any order, as they can't be told apart; texts are read whole; an empty table gives no rows; columns of the
+input are kept, and those named like an added column are replaced.
 """
 
 from __future__ import annotations
@@ -14,22 +16,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hardwood.llm.common import Scratch, table, word_count
+from hardwood.llm.common import Scratch, broadcast_if_small, table, word_count
 
-#: Hex digits of the key that name its range: 4096 ranges a source.
-RANGE_DIGITS = 3
+#: Hex digits of the key that name its range, at least: 4096 ranges a source; and documents of a range about.
+RANGE_DIGITS, RANGE_ROWS = 3, 50_000
+#: Sources whose cuts may be broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def with_sizes(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: str = "mix-1") -> DataFrame:
-    """Adds size (words), _src (source, told apart from null), _key (hash-random, 32 hex digits) and _range."""
+    """Adds size (words), _src (source, told apart from null) and _key (hash-random by id and text, 32 hex digits)."""
+    parts = [F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null"))]
     return (
         docs.withColumn("size", word_count(F.col(text)))
         .withColumn("_src", F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source))))
-        .withColumn("_key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary")))
-        .withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
+        .withColumn("_key", F.md5(F.concat_ws(":", *parts).cast("binary")))
     )
 
 
+def range_digits(rows: int) -> int:
+    """Digits so that a range has about RANGE_ROWS documents even where one source has them all."""
+    digits = RANGE_DIGITS
+    while 16**digits * RANGE_ROWS < rows:
+        digits += 1
+    return digits
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """From (_src, source_size), one row a source: weight, cap, target.
 
@@ -55,21 +67,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
     return s.select("_src", "source_size", "weight", F.least("cap", F.coalesce("_found", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, doc_id: str = "doc_id", sums_from: DataFrame | None = None) -> DataFrame:
-    """Adds source_size, target, taken and copies to the rows of with_sizes.
+def range_offsets(sized: DataFrame, digits: int) -> DataFrame:
+    """(_src, _range, _offset, _all): words before each range and of its source.
+
+    Ranges are summed in two steps, by leading digits and then within, so that no task gets more than 16**RANGE_DIGITS
+    sums of a source, or the sums below one of them."""
+    lead = F.substring("_range", 1, RANGE_DIGITS)
+    ranges = sized.groupBy("_src", "_range").agg(F.sum("size").alias("_words")).withColumn("_lead", lead)
+    tops = ranges.groupBy("_src", "_lead").agg(F.sum("_words").alias("_words"))
+    before = Window.partitionBy("_src").orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("_offset", F.coalesce(F.sum("_words").over(before), F.lit(0))).withColumn("_all", F.sum("_words").over(Window.partitionBy("_src")))
+    if digits == RANGE_DIGITS:
+        return tops.select("_src", F.col("_lead").alias("_range"), "_offset", "_all")
+    inside = Window.partitionBy("_src", "_lead").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_inside", F.coalesce(F.sum("_words").over(inside), F.lit(0))).join(tops.drop("_words"), ["_src", "_lead"])
+    return ranges.select("_src", "_range", (F.col("_offset") + F.col("_inside")).alias("_offset"), "_all")
+
+
+def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, digits: int | None = None) -> DataFrame:
+    """Adds source_size, target, taken and copies to rows of with_sizes, of which a written table is best given.
 
     taken: words that the mix takes of the document, repeats counted; each source's taken words sum to its target,
     rounded down, so that the document at the cut is taken in part. copies: how often it is taken, the part counted as
-    one. sums_from: the same rows with no other columns than _src, _range and size, if they are at hand more cheaply.
+    one.
     """
-    ranges = (sized if sums_from is None else sums_from).groupBy("_src", "_range").agg(F.sum("size").alias("_words"))
-    inside = Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_offset", F.coalesce(F.sum("_words").over(inside), F.lit(0))).withColumn("_all", F.sum("_words").over(Window.partitionBy("_src")))
+    digits = digits or range_digits(sized.count())
+    sized = sized.drop("source_size", "target", "taken", "copies").withColumn("_range", F.substring("_key", 1, digits))
+    ranges = range_offsets(sized, digits)
     per_source = ranges.groupBy("_src").agg(F.max("_all").alias("source_size"))
     offsets = ranges.select("_src", "_range", "_offset").join(source_targets(per_source, weights, max_epochs), "_src")
-    run = Window.partitionBy("_src", "_range").orderBy("_key", doc_id, "size").rowsBetween(Window.unboundedPreceding, 0)
-    added = ["source_size", "target", "taken", "copies"]
-    out = sized.drop(*added).withColumn("_upto", F.sum("size").over(run)).join(offsets, ["_src", "_range"])
+    run = Window.partitionBy("_src", "_range").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    out = sized.withColumn("_upto", F.sum("size").over(run)).join(offsets, ["_src", "_range"])
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(F.lit(0).cast("long"))
     out = out.withColumn("_epochs", epochs)
@@ -82,24 +110,40 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken; the document at a source's cut stays whole."""
-    light = docs.select("doc_id", "source", "text")
+    """The mix itself: the rows of docs, each as often as it is taken; the document at a source's cut stays whole.
+
+    Only keys and sizes are sorted and summed. They give one cut a source, and the whole rows are held against it where
+    they are; rows that repeat the one at the cut are numbered, if not all of them are taken."""
+    scratch = Scratch(docs.sparkSession, "mixed")
+    light = scratch.keep(with_sizes(docs.select("doc_id", "source", "text")).select("size", "_src", "_key"), "sizes")
+    decided = mix(light, **options).where("size > 0")
+    last = F.max(F.when(F.col("_part") > 0, F.col("_key")))
+    cuts = scratch.keep(decided.groupBy("_src").agg(F.max("_epochs").alias("_epochs"), F.coalesce(last, F.lit("")).alias("_cut")), "cuts")
+    at = decided.join(broadcast_if_small(cuts.select("_src", "_cut"), BROADCAST_SOURCES), ["_src"]).where("_key = _cut")
+    at = scratch.keep(at.groupBy("_src").agg(F.count("*").alias("_there"), F.count_if(F.col("_part") > 0).alias("_more")), "at")
+    cuts = cuts.join(at, "_src", "left")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", F.col("text").alias("_text"))
-    out = mix(with_sizes(rows, text="_text").drop("_text"), sums_from=with_sizes(light), **options)
-    return out.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    rows = with_sizes(rows, text="_text").where("size > 0").join(broadcast_if_small(cuts, BROADCAST_SOURCES), "_src")
+    some = (F.col("_key") == F.col("_cut")) & (F.col("_more") < F.col("_there"))
+    copies = F.col("_epochs") + (F.col("_key") <= F.col("_cut")).cast("long")
+    whole = rows.where(~F.coalesce(some, F.lit(False))).select("_row", copies.alias("copies"))
+    if not at.where("_more < _there").isEmpty():
+        n = F.row_number().over(Window.partitionBy("_src").orderBy("_key"))
+        whole = whole.unionByName(rows.where(some).select("_row", (F.col("_epochs") + (n <= F.col("_more")).cast("long")).alias("copies")))
+    return whole.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words taken of it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = Scratch(spark, "mix").keep(with_sizes(docs).select("doc_id", "size", "_src", "_key", "_range"), "sizes")
+    sized = Scratch(spark, "mix").keep(with_sizes(docs).select("doc_id", "size", "_src", "_key"), "sizes")
     return mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')) AS k
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3.0::DOUBLE * sum(size) AS cap,
@@ -117,7 +161,7 @@ t AS (
   FROM l),
 r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
-         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size

@@ -56,5 +56,31 @@ def test_mixed_documents_keep_columns(spark):
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("digits", [3, 4, 5])
+def test_more_ranges_change_nothing(spark, digits):
+    sized = mixing.with_sizes(frame(spark, odd_documents()))
+    rows = lambda df: sorted(((r.doc_id, r.size, r.taken, r.copies) for r in df.collect()), key=str)
+    assert rows(mixing.mix(sized, digits=digits)) == rows(mixing.mix(sized, digits=6))
+    assert [mixing.range_digits(n) for n in (0, 10**8, 10**9, 10**11)] == [3, 3, 4, 6]
+
+
+def test_rows_without_id_spread_over_ranges(spark):
+    rows = [(None, f"text number {i}", "en", "s", 1) for i in range(300)]
+    assert mixing.with_sizes(frame(spark, rows)).select("_key").distinct().count() == 300
+
+
+def test_mixed_documents_like_copies(spark):
+    """The rows are those that the decisions on keys and sizes name, repeats of the row at the cut included."""
+    rows = odd_documents() + [(900, "again and again", "en", "s9", 1)] * 40 + [(901 + i, "other words here", "en", "s10", 1) for i in range(30)]
+    docs = frame(spark, rows)
+    want = {}
+    for r in mixing.mix(mixing.with_sizes(docs)).collect():
+        want[r.doc_id, r.text] = want.get((r.doc_id, r.text), 0) + r.copies
+    got = {}
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.doc_id, r.text] = got.get((r.doc_id, r.text), 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_empty_table(spark, tmp_path):
     assert mixing.op10_mix_sources(spark, tables(spark, tmp_path, documents=frame(spark, []))).count() == 0
