@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.hardwood.scratch", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = "file://" + tempfile.mkdtemp(prefix="hardwood-")
     spark.conf.set("spark.hardwood.scratch", base)
@@ -49,11 +51,13 @@ class Scratch:
     """Intermediate tables of one operator run, as Parquet in the shared folder.
 
     A written table cuts the lineage and outlives lost executors. Tables go when `drop` is called; what is left
-    belongs to the lazy result and can go once that has been written."""
+    belongs to the lazy result and goes with `clear`, or at the end of a `scratch_scope`, once that has been written."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/hardwood/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        for made in _scopes[-1:]:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -67,11 +71,33 @@ class Scratch:
         kept._hardwood_path = path
         return kept
 
+    def _delete(self, uri: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *kept: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in kept:
-            path = jvm.org.apache.hadoop.fs.Path(df._hardwood_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(df._hardwood_path)
+
+    def clear(self) -> None:
+        """Removes all that this run has written."""
+        self._delete(self.root)
+
+
+_scopes: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Clears the scratch tables of every operator that was called inside; write their results before it ends."""
+    made: list[Scratch] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for scratch in made:
+            scratch.clear()
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
