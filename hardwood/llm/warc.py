@@ -5,14 +5,16 @@ archive with bounded memory: it inflates one member at a time, frames the record
 both digests.
 
 Defined cases: a null payload is empty; a null url has no target header; a null page id is written as "none" and
-read back as null; repeated rows with the largest id of their payload are all responses; a damaged record is reported
-in `error`, and the rest of its archive is not read; an empty table gives no archive and no rows.
+read back as null; repeated rows with the largest id of their payload are all responses; a payload is held whole, one at
+a time; columns other than page_id, url and html are neither read nor kept; a damaged record is reported in `error`, and
+the rest of its archive is not read; an empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +28,8 @@ from hardwood.llm.common import Scratch, table
 CRLF = b"\r\n"
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 16
+#: Tasks that read archives, at most; beyond that a task reads several.
+READERS = 20_000
 RECORD_ID = "<urn:x-page:%s>"
 RECORDS = "archive string, offset long, page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, verified boolean, error string"
 
@@ -38,18 +42,29 @@ def sha1_base32(data: bytes) -> str:
 
 
 def plan_revisits(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
-    """Adds payload, _sha (SHA-1, hex) and refers_to: null for responses, else the id of the response.
+    """page_id, url, payload and refers_to: null for responses, else the id of the response.
 
     Only digests that occur twice go into the join: few rows are broadcast by Spark itself, many are joined by a
     shuffle, in which a digest of a third of all rows is split (its side is a written table, so both sides are
     plain exchanges).
     """
-    p = pages.withColumn("payload", F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("_sha", F.sha1("payload"))
     large = p.where(F.length("payload") >= min_bytes)
     twice = scratch.keep(large.groupBy("_sha").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_sha").alias("_key"), "_first"), "twice")
     p = p.join(twice, F.when(F.length("payload") >= min_bytes, F.col("_sha")) == F.col("_key"), "left")
-    return p.withColumn("refers_to", F.when(~F.col("_first").eqNullSafe(F.col("page_id")), F.col("_first"))).drop("_key", "_first")
+    return p.select("page_id", "url", "payload", F.when(~F.col("_first").eqNullSafe(F.col("page_id")), F.col("_first")).alias("refers_to"))
+
+
+def arrow_uri(uri: str) -> str:
+    """A URI as pyarrow names its file systems, from one as Hadoop does: s3a and s3n are s3, "file:/x" is "file:///x"."""
+    return re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/(?!/)", "file:///", uri))
+
+
+def open_folder(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def record_bytes(page_id, url, payload: bytes, refers_to, date: str) -> bytes:
@@ -80,9 +95,7 @@ def write_archives(planned: DataFrame, folder: str, date: str = "2024-01-01T00:0
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = open_folder(folder)
         system.create_dir(base, recursive=True)
         task = TaskContext.get()
         done, out, records, size = [], None, 0, 0
@@ -179,14 +192,12 @@ def read_archives(archives: DataFrame, payloads: bool = False, batch_bytes: int
         names, kinds = [*names, "payload"], [*kinds, pa.binary()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         def emit(rows):
             return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
         for batch in batches:
             for uri in batch.column("archive").to_pylist():
-                system, path = fs.FileSystem.from_uri(uri)
+                system, path = open_folder(uri)
                 rows, size = [], 0
                 with system.open_input_stream(path, compression=None) as stream:
                     try:
@@ -209,7 +220,8 @@ def op2_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     planned = plan_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch)
     archives = scratch.keep(write_archives(planned, scratch.path("archives")), "manifest")
-    spread = archives.select("archive").repartition(max(1, archives.count()), "archive")
+    # By ranges of names, so that no task is left without an archive while another has several.
+    spread = archives.select("archive").repartitionByRange(min(READERS, max(1, archives.count())), "archive")
     return read_archives(spread).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", "error")
 
 

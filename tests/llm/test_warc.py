@@ -63,3 +63,15 @@ def test_wrong_digest_is_reported():
 
 def test_empty_table(spark, tmp_path):
     assert warc.op2_warc_roundtrip(spark, tables(spark, tmp_path, pages=frame(spark, [], PAGES))).count() == 0
+
+
+def test_names_of_file_systems():
+    given = ("s3a://b/x", "s3n://b/x", "s3://b/x", "file:/tmp/x", "file:///tmp/x", "hdfs://n/x", "gs://b/s3a://x")
+    assert [warc.arrow_uri(u) for u in given] == ["s3://b/x", "s3://b/x", "s3://b/x", "file:///tmp/x", "file:///tmp/x", "hdfs://n/x", "gs://b/s3a://x"]
+
+
+def test_clashing_columns(spark):
+    pages = frame(spark, ROWS, PAGES).selectExpr("*", "1 as payload", "2 as _key", "3 as _first", "4 as refers_to", "5 as _sha")
+    planned = warc.plan_revisits(pages, Scratch(spark, "t"))
+    assert planned.columns == ["page_id", "url", "payload", "refers_to"]
+    assert sorted(bytes(r.payload) for r in planned.collect()) == sorted((h or "").encode() for _, _, h in ROWS)
