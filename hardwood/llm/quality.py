@@ -6,7 +6,9 @@ on it. Everything is a DataFrame expression: a text's features come from its own
 and only the counts, at most `buckets` numbers, are gathered.
 
 Defined cases: null and blank texts have no words and fail the base rules; without trusted documents or without any
-words the score is 0, which passes; repeated rows count as often as they occur.
+words the score is 0, which passes; a score equal to the threshold passes; repeated rows count as often as they occur;
+texts are read whole, however long; a document is trusted if one of its labels says so; columns of the input are kept
+whatever their names, but those named like an added one (see `judged`) are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -93,11 +95,12 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, text: str = "text", bucket
 
 
 def judged(docs: DataFrame, weights: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the base features, base_failed, llr (mean log ratio) and kept."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr (mean log ratio) and kept."""
     # A literal that the optimizer folds into one array, 16384 numbers of 7 characters.
     table_ = F.split(F.lit(",".join(f"{w:.4f}" for w in weights)), ",").cast("array<double>")
     bucket = _bucket(len(weights))
-    d = _base_features(_hashes(docs.drop(*_ADDED), text), text)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in _ADDED)).alias("_row"), F.col(text).alias("text"))
+    d = _base_features(_hashes(rows, "text"), "text")
 
     def total(c: str) -> Column:
         return F.aggregate(c, F.lit(0.0), lambda acc, h: acc + F.get(table_, bucket(h)))
@@ -105,7 +108,7 @@ def judged(docs: DataFrame, weights: list[float], text: str = "text", threshold:
     n = F.size("_h") + F.size("_h2")
     d = d.withColumn("llr", F.when(n > 0, (total("_h") + total("_h2")) / n).otherwise(F.lit(0.0)))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
-    return d.select(*[c for c in docs.columns if c not in _ADDED], *_ADDED)
+    return d.select("_row.*", *_ADDED)
 
 
 def passing(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

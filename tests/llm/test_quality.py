@@ -1,6 +1,8 @@
 import math
+from collections import Counter
 
 import pytest
+import xxhash
 
 from hardwood.llm import quality
 from tests.llm.helpers import frame, odd_documents, tables
@@ -65,3 +67,42 @@ def test_passing_keeps_columns(spark):
     docs = frame(spark, odd_documents()).selectExpr("*", "7 as kept", "'q' as llr", "8 as _w")
     out = quality.passing(docs, frame(spark, [(1, 1, 0)], LABELS))
     assert out.columns == docs.columns and out.count() and {r.kept for r in out.collect()} == {7}
+
+
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def ngrams(text):
+    """Buckets of the words and pairs of a text, by plain Python."""
+    words = [signed(xxhash.xxh64_intdigest(w, 42)) for w in (text or "").encode().replace(b"\x1c", b"_").split()]
+    one = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed)
+    return [h % quality.BUCKETS for h in [*words, *(signed(one(b, one(a, 42))) for a, b in zip(words, words[1:]))]]
+
+
+def test_scores_of_all_documents_like_brute_force(spark):
+    rows = cases()
+    trusted = {3, 4, 5, 300, 400}
+    docs = frame(spark, rows)
+    weights = quality.ratio_weights(docs, frame(spark, [(i, 1, 0) for i in trusted], LABELS))
+    raw, target = Counter(), Counter()
+    for r in rows:
+        raw.update(ngrams(r[1]))
+        target.update(ngrams(r[1]) if r[0] in trusted else [])
+    n, m, b = raw.total(), target.total(), quality.BUCKETS
+    p = lambda x: (raw[x] + 1) / (n + b)
+    ratio = lambda x: math.log((target[x] + b * p(x)) / ((m + b) * p(x)))
+    want = []
+    for r in rows:
+        grams = ngrams(r[1])
+        want.append((r[0], round(sum(map(ratio, grams)) / len(grams), 3) if grams else 0.0))
+    got = [(r.doc_id, round(r.llr, 3)) for r in quality.judged(docs, weights).collect()]
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(a == pytest.approx(b, abs=0.0011) for (_, a), (_, b) in zip(got, want, strict=True))
+
+
+def test_judged_keeps_any_column(spark):
+    docs = frame(spark, odd_documents()).selectExpr("*", "7 as _n", "'q' as _w", "8 as _h", "9 as _row", "10 as _at", "1 as `a.b`", "5 as kept")
+    out = quality.judged(docs, [0.0] * quality.BUCKETS)
+    assert out.columns == [c for c in docs.columns if c != "kept"] + list(quality._ADDED)
+    assert {tuple(r[c] for c in ("_n", "_w", "_h", "_row", "_at", "a.b")) for r in out.collect()} == {(7, "q", 8, 9, 10, 1)}
