@@ -3,6 +3,7 @@ import random
 import re
 
 from hardwood.llm import url_rules
+from hardwood.llm.common import Scratch
 from tests.llm.helpers import frame, tables
 
 PAGES, LABELS = "page_id long, url string, html string", "doc_id long, quality int, toxic int"
@@ -50,21 +51,28 @@ def test_mined_rules_like_brute_force(spark):
     labelled = url_rules.labelled_urls(pages, frame(spark, labels, LABELS))
     baskets = [(frozenset(r.tokens), r.bad) for r in labelled.collect()]
     assert len(baskets) == 400
-    rules = {frozenset(r["items"]): (r.confidence, r.support) for r in url_rules.mine_rules(labelled, 0.02, 10, 0.6).collect()}
+    mined = url_rules.mine_rules(labelled, Scratch(spark, "test"), 0.02, 10, 0.6, 1.1)
+    rules = {(frozenset(r["items"]), r.bad): (r.confidence, r.support, r.lift) for r in mined.collect()}
     tokens = sorted(set().union(*(b for b, _ in baskets)))
+    share = {x: sum(bad == x for _, bad in baskets) / 400 for x in (True, False)}
     want = {}
     for size in range(1, 8):
         for items in map(frozenset, itertools.combinations(tokens, size)):
             have = [bad for b, bad in baskets if items <= b]
-            if have and sum(have) / 400 >= 10 / 400 and sum(have) >= 10 and sum(have) / len(have) >= 0.6:
-                want[items] = sum(have) / len(have)
-    assert set(rules) == set(want) and all(abs(rules[k][0] - want[k]) < 1e-9 for k in want)
-    got = url_rules.judge(pages, url_rules.mine_rules(labelled, 0.02, 10, 0.6)).collect()
-    by_url = dict(zip((r[0] for r in rows), (b for b, _ in zip(baskets, rows)), strict=True))
-    assert by_url
-    for r in got:
-        fired = [c for items, c in want.items() if items <= set(tokens_of(rows[r.page_id][1]))]
-        assert r.verdict == ("block" if fired else "allow") and (r.confidence is None) == (not fired)
+            for label in (True, False):
+                n = have.count(label)
+                if n >= 10 and n / len(have) >= 0.6 and n / len(have) / share[label] >= 1.1:
+                    want[items, label] = (n / len(have), n / 400, n / len(have) / share[label])
+    assert set(rules) == set(want) and {bad for _, bad in want} == {True, False}
+    assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(rules[k], want[k], strict=True))
+    blocked = 0
+    for r in url_rules.judge(pages, mined).collect():
+        fired = [(c[0], bad) for (items, bad), c in want.items() if items <= set(tokens_of(rows[r.page_id][1]))]
+        best = max(fired, default=(None, False))
+        assert r.verdict == ("block" if best[1] else "allow") and (r.confidence is None) == (not fired)
+        assert r.confidence is None or abs(r.confidence - best[0]) < 1e-9
+        blocked += r.verdict == "block"
+    assert 30 < blocked < 200
 
 
 def tokens_of(url):
@@ -92,3 +100,17 @@ def test_rules_by_host_label_and_by_count_alone(spark, tmp_path):
     got = {r.page_id: r.verdict for r in url_rules.op5_url_rules(spark, d).collect()}
     assert len(got) == n + len(new) and all((got[i] == "block") == (i < 52) for i in range(n))
     assert [got[n + i] for i in range(len(new))] == ["block", "block", "block", "allow", "allow", "block"]
+
+
+def test_tokens_that_look_like_labels(spark):
+    """A host named bad is no label."""
+    pages = frame(spark, [(i, f"http://bad.n.net/{i}", None) for i in range(60)], PAGES)
+    labelled = url_rules.labelled_urls(pages, frame(spark, [(i, 1, 0) for i in range(60)], LABELS))
+    rules = url_rules.mine_all_rules(labelled, Scratch(spark, "test"))
+    assert {r.verdict for r in url_rules.judge(pages, rules).collect()} == {"allow"}
+
+
+def test_clashing_columns(spark):
+    pages = frame(spark, [(1, "http://a.org/es/", None)], PAGES).selectExpr("*", "2 as host", "3 as _row", "4 as _tokens")
+    none = url_rules.mine_all_rules(url_rules.labelled_urls(pages, frame(spark, [], LABELS)), Scratch(spark, "test"))
+    assert [tuple(r)[:5] for r in url_rules.judge(pages, none).collect()] == [(1, "a.org", "/es/", "org/", "allow")]
