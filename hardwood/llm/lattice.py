@@ -1,14 +1,21 @@
 """Language-model scores by subword lattices.
 
-Each word, with a mark for the space before it, spans a lattice whose arcs are the pieces of an existing vocabulary;
-a character without a piece has the arc of its byte pieces, and every training word also has one arc as a whole.
-The probability of a word is the sum over all its segmentations, by a forward recursion in log space. A document's is
-the product over its words and its end, summed over a few components (one for each frequent language of the training
-documents, one for the rest), so that a text's language need not be known when it is scored.
-
-The vocabulary is given; the scores of its arcs are learned here, for each component. Rank order gives the first
-distribution, then some rounds of expectation maximisation over all distinct training words, weighted by their counts,
-replace it: each task sums its expected uses of pieces, and one number a piece and component reaches the driver. The
+Each word, with a mark for the space before it, spans a lattice whose arcs are the pieces of an existing vocabulary; a
+character without a piece has the arc of its byte pieces. The probability of a word is the sum over all its
+segmentations, by a forward recursion in log space; a document's is the product over its words and its end.
+
+Arcs are weighed in two ways, in the same lattice:
+
+* by the vocabulary's own scores alone (`vocabulary_score`). The scores of the vocabulary at hand are ranks, so the
+  piece at rank r weighs 1 / (r + 10), over their sum.
+* by a model learned from the training documents (`score`). It is a sum over a few components: one for each frequent
+  language of the training documents, one for the rest, so that a text's language need not be known when it is scored,
+  and one of the vocabulary's own scores, which keeps texts unlike any training document from being priced out. In the
+  learned components the weights by rank are only the start; some rounds of expectation maximisation over all distinct
+  training words, weighted by their counts, replace them, and every training word also has one arc as a whole, whose
+  uses are discounted in favour of its pieces.
+
+Each task of a round sums its expected uses of pieces, and one number a piece and component reaches the driver. The
 uses of the words' own arcs stay in a written table, (component, word, c, uses), which each round replaces.
 
 The base is a word unigram with add-one counts. Words that are frequent in training (FREQUENT of them at most) are
@@ -16,8 +23,10 @@ looked up in a broadcast table; the counts and own arcs of all others come from
 and FREQUENT changes no result.
 
 Defined cases: null, empty and blank texts have the end token only; rows without doc_id count as training rows, rows
-without lang belong to the rest; repeated rows count as often as they occur; without training rows every count is 0
-and the scores are those of the rank order; an empty table gives no rows.
+without lang belong to the rest, languages of equal frequency are taken by name; repeated rows count as often as they
+occur, and equal texts get equal scores; texts are scored whole, and words of any length; columns but doc_id, text and
+lang are not read; without training rows every count is 0 and both scores are those of the vocabulary; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -91,15 +100,32 @@ def normalised(pieces: np.ndarray, words: dict[str, int], whole: np.ndarray, doc
         return Scores(np.log(pieces / total[:, None]), words, np.log(whole / total[:, None]), np.log(ends / total), np.log(ends / ends.sum()), np.log(total))
 
 
-def first_scores(v: Vocabulary, words: dict[str, int], whole: np.ndarray, documents: np.ndarray) -> Scores:
-    """The piece at rank r weighs 1 / (r + 10), bytes as the last ranks; pieces get half of a component's mass and
-    its own arcs, by their words' counts, the other half."""
+def vocabulary_weights(v: Vocabulary) -> np.ndarray:
+    """What the vocabulary's scores say: the piece at rank r weighs 1 / (r + 10), bytes as the last ranks; they sum to 1."""
     n = len(v.pieces)
     order = sorted(range(n), key=lambda i: (not v.normal[i], -v.scores[i], i))
     w = np.zeros(n)
     w[order] = 1 / (np.arange(n) + 10.0)
+    return w / w.sum()
+
+
+def first_scores(v: Vocabulary, words: dict[str, int], whole: np.ndarray, documents: np.ndarray) -> Scores:
+    """Pieces get half of a component's mass, by the vocabulary's scores, and its own arcs, by their words' counts, the
+    other half."""
     mass = np.maximum(whole.sum(1), 1.0)
-    return normalised(w / w.sum() * mass[:, None], words, whole, documents)
+    return normalised(vocabulary_weights(v) * mass[:, None], words, whole, documents)
+
+
+def with_vocabulary(scores: Scores, v: Vocabulary, documents: float) -> Scores:
+    """The scores with one more component, the last, of the vocabulary's own scores: no words with an arc of their own,
+    an end as in the mean of the others, and the share of PRIOR documents."""
+    end, share = np.exp(scores.ends).mean(), PRIOR / (documents + PRIOR)
+    pieces = np.log(vocabulary_weights(v) * (1 - end))
+    none = np.full((1, scores.whole.shape[1]), -np.inf)
+    return Scores(
+        np.concatenate([scores.pieces, pieces[None]]), scores.words, np.concatenate([scores.whole, none]), np.append(scores.ends, np.log(end)),
+        np.append(scores.shares + np.log1p(-share if share < 1 else -0.5), np.log(share if share < 1 else 0.5)), np.append(scores.total, 0.0),
+    )
 
 
 class Arcs(NamedTuple):
@@ -336,7 +362,8 @@ def _rare_logs(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordB
 
 
 def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, languages: int = LANGUAGES, rounds: int = ROUNDS, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text, lang): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per row of docs (doc_id, text, lang): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    vocabulary_score."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lattice")
     docs = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out"), "lang")
@@ -350,28 +377,30 @@ def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, lan
         component = F.when(F.col("lang") == r.lang, F.lit(i)).otherwise(component)
     by_component = scratch.keep(word_counts(training.withColumn("component", component)), "by_component")
     scores, learned = learn_scores(by_component, documents, v, scratch, rounds)
-    uses = F.array(*(F.sum(F.when(F.col("component") == k, F.col("uses")).otherwise(0.0)) for k in range(len(documents))))
+    scores, components = with_vocabulary(scores, v, float(ends)), range(len(documents) + 1)
+    uses = F.array(*(F.sum(F.when(F.col("component") == k, F.col("uses")).otherwise(0.0)) for k in components))
     counts = scratch.keep(learned.groupBy("word").agg(F.sum("c").alias("c"), uses.alias("uses")), "counts")
     n, v_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, distinct = n + ends, v_words + (ends > 0)
     denominator = n + distinct + 1
     top = counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
     base = np.log10((top.column("c").to_numpy() + 1) / denominator)
-    shared = spark.sparkContext.broadcast((v, scores, top.column("word").to_pylist(), base, _by_component(top.column("uses").combine_chunks(), len(documents)), denominator, ends))
+    shared = spark.sparkContext.broadcast((v, scores, top.column("word").to_pylist(), base, _by_component(top.column("uses").combine_chunks(), len(components)), denominator, ends))
     rows = scratch.keep(docs.mapInArrow(lambda b: _score_rows(b, shared), _DOC), "rows")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    distinct_rare = rare.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("uses", F.array(*[F.lit(0.0)] * len(documents))).alias("uses"))
+    distinct_rare = rare.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("uses", F.array(*[F.lit(0.0)] * len(components))).alias("uses"))
     priced = scratch.keep(distinct_rare.mapInArrow(lambda b: _rare_logs(b, shared), "word string, c long, logs array<double>"), "priced")
-    found, components = rare.join(priced, "word"), range(len(documents))
+    found = rare.join(priced, "word")
     n_base = F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))
     sums = found.groupBy("row").agg(F.sum(n_base).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"), *(F.sum(F.col("n") * F.col("logs")[k]).alias(f"more_{k}") for k in components))
     out = rows.drop("rare").join(sums, "row", "left")
     each = F.array(*(F.col("logs")[k] + F.coalesce(f"more_{k}", F.lit(0.0)) + F.lit(float(scores.ends[k] + scores.shares[k])) for k in components))
     out = out.withColumn("_each", each).withColumn("_top", F.array_max("_each"))
+    vocabulary = F.col("_each")[components[-1]] - F.lit(float(scores.shares[-1]))
     total = F.col("_top") + F.log(F.aggregate("_each", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_top"))))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("frequent") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (total / F.lit(math.log(10))).alias("score"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (total / F.lit(math.log(10))).alias("score"), (vocabulary / F.lit(math.log(10))).alias("vocabulary_score"),
     )
 
 

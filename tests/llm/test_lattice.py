@@ -78,6 +78,86 @@ def test_base_and_model(spark, tmp_path):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def plain_forward(word, weight, unit, longest):
+    """log sum over all segmentations of each prefix, and of each suffix, by plain recursion over a dict of pieces."""
+    n = len(word)
+    arcs = [(i, j, word[i:j]) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if word[i:j] in weight]
+    arcs += [(i, i + 1, None) for i in range(n) if word[i] not in weight]
+    cost = lambda i, x: weight[x] if x is not None else sum(unit[b] for b in word[i].encode())
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b))) if min(a, b) > -math.inf else max(a, b)
+    before, after = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for i, j, x in sorted(arcs, key=lambda a: a[:2]):
+        before[j] = add(before[j], before[i] + cost(i, x))
+    for i, j, x in sorted(arcs, key=lambda a: a[:2], reverse=True):
+        after[i] = add(after[i], cost(i, x) + after[j])
+    return before, after, [(i, j, x, cost(i, x)) for i, j, x in arcs]
+
+
+def plain_scores(rows, v):
+    """Both scores of every document, in natural logs, by plain Python: the whole fit and the scoring."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    docs = [(i, (t or "").encode().lower().decode().translate({c: 32 for c in (9, 10, 11, 12, 13)}).split(" "), lang) for i, t, lang, *_ in rows]
+    docs = [(i, [w for w in words if w], lang) for i, words, lang in docs]
+    train = [d for d in docs if not held(d[0])]
+    langs = [x for x, _ in sorted(Counter(d[2] for d in train if d[2]).items(), key=lambda kv: (-kv[1], kv[0]))]
+    names = [None, *langs] if any(d[2] is None for d in train) else langs
+    ids = {p: i for i, (p, n) in enumerate(zip(v.pieces, v.normal, strict=True)) if n}
+    longest = max(map(len, ids))
+    first = lattice.vocabulary_weights(v)
+    models = []
+    for name in names:
+        own = [d for d in train if d[2] == name]
+        c = Counter(w for d in own for w in d[1])
+        ends = len(own) + lattice.PRIOR
+        pieces, uses = first * max(c.total(), 1), dict(c)
+        for step in range(lattice.ROUNDS + 1):
+            total = pieces.sum() + sum(uses.values()) + ends
+            with np.errstate(divide="ignore"):
+                logs = np.log(pieces / total)
+            weight, unit = {p: logs[i] for p, i in ids.items()}, [logs[i] for i in v.byte_ids]
+            if step == lattice.ROUNDS:
+                break
+            new, after_uses = np.full(len(first), lattice.PRIOR), {}
+            for w, n in c.items():
+                f, back, arcs = plain_forward("▁" + w, weight, unit, longest)
+                o = math.log(uses[w] / total) if uses[w] else -math.inf
+                after_uses[w] = max(n / (1 + math.exp(min(f[-1] - o, 700))) - lattice.DISCOUNT, 0) if uses[w] else 0.0
+                for i, j, x, cost in arcs:
+                    use = math.exp(f[i] + cost + back[j] - f[-1]) * (n - after_uses[w])
+                    for p in [ids[x]] if x is not None else [v.byte_ids[b] for b in ("▁" + w)[i].encode()]:
+                        new[p] += use
+            pieces, uses = new, after_uses
+        models.append((weight, unit, {w: math.log(u / total) for w, u in uses.items() if u}, math.log(ends / total), len(own) + lattice.PRIOR))
+    end = sum(math.exp(m[3]) for m in models) / len(models)
+    share = lattice.PRIOR / (len(train) + lattice.PRIOR)
+    logs = np.log(first * (1 - end))
+    models = [(*m[:4], math.log(m[4] / sum(x[4] for x in models) * (1 - share))) for m in models]
+    models.append(({p: logs[i] for p, i in ids.items()}, [logs[i] for i in v.byte_ids], {}, math.log(end), math.log(share)))
+    seen, out = {}, []
+    for i, words, _ in docs:
+        each = []
+        for k, (weight, unit, own, of_end, prior) in enumerate(models):
+            logp = of_end
+            for w in words:
+                if (k, w) not in seen:
+                    seen[k, w] = np.logaddexp(plain_forward("▁" + w, weight, unit, longest)[0][-1], own.get(w, -math.inf))
+                logp += seen[k, w]
+            each.append((logp, prior))
+        out.append((i, np.logaddexp.reduce([a + b for a, b in each]), each[-1][0]))
+    return out
+
+
+def test_both_scores_like_plain_python(spark):
+    """The query's scores: the fit by components and rounds, own arcs, the vocabulary's component and the mixture."""
+    rows = [r for r in odd_documents() if r[0] != 300]
+    got = lattice.lattice_scores(frame(spark, rows), pieces.read_vocabulary()).collect()
+    want = sorted(((i, round(a / math.log(10), 3), round(b / math.log(10), 3)) for i, a, b in plain_scores(rows, pieces.read_vocabulary())), key=str)
+    have = sorted(((r.doc_id, round(r.score, 3), round(r.vocabulary_score, 3)) for r in got), key=str)
+    assert [x[0] for x in have] == [x[0] for x in want]
+    for a, b in zip(have, want, strict=True):
+        assert a[1] == pytest.approx(b[1], rel=1e-4, abs=2e-3) and a[2] == pytest.approx(b[2], rel=1e-4, abs=2e-3)
+
+
 def test_probabilities_sum_to_less_than_one():
     """Over all words of up to three letters, a word's probabilities leave room for the end."""
     import itertools
