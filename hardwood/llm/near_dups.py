@@ -36,8 +36,8 @@ BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
 #: Hashes read between two looks at the posterior.
 BATCH = 25
-#: Buckets of more nodes than SMALL are compared in blocks of about BLOCK nodes.
-SMALL, BLOCK = 32, 256
+#: Buckets of more nodes than SMALL are compared in blocks of about BLOCK nodes, TILE at a time within a task.
+SMALL, BLOCK, TILE = 32, 2048, 256
 #: Hashes, of 8 bits, of the long signatures that decide about the pairs left in large buckets.
 LONG = 1024
 #: Most alike partners that a node outside the largest cluster of a large bucket is compared with before all others.
@@ -228,24 +228,28 @@ def _best_pivots(buckets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _compare_block(tests, kind: type, best: int | None):
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, t = pdf[pdf.asks], pdf[~pdf.asks]
-        if not len(q) or not len(t):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "equal": pd.Series(dtype="int64")})
+    def tile(q: pd.DataFrame, t: pd.DataFrame, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sig_q, sig_t = (np.frombuffer(b"".join(x.sig), kind).reshape(len(x), -1) for x in (q, t))
         band_q, band_t = (np.stack(x.bands.to_list()) for x in (q, t))
         i, j = np.nonzero(q.cluster.to_numpy()[:, None] != t.cluster.to_numpy()[None, :])
         ok, equal = promising(sig_q[i], sig_t[j], tests)
         i, j = i[ok], j[ok]
         # A pair counts in the first band that both share, and nowhere else.
-        first = (band_q[i] == band_t[j]).argmax(1) == pdf.band.iat[0]
-        i, j, equal = i[first], j[first], equal[first]
-        if best and len(i):
-            order = np.lexsort((j, -equal, i))
-            i, j, equal = i[order], j[order], equal[order]
-            rank = np.arange(len(i)) - np.flatnonzero(np.r_[True, i[1:] != i[:-1]])[np.cumsum(np.r_[True, i[1:] != i[:-1]]) - 1]
-            i, j, equal = i[rank < best], j[rank < best], equal[rank < best]
-        return pd.DataFrame({"a": q.node.to_numpy()[i], "b": t.node.to_numpy()[j], "equal": equal})
+        first = (band_q[i] == band_t[j]).argmax(1) == band
+        return q.node.to_numpy()[i[first]], t.node.to_numpy()[j[first]], equal[first]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, t = pdf[pdf.asks], pdf[~pdf.asks]
+        none = np.zeros(0, np.int64)
+        found = [tile(q.iloc[x : x + TILE], t.iloc[y : y + TILE], pdf.band.iat[0]) for x in range(0, len(q), TILE) for y in range(0, len(t), TILE)]
+        a, b, equal = (np.concatenate([none, *x]) for x in zip(*found, strict=True)) if found else (none, none, none)
+        if best and len(a):
+            order = np.lexsort((b, -equal, a))
+            a, b, equal = a[order], b[order], equal[order]
+            new = np.r_[True, a[1:] != a[:-1]]
+            rank = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            a, b, equal = a[rank < best], b[rank < best], equal[rank < best]
+        return pd.DataFrame({"a": a, "b": b, "equal": equal})
 
     return compare
 
