@@ -13,19 +13,25 @@ STREAK_GRID = {
     "PRA": (20, 25, 30, 35, 40),
 }
 FLAG_RULES = (
-    ("offense_up", "off_rating", 5.0, 1), ("offense_down", "off_rating", -5.0, -1), ("defense_up", "def_rating", -4.0, -1),
-    ("defense_down", "def_rating", 5.0, 1), ("pace_up", "pace", 4.0, 1), ("pace_down", "pace", -4.0, -1),
-    ("shooting_up", "efg", 0.03, 1), ("shooting_down", "efg", -0.03, -1), ("turnovers_up", "tov_pct", 0.02, 1),
-    ("turnovers_down", "tov_pct", -0.03, -1), ("threes_up", "three_share", 0.05, 1),
+    ("offense_rising", "off_rtg", 5.0, 1), ("offense_falling", "off_rtg", -5.0, -1), ("defense_improving", "def_rtg", -4.0, -1),
+    ("defense_declining", "def_rtg", 5.0, 1), ("pace_up", "pace", 4.0, 1), ("pace_down", "pace", -4.0, -1),
+    ("shooting_hot", "efg", 0.03, 1), ("shooting_cold", "efg", -0.03, -1), ("turnover_prone", "tov_pct", 0.02, 1),
+    ("ball_secure", "tov_pct", -0.03, -1), ("three_point_heavy", "pct_pts_3pt", 0.05, 1),
 )
+#: Further rules of the older flags, on box scores that split the points; fixed values.
+OLDER_FLAG_RULES = (("paint_attack", "pct_pts_paint", 0.03, 1), ("transition_heavy", "pct_pts_fb", 0.03, 1))
+#: Display names of the reasons for not playing; fixed values.
 REASONS = {
-    "INACTIVE_INJURY": "Injury", "INACTIVE_GLEAGUE_TWOWAY": "G League", "INACTIVE_COACH": "Coach's decision",
-    "INACTIVE_PERSONAL": "Personal", "DNP_COACH": "Did not play",
+    "INACTIVE_INJURY": "Injured", "INACTIVE_GLEAGUE_TWOWAY": "G-League", "INACTIVE_REST": "Rest",
+    "INACTIVE_PERSONAL": "Personal", "INACTIVE_SUSPENSION": "Suspended",
 }
+#: Thresholds from which a season best counts without an average to hold it against; fixed values.
+LEAST_BEST = {"PTS": 20, "REB": 8, "AST": 5, "STL": 2, "BLK": 2, "FG3M": 3, "PRA": 25}
 
 
 def possessions(fga: Column, fta: Column, oreb: Column, tov: Column) -> Column:
-    return fga + F.lit(0.44) * fta - oreb + tov
+    """In hundredths: whole numbers, so that the order of the rows can't change a sum."""
+    return fga * 100 + fta * 44 - oreb * 100 + tov * 100
 
 
 def safe_ratio(n: Column, d: Column) -> Column:
@@ -42,11 +48,11 @@ def pace_projection(a: Column, b: Column) -> Column:
     return F.lit(0.7) * (a + b) / 2 + F.lit(0.3) * F.greatest(a, b)
 
 
-def scoring_index(h_off: Column, h_def: Column, a_off: Column, a_def: Column, pace: Column) -> Column:
+def scoring_env_index(h_off: Column, h_def: Column, a_off: Column, a_def: Column, pace: Column) -> Column:
     return ((h_off + a_def) / 2 + (a_off + h_def) / 2) / 2 * pace / 99 / 115 * 100
 
 
-def three_index(h: Column, a: Column) -> Column:
+def three_env_index(h: Column, a: Column) -> Column:
     return (h + a) / 2 / 0.35 * 100
 
 
@@ -54,10 +60,12 @@ def chaos_index(pace: Column, h_tov: Column, a_tov: Column) -> Column:
     return pace / 99 * 50 + (h_tov + a_tov) / 2 / 0.14 * 50
 
 
-def environment_tags(pace: Column, scoring: Column, three: Column, chaos: Column) -> Column:
-    """Sorted names of the bounds that a matchup passes, joined by commas."""
-    rules = (("chaotic", chaos > 115), ("defensive", scoring < 92), ("fast_pace", pace > 105), ("high_scoring", scoring > 108), ("slow_pace", pace < 94), ("three_heavy", three > 110))
-    return F.array_join(F.array_compact(F.array(*(F.when(c, n) for n, c in rules))), ",")
+def environment_tags(pace: Column, scoring: Column, three: Column, chaos: Column, paint: Column | None = None, orb: Column | None = None, ftr: Column | None = None) -> Column:
+    """Names of the bounds that a matchup passes, as an array in this order; paint, orb and ftr, the means of both sides,
+    add the tags of the older environments."""
+    rules = [("fast_pace", pace > 105), ("slow_pace", pace < 94), ("high_scoring", scoring > 108), ("defensive_battle", scoring < 92), ("three_point_fest", three > 110)]
+    rules += [(n, c > bound) for n, c, bound in (("paint_battle", paint, 0.40), ("glass_war", orb, 0.28), ("whistle_heavy", ftr, 0.30)) if c is not None]
+    return F.array_compact(F.array(*(F.when(c, n) for n, c in [*rules, ("chaotic", chaos > 115)])))
 
 
 def environment_label(pace: Column, scoring: Column) -> tuple[Column, Column]:
@@ -72,7 +80,7 @@ def heat_status(z: Column) -> Column:
 
 
 def heat_tier(z: Column) -> Column:
-    return F.when(z >= 1, "on_fire").when(z >= 0.65, "heating_up").when(z >= -0.64, "average").when(z >= -1, "cooling_down").when(z.isNotNull(), "ice_cold")
+    return F.when(z >= 1, "on_fire").when(z >= 0.65, "heating_up").when(z >= -0.64, "average").when(z >= -1, "cooling_off").when(z.isNotNull(), "ice_cold")
 
 
 def consistency_tier(cv: Column) -> Column:
@@ -132,8 +140,34 @@ def win_pct_text(w: Column, n: Column) -> Column:
 
 
 def reason_text(reason: Column, description: Column, status: Column, played: Column) -> Column:
+    """What is shown for a player and game: played, the description, the reason's name, or what the status says."""
     pairs = [F.lit(x) for kv in REASONS.items() for x in kv]
-    return F.when(played, "Played").otherwise(F.coalesce(F.nullif(F.trim(description), F.lit("")), F.element_at(F.create_map(*pairs), reason), reason, status))
+    named = F.coalesce(F.element_at(F.create_map(*pairs), reason), reason)
+    return F.when(played, "Played").otherwise(F.coalesce(F.nullif(description, F.lit("")), F.nullif(named, F.lit("")), F.when(status == "INACTIVE", "Inactive").otherwise("Did Not Play")))
+
+
+def is_injured(reason: Column) -> Column:
+    return F.coalesce(reason == "INACTIVE_INJURY", F.lit(False))
+
+
+def is_gleague(reason: Column) -> Column:
+    return F.coalesce(reason == "INACTIVE_GLEAGUE_TWOWAY", F.lit(False))
+
+
+def whole_scores(text: Column) -> Column:
+    """"Team 101.0 - 99.0 Team" without the decimals of whole scores; other texts stay."""
+    fits = text.rlike(r"\D+\s\d+\.?\d*\s-\s\d+\.?\d*\s\D+")
+    return F.when(fits, F.regexp_replace(F.regexp_replace(text, r"(\s\d+)\.0*(?=\s-\s)", "$1"), r"(\s-\s\d+)\.0*(?=\s)", "$1")).otherwise(text)
+
+
+def game_status(result: Column, game_date: Column, today: Column) -> Column:
+    return F.when(result.isNotNull(), "Final").when(game_date == today, "Today").otherwise("Scheduled")
+
+
+def hit_band(hits: Column, games: Column) -> Column:
+    """Bands of a hit rate: from 80, 60 and 40 percent."""
+    rate = safe_ratio(hits, games)
+    return F.when(rate >= 0.8, "elite").when(rate >= 0.6, "strong").when(rate >= 0.4, "even").when(rate.isNotNull(), "low")
 
 
 def trend(delta: Column, threshold: float, lower_is_better: bool = False) -> Column:
@@ -141,11 +175,11 @@ def trend(delta: Column, threshold: float, lower_is_better: bool = False) -> Col
     return F.when(d >= threshold, "up").when(d <= -threshold, "down").when(d.isNotNull(), "flat")
 
 
-def sos_note(net_delta: Column, sos_delta: Column) -> Column:
+def sos_note(net_delta: Column, sos_net_delta: Column) -> Column:
     """What a change in rating means against the schedule played."""
     return (
-        F.when((net_delta >= 3) & (sos_delta >= 2), "better against a harder schedule").when((net_delta >= 3) & (sos_delta <= -2), "better against an easier schedule")
-        .when((net_delta <= -3) & (sos_delta >= 2), "worse against a harder schedule").when((net_delta <= -3) & (sos_delta <= -2), "worse against an easier schedule")
+        F.when((net_delta >= 3) & (sos_net_delta >= 2), "better against a harder schedule").when((net_delta >= 3) & (sos_net_delta <= -2), "better against an easier schedule")
+        .when((net_delta <= -3) & (sos_net_delta >= 2), "worse against a harder schedule").when((net_delta <= -3) & (sos_net_delta <= -2), "worse against an easier schedule")
     )
 
 

@@ -10,9 +10,9 @@ FIRST_SEASON, LAST_SEASON = 1946, 9998
 #: Spellings of the season types; a fixed value.
 SEASON_TYPES = {
     "pre season": "Pre Season", "preseason": "Pre Season", "regular": "Regular Season", "regular season": "Regular Season",
-    "all star": "All Star", "all-star": "All Star", "playoffs": "Playoffs", "postseason": "Playoffs",
+    "all star": "All-Star", "all-star": "All-Star", "playoffs": "Playoffs", "postseason": "Playoffs",
 }
-TYPE_BY_PREFIX = {"1": "Pre Season", "2": "Regular Season", "3": "All Star", "4": "Playoffs"}
+TYPE_BY_PREFIX = {"1": "Pre Season", "2": "Regular Season", "3": "All-Star", "4": "Playoffs"}
 
 
 def season_name(year: Column) -> Column:
@@ -89,3 +89,12 @@ def day_label(ts: Column) -> Column:
 
 def clock_label(ts: Column) -> Column:
     return F.date_format(ts, "hh:mm a")
+
+
+def season_array(text: Column) -> Column:
+    """The well-formed seasons of a list joined by commas, each once, in order."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(text, r"\s", ""), ","), is_season)))
+
+
+def joined(array: Column) -> Column:
+    return F.array_join(array, ",")

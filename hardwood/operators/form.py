@@ -44,13 +44,15 @@ def with_thresholds(facts: DataFrame, thresholds: list[float] | dict[str, tuple]
 
 
 def current_streaks(facts: DataFrame, thresholds) -> DataFrame:
-    """Games in a row, up to the newest, that reach the threshold; only where there is one at least."""
-    hit = F.col("value") >= F.col("threshold")
-    g = with_thresholds(numbered(facts), thresholds).groupBy(*KEY, "threshold")
-    length = F.coalesce(F.min(F.when(~hit, F.col("n_desc"))) - 1, F.max("n_desc"))
-    out = g.agg(length.alias("streak_games"), F.max("game_time").alias("end_time"), F.array_sort(F.collect_list(F.struct("n_desc", "game_time"))).alias("_g"))
-    out = out.where("streak_games >= 1").withColumn("start_time", F.element_at("_g", F.col("streak_games").cast("int"))["game_time"])
-    return out.select(*KEY, "threshold", F.col("streak_games").cast("long").alias("streak_games"), "start_time", "end_time")
+    """Games in a row, up to the newest, that reach the threshold; only where there is one at least.
+
+    One row a game and threshold is aggregated; the start comes from the least n_desc that misses, which a window over
+    the same key tells every row, so no history is gathered in an array."""
+    f = with_thresholds(numbered(facts), thresholds)
+    w = Window.partitionBy(*KEY, "threshold")
+    miss = F.min(F.when(F.col("value") < F.col("threshold"), F.col("n_desc"))).over(w)
+    own = f.withColumn("_miss", miss).where(F.col("_miss").isNull() | (F.col("n_desc") < F.col("_miss")))
+    return own.groupBy(*KEY, "threshold").agg(F.count("*").alias("streak_games"), F.min("game_time").alias("start_time"), F.max("game_time").alias("end_time"))
 
 
 def longest_streaks(facts: DataFrame, thresholds) -> DataFrame:
@@ -120,8 +122,32 @@ def streak_scores(streaks: DataFrame, averages: DataFrame) -> DataFrame:
 
 
 def window_scores(windows: DataFrame, averages: DataFrame) -> DataFrame:
-    """min(50 threshold / average, 100) + 50 hit rate, 10 more for ten games; rows under a fifth of hits go."""
-    rate = F.col("games_hit") / F.col("games_played")
-    j = windows.join(averages, KEY).where(rate >= 0.2)
-    size = F.least(F.lit(50.0) * ratings.safe_ratio(F.col("threshold"), F.col("season_avg")), F.lit(100.0))
-    return j.withColumn("rank_score", F.round(F.coalesce(size, F.lit(0.0)) + rate * 50 + F.when(F.col("window_size") == 10, 10.0).otherwise(0.0), 4))
+    """Threshold, up to 100, + 50 hit rate + 10 for ten games. The threshold counts 50 times its share of the average, or
+    three times itself where there is no positive average. Without a hit a row goes; under a fifth of hits it stays only
+    up to one and a half times the average."""
+    rate = F.when(F.col("games_played") > 0, F.col("games_hit") / F.col("games_played")).otherwise(0.0)
+    j = windows.join(averages, KEY, "left")
+    known = F.coalesce(F.col("season_avg") > 0, F.lit(False))
+    keep = (rate > 0) & ((rate >= 0.2) | (known & (F.col("threshold") <= F.col("season_avg") * 1.5)))
+    size = F.least(F.when(known, F.lit(50.0) * F.col("threshold") / F.col("season_avg")).otherwise(F.col("threshold") * 3), F.lit(100.0))
+    return j.where(keep).withColumn("rank_score", F.round(size + rate * 50 + F.when(F.col("window_size") == 10, 10.0).otherwise(0.0), 4))
+
+
+def meaningful_bests(streaks: DataFrame, averages: DataFrame) -> DataFrame:
+    """Season bests worth a line: five games or more, or a threshold of at least 0.8 of the average, or, without one, of
+    the stat's least value."""
+    least = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ratings.LEAST_BEST.items() for x in (kv[0], float(kv[1]))]), F.col("stat")), F.lit(5.0))
+    j = streaks.join(averages, KEY, "left")
+    known = F.coalesce(F.col("season_avg") > 0, F.lit(False))
+    return j.where((F.col("streak_games") >= 5) | F.when(known, F.col("threshold") >= F.col("season_avg") * 0.8).otherwise(F.col("threshold") >= least))
+
+
+def season_averages(heat: DataFrame) -> DataFrame:
+    """(player_id, stat, season_avg) of heat rows: the value of the smallest window, as all windows have the same."""
+    return heat.groupBy(*KEY).agg(F.min_by("season_avg", "window_size").alias("season_avg"))
+
+
+def streaks_by_stat(streaks: DataFrame, least: int, n: int) -> DataFrame:
+    """(stat, streaks): the n longest streaks of each stat with `least` games or more, as a list, longest first."""
+    top = top_per_key(streaks.where(F.col("streak_games") >= least), ["stat"], [F.desc("streak_games"), "player_id", "threshold"], n, "_place")
+    return top.groupBy("stat").agg(F.array_sort(F.collect_list(F.struct("_place", "player_id", "threshold", "streak_games"))).alias("_l")).select("stat", F.transform("_l", lambda x: F.struct(x["player_id"], x["threshold"], x["streak_games"])).alias("streaks"))

@@ -74,28 +74,107 @@ def suite_ok(checks: DataFrame) -> DataFrame:
     return checks.agg(F.bool_and(F.col("ok") | ~F.col("critical")).alias("ok"), F.count_if(~F.col("ok") & F.col("critical")).alias("failed"), F.count_if(~F.col("ok") & ~F.col("critical")).alias("warnings"))
 
 
+#: Results and scores that mean "not known"; fixed values.
+NO_SCORE = ("", "-", "0-0")
+
+
 def reconcile(schedule: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row a scheduled game with facts: issue (the first rule it breaks, null if none) and action.
-
-    schedule: game_id, team_id, opponent_team_id, is_home, result, score. facts: game_id, team_id, opponent_team_id,
-    result, points. A sound pair fills missing results and scores; what is already stored must agree with it."""
-    s = schedule.groupBy("game_id").agg(
-        F.count("*").alias("s_n"), F.array_sort(F.collect_set("team_id")).alias("s_teams"), F.count_if("is_home").alias("s_home"), F.count("result").alias("s_results"), F.array_sort(F.collect_set("result")).alias("s_set"),
-        F.array_sort(F.collect_set(F.when(~F.coalesce(F.col("score"), F.lit("")).isin("", "-", "0-0"), F.col("score")))).alias("s_scores"), F.max(F.when(F.col("is_home"), F.col("team_id"))).alias("home"),
-    )
-    f = facts.groupBy("game_id").agg(
-        F.count("*").alias("f_n"), F.array_sort(F.collect_set("team_id")).alias("f_teams"), F.array_sort(F.collect_set("opponent_team_id")).alias("f_opponents"), F.array_join(F.array_sort(F.collect_list("result")), ",").alias("f_results"),
-        F.max(F.when(F.col("result") == "W", F.col("points"))).alias("won"), F.max(F.when(F.col("result") == "L", F.col("points"))).alias("lost"), F.map_from_entries(F.collect_list(F.struct("team_id", "points"))).alias("points"),
-    )
-    j = s.join(f, "game_id")
-    ordered = F.array_distinct(F.array("home", *[F.element_at("s_teams", i) for i in (1, 2)]))
-    score = F.concat_ws("-", F.try_element_at("points", F.get(ordered, F.lit(0))).cast("string"), F.try_element_at("points", F.get(ordered, F.lit(1))).cast("string"))
-    j = j.withColumn("final_score", F.when((F.col("s_n") == 2) & (F.col("s_home") == 1) & (F.size("s_teams") == 2), score))
-    issue = (
-        F.when(F.col("s_n") != 2, "schedule_rows").when(F.size("s_teams") != 2, "schedule_teams").when(F.col("s_home") != 1, "schedule_sides").when(F.col("f_n") != 2, "fact_rows")
-        .when(F.col("s_teams") != F.col("f_teams"), "teams_differ").when(F.col("f_teams") != F.col("f_opponents"), "not_reciprocal").when(F.col("f_results") != "L,W", "fact_results")
-        .when(F.col("won").isNull() | F.col("lost").isNull(), "points_missing").when(F.col("won") <= F.col("lost"), "winner_points").when(F.col("s_results") == 1, "mixed_results")
-        .when((F.col("s_results") == 2) & (F.array_join("s_set", ",") != "L,W"), "schedule_results").when((F.size("s_scores") > 0) & ~F.forall("s_scores", lambda x: x == F.col("final_score")), "score_conflict")
-    )
-    action = F.when(issue.isNotNull(), "issue").when((F.col("s_results") == 2) & (F.size("s_scores") == 1), "complete").otherwise("update")
-    return j.select("game_id", issue.alias("issue"), action.alias("action"), F.when(action == "update", F.col("final_score")).alias("new_score"))
+    """One row a scheduled game: issue (the first rule it breaks, null if none), action and final_score.
+
+    schedule: game_id, season, team_id, opponent_team_id, slate_date, home_or_away, result, score. facts: game_id, season,
+    team_id, opponent_team_id, game_date, result, points. action: complete (has a W and an L already, facts aren't
+    looked at), issue, or update (both rows get their result and the score "home-away")."""
+    def side(df, names):
+        return df.groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("r"))
+
+    s = side(schedule, ["team_id", "opponent_team_id", "home_or_away", "season", "slate_date", "result", "score"]).withColumnRenamed("r", "s")
+    f = side(facts, ["team_id", "opponent_team_id", "season", "game_date", "result", "points"]).withColumnRenamed("r", "f")
+    j = s.join(f, "game_id", "left")
+
+    def one(rows, i, c):
+        return F.get(F.col(f"{rows}.{c}"), F.lit(i))
+
+    def values(rows, c):
+        """Sorted distinct values, nulls included."""
+        return F.array_sort(F.array_distinct(F.col(f"{rows}.{c}")))
+
+    def reciprocal(rows):
+        return one(rows, 0, "team_id").eqNullSafe(one(rows, 1, "opponent_team_id")) & one(rows, 1, "team_id").eqNullSafe(one(rows, 0, "opponent_team_id"))
+
+    def is_pair(rows, c, a, b):
+        return F.coalesce(values(rows, c) == F.array(F.lit(a), F.lit(b)), F.lit(False))
+
+    def of(team, c):
+        return F.get(F.filter("f", lambda r: r["team_id"] == team), F.lit(0))[c]
+
+    def with_value(rows, c, value, want):
+        return F.get(F.filter(rows, lambda r: r[c] == value), F.lit(0))[want]
+
+    n_results = F.size(F.filter("s.result", lambda x: x.isNotNull()))
+    score = F.concat_ws("-", *(of(with_value("s", "home_or_away", side_, "team_id"), "points").cast("string") for side_ in ("H", "A")))
+    j = j.withColumn("_score", score)
+    conflict = F.exists("s.score", lambda x: ~F.coalesce(x, F.lit("")).isin(*NO_SCORE) & (x != F.col("_score")))
+    rules = [
+        ("schedule_rows", F.size("s") != 2), ("schedule_pair", ~reciprocal("s")), ("schedule_sides", ~is_pair("s", "home_or_away", "A", "H")),
+        ("schedule_season_or_date", (F.size(values("s", "season")) != 1) | (F.size(values("s", "slate_date")) != 1)),
+        (None, (n_results == 2) & is_pair("s", "result", "L", "W")), ("schedule_results", n_results == 2), ("mixed_results", n_results == 1),
+        ("fact_rows", F.coalesce(F.size("f"), F.lit(0)) != 2), ("fact_pair", ~reciprocal("f")), ("teams_differ", values("s", "team_id") != values("f", "team_id")),
+        ("seasons_differ", (F.size(values("f", "season")) != 1) | ~one("s", 0, "season").eqNullSafe(one("f", 0, "season"))),
+        ("dates_differ", (F.size(values("f", "game_date")) != 1) | ~one("s", 0, "slate_date").eqNullSafe(one("f", 0, "game_date"))),
+        ("fact_results", ~is_pair("f", "result", "L", "W")), ("points_missing", F.exists("f.points", lambda x: x.isNull())),
+        ("winner_points", with_value("f", "result", "W", "points") <= with_value("f", "result", "L", "points")), ("score_conflict", conflict),
+    ]
+    # The first rule that holds decides; null: complete already.
+    found = reduce(lambda acc, r: acc.when(r[1], F.lit(r[0] or "complete")), rules[1:], F.when(rules[0][1], rules[0][0]))
+    j = j.withColumn("_found", found)
+    action = F.when(F.col("_found").isNull(), "update").when(F.col("_found") == "complete", "complete").otherwise("issue")
+    return j.select("game_id", F.when(F.col("_found") != "complete", F.col("_found")).alias("issue"), action.alias("action"), F.when(F.col("_found").isNull(), F.col("_score")).alias("final_score"))
+
+
+def reconcile_counts(plan: DataFrame) -> DataFrame:
+    """One row: games inspected, eligible for an update, complete already, and with an issue."""
+    return plan.agg(F.count("*").alias("inspected"), F.count_if(F.col("action") == "update").alias("eligible"), F.count_if(F.col("action") == "complete").alias("complete"), F.count_if(F.col("action") == "issue").alias("issues"))
+
+
+def result_updates(plan: DataFrame, facts: DataFrame) -> DataFrame:
+    """(game_id, team_id, new_result, new_score): both rows of every game to update."""
+    return plan.where("action = 'update'").join(facts, "game_id").select("game_id", "team_id", F.col("result").alias("new_result"), F.col("final_score").alias("new_score"))
+
+
+def apply_results(schedule: DataFrame, updates: DataFrame) -> DataFrame:
+    """schedule with the updates, each of which needs exactly one row that still has no result and no other score.
+
+    Rows that have changed since the plan was made raise an error when the result is computed, so nothing is written
+    in part; `blocked_updates` names them beforehand."""
+    j = schedule.join(updates, ["game_id", "team_id"], "left")
+    guard = F.col("new_result").isNull() | _open_row()
+    ok = F.when(guard, F.col("new_result")).otherwise(F.raise_error(F.concat(F.lit("the schedule row changed after planning: "), F.col("game_id"))))
+    return j.withColumn("_new", ok).select(*(
+        F.coalesce("_new", c).alias(c) if c == "result" else F.when(F.col("_new").isNotNull(), F.col("new_score")).otherwise(F.col(c)).alias(c) if c == "score" else F.col(c) for c in schedule.columns
+    ))
+
+
+def _open_row() -> Column:
+    return F.col("result").isNull() & (F.coalesce("score", F.lit("")).isin(*NO_SCORE) | (F.col("score") == F.col("new_score")))
+
+
+def blocked_updates(schedule: DataFrame, updates: DataFrame) -> DataFrame:
+    """The updates without exactly one row to change: gone, repeated, or changed since the plan was made."""
+    j = updates.join(schedule, ["game_id", "team_id"], "left").groupBy("game_id", "team_id").agg(F.count_if(_open_row()).alias("open"), F.count("*").alias("rows"))
+    return j.where("open <> 1 or rows <> 1")
+
+
+def report_json(checks: DataFrame) -> DataFrame:
+    """One row: the suite's outcome and its checks, by name, as JSON."""
+    each = F.array_sort(F.collect_list(F.struct("name", "ok", "critical", "detail")))
+    return checks.agg(F.to_json(F.struct(F.bool_and(F.col("ok") | ~F.col("critical")).alias("ok"), each.alias("checks"))).alias("report"))
+
+
+def markdown_table(df: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """One row: a small result, such as a profile, as a Markdown section; nulls are empty cells."""
+    def line(cells):
+        return F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
+
+    body = F.array_sort(F.collect_list(F.struct(*order, line([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("_line"))))
+    head = f"## {title}\n\n| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
+    return df.agg(F.concat(F.lit(head), F.array_join(F.transform(body, lambda r: r["_line"]), "\n")).alias("section"))

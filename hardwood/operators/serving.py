@@ -100,3 +100,81 @@ def text_report(rows: DataFrame, key: str, line: Column, order: list[str]) -> Da
     """One text a key: its lines in order."""
     g = rows.withColumn("_line", line).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "_line"))).alias("_l"))
     return g.select(key, F.array_join(F.transform("_l", lambda x: x["_line"]), "\n").alias("report"))
+
+
+# -- availability ----------------------------------------------------------------------------------------------------
+
+
+def injury_summary(status: DataFrame) -> DataFrame:
+    """By date: injuries, teams affected, and the injured of each team as lists sorted by name.
+
+    status: game_date, team_id, player_id, player_name, not_playing_reason, not_playing_description."""
+    hurt = status.where(ratings.is_injured(F.col("not_playing_reason")))
+    team = hurt.groupBy("game_date", "team_id").agg(F.array_sort(F.collect_list(F.struct("player_name", "player_id", F.col("not_playing_description").alias("description")))).alias("players"))
+    return team.groupBy("game_date").agg(F.sum(F.size("players")).alias("total_injuries"), F.count("*").alias("teams_affected"), F.array_sort(F.collect_list(F.struct("team_id", "players"))).alias("by_team"))
+
+
+def injury_history(status: DataFrame, season: str | None = None) -> DataFrame:
+    """Injuries by player, each numbered from the newest."""
+    hurt = status.where(ratings.is_injured(F.col("not_playing_reason")))
+    hurt = hurt if season is None else hurt.where(F.col("season") == season)
+    return hurt.withColumn("n_desc", F.row_number().over(Window.partitionBy("player_id").orderBy(F.desc("game_date"), F.desc("game_id"))))
+
+
+def current_injuries(status: DataFrame) -> DataFrame:
+    """Each team's injuries on its newest date."""
+    return injury_summary_rows(latest_with_ties(status, ["team_id"], "game_date"))
+
+
+def injury_summary_rows(status: DataFrame) -> DataFrame:
+    return status.where(ratings.is_injured(F.col("not_playing_reason")))
+
+
+# -- pages -----------------------------------------------------------------------------------------------------------
+
+
+def featured(games: DataFrame, n: int = 3) -> DataFrame:
+    """The first n games of each date that aren't final, filled up with final ones; `place` orders a date's games."""
+    w = Window.partitionBy("game_date").orderBy(F.col("status") == "Final", "place")
+    return games.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
+
+
+def roster_of_season(roster: DataFrame, teams: DataFrame, season: str) -> DataFrame:
+    """Each team's roster of a season, or, for teams without one, the rows filed under its year."""
+    r = roster.join(teams.select("team_id").distinct(), "team_id", "left_semi").where(F.col("season").isin(season, season[:4]))
+    best = F.max(F.col("season") == season).over(Window.partitionBy("team_id"))
+    return r.withColumn("_best", best).where((F.col("season") == season) == F.col("_best")).drop("_best")
+
+
+def slate_streaks(games: DataFrame, roster: DataFrame, streaks: DataFrame) -> DataFrame:
+    """The streaks of all players of both teams of each game. games: game_id, home_team_id, away_team_id."""
+    sides = games.select("game_id", F.explode(F.array(F.struct(F.col("home_team_id").alias("team_id"), F.lit("H").alias("side")), F.struct(F.col("away_team_id").alias("team_id"), F.lit("A").alias("side")))).alias("s")).select("game_id", "s.*")
+    return sides.join(roster.select("team_id", "player_id"), "team_id").join(streaks, "player_id")
+
+
+def slate_context(matchups: DataFrame, environments: DataFrame, rest: DataFrame, odds: DataFrame, flags: DataFrame) -> DataFrame:
+    """Matchups with their environment, both sides' rest and flags, and the odds; what is missing is null.
+
+    rest: game_id, team_id, days_rest, rest_edge. flags: team_id, flags (array)."""
+    out = matchups.join(environments, "game_id", "left").join(odds, "game_id", "left")
+    for side in ("home", "away"):
+        own = rest.select("game_id", F.col("team_id").alias(f"{side}_team_id"), F.col("days_rest").alias(f"{side}_rest"), F.col("rest_edge").alias(f"{side}_edge"))
+        out = out.join(own, ["game_id", f"{side}_team_id"], "left").join(flags.select(F.col("team_id").alias(f"{side}_team_id"), F.col("flags").alias(f"{side}_flags")), f"{side}_team_id", "left")
+    return out
+
+
+def matchup_logs(logs: DataFrame) -> DataFrame:
+    """Game logs as a matchup page shows them: missing counts are 0, minutes one decimal, the result from the scores where
+    it is neither W nor L, and the score as text."""
+    count = [F.coalesce(c, F.lit(0)).alias(c) for c in ("points", "assists", "rebounds", "steals", "blocks", "turnovers")]
+    mine, theirs = F.coalesce("team_score", F.lit(0)), F.coalesce("opponent_score", F.lit(0))
+    own, other = F.coalesce("team_abbreviation", F.lit("TEAM")), F.coalesce("opponent_abbreviation", F.lit("OPP"))
+    result = F.when(F.col("result").isin("W", "L"), F.col("result")).otherwise(F.when(mine > theirs, "W").otherwise("L"))
+    minutes = F.format_string("%.1f", F.coalesce(ratings.minutes(F.col("minutes_played")), F.lit(0.0)))
+    return logs.select("game_id", *count, minutes.alias("minutes_played"), F.coalesce("home_or_away", F.lit("H")).alias("home_or_away"), result.alias("result"), F.format_string("%s %d - %d %s", own, mine, theirs, other).alias("formatted_score"))
+
+
+def odds_summary(odds: DataFrame) -> DataFrame:
+    """By game: the consensus, and each book's American odds as a list by book."""
+    books = odds.groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("sportsbook_id", ratings.american_odds(F.col("home_odds")).alias("home"), ratings.american_odds(F.col("away_odds")).alias("away")))).alias("prices"))
+    return consensus_odds(odds).join(books, "game_id")

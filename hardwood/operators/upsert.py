@@ -1,13 +1,31 @@
-"""Keyed merges on plain Parquet: rows are merged in a plan, written as a new version, and swapped in by a pointer."""
+"""Keyed merges as one plan, and Parquet tables that Spark itself overwrites by partition."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Natural keys of the stored tables, columns that keep their first value, and the partition column; fixed values.
+TABLES = {
+    "gamelogs": (("player_id", "game_id"), (), "season"),
+    "team_game_stats": (("game_id", "team_id"), (), "season"),
+    "streaks": (("player_id", "stat", "threshold", "season", "streak_kind"), (), "season"),
+    "stat_windows": (("player_id", "stat", "threshold", "season", "window_size"), (), "season"),
+    "heat_index": (("player_id", "stat", "season", "window_size"), (), "season"),
+    "consistency": (("player_id", "season", "stat", "window_size"), (), "season"),
+    "team_metrics": (("stat_date", "team_id", "window_size"), (), "season"),
+    "team_flags": (("stat_date", "team_id", "flag_type"), (), "season"),
+    "game_environment": (("game_id", "game_date"), (), "season"),
+    "schedule_factors": (("game_id", "team_id"), (), "season"),
+    "game_odds": (("game_id", "sportsbook_id"), ("recorded_at",), "season"),
+    "player_game_status": (("game_id", "player_id"), ("recorded_at",), "season"),
+    "roster": (("team_id", "player_id", "season"), (), "season"),
+    "team_feature_snapshots": (("game_id", "team_id", "window_size", "feature_as_of", "calculation_version"), ("created_at",), "season"),
+    "environment_snapshots": (("game_id", "window_size", "feature_as_of", "calculation_version"), ("created_at",), "season"),
+}
+
 
 def last_of_batch(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """The last row of each key by the sequence column; nulls stay nulls."""
@@ -15,36 +33,42 @@ def last_of_batch(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def merged(existing: DataFrame, incoming: DataFrame, keys: list[str], preserve: tuple[str, ...] = ()) -> DataFrame:
+def merged(existing: DataFrame, incoming: DataFrame, keys: list[str], preserve: tuple[str, ...] = (), sequence: str | None = None) -> DataFrame:
     """existing with incoming rows instead of those of equal key; `preserve` columns keep their first value.
 
-    One shuffle by key: a full join, as both sides are unique by it."""
+    One aggregation by key. Of incoming rows that share a key the last counts, by the column `sequence` if there is one,
+    else the largest by all columns; so it does for existing rows. Null keys are equal to each other."""
     columns = existing.columns
-    i = incoming.select(*(F.col(c).alias(f"_n_{c}") for c in columns))
-    on = None
-    for k in keys:
-        same = existing[k].eqNullSafe(F.col(f"_n_{k}"))
-        on = same if on is None else on & same
-    e = existing.withColumn("_old", F.lit(True))
-    j = e.join(i.withColumn("_new", F.lit(True)), on, "full")
+    order = F.col(sequence) if sequence else F.lit(0)
+    e = existing.select(*keys, F.lit(False).alias("_new"), F.lit(None).cast(incoming.select(order.alias("o")).schema["o"].dataType).alias("_order"), F.struct(*columns).alias("_row"))
+    i = incoming.select(*keys, F.lit(True).alias("_new"), order.alias("_order"), F.struct(*(F.col(c).cast(existing.schema[c].dataType).alias(c) for c in columns)).alias("_row"))
+    best = F.max_by("_row", F.struct("_new", "_order", "_row"))
+    first = {c: F.max_by(F.col(f"_row.{c}"), F.when(~F.col("_new") & F.col(f"_row.{c}").isNotNull(), F.col("_row"))) for c in preserve}
+    g = e.unionByName(i).groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(best.alias("_best"), *(v.alias(f"_first_{c}") for c, v in first.items()))
+    return g.select(*(F.coalesce(F.col(f"_first_{c}"), F.col(f"_best.{c}")).alias(c) if c in preserve else F.col(f"_best.{c}").alias(c) for c in columns))
 
-    def pick(c):
-        fresh = F.col(f"_n_{c}")
-        if c in preserve:
-            return F.coalesce(F.col(c), fresh).alias(c)
-        return F.when(F.col("_new").isNotNull(), fresh).otherwise(F.col(c)).alias(c)
 
-    return j.select(*map(pick, columns))
+def merged_table(name: str, existing: DataFrame, incoming: DataFrame, sequence: str | None = None) -> DataFrame:
+    """`merged` by the contract of a stored table."""
+    keys, preserve, _ = TABLES[name]
+    return merged(existing, incoming, list(keys), preserve, sequence)
 
 
 def classified(existing: DataFrame, incoming: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(keys, change): inserted, removed, updated or unchanged."""
     e = existing.select(*keys, F.struct(*values).alias("_e"))
     i = incoming.select(*keys, F.struct(*values).alias("_i"))
-    change = F.when(F.col("_e").isNull(), "inserted").when(F.col("_i").isNull(), "removed").when(F.col("_e") != F.col("_i"), "updated").otherwise("unchanged")
+    change = F.when(F.col("_e").isNull(), "inserted").when(F.col("_i").isNull(), "removed").when(~F.col("_e").eqNullSafe(F.col("_i")), "updated").otherwise("unchanged")
     return e.join(i, keys, "full").select(*keys, change.alias("change"))
 
 
+def reconciled_roster(existing: DataFrame, incoming: DataFrame, scope: list[str], key: str) -> DataFrame:
+    """existing with the scopes (such as team and season) that incoming has replaced by its rows; of these, rows that
+    incoming lacks go. An empty incoming frame replaces nothing."""
+    stays = existing.join(incoming.select(*scope).distinct(), scope, "left_anti")
+    return stays.unionByName(incoming.dropDuplicates([*scope, key]).select(*existing.columns))
+
+
 def deduplicated(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row of each whole key, the smallest by all columns."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in rows.columns])
@@ -55,46 +79,48 @@ def retained(rows: DataFrame, seasons: list[str]) -> DataFrame:
     return rows.where(F.col("season").isin(seasons))
 
 
-class VersionedTable:
-    """A Parquet table whose versions are whole folders; a small pointer file names the current one.
-
-    Readers see the old version until the pointer moves, and a failed write leaves it as it is."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs
-        self._path = self._fs.Path(f"{self.root}/CURRENT")
-
-    def _files(self):
-        return self._path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def current(self) -> str | None:
-        if not self._files().exists(self._path):
-            return None
-        return json.loads(self.spark.read.text(str(self._path.toString())).first()[0])["path"]
-
-    def read(self) -> DataFrame | None:
-        path = self.current()
-        return self.spark.read.parquet(path) if path else None
-
-    def write(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> str:
-        path = f"{self.root}/v-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(path)
-        files, draft = self._files(), self._fs.Path(f"{self.root}/.next-{uuid.uuid4().hex}")
-        out = files.create(draft, True)
-        out.write(bytearray(json.dumps({"path": path}).encode()))
-        out.close()
-        files.delete(self._path, False)
-        files.rename(draft, self._path)
-        return path
-
-    def upsert(self, incoming: DataFrame, keys: list[str], preserve: tuple[str, ...] = ()) -> str:
-        old = self.read()
-        return self.write(incoming if old is None else merged(old, incoming, keys, preserve))
-
-    def replace_partitions(self, incoming: DataFrame, column: str) -> str:
-        """Rows of the partitions that incoming has are replaced, all others stay."""
-        old = self.read()
-        if old is None:
-            return self.write(incoming)
-        return self.write(old.join(incoming.select(column).distinct(), column, "left_anti").select(*incoming.columns).unionByName(incoming))
+def latest_seasons(rows: DataFrame, n: int = 10) -> DataFrame:
+    """Rows of the n latest seasons; the seasons, a few, are ranked and joined back."""
+    seasons = rows.select("season").where("season is not null").distinct().orderBy(F.desc("season")).limit(n)
+    return rows.join(F.broadcast(seasons), "season", "left_semi")
+
+
+def cleaned(rows: DataFrame, keys: list[str], defaults: dict[str, object], names: list[str] = [], seasons: int = 10) -> DataFrame:  # noqa: B006
+    """The cleanup of a stored table: one row a key, names in title case, defaults for nulls, the latest seasons only."""
+    one = deduplicated(rows, keys)
+    one = one.select(*(F.initcap(F.trim(c)).alias(c) if c in names else F.col(c) for c in one.columns)).na.fill(defaults)
+    return latest_seasons(one, seasons)
+
+
+# -- stored tables ---------------------------------------------------------------------------------------------------
+
+
+def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
+    """Writes rows over the partitions of `by` that they have; all others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def upsert(incoming: DataFrame, path: str, keys: list[str], by: str, preserve: tuple[str, ...] = (), sequence: str | None = None) -> None:
+    """Merges rows into a Parquet table that is partitioned by `by`, one of its keys; a missing table is made.
+
+    Only the partitions of incoming rows are read and written. The merged rows are first written beside the table, so
+    that a run that stops there leaves the table as it was, and running it again gives the same table."""
+    spark, staging = incoming.sparkSession, f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
+    if by not in keys:
+        raise ValueError("rows of one key have to lie in one partition")
+    new = incoming
+    if _exists(spark, path):
+        old = spark.read.parquet(path)
+        touched = old.join(F.broadcast(incoming.select(by).distinct()), by, "left_semi")
+        new = merged(touched.select(*incoming.columns), incoming, keys, preserve, sequence)
+    else:
+        new = merged(incoming.limit(0), incoming, keys, preserve, sequence)
+    new.write.parquet(staging)
+    replace_partitions(spark.read.schema(new.schema).parquet(staging), path, by)
+    p = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hardwood.functions import ratings
 from hardwood.operators import form, schedule, serving, teams
-from hardwood.plans.bridge import SQL_GAMES, SQL_LOGS, SQL_ODDS, games, logs, odds, table
+from hardwood.plans.bridge import SQL_GAMES, SQL_LOGS, SQL_ODDS, games, logs, odds, orders, table
 from hardwood.plans.players import _CUR, _HEAT, _win
 
 _CUT = "2024-01-20 15:00:00"
@@ -48,7 +48,7 @@ def _callouts(spark, d):
 
 def _tiers(spark, d):
     h = form.heat_index(form.complete(logs(spark, d)), (5,), decimals=8)
-    t = serving.tiers(h, {"on_fire": 20, "heating_up": 15, "cooling_down": 15, "ice_cold": 20, "average": 10})
+    t = serving.tiers(h, {"on_fire": 20, "heating_up": 15, "cooling_off": 15, "ice_cold": 20, "average": 10})
     return t.select("tier", "player_id", "z_score", F.col("position").cast("long").alias("position"))
 
 
@@ -74,22 +74,23 @@ def _compare(spark, d):
 
 
 def _slate(spark, d):
-    """Games of a date with both teams' names, rest edge, consensus odds and form."""
-    g = games(spark, d)
-    day = g.where("game_date between '1998-03-01' and '1998-03-07'")
-    sides = teams.pair_sides(day, ["team_id"])
-    f = schedule.factors(g)
-    rest = f.select("game_id", "team_id", "rest_edge")
+    """Games of a week with both teams' names, rest edge and consensus odds. Lines of other games are read for the
+    teams' schedules only, up to the week."""
+    o = orders(spark, d)
+    week = o.where("game_date between '1998-03-01' and '1998-03-07'")
+    sides = teams.pair_sides(games(spark, d, week, box=False), ["team_id"])
+    f = schedule.factors(games(spark, d, o.where("game_date <= '1998-03-07'"), box=False))
+    rest = f.where("game_date >= '1998-03-01'").select("game_id", "team_id", "rest_edge")
     names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("team_id"), F.col("s_name").alias("name"))
     s = sides.join(rest.withColumnsRenamed({"team_id": "home_team_id", "rest_edge": "home_edge"}), ["game_id", "home_team_id"], "left")
-    s = s.join(serving.consensus_odds(odds(spark, d)), "game_id", "left")
+    s = s.join(serving.consensus_odds(odds(spark, d, week)), "game_id", "left")
     for side in ("home", "away"):
         s = s.join(names.withColumnsRenamed({"team_id": f"{side}_team_id", "name": f"{side}_name"}), f"{side}_team_id", "left")
     return s.select("game_id", "home_name", "away_name", "home_edge", "home_odds", "away_odds", "home_spread", "n_books")
 
 
 def _report(spark, d):
-    h = form.heat_index(form.complete(logs(spark, d)), (3, 5, 10))
+    h = form.heat_index(form.complete(logs(spark, d)), (3, 5, 10), decimals=8)
     line = F.format_string("%-3d %8.3f %s", "window_size", "z_score", "status")
     return serving.text_report(h, "player_id", line, ["window_size"])
 
@@ -104,14 +105,16 @@ def _props(spark, d):
 
 
 def _vs(spark, d):
-    g = games(spark, d).where("team_id = 7 or opponent_team_id = 7")
-    return g.select("game_id").distinct()
+    """Games of a team, on either side: only orders with a line of that supplier are read into the shuffle."""
+    mine = table(spark, d, "lineitem").where("l_suppkey = 7").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    g = games(spark, d, orders(spark, d).join(mine, "o_orderkey", "left_semi"), box=False)
+    return g.where("team_id = 7 or opponent_team_id = 7").select("game_id").distinct()
 
 
 def _ranks(spark, d):
-    g = teams.season_and_recent(games(spark, d))
-    w = form.Window.orderBy(F.desc("off_rating_season"))
-    return form.leaders(g.select("team_id", F.col("off_rating_season").alias("rating"), F.rank().over(w).cast("long").alias("position")), ["position", "team_id"], 15)
+    """The first 15 by rating; ranks are given to these alone, as no other row can share a better one."""
+    g = teams.season_and_recent(games(spark, d), decimals=10).select("team_id", F.col("off_rtg_season").alias("rating"))
+    return form.leaders(g, [F.desc("rating"), "team_id"], 15).withColumn("position", F.rank().over(form.Window.orderBy(F.desc("rating"))).cast("long"))
 
 
 QUERIES = {
@@ -135,7 +138,7 @@ QUERIES = {
 }
 
 _L, _G = f"WITH {SQL_LOGS}", f"WITH {SQL_GAMES}"
-_TIER = "CASE WHEN z_score >= 1 THEN 'on_fire' WHEN z_score >= 0.65 THEN 'heating_up' WHEN z_score >= -0.64 THEN 'average' WHEN z_score >= -1 THEN 'cooling_down' ELSE 'ice_cold' END"
+_TIER = "CASE WHEN z_score >= 1 THEN 'on_fire' WHEN z_score >= 0.65 THEN 'heating_up' WHEN z_score >= -0.64 THEN 'average' WHEN z_score >= -1 THEN 'cooling_off' ELSE 'ice_cold' END"
 _CON = """
 co AS (SELECT game_id, round(avg(home_odds) FILTER (WHERE home_odds <> 0), 4) AS home_odds, round(avg(away_odds) FILTER (WHERE away_odds <> 0), 4) AS away_odds, round(avg(home_spread) FILTER (WHERE home_spread <> 0), 4) AS home_spread,
        count(DISTINCT sportsbook_id) AS n_books, array_to_string(list_sort(list_distinct(list(sportsbook_id))), ',') AS books FROM od GROUP BY game_id)"""
@@ -181,5 +184,6 @@ ORACLE = {
     "json_props_extract": "SELECT event_type, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total, max(CAST(props->>'$.k' AS BIGINT)) AS largest, count(props->>'$.k') AS n FROM events GROUP BY event_type",
     "either_side_games": f"{_G} SELECT DISTINCT game_id FROM ga WHERE team_id = 7 OR opponent_team_id = 7",
     "rank_columns_top15": f"""{_G} SELECT team_id, rating, rank() OVER (ORDER BY rating DESC) AS position FROM (
-        SELECT team_id, round(sum(pts) / sum(fga + 0.44::DOUBLE * fta - oreb + tov) * 100, 4) AS rating FROM ga GROUP BY team_id) ORDER BY position, team_id LIMIT 15""",
+        SELECT team_id, round(sum(pts) / (sum(fga * 100 + fta * 44 - oreb * 100 + tov * 100) / 100.0::DOUBLE) * 100, 10) AS rating FROM ga WHERE ok GROUP BY team_id) ORDER BY position, team_id LIMIT 15""",
+    "heat_text_report": f"""{_L}, {_HEAT} SELECT player_id, string_agg(rpad(CAST(window_size AS VARCHAR), 3, ' ') || ' ' || lpad(printf('%.3f', z_score), 8, ' ') || ' ' || status, chr(10) ORDER BY window_size) AS report FROM ht GROUP BY player_id""",
 }

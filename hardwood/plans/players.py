@@ -80,9 +80,9 @@ def _grid(f):
 
 
 def _streaks_with_team(spark, d):
-    """Current streaks with the customer's name and segment; players without one get 'N/A'."""
+    """Current streaks with the customer's name and segment; players who aren't customers with a balance get 'N/A'."""
     s = form.current_streaks(form.complete(logs(spark, d)), THRESHOLDS)
-    c = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("player_id"), "c_name", "c_mktsegment")
+    c = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("player_id"), "c_name", "c_mktsegment")
     j = s.join(c, "player_id", "left")
     return j.select("player_id", F.coalesce("c_name", F.lit("N/A")).alias("name"), F.coalesce("c_mktsegment", F.lit("N/A")).alias("team"), "threshold", "streak_games")
 
@@ -164,7 +164,7 @@ ORACLE = {
     "most_steady": f"{_L}, {_CONS} SELECT player_id, cv FROM cn WHERE window_size = 0 ORDER BY cv, player_id LIMIT 15",
     "high_hit_rate_windows": f"{_L}, {_win('5, 10')} SELECT player_id, threshold, window_size, round(games_hit / games_played, 4) AS hit_rate FROM wn WHERE games_hit / games_played >= 0.8",
     "five_tier_heat_buckets": f"""{_L}, {_HEAT} SELECT window_size, CASE WHEN z_score >= 1 THEN 'on_fire' WHEN z_score >= 0.65 THEN 'heating_up' WHEN z_score >= -0.64 THEN 'average'
-        WHEN z_score >= -1 THEN 'cooling_down' ELSE 'ice_cold' END AS tier, count(*) AS players FROM ht GROUP BY ALL""",
+        WHEN z_score >= -1 THEN 'cooling_off' ELSE 'ice_cold' END AS tier, count(*) AS players FROM ht GROUP BY ALL""",
     "last_10_averages": f"{_L} SELECT player_id, round(avg(value), 4) AS avg_value, count(*) AS games, max(value) AS best FROM nl WHERE n_desc <= 10 GROUP BY player_id",
     "best_event_per_user": f"{_L} SELECT player_id, game_id, value FROM lg QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY value DESC, game_id) = 1",
     "streak_rank_score": f"""{_L}, {_CUR}, {_longest(_TH)}, {_MEAN},
@@ -172,12 +172,12 @@ ORACLE = {
         sc AS (SELECT bo.*, round(CASE WHEN kind = 'current' THEN 1100.0::DOUBLE ELSE 0 END + coalesce(100.0::DOUBLE * CASE WHEN a > 0 THEN threshold / a END, 0) + streak_games * 0.1::DOUBLE, 4) AS rank_score FROM bo JOIN av USING (player_id))
         SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY rank_score DESC, kind, threshold) = 1""",
     "window_rank_score": f"""{_L}, {_win('5, 10')}, {_MEAN},
-        sc AS (SELECT player_id, threshold, window_size, games_hit, games_played, round(coalesce(least(50.0::DOUBLE * CASE WHEN a > 0 THEN threshold / a END, 100.0), 0) + games_hit / games_played * 50 + CASE WHEN window_size = 10 THEN 10 ELSE 0 END, 4) AS rank_score
-               FROM wn JOIN av USING (player_id) WHERE games_hit / games_played >= 0.2)
+        sc AS (SELECT player_id, threshold, window_size, games_hit, games_played, round(CASE WHEN a > 0 THEN least(50.0::DOUBLE * threshold / a, 100.0) ELSE least(threshold * 3, 100.0) END + games_hit / games_played * 50 + CASE WHEN window_size = 10 THEN 10 ELSE 0 END, 4) AS rank_score
+               FROM wn LEFT JOIN av USING (player_id) WHERE games_hit > 0 AND (games_hit / games_played >= 0.2 OR (a > 0 AND threshold <= a * 1.5::DOUBLE)))
         SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY rank_score DESC, threshold, window_size) AS position FROM sc QUALIFY position <= 3""",
     "composite_score": f"""{_T}, p AS (SELECT player_id, stat, avg(value) AS a, CASE stat WHEN 'click' THEN 1.0 WHEN 'error' THEN -2.0 WHEN 'purchase' THEN 3.0 WHEN 'signup' THEN 1.5 WHEN 'view' THEN 0.5 END::DOUBLE AS w FROM lg GROUP BY player_id, stat)
         SELECT player_id, round(sum(w * a) / nullif(sum(abs(w)), 0), 10) AS score FROM p GROUP BY player_id""",
     "threshold_grid": f"{_L} SELECT DISTINCT player_id, stat, threshold FROM lg, {_TH}",
     "streaks_left_outer_roster": f"""{_L}, {_CUR} SELECT player_id, coalesce(c_name, 'N/A') AS name, coalesce(c_mktsegment, 'N/A') AS team, threshold, streak_games
-        FROM cs LEFT JOIN customer ON c_custkey = player_id AND c_custkey % 3 <> 0""",
+        FROM cs LEFT JOIN customer ON c_custkey = player_id AND c_acctbal > 0""",
 }

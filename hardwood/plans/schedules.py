@@ -10,7 +10,7 @@ from hardwood.plans.bridge import SQL_GAMES, games, table
 
 
 def _q(f):
-    return lambda spark, d: f(games(spark, d))
+    return lambda spark, d: f(games(spark, d, box=False))
 
 
 _DENSITY = ["team_id", "game_date", "days_rest", "prior_3in4", "prior_4in5", "prior_5in7", "is_b2b", "is_3in4", "is_4in5", "is_5in7"]
