@@ -22,9 +22,10 @@ from hardwood.llm.common import Scratch, ascii_lower, broadcast_if_small, table
 
 #: (host, path, verdict), as the contract states them.
 LISTED = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: A rule needs this many labelled URLs, this confidence and this much more than the label's share of all of them. A
-#: share of the labelled URLs is not asked for, so that evidence enough for one table is enough for a larger one.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT = 0.0, 25, 0.6, 1.1
+#: A rule needs this many labelled URLs, this confidence, this much more than the label's share of all of them, and to be
+#: so many standard errors above that share, as many combinations are tried. A share of the labelled URLs is not asked
+#: for, so that evidence enough for one table is enough for a larger one.
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT, MIN_ERRORS = 0.0, 25, 0.6, 1.1, 3.0
 #: Items for the labels; no token looks like them.
 BAD, GOOD = "verdict:bad", "verdict:good"
 #: Tokens of rules that may be broadcast; more are joined by a shuffle.
@@ -75,7 +76,7 @@ def label_tokens(tokens: Column, host: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(tokens, lambda t: ~t.startswith("host=")), each, domains))
 
 
-def mine_rules(labelled: DataFrame, scratch: Scratch, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine_rules(labelled: DataFrame, scratch: Scratch, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_errors: float = MIN_ERRORS) -> DataFrame:
     """From (tokens, bad boolean): rule_id, items, bad, confidence, support, index_token of the rules for each label."""
     baskets = labelled.where(F.size("tokens") > 0).select(F.array_append("tokens", F.when(F.col("bad"), BAD).otherwise(GOOD)).alias("items"))
     n = baskets.count()
@@ -88,7 +89,9 @@ def mine_rules(labelled: DataFrame, scratch: Scratch, min_support: float = MIN_S
     shares = both.where("label is not null and size(items) = 0").select("label", F.col("together").alias("of_label"))  # two rows
     rules = both.where("label is not null and size(items) > 0").join(sets, "items").join(F.broadcast(shares), "label")
     confidence = F.col("together") / F.col("freq")
-    rules = rules.select("items", (F.col("label") == BAD).alias("bad"), confidence.alias("confidence"), (F.col("together") / F.lit(max(1, n))).alias("support"), (confidence * n / F.col("of_label")).alias("lift"))
+    share = F.col("of_label") / F.lit(max(1, n))
+    errors = (confidence - share) * F.sqrt("freq") / F.nullif(F.sqrt(share * (1 - share)), F.lit(0.0))
+    rules = rules.where(errors >= min_errors).select("items", (F.col("label") == BAD).alias("bad"), confidence.alias("confidence"), (F.col("together") / F.lit(max(1, n))).alias("support"), (confidence * n / F.col("of_label")).alias("lift"))
     rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)).withColumn("rule_id", F.xxhash64("items", "bad"))
     single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rarest = rules.select("rule_id", F.explode("items").alias("token")).join(single, "token").groupBy("rule_id").agg(F.min(F.struct("freq", "token")).alias("m"))

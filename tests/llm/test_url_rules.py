@@ -51,7 +51,7 @@ def test_mined_rules_like_brute_force(spark):
     labelled = url_rules.labelled_urls(pages, frame(spark, labels, LABELS))
     baskets = [(frozenset(r.tokens), r.bad) for r in labelled.collect()]
     assert len(baskets) == 400
-    mined = url_rules.mine_rules(labelled, Scratch(spark, "test"), 0.02, 10, 0.6, 1.1)
+    mined = url_rules.mine_rules(labelled, Scratch(spark, "test"), 0.02, 10, 0.6, 1.1, 1.0)
     rules = {(frozenset(r["items"]), r.bad): (r.confidence, r.support, r.lift) for r in mined.collect()}
     tokens = sorted(set().union(*(b for b, _ in baskets)))
     share = {x: sum(bad == x for _, bad in baskets) / 400 for x in (True, False)}
@@ -61,7 +61,9 @@ def test_mined_rules_like_brute_force(spark):
             have = [bad for b, bad in baskets if items <= b]
             for label in (True, False):
                 n = have.count(label)
-                if n >= 10 and n / len(have) >= 0.6 and n / len(have) / share[label] >= 1.1:
+                p = share[label]
+                errors = (n / len(have) - p) * (len(have) / (p * (1 - p))) ** 0.5 if have else 0
+                if n >= 10 and n / len(have) >= 0.6 and n / len(have) / p >= 1.1 and errors >= 1:
                     want[items, label] = (n / len(have), n / 400, n / len(have) / share[label])
     assert set(rules) == set(want) and {bad for _, bad in want} == {True, False}
     assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(rules[k], want[k], strict=True))
