@@ -4,19 +4,45 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
+from hardwood.operators import upsert
+from hardwood.session import shared_folder
 from hardwood.streaming import events
 
 
-def _run(shape, mode):
-    def query(spark, d):
-        return events.collected(spark, shape(events.read_events(spark, d)), f"s_{uuid.uuid4().hex}", mode)
+def _folder(spark):
+    return f"{shared_folder(spark)}/hardwood/stream-{uuid.uuid4().hex}"
+
+
+def _run(shape):
+    return lambda spark, d: events.stored(spark, shape(events.read_events(spark, d)), _folder(spark))
+
+
+def _published(spark, d):
+    """Daily counts, merged batch by batch into a stored table of days."""
+    folder = _folder(spark)
+    stream = events.tumbling(events.read_events(spark, d))
+
+    def merge(batch, _):
+        rows = batch.select(F.to_date("start").alias("day"), "event_type", "n")
+        upsert.upsert(rows, f"{folder}/days", ["day", "event_type"], "day")
+
+    events.publish(stream, merge, f"{folder}/checkpoint")
+    return spark.read.schema("event_type string, n long, day date").parquet(f"{folder}/days").select("day", "event_type", "n")
+
 
-    return query
+def _distinct(spark, d):
+    """A stream that brings every event twice, without the repeats."""
+    e = events.read_events(spark, d)
+    return events.stored(spark, events.distinct_events(e.union(e)), _folder(spark), "append").select("event_id", "event_type", "value")
 
 
 QUERIES = {
-    "stream_tumbling_days": _run(events.tumbling, "complete"),
-    "stream_sessions": _run(events.sessions, "complete"),
+    "stream_tumbling_days": _run(events.tumbling),
+    "stream_sessions": _run(events.sessions),
+    "stream_published_days": _published,
+    "stream_distinct": _distinct,
 }
 
 ORACLE = {
@@ -24,4 +50,6 @@ ORACLE = {
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
         s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
         SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, session""",
+    "stream_distinct": "SELECT event_id, event_type, value FROM events",
+    "stream_published_days": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,15 @@ def local_session(app: str = "hardwood", cpus: str = "*", partitions: int = 8, m
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local master may go without, and gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.hardwood.shared", None)
+    if base:
+        return base.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = "file://" + tempfile.mkdtemp(prefix="hardwood-")
+    spark.conf.set("spark.hardwood.shared", base)
+    return base

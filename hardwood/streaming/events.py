@@ -35,8 +35,17 @@ def publish(stream: DataFrame, upsert: Callable[[DataFrame, int], None], checkpo
     query.awaitTermination()
 
 
-def collected(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs the stream over what is there now; its result as a table in memory, for small results."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def stored(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs the stream over what is there now; its result, as its batches have written it below folder, which driver and
+    executors share: that of the last batch in mode complete, of all in mode append. Every batch writes a folder of its
+    own, so that one that is repeated leaves no trace."""
+    batches: list[int] = []
+
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/result/batch={n}")
+        batches.append(n)
+
+    publish(stream, write, f"{folder}/checkpoint", mode)
+    counted = [max(batches)] if mode == "complete" and batches else batches
+    paths = [f"{folder}/result/batch={n}" for n in sorted(set(counted))]
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
