@@ -145,7 +145,7 @@ def apply_results(schedule: DataFrame, updates: DataFrame) -> DataFrame:
     """schedule with the updates, each of which needs exactly one row that still has no result and no other score.
 
     Rows that have changed since the plan was made raise an error when the result is computed, so nothing is written
-    in part; `blocked_updates` names them beforehand."""
+    in part; `blocked_updates` names them beforehand, and those whose row is gone or repeated."""
     j = schedule.join(updates, ["game_id", "team_id"], "left")
     guard = F.col("new_result").isNull() | _open_row()
     ok = F.when(guard, F.col("new_result")).otherwise(F.raise_error(F.concat(F.lit("the schedule row changed after planning: "), F.col("game_id"))))
@@ -160,8 +160,9 @@ def _open_row() -> Column:
 
 def blocked_updates(schedule: DataFrame, updates: DataFrame) -> DataFrame:
     """The updates without exactly one row to change: gone, repeated, or changed since the plan was made."""
-    j = updates.join(schedule, ["game_id", "team_id"], "left").groupBy("game_id", "team_id").agg(F.count_if(_open_row()).alias("open"), F.count("*").alias("rows"))
-    return j.where("open <> 1 or rows <> 1")
+    j = updates.join(schedule.withColumn("_there", F.lit(True)), ["game_id", "team_id"], "left")
+    n = j.groupBy("game_id", "team_id").agg(F.count_if(F.col("_there") & _open_row()).alias("open"), F.count("_there").alias("rows"))
+    return n.where("open <> 1 or rows <> 1")
 
 
 def report_json(checks: DataFrame) -> DataFrame:

@@ -199,7 +199,7 @@ def team_box_scores(feed: DataFrame, schedule: DataFrame) -> DataFrame:
     """Box scores with opponent, date and season; games that the schedule doesn't have go. Dates are like "OCT 22, 2024"."""
     day = F.to_date(F.initcap("game_date"), "MMM dd, yyyy")
     s = schedule.select("game_id", "team_id", "opponent_team_id").distinct()
-    b = feed.withColumn("game_id", seasons.game_id(F.col("game_id"))).withColumn("game_date", day).withColumn("season", seasons.season_of(day))
+    b = feed.withColumn("game_id", seasons.game_id(F.col("game_id"))).withColumn("game_date", day).withColumn("season", seasons.season_of(F.col("game_date")))
     return b.join(s, ["game_id", "team_id"])
 
 
