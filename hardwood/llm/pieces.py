@@ -1,14 +1,18 @@
 """SentencePiece encoding and decoding in batches of numpy arrays.
 
 Words of equal length advance together. All substrings of such a batch are hashed from one running sum and looked up
-among the sorted hashes of the pieces. For a unigram model a Viterbi pass over the positions follows: the maxima of
-all words are taken at once and kept as backpointers. A BPE model segments otherwise: its scores rank merges, and sums
-of ranks don't lead to its segmentation. For it the same looked-up scores drive the merges: at each step every word of
-the batch joins its best pair, found by one vectorised maximum. Characters without a piece become byte pieces.
+among the sorted hashes of the pieces. A Viterbi pass over the positions follows: the maxima of all words are taken at
+once and kept as backpointers. For a unigram model its path is the model's segmentation. A BPE model segments otherwise:
+its scores rank merges, and the path with the best sum of ranks is often another one. For it the same looked-up scores
+drive the merges: at each step every word of the batch joins its best pair, found by one vectorised maximum; the Viterbi
+path can be had beside that, as its number of pieces and whether both agree. Characters without a piece become byte
+pieces.
 
 Defined cases: null texts have no pieces and decode to ""; an empty text has no pieces; U+2581 in a text decodes to a
-space, as the format can't tell them apart; repeated rows are encoded alike; ids outside the vocabulary decode to
-U+FFFD; an empty table gives no rows.
+space, as the format can't tell them apart; of equal sums the shorter last piece counts, of equal pairs the leftmost;
+repeated rows are encoded alike; a text is encoded whole, a word of a million characters too; columns of the input stay,
+and those named like an added one are replaced; ids outside the vocabulary decode to U+FFFD; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -163,6 +167,26 @@ def viterbi(found: list[np.ndarray], scores: np.ndarray, unknown: float) -> np.n
     return back
 
 
+def viterbi_long(size: int, found: list[np.ndarray], scores: np.ndarray, unknown: float) -> np.ndarray:
+    """viterbi for one long word: one arc after the other, by their ends, instead of a step over lengths for each position."""
+    start, length, gain = [np.flatnonzero(found[0][0] < 0)], [], []
+    length.append(np.ones(len(start[0]), np.int64))
+    gain.append(np.full(len(start[0]), unknown))
+    for n, ids in enumerate(found, 1):
+        at = np.flatnonzero(ids[0] >= 0)
+        start.append(at)
+        length.append(np.full(len(at), n))
+        gain.append(scores[ids[0, at]])
+    begin, size_of, weight = (np.concatenate(x) for x in (start, length, gain))
+    order = np.lexsort((size_of, begin + size_of))
+    best, back = [0.0] + [-np.inf] * size, np.zeros((1, size + 1), np.int64)
+    for a, b, w in zip(begin[order].tolist(), (begin + size_of)[order].tolist(), weight[order].tolist(), strict=True):
+        if best[a] + w > best[b]:
+            best[b] = best[a] + w
+            back[0, b] = a
+    return back
+
+
 def merge_pairs(found: list[np.ndarray], scores: np.ndarray) -> np.ndarray:
     """The same table for a BPE model: each word joins its best-scored pair, the leftmost of equals, until none is a
     piece."""
@@ -226,12 +250,30 @@ def merge_long(size: int, ids: list[np.ndarray], scores: np.ndarray) -> np.ndarr
     return back
 
 
+def walked(back: np.ndarray, found: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The paths of all words, walked back at once: (word, start, id or -1) of each last piece, then of those before."""
+    n, size = back.shape[0], back.shape[1] - 1
+    at, rows, steps = np.full(n, size), np.arange(n), []
+    while len(rows):
+        start = back[rows, at[rows]]
+        length = at[rows] - start
+        ids = np.full(len(rows), -1, np.int32)
+        for s in np.unique(length):
+            own = length == s
+            ids[own] = found[s - 1][rows[own], start[own]]
+        steps.append((rows, start, ids))
+        at[rows] = start
+        rows = rows[start > 0]
+    return steps
+
+
 class Segmenter:
     """Ids of units (words with the space marks before them)."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, best: bool = True):
+        """best: whether the Viterbi paths are wanted where they aren't the segmentation."""
         self.table, self.v = PieceTable(vocabulary), vocabulary
-        self.scores = np.array(vocabulary.scores)
+        self.scores, self.best = np.array(vocabulary.scores), best
         self.unknown = float(min(self.scores[list(vocabulary.normal)], default=0.0)) - 10.0
         longer = {c for p, n in zip(vocabulary.pieces, vocabulary.normal, strict=True) if n and len(p) > 1 for c in p}
         if any(n and SPACE in p.lstrip(SPACE) for p, n in zip(vocabulary.pieces, vocabulary.normal, strict=True)):
@@ -245,70 +287,88 @@ class Segmenter:
     def _reset(self) -> None:
         self.known.clear()
         self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: Of each unit: pieces of its Viterbi path, and whether that is its segmentation.
+        self.n_best, self.same = np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def _segment(self, words: list[str]) -> list[np.ndarray]:
+    def _segment(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+        n_best, same = np.zeros(len(words), np.int64), np.ones(len(words), bool)
         for index in by_length(words):
             length = len(words[index[0]])
             points = code_points([words[i] for i in index], length)
             for lo, hi in [(0, len(index))] if length <= LONG else [(i, i + 1) for i in range(len(index))]:
+                own = index[lo:hi]
                 found = self.table.substrings(points[lo:hi])
+                steps = []
+                if self.best or self.v.kind != BPE:
+                    steps = best = walked(viterbi(found, self.scores, self.unknown) if length <= LONG else viterbi_long(length, found, self.scores, self.unknown), found)
+                    n_best[own] = self._count(best, [words[i] for i in own])
                 if self.v.kind == BPE:
-                    back = merge_pairs(found, self.scores) if length <= LONG else merge_long(length, found, self.scores)
-                else:
-                    back = viterbi(found, self.scores, self.unknown)
-                # Walk all words back at once.
-                at, rows, steps = np.full(hi - lo, length), np.arange(hi - lo), []
-                while len(rows):
-                    start = back[rows, at[rows]]
-                    size = at[rows] - start
-                    ids = np.full(len(rows), -1, np.int32)
-                    for s in np.unique(size):
-                        own = size == s
-                        ids[own] = found[s - 1][rows[own], start[own]]
-                    steps.append((rows, start, ids))
-                    at[rows] = start
-                    rows = rows[start > 0]
-                pieces: list[list[int]] = [[] for _ in range(hi - lo)]
+                    steps = walked(merge_pairs(found, self.scores) if length <= LONG else merge_long(length, found, self.scores), found)
+                    if self.best:
+                        same[own] = (self._cuts(best, hi - lo, length) == self._cuts(steps, hi - lo, length)).all(1)
+                pieces: list[list[int]] = [[] for _ in own]
                 for rows, start, ids in reversed(steps):
                     for r, s, i in zip(rows.tolist(), start.tolist(), ids.tolist(), strict=True):
-                        pieces[r] += [i] if i >= 0 else self._bytes(words[index[lo + r]][s])
-                for r, p in enumerate(pieces):
-                    out[index[lo + r]] = np.array(p, np.int32)
-        return out
+                        pieces[r] += [i] if i >= 0 else self._bytes(words[own[r]][s])
+                for i, p in zip(own, pieces, strict=True):
+                    out[i] = np.array(p, np.int32)
+        return out, n_best, same
+
+    @staticmethod
+    def _cuts(steps, n: int, size: int) -> np.ndarray:
+        cuts = np.zeros((n, size), bool)
+        for rows, start, _ in steps:
+            cuts[rows, start] = True
+        return cuts
+
+    def _count(self, steps, words: list[str]) -> np.ndarray:
+        n = np.zeros(len(words), np.int64)
+        for rows, start, ids in steps:
+            n[rows] += 1
+            for r, s in zip(rows[ids < 0].tolist(), start[ids < 0].tolist(), strict=True):
+                n[r] += len(self._bytes(words[r][s])) - 1
+        return n
 
     def _bytes(self, char: str) -> list[int]:
         ids = [self.v.byte_ids[b] for b in char.encode()]
         return ids if min(ids) >= 0 else [self.v.unknown]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and the offsets of the texts in them."""
+    def _slots(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The remembered units of all texts in a row, and how many each text has."""
         split = [self.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self._reset()
         new = list({u for units in split for u in units if u not in self.known})
         if new:
-            ids = self._segment(new)
+            ids, n_best, same = self._segment(new)
             size = np.array([len(x) for x in ids])
             begin = len(self.flat) + np.r_[0, np.cumsum(size)[:-1]]
             self.known.update(zip(new, range(len(self.begin), len(self.begin) + len(new)), strict=True))
             self.flat, self.begin, self.size = np.concatenate([self.flat, *ids]), np.r_[self.begin, begin], np.r_[self.size, size]
-        slot = np.fromiter((self.known[u] for units in split for u in units), np.int64)
+            self.n_best, self.same = np.r_[self.n_best, n_best], np.r_[self.same, same]
+        return np.fromiter((self.known[u] for units in split for u in units), np.int64), np.array([len(u) for u in split], np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the offsets of the texts in them; then of each text the pieces of its Viterbi
+        path, and whether that is its segmentation."""
+        slot, units = self._slots(texts)
         size = self.size[slot]
         ends = np.r_[0, np.cumsum(size)]
         flat = self.flat[np.repeat(self.begin[slot] - ends[:-1], size) + np.arange(ends[-1])]
-        return flat, ends[np.r_[0, np.cumsum([len(u) for u in split])].astype(np.int64)]
+        of = np.repeat(np.arange(len(units)), units)
+        return flat, ends[np.r_[0, np.cumsum(units)]], np.bincount(of, self.n_best[slot], len(units)).astype(np.int64), np.bincount(of, ~self.same[slot], len(units)) == 0
 
 
 _segmenters: dict[int, Segmenter] = {}
 
 
-def _segmenter(shared) -> Segmenter:
+def _segmenter(shared, best: bool) -> Segmenter:
     """One per worker process and vocabulary, as it remembers the units of earlier tasks."""
     v = shared.value
-    key = hash((*v.pieces, *v.scores, v.kind))
+    key = hash((*v.pieces, *v.scores, v.kind, best))
     if key not in _segmenters:
-        _segmenters[key] = Segmenter(v)
+        _segmenters[key] = Segmenter(v, best)
     return _segmenters[key]
 
 
@@ -330,26 +390,30 @@ def _pieces_of(sizes: Iterator[int], most: int) -> Iterator[tuple[int, int]]:
         yield lo, hi
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "pieces", check: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "pieces", check: str | None = None, best: tuple[str, str] | None = None) -> DataFrame:
     """docs with the column `into`: the ids of its text, as array<int>. check: also a boolean column of this name,
-    whether the ids decode to the text, found in the same pass."""
+    whether the ids decode to the text, found in the same pass. best: also columns of these names, the number of pieces
+    of the Viterbi path (long) and whether that is the segmentation (boolean)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     where = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = _segmenter(shared)
+        segmenter = _segmenter(shared, best is not None)
         decoder = Decoder(shared.value) if check else None
         for batch in batches:
             for lo, hi in _pieces_of((len(t.as_py() or "") for t in batch.column(where)), 1 << 20):
                 texts = batch.column(where).slice(lo, hi - lo).to_pylist()
-                flat, ends = segmenter.encode(texts)
+                flat, ends, n_best, same = segmenter.encode(texts)
                 added = {into: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))}
+                if best:
+                    added |= {best[0]: pa.array(n_best), best[1]: pa.array(same)}
                 if check:
                     back = decoder.decode([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
                     added[check] = pa.array([d == (t or "").replace(SPACE, " ") for d, t in zip(back, texts, strict=True)])
                 yield _appended(batch, lo, hi - lo, added)
 
-    out = T.StructType([f for f in docs.schema if f.name not in (into, check)]).add(into, T.ArrayType(T.IntegerType()))
+    out = T.StructType([f for f in docs.schema if f.name not in (into, check, *(best or ()))]).add(into, T.ArrayType(T.IntegerType()))
+    out = out.add(best[0], "long").add(best[1], "boolean") if best else out
     return docs.mapInArrow(run, out.add(check, "boolean") if check else out)
 
 
@@ -394,10 +458,10 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", i
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's ids, and whether they decode to its text."""
+    """Every document's ids, whether they decode to its text, and how its Viterbi path compares."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode(docs, read_vocabulary(), check="round_trip")
-    return encoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "round_trip")
+    encoded = encode(docs, read_vocabulary(), check="round_trip", best=("n_viterbi", "viterbi_agrees"))
+    return encoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "round_trip", "n_viterbi", "viterbi_agrees")
 
 
 QUERIES = {"op8_sentencepiece": op8_sentencepiece}
