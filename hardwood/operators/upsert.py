@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -124,3 +125,16 @@ def upsert(incoming: DataFrame, path: str, keys: list[str], by: str, preserve: t
     replace_partitions(spark.read.schema(new.schema).parquet(staging), path, by)
     p = spark._jvm.org.apache.hadoop.fs.Path(staging)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def write_marker(spark: SparkSession, path: str, fields: dict[str, str]) -> None:
+    """A small JSON file that appears whole: written beside its place, then renamed over what is there, in one step where
+    the file system has one."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    draft, place = hadoop.Path(f"{path}.next-{uuid.uuid4().hex}"), hadoop.Path(path)
+    out = place.getFileSystem(conf).create(draft, True)
+    out.write(bytearray(json.dumps(fields).encode()))
+    out.close()
+    options = spark._sc._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(place.toUri(), conf).rename(draft, place, options)

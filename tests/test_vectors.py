@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hardwood.functions import ratings, seasons
-from hardwood.operators import form, quality, snapshots, teams, upsert
+from hardwood.operators import form, quality, reading, snapshots, teams, upsert
+from hardwood.sources import feeds
 
 DAY = datetime.date
 
@@ -241,3 +242,20 @@ def test_roster_scopes(spark):
     new = spark.createDataFrame([(1, 2, "bb"), (1, 4, "d"), (1, 4, "d")], schema)
     assert sorted(map(tuple, upsert.reconciled_roster(old, new, ["team_id"], "player_id").collect())) == [(1, 2, "bb"), (1, 4, "d"), (2, 3, "c")]
     assert upsert.reconciled_roster(old, new.limit(0), ["team_id"], "player_id").count() == 3
+
+
+def test_success_marker(spark, tmp_path):
+    path = f"file://{tmp_path}/done.json"
+    for at in ("2025-01-01T00:00:00", "2025-01-03T00:00:00"):
+        upsert.write_marker(spark, path, {"completed_at": at})
+        assert spark.read.json(path).first().completed_at == at
+    assert not feeds.is_stale(spark.read.json(path), "2025-01-04 00:00:00").first().stale
+
+
+def test_reads(spark):
+    rows = spark.createDataFrame([(1, "a", 2.0), (2, "b", 1.0), (2, "c", 3.0)], "k int, v string, m double")
+    assert {r.v for r in reading.filtered(rows, k=None, v=["a", "b"]).collect()} == {"a", "b"} and reading.filtered(rows, [F.desc("m")], 1, k=2).first().v == "c"
+    assert reading.chosen(rows, ["k"], "m", ("m",)).columns == ["k", "value"] and reading.exists(rows, "m > 2") and not reading.exists(rows, "m > 3")
+    with pytest.raises(ValueError):
+        reading.chosen(rows, ["k"], "v", ("m",))
+    assert sorted(map(tuple, reading.latest_by(rows, "k", "m").collect())) == [(1, "a", 2.0), (2, "c", 3.0)]
