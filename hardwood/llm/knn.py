@@ -3,9 +3,9 @@
 1. Equal vectors are one point; of its ids the k + 1 smallest are enough, whatever the query.
 2. A sample of the points gives the pivots, about twice the root of their number. Each point belongs to its nearest
    pivot's cell; queries do so too. With u the pivot's direction, x = a u + (rest of length r).
-3. Each cell is summarised by its number of points, the range of their a and the largest r. For a query q = b u + (rest
-   of length s): a b - r s <= q.x <= a b + r s. So the summaries, and the pivots, which are points themselves, tell a
-   score that a query's k-th best reaches.
+3. Each cell is summarised by its number of points, the range of their a, the largest r and the largest length n. For
+   a query q = b u + (rest of length s): a b - r s <= q.x <= a b + r s, and r is at most the root of n n - a a. So the
+   summaries, and the pivots, which are points themselves, tell a score that a query's k-th best reaches.
 4. Queries of neighbouring cells form groups, points of neighbouring cells areas. A query asks an area only if one of
    its cells can reach that score; a group is summarised, for each cell that its queries ask, by the range of b, the
    largest s and the lowest such score, and a point goes to a group only if it can reach that.
@@ -100,7 +100,7 @@ def points(rows: DataFrame, scratch: Scratch, k: int = K) -> DataFrame:
 
 class Cells(NamedTuple):
     """Of the vectors of one length: pivots, their directions, and of each cell the points, the least and the largest
-    a and the largest r; the group of its queries and the area of its points."""
+    a, the largest r and the largest length; the group of its queries and the area of its points."""
 
     pivots: np.ndarray
     directions: np.ndarray
@@ -108,6 +108,7 @@ class Cells(NamedTuple):
     low: np.ndarray
     high: np.ndarray
     far: np.ndarray
+    norm: np.ndarray
     group: np.ndarray
     area: np.ndarray
 
@@ -154,9 +155,20 @@ class Bounds(NamedTuple):
     kth: np.ndarray
 
 
+def _longest(b: np.ndarray, s: np.ndarray, c: Cells) -> np.ndarray:
+    """The largest a b + r s with a in the cell's range and a a + r r at most n n: where the point (a, r) lies along
+    (b, s), or at the end of the range next to that."""
+    length = np.sqrt(b * b + s * s)
+    along = c.norm * b / np.where(length > 0, length, 1.0)
+    at = np.clip(along, c.low, c.high)
+    rest = np.sqrt(np.maximum(c.norm * c.norm - at * at, 0) + 1e-12 * c.norm * c.norm)
+    return np.where(at == along, c.norm * length, b * at + s * rest) * (1 + 1e-9 * np.sign(b * at + s * rest))
+
+
 def bounds(q: np.ndarray, c: Cells, k: int) -> Bounds:
     b, s = split(q, c.directions)
-    upper = np.where(c.count > 0, np.maximum(b * c.low, b * c.high) + s * c.far, -np.inf)
+    upper = np.minimum(np.maximum(b * c.low, b * c.high) + s * c.far, _longest(b, s, c))
+    upper = np.where(c.count > 0, upper, -np.inf)
     lower = np.where(c.count > 0, np.minimum(b * c.low, b * c.high) - s * c.far, -np.inf)
     # k + 1 points reach the score, as one of them may be the query itself.
     order = np.argsort(-lower, axis=1)
@@ -290,7 +302,7 @@ def replicated(vectors: DataFrame, every: int, k: int, pivots: int, scratch: Scr
     asked = rows.where(F.col("vec_id") % every == 0).select("dim", "x", F.col("vec_id").alias("query_id"))
     asked = scratch.keep(asked.mapInArrow(lambda b: _assign(b, chosen), "dim int, x binary, query_id long, cell int, a double, r double"), "asked")
 
-    summary = cells.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.min("a").alias("low"), F.max("a").alias("high"), F.max("r").alias("far")).collect()
+    summary = cells.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.min("a").alias("low"), F.max("a").alias("high"), F.max("r").alias("far"), F.max(F.sqrt(F.col("a") * F.col("a") + F.col("r") * F.col("r"))).alias("norm")).collect()
     n_points = {(r.dim, r.cell): r.n for r in summary}
     n_asked = {(r.dim, r.cell): r["count"] for r in asked.groupBy("dim", "cell").count().collect()}
     if not n_asked:
@@ -298,11 +310,11 @@ def replicated(vectors: DataFrame, every: int, k: int, pivots: int, scratch: Scr
     groups, areas = _gathered(chosen, n_asked, GROUP), _gathered(chosen, n_points, BLOCK)
     known = {}
     for dim, p in chosen.items():
-        count, low, high, far = np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros(len(p)), np.zeros(len(p))
+        count, (low, high, far, norm) = np.zeros(len(p), np.int64), np.zeros((4, len(p)))
         for r in summary:
             if r.dim == dim:
-                count[r.cell], low[r.cell], high[r.cell], far[r.cell] = r.n, r.low, r.high, r.far
-        known[dim] = Cells(p, directions(p), count, low, high, far, groups[dim], areas[dim])
+                count[r.cell], low[r.cell], high[r.cell], far[r.cell], norm[r.cell] = r.n, r.low, r.high, r.far, r.norm * (1 + 1e-9)
+        known[dim] = Cells(p, directions(p), count, low, high, far, norm, groups[dim], areas[dim])
 
     asking = scratch.keep(asked.drop("a", "r").mapInArrow(lambda b: _ask(b, known, k), "dim int, x binary, query_id long, cell int, grp int, areas array<int>"), "asking")
     wants = asking.mapInArrow(lambda b: _summarise(b, known, k), "dim int, grp int, cell int, b_low double, b_high double, s double, kth double")
