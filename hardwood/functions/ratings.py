@@ -120,6 +120,7 @@ def score_side(score: Column, home: Column, own: bool) -> Column:
 
 
 def score_missing(score: Column) -> Column:
+    """Null and the three texts that mean "not known", which are fixed values."""
     return F.coalesce(score, F.lit("")).isin("", "-", "0-0")
 
 

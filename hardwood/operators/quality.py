@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hardwood.functions import ratings
+
 
 def null_rates(df: DataFrame) -> DataFrame:
     """(column, nulls, total, rate): one pass over all columns."""
@@ -74,10 +76,6 @@ def suite_ok(checks: DataFrame) -> DataFrame:
     return checks.agg(F.bool_and(F.col("ok") | ~F.col("critical")).alias("ok"), F.count_if(~F.col("ok") & F.col("critical")).alias("failed"), F.count_if(~F.col("ok") & ~F.col("critical")).alias("warnings"))
 
 
-#: Results and scores that mean "not known"; fixed values.
-NO_SCORE = ("", "-", "0-0")
-
-
 def reconcile(schedule: DataFrame, facts: DataFrame) -> DataFrame:
     """One row a scheduled game: issue (the first rule it breaks, null if none), action and final_score.
 
@@ -113,7 +111,7 @@ def reconcile(schedule: DataFrame, facts: DataFrame) -> DataFrame:
     n_results = F.size(F.filter("s.result", lambda x: x.isNotNull()))
     score = F.concat_ws("-", *(of(with_value("s", "home_or_away", side_, "team_id"), "points").cast("string") for side_ in ("H", "A")))
     j = j.withColumn("_score", score)
-    conflict = F.exists("s.score", lambda x: ~F.coalesce(x, F.lit("")).isin(*NO_SCORE) & (x != F.col("_score")))
+    conflict = F.exists("s.score", lambda x: ~ratings.score_missing(x) & (x != F.col("_score")))
     rules = [
         ("schedule_rows", F.size("s") != 2), ("schedule_pair", ~reciprocal("s")), ("schedule_sides", ~is_pair("s", "home_or_away", "A", "H")),
         ("schedule_season_or_date", (F.size(values("s", "season")) != 1) | (F.size(values("s", "slate_date")) != 1)),
@@ -155,7 +153,7 @@ def apply_results(schedule: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def _open_row() -> Column:
-    return F.col("result").isNull() & (F.coalesce("score", F.lit("")).isin(*NO_SCORE) | (F.col("score") == F.col("new_score")))
+    return F.col("result").isNull() & (ratings.score_missing(F.col("score")) | (F.col("score") == F.col("new_score")))
 
 
 def blocked_updates(schedule: DataFrame, updates: DataFrame) -> DataFrame:
