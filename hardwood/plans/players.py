@@ -97,7 +97,7 @@ QUERIES = {
     "consistency_profile": _q(_consistency, True),
     "consistency_overall_class": _q(lambda f: form.profile_class(_consistency(f)), True),
     "legacy_x_of_last_10": _q(_x_of_ten),
-    "hot_players_top20": _q(lambda f: form.leaders(_heat(f).where("window_size = 5 and status = 'on_fire'").select("player_id", "z_score"), [F.desc("z_score"), "player_id"], 20)),
+    "hot_players_top20": _q(lambda f: form.leaders(_heat(f).where("window_size = 3 and status = 'on_fire'").select("player_id", "z_score"), [F.desc("z_score"), "player_id"], 20)),
     "cold_players_top20": _q(lambda f: form.leaders(_heat(f).where("window_size = 3 and status = 'ice_cold'").select("player_id", "z_score"), ["z_score", "player_id"], 20)),
     "most_volatile": _q(lambda f: form.leaders(_consistency(f).where("window_size = 0").select("player_id", "cv"), [F.desc("cv"), "player_id"], 15)),
     "most_steady": _q(lambda f: form.leaders(_consistency(f).where("window_size = 0").select("player_id", "cv"), ["cv", "player_id"], 15)),
@@ -158,7 +158,7 @@ ORACLE = {
         CASE WHEN count(*) FILTER (WHERE tier = 'steady') >= count(*) FILTER (WHERE tier = 'volatile') + 2 THEN 'steady'
              WHEN count(*) FILTER (WHERE tier = 'volatile') >= count(*) FILTER (WHERE tier = 'steady') + 2 THEN 'volatile' ELSE 'mixed' END AS profile FROM cn GROUP BY player_id""",
     "legacy_x_of_last_10": f"{_L}, {_win('10')} SELECT player_id, threshold, games_hit, games_played FROM wn WHERE games_hit >= 7",
-    "hot_players_top20": f"{_L}, {_HEAT} SELECT player_id, z_score FROM ht WHERE window_size = 5 AND status = 'on_fire' ORDER BY z_score DESC, player_id LIMIT 20",
+    "hot_players_top20": f"{_L}, {_HEAT} SELECT player_id, z_score FROM ht WHERE window_size = 3 AND status = 'on_fire' ORDER BY z_score DESC, player_id LIMIT 20",
     "cold_players_top20": f"{_L}, {_HEAT} SELECT player_id, z_score FROM ht WHERE window_size = 3 AND status = 'ice_cold' ORDER BY z_score, player_id LIMIT 20",
     "most_volatile": f"{_L}, {_CONS} SELECT player_id, cv FROM cn WHERE window_size = 0 ORDER BY cv DESC, player_id LIMIT 15",
     "most_steady": f"{_L}, {_CONS} SELECT player_id, cv FROM cn WHERE window_size = 0 ORDER BY cv, player_id LIMIT 15",

@@ -22,8 +22,8 @@ def test_query(spark, con, name):
     assert oracle.difference(df, con, ORACLE[name]) == ""
 
 
-#: Checks of sound tables find nothing.
-EMPTY = {"cold_players_top20"}
+#: None of the fifteen players of the smallest tables is that far off; on larger ones some are.
+EMPTY = {"hot_players_top20", "cold_players_top20"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
