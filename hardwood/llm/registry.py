@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("token_counts", "warc", "near_dups", "toxicity", "url_rules", "lattice", "quality", "pieces", "knn", "mixing", "spelling", "ranked")
+MODULES = ("token_counts", "warc", "near_dups", "toxicity", "url_rules", "lattice", "quality", "pieces", "knn", "mixing", "spelling", "ranked", "fragments")
 
 
 def _modules():
