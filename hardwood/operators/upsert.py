@@ -101,7 +101,7 @@ def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -109,15 +109,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def upsert(incoming: DataFrame, path: str, keys: list[str], by: str, preserve: tuple[str, ...] = (), sequence: str | None = None) -> None:
     """Merges rows into a Parquet table that is partitioned by `by`, one of its keys; a missing table is made.
 
-    Only the partitions of incoming rows are read and written. The merged rows are first written beside the table, so
+    Only the partitions of incoming rows are read and written; null is a partition too. The table is read with the types
+    of the incoming rows, as folder names don't tell "01" from 1. The merged rows are first written beside the table, so
     that a run that stops there leaves the table as it was, and running it again gives the same table."""
     spark, staging = incoming.sparkSession, f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
     if by not in keys:
         raise ValueError("rows of one key have to lie in one partition")
     new = incoming
-    if _exists(spark, path):
-        old = spark.read.parquet(path)
-        touched = old.join(F.broadcast(incoming.select(by).distinct()), by, "left_semi")
+    if exists(spark, path):
+        old = spark.read.schema(incoming.schema).parquet(path)
+        parts = incoming.select(F.col(by).alias("_by")).distinct()
+        touched = old.join(parts, old[by].eqNullSafe(parts["_by"]), "left_semi")
         new = merged(touched.select(*incoming.columns), incoming, keys, preserve, sequence)
     else:
         new = merged(incoming.limit(0), incoming, keys, preserve, sequence)

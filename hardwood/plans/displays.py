@@ -125,19 +125,6 @@ def _player_heat(spark, d):
     return h.select("player_id", F.date_format("feature_as_of", "yyyy-MM-dd HH:mm").alias("feature_as_of"), "window_size", "games", "z_score", "status")
 
 
-def _player_published(spark, d):
-    """Window snapshots of three dates, the first two by one run, the last two by another."""
-    def run(first, last, name):
-        w = _snapshot_parts(spark, d, first, last)["windows"]
-        w = snapshots.with_provenance(w, "Regular Season", "player-v2.1", name, F.col("feature_as_of"))
-        return w.select("player_id", "stat", "threshold", "window_size", "feature_as_of", "calculation_version", "source_run_id", "games_hit", "games_played")
-
-    key = ["player_id", "stat", "threshold", "window_size", "feature_as_of", "calculation_version"]
-    day = datetime.timedelta(days=1)
-    out = upsert.merged(run(DATES[0], DATES[0] + day, "run-1"), run(DATES[1] - day, DATES[1], "run-2"), key)
-    return out.select("player_id", "threshold", "window_size", F.date_format("feature_as_of", "yyyy-MM-dd HH:mm").alias("feature_as_of"), "source_run_id", "games_hit", "games_played")
-
-
 def _cleanup(spark, d):
     """The cleanup of a table: one row a key, names in title case, defaults, the three latest seasons."""
     li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -168,7 +155,7 @@ def _valid_ids(spark, d):
 QUERIES = {
     "display_labels": _labels, "matchup_log_lines": _log_lines, "featured_games": _featured, "slate_streaks": _slate_streaks, "roster_fallback": _roster_fallback, "slate_context": _context,
     "rest_lists": _rest_lists, "odds_by_book": _odds_books, "meaningful_season_bests": _bests, "streaks_by_stat": _by_stat, "unpivoted_stats": _unpivoted, "player_snapshot_heat": _player_heat,
-    "player_snapshots_published": _player_published, "cleanup": _cleanup, "retained_seasons": _retained, "season_lists": _season_lists, "valid_ids": _valid_ids,
+    "cleanup": _cleanup, "retained_seasons": _retained, "season_lists": _season_lists, "valid_ids": _valid_ids,
 }
 
 _G = f"WITH {SQL_GAMES}"
@@ -214,8 +201,6 @@ ORACLE = {
     "player_snapshot_heat": f"""{_KNOWN}, b AS (SELECT player_id, cut, count(*) AS games, avg(value) AS a, stddev_samp(value) AS s, avg(value) FILTER (WHERE n <= 3) AS r3, avg(value) FILTER (WHERE n <= 5) AS r5, avg(value) FILTER (WHERE n <= 10) AS r10 FROM kn GROUP BY ALL HAVING count(*) >= 3 AND stddev_samp(value) > 0),
         u AS (SELECT *, unnest([3, 5, 10]) AS window_size, unnest([r3, r5, r10]) AS r FROM b)
         SELECT player_id, strftime(cut, '%Y-%m-%d %H:%M') AS feature_as_of, window_size, games, round((r - a) / s, 8) AS z_score, CASE WHEN (r - a) / s >= 1 THEN 'on_fire' WHEN (r - a) / s <= -1 THEN 'ice_cold' ELSE 'normal' END AS status FROM u""",
-    "player_snapshots_published": f"""{_KNOWN} SELECT player_id, threshold, w AS window_size, strftime(cut, '%Y-%m-%d %H:%M') AS feature_as_of, CASE WHEN day = DATE '2024-01-10' THEN 'run-1' ELSE 'run-2' END AS source_run_id, count(*) FILTER (WHERE value >= threshold) AS games_hit, count(*) AS games_played
-        FROM kn, (VALUES (20.0::DOUBLE), (50.0)) t(threshold), (SELECT unnest([5, 10]) AS w) WHERE n <= w GROUP BY ALL""",
     "cleanup": """WITH r AS (SELECT l_orderkey, l_linenumber, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS name, ' ' || upper(p_name) AS raw, nullif(l_discount, 0.0) AS discount, printf('%04d-%02d', y, (y + 1) % 100) AS season
             FROM (SELECT *, year(l_shipdate) - CASE WHEN month(l_shipdate) < 10 THEN 1 ELSE 0 END AS y FROM lineitem) JOIN part ON p_partkey = l_partkey),
         o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY raw, discount NULLS LAST, season) = 1)

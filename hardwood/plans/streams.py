@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from hardwood.operators import upsert
-from hardwood.session import shared_folder
+from hardwood.session import run_folder
 from hardwood.streaming import events
 
 
 def _folder(spark):
-    return f"{shared_folder(spark)}/hardwood/stream-{uuid.uuid4().hex}"
+    return run_folder(spark, "stream")
 
 
 def _run(shape):

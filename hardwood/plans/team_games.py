@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from hardwood.functions import ratings
-from hardwood.operators import form, snapshots, teams, upsert
+from hardwood.operators import form, snapshots, teams
 from hardwood.plans.bridge import SQL_GAMES, games, sql_metrics, table
 from hardwood.sources import feeds
 
@@ -132,21 +132,6 @@ def _snapshot_rows(g):
     )
 
 
-def _published(g):
-    """Team snapshots of a month published over those of an earlier run: rows by version and run."""
-    day = F.col("game_date")
-    slate = g.where(day.between("1998-03-01", "1998-03-31"))
-    key = ["game_id", "team_id", "window_size", "feature_as_of", "calculation_version"]
-
-    def run(rows, run_id, created):
-        f = snapshots.with_provenance(snapshots.team_features(rows, _facts(g.where(day < "1998-04-01")), decimals=DIGITS), "Regular Season", "team-v2.1", run_id)
-        return f.select(*key, "source_run_id", "net_rtg_season", "completeness_status", F.lit(created).cast("date").alias("created_at"))
-
-    old, new = run(slate.where(day <= "1998-03-20"), "run-1", "2030-01-01"), run(slate.where(day >= "1998-03-10"), "run-2", "2030-02-01")
-    out = upsert.merged(old, new, key, ("created_at",))
-    return out.select("game_id", "team_id", "calculation_version", "source_run_id", "net_rtg_season", "completeness_status", "created_at")
-
-
 def _sos_notes(g):
     j = _season(g).select("team_id", "net_rtg_delta").join(_strength(g), "team_id")
     return j.select("team_id", "net_rtg_delta", "sos_net_delta", ratings.sos_note(F.col("net_rtg_delta"), F.col("sos_net_delta")).alias("note"))
@@ -171,7 +156,6 @@ QUERIES = {
     "older_environment_tags": _q(_older_environment),
     "team_snapshot_features": _q(_snapshot_rows),
     "team_snapshot_strength": _q(lambda g: snapshots.prior_strength(g, _facts(g), decimals=DIGITS).select("game_id", "team_id", "sos_net_season", "sos_net_lastn", "sos_net_delta")),
-    "team_snapshots_published": _q(_published),
     "team_last10_filled": _q(_filled),
     "sos_boards": _q(_sos_boards),
     "summary_boards": _q(_summary_boards),
@@ -225,6 +209,11 @@ sn AS (SELECT t.game_id, t.team_id, t.is_home, t.season, t.game_date, coalesce(s
        {', '.join(f'{m}_{k}' for m in _METRICS for k in ('season', 'lastn', 'delta'))}, {_NAMES} AS flags, source_latest_game_id, source_latest_game_date,
        CASE WHEN window_games_played >= 10 AND season_games_used = season_games_played THEN 'complete' ELSE 'partial' END AS completeness_status
        FROM ga t LEFT JOIN pc ON pc.t_id = t.game_id AND pc.t_team = t.team_id LEFT JOIN pf ON pf.t_id = t.game_id AND pf.t_team = t.team_id)"""
+_STRENGTH = f"""op AS (SELECT DISTINCT p.t_id, p.t_team, t.game_date AS t_date, p.back, p.game_id, p.opponent_team_id AS opp, p.season FROM pr p JOIN ga t ON t.game_id = p.t_id AND t.team_id = p.t_team),
+        oq AS (SELECT DISTINCT opp, season, t_date FROM op),
+        orr AS (SELECT opp, q.season, t_date, {sql_metrics()} FROM oq q JOIN ga ON ga.team_id = q.opp AND ga.season = q.season AND ga.game_date < q.t_date WHERE ok GROUP BY ALL),
+        oz AS (SELECT t_id, t_team, CAST(round(net_rtg * 10000000000) AS BIGINT) AS net, back FROM op LEFT JOIN orr USING (opp, season, t_date)),
+        os AS (SELECT t_id, t_team, CAST(CAST(sum(net) AS BIGINT) AS DOUBLE) / (count(net) * 10000000000.0::DOUBLE) AS a, CAST(CAST(sum(net) FILTER (WHERE back <= 10) AS BIGINT) AS DOUBLE) / (count(net) FILTER (WHERE back <= 10) * 10000000000.0::DOUBLE) AS b FROM oz GROUP BY ALL)"""
 _ENV = f"""{_SNAP},
 pj AS (SELECT a.game_id, a.team_id AS home_team_id, b.team_id AS away_team_id, a.off_rtg_lastn AS hf, a.def_rtg_lastn AS he, b.off_rtg_lastn AS af, b.def_rtg_lastn AS ae, a.tov_pct_lastn AS h_tov, b.tov_pct_lastn AS a_tov, a.pct_pts_3pt_lastn AS hh, b.pct_pts_3pt_lastn AS ah,
        round(0.7::DOUBLE * (a.pace_lastn + b.pace_lastn) / 2 + 0.3::DOUBLE * CASE WHEN a.pace_lastn > b.pace_lastn THEN a.pace_lastn WHEN b.pace_lastn IS NOT NULL THEN CASE WHEN a.pace_lastn IS NOT NULL THEN b.pace_lastn END END, 10) AS pace_projection,
@@ -250,11 +239,6 @@ def _board(name, order, columns, n, where="TRUE", source="sd"):
     return f"(SELECT {columns}, '{name}' AS board FROM {source} WHERE {where} ORDER BY {order}, team_id LIMIT {n})"
 
 
-def _published_run(run, created, first, last):
-    return f"""SELECT game_id, team_id, 'team-v2.1' AS calculation_version, '{run}' AS source_run_id, net_rtg_season, completeness_status, DATE '{created}' AS created_at
-        FROM sn WHERE game_date BETWEEN DATE '1998-03-{first}' AND DATE '1998-03-{last}'"""
-
-
 def _cols(suffix):
     return ", ".join(f"{m}{suffix}" for m in teams.METRICS)
 
@@ -275,14 +259,8 @@ ORACLE = {
         flags, completeness_status, source_latest_game_id, source_latest_game_date, strftime(timezone('UTC', timezone('America/New_York', game_date + INTERVAL 10 HOUR)), '%Y-%m-%d %H:%M') AS feature_as_of,
         CASE WHEN source_latest_game_id IS NOT NULL THEN FALSE END AS late, CAST(season_games_played - season_games_used AS INTEGER) AS left_out FROM sn""",
     "team_snapshot_strength": f"""{_G}, {_SNAP},
-        op AS (SELECT DISTINCT p.t_id, p.t_team, t.game_date AS t_date, p.back, p.game_id, p.opponent_team_id AS opp, p.season FROM pr p JOIN ga t ON t.game_id = p.t_id AND t.team_id = p.t_team),
-        oq AS (SELECT DISTINCT opp, season, t_date FROM op),
-        orr AS (SELECT opp, q.season, t_date, {sql_metrics()} FROM oq q JOIN ga ON ga.team_id = q.opp AND ga.season = q.season AND ga.game_date < q.t_date WHERE ok GROUP BY ALL),
-        oz AS (SELECT t_id, t_team, CAST(round(net_rtg * 10000000000) AS BIGINT) AS net, back FROM op LEFT JOIN orr USING (opp, season, t_date)),
-        os AS (SELECT t_id, t_team, CAST(CAST(sum(net) AS BIGINT) AS DOUBLE) / (count(net) * 10000000000.0::DOUBLE) AS a, CAST(CAST(sum(net) FILTER (WHERE back <= 10) AS BIGINT) AS DOUBLE) / (count(net) FILTER (WHERE back <= 10) * 10000000000.0::DOUBLE) AS b FROM oz GROUP BY ALL)
+        {_STRENGTH}
         SELECT game_id, team_id, a AS sos_net_season, b AS sos_net_lastn, b - a AS sos_net_delta FROM ga LEFT JOIN os ON t_id = game_id AND t_team = team_id""",
-    "team_snapshots_published": f"""{_G}, {_SNAP}, r1 AS ({_published_run('run-1', '2030-01-01', '01', '20')}), r2 AS ({_published_run('run-2', '2030-02-01', '10', '31')})
-        SELECT r1.* FROM r1 ANTI JOIN r2 USING (game_id, team_id) UNION ALL SELECT r2.* REPLACE (coalesce(r1.created_at, r2.created_at) AS created_at) FROM r2 LEFT JOIN r1 USING (game_id, team_id)""",
     "team_last10_filled": f"{_G}, z AS (SELECT * REPLACE (coalesce(o_dreb, 0) AS o_dreb) FROM ga WHERE n_desc <= 10) SELECT team_id, count(*) AS recent_games, {sql_metrics(older=False)} FROM z GROUP BY team_id HAVING count(*) >= 10",
     "sos_boards": f"{_G}, {_M}, {_SOS} " + " UNION ALL ".join(_board(n, o, "team_id, sos_net_season, sos_net_lastn, sos_net_delta", 5) for n, o in (("toughest", "sos_net_season DESC"), ("easiest", "sos_net_season"), ("harder_lately", "sos_net_delta DESC"), ("easier_lately", "sos_net_delta"))),
     "summary_boards": f"{_G}, {_M}, mf AS (SELECT *, {_NAMES} AS flags FROM md) " + " UNION ALL ".join(_board(n, o, "team_id, net_rtg_season AS net, net_rtg_delta AS delta, flags", 10, source="mf") for n, o in (("top", "net_rtg_season DESC"), ("risers", "net_rtg_delta DESC"), ("fallers", "net_rtg_delta"))),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +34,29 @@ def shared_folder(spark: SparkSession) -> str:
     base = "file://" + tempfile.mkdtemp(prefix="hardwood-")
     spark.conf.set("spark.hardwood.shared", base)
     return base
+
+
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for what one run writes. It belongs to the run's lazy result, and goes at the
+    end of a `run_scope`, once that has been written."""
+    path = f"{shared_folder(spark)}/hardwood/{name}-{uuid.uuid4().hex}"
+    for made in _scopes[-1:]:
+        made.append((spark, path))
+    return path
+
+
+@contextlib.contextmanager
+def run_scope() -> Iterator[None]:
+    """Removes the folders of every run that was begun inside; write their results before it ends."""
+    made: list[tuple[SparkSession, str]] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for spark, path in made:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
