@@ -101,8 +101,8 @@ def scratch_scope() -> Iterator[None]:
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; reads no more than needed to tell."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df has at most so many rows; every partition counts its own."""
+    return df.count() <= rows
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

@@ -361,6 +361,20 @@ def _rare_logs(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(logs), pa.list_(pa.float64()))], ["word", "c", "logs"])
 
 
+def least_frequent(counts: DataFrame, most: int) -> int:
+    """The least count c that at most `most` words reach, from a histogram of counts: each number up to 64 and 16 steps
+    for each doubling after that, so it has some hundred rows."""
+    c = F.col("c")
+    step = F.when(c <= 64, c.cast("double")).otherwise(F.floor(F.log2(c) * 16) / 16 * 1000)
+    seen, least = 0, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect():
+        seen += r.n
+        if seen > most:
+            break
+        least = r.c
+    return (1 << 62) if least is None else least
+
+
 def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, languages: int = LANGUAGES, rounds: int = ROUNDS, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     vocabulary_score."""
@@ -383,7 +397,7 @@ def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, lan
     n, v_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, distinct = n + ends, v_words + (ends > 0)
     denominator = n + distinct + 1
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
+    top = counts.where(F.col("c") >= least_frequent(counts, frequent)).toArrow()
     base = np.log10((top.column("c").to_numpy() + 1) / denominator)
     shared = spark.sparkContext.broadcast((v, scores, top.column("word").to_pylist(), base, _by_component(top.column("uses").combine_chunks(), len(components)), denominator, ends))
     rows = scratch.keep(docs.mapInArrow(lambda b: _score_rows(b, shared), _DOC), "rows")

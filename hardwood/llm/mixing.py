@@ -2,18 +2,19 @@
 
 Every document gets a hash-random key. Within its source the keys form one random order, cut into key ranges, whose
 number follows from the number of documents; sums per range, running sums over the ranges and a running sum inside each
-range give each document the number of words before it. A source's budget is then some whole epochs and a rest, and the
-cut falls where the rest is used up.
+range give each key the number of words before it. A source's budget is then some whole epochs and a rest, and the cut
+falls where the rest is used up. Documents are held against their source's cut where they are.
 
 Defined cases: null or blank texts have size 0 and are never taken; a null source is a source of its own; documents
 that share an id, or have none, get keys of their own by their texts; rows that repeat both are separate documents with
-one key, in any order, as they can't be told apart; texts are read whole; an empty table gives no rows; columns of the
+one key, in any order, as they can't be told apart: they are counted as one row before they are dealt, and numbered
+part by part if the cut falls among them; sources are ordered in one task, a row each; texts are read whole; an empty table gives no rows; columns of the
 input are kept, and those named like an added column are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hardwood.llm.common import Scratch, broadcast_if_small, table, word_count
@@ -84,60 +85,90 @@ def range_offsets(sized: DataFrame, digits: int) -> DataFrame:
     return ranges.select("_src", "_range", (F.col("_offset") + F.col("_inside")).alias("_offset"), "_all")
 
 
-def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, digits: int | None = None) -> DataFrame:
+def source_cuts(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, digits: int | None = None) -> DataFrame:
+    """One row a source: _src, source_size, target, _epochs (how often all of it is taken), _cut (the key at which the
+    rest is used up), _left (words of the rest that documents with that key get), _there (how many have it).
+
+    Documents that share a key, which are repeats of one row, are counted before anything is dealt or ordered."""
+    keys = sized.groupBy("_src", "_key").agg(F.sum("size").alias("size"), F.count("*").alias("_there"))
+    digits = digits or range_digits(sized.count())
+    keys = keys.withColumn("_range", F.substring("_key", 1, digits))
+    ranges = range_offsets(keys, digits)
+    per_source = ranges.groupBy("_src").agg(F.max("_all").alias("source_size"))
+    budget = F.floor("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(F.lit(0).cast("long"))
+    targets = source_targets(per_source, weights, max_epochs).withColumn("_epochs", epochs).withColumn("_rest", budget - F.col("_epochs") * F.col("source_size"))
+    begun = ranges.select("_src", "_range", "_offset").join(targets, "_src").where("_offset < _rest")
+    run = Window.partitionBy("_src", "_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    placed = keys.withColumn("_upto", F.sum("size").over(run)).join(begun, ["_src", "_range"])
+    left = F.col("_rest") - (F.col("_offset") + F.col("_upto") - F.col("size"))
+    cut = placed.where((F.col("size") > 0) & (left > 0)).groupBy("_src").agg(F.max(F.struct("_key", F.least(left, F.col("size")).alias("left"), "_there")).alias("m"))
+    cut = cut.select("_src", F.col("m._key").alias("_cut"), F.col("m.left").alias("_left"), F.col("m._there").alias("_there"))
+    out = targets.drop("weight", "_rest").join(cut, "_src", "left")
+    return out.withColumns({"_cut": F.coalesce("_cut", F.lit("")), "_left": F.coalesce("_left", F.lit(0)).cast("long"), "_there": F.coalesce("_there", F.lit(0)).cast("long")})
+
+
+def _numbered_at_cuts(rows: DataFrame, cuts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows at the cut of a source that several rows share, with _n, their number from 0: numbers within the parts
+    of the written rows, and before each part the rows of those ahead of it. So no task sees more than a part."""
+    some = scratch.keep(rows.join(broadcast_if_small(cuts.where("_there > 1").select("_src", "_cut"), BROADCAST_SOURCES), "_src").where("_key = _cut").drop("_cut").withColumn("_part", F.spark_partition_id()), "at")
+    parts = some.groupBy("_src", "_part").agg(F.count("*").alias("_c"))
+    ahead = parts.select("_src", "_part", F.coalesce(F.sum("_c").over(Window.partitionBy("_src").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    within = F.row_number().over(Window.partitionBy("_src", "_part").orderBy("_key")) - 1
+    return some.withColumn("_n", within).join(ahead, ["_src", "_part"]).withColumn("_n", F.col("_n") + F.col("_ahead")).drop("_part", "_ahead")
+
+
+def _decided(rows: DataFrame, cuts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (size, _src, _key, ...) with their source's cut and _taken, the words of the rest that each gets."""
+    joined = rows.join(broadcast_if_small(cuts, BROADCAST_SOURCES), "_src")
+    at = F.col("_key") == F.col("_cut")
+    whole = F.when(F.col("_key") < F.col("_cut"), F.col("size")).when(at, F.least("size", "_left")).otherwise(F.lit(0))
+    if cuts.where("_there > 1").isEmpty():
+        return joined.withColumn("_taken", whole.cast("long"))
+    alone = joined.where(~at | (F.col("_there") <= 1)).withColumn("_taken", whole.cast("long"))
+    numbered = _numbered_at_cuts(rows, cuts, scratch).join(broadcast_if_small(cuts, BROADCAST_SOURCES), "_src")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - F.col("_n") * F.col("size")))
+    return alone.unionByName(numbered.withColumn("_taken", part.cast("long")).drop("_n"))
+
+
+def _copies() -> Column:
+    return F.when(F.col("size") > 0, F.col("_epochs") + (F.col("_taken") > 0).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, digits: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Adds source_size, target, taken and copies to rows of with_sizes, of which a written table is best given.
 
     taken: words that the mix takes of the document, repeats counted; each source's taken words sum to its target,
     rounded down, so that the document at the cut is taken in part. copies: how often it is taken, the part counted as
     one.
     """
-    digits = digits or range_digits(sized.count())
-    sized = sized.drop("source_size", "target", "taken", "copies").withColumn("_range", F.substring("_key", 1, digits))
-    ranges = range_offsets(sized, digits)
-    per_source = ranges.groupBy("_src").agg(F.max("_all").alias("source_size"))
-    offsets = ranges.select("_src", "_range", "_offset").join(source_targets(per_source, weights, max_epochs), "_src")
-    run = Window.partitionBy("_src", "_range").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    out = sized.withColumn("_upto", F.sum("size").over(run)).join(offsets, ["_src", "_range"])
-    budget = F.floor("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(F.lit(0).cast("long"))
-    out = out.withColumn("_epochs", epochs)
-    rest = budget - F.col("_epochs") * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_offset") + F.col("_upto") - F.col("size"))))
-    out = out.withColumn("_part", F.when(F.col("source_size") > 0, part).otherwise(F.lit(0)).cast("long"))
-    return out.withColumn("taken", F.col("_epochs") * F.col("size") + F.col("_part")).withColumn(
-        "copies", F.when(F.col("size") > 0, F.col("_epochs") + (F.col("_part") > 0).cast("long")).otherwise(F.lit(0).cast("long"))
-    )
+    scratch = scratch or Scratch(sized.sparkSession, "mix")
+    sized = sized.drop("source_size", "target", "taken", "copies")
+    cuts = scratch.keep(source_cuts(sized, weights, max_epochs, digits), "cuts")
+    out = _decided(sized, cuts, scratch).withColumns({"copies": _copies(), "taken": F.col("_epochs") * F.col("size") + F.col("_taken")})
+    return out.drop("_epochs", "_cut", "_left", "_there", "_taken", "cap")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken; the document at a source's cut stays whole.
 
     Only keys and sizes are sorted and summed. They give one cut a source, and the whole rows are held against it where
-    they are; rows that repeat the one at the cut are numbered, if not all of them are taken."""
+    they are; rows that repeat the one at the cut are numbered, if there are any."""
     scratch = Scratch(docs.sparkSession, "mixed")
     light = scratch.keep(with_sizes(docs.select("doc_id", "source", "text")).select("size", "_src", "_key"), "sizes")
-    decided = mix(light, **options).where("size > 0")
-    last = F.max(F.when(F.col("_part") > 0, F.col("_key")))
-    cuts = scratch.keep(decided.groupBy("_src").agg(F.max("_epochs").alias("_epochs"), F.coalesce(last, F.lit("")).alias("_cut")), "cuts")
-    at = decided.join(broadcast_if_small(cuts.select("_src", "_cut"), BROADCAST_SOURCES), ["_src"]).where("_key = _cut")
-    at = scratch.keep(at.groupBy("_src").agg(F.count("*").alias("_there"), F.count_if(F.col("_part") > 0).alias("_more")), "at")
-    cuts = cuts.join(at, "_src", "left")
+    cuts = scratch.keep(source_cuts(light, **options), "cuts")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", F.col("text").alias("_text"))
-    rows = with_sizes(rows, text="_text").where("size > 0").join(broadcast_if_small(cuts, BROADCAST_SOURCES), "_src")
-    some = (F.col("_key") == F.col("_cut")) & (F.col("_more") < F.col("_there"))
-    copies = F.col("_epochs") + (F.col("_key") <= F.col("_cut")).cast("long")
-    whole = rows.where(~F.coalesce(some, F.lit(False))).select("_row", copies.alias("copies"))
-    if not at.where("_more < _there").isEmpty():
-        n = F.row_number().over(Window.partitionBy("_src").orderBy("_key"))
-        whole = whole.unionByName(rows.where(some).select("_row", (F.col("_epochs") + (n <= F.col("_more")).cast("long")).alias("copies")))
-    return whole.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    rows = with_sizes(rows, text="_text").where("size > 0").select("_row", "size", "_src", "_key")
+    taken = _decided(rows, cuts, scratch).select("_row", _copies().alias("copies")).where("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words taken of it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = Scratch(spark, "mix").keep(with_sizes(docs).select("doc_id", "size", "_src", "_key"), "sizes")
-    return mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    scratch = Scratch(spark, "mix")
+    sized = scratch.keep(with_sizes(docs).select("doc_id", "size", "_src", "_key"), "sizes")
+    return mix(sized, scratch=scratch).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP10_SQL = r"""

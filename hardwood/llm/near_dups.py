@@ -14,8 +14,9 @@ With 30 bands of 5 rows a pair at similarity 0.85 shares no band with probabilit
 thresholds are refused.
 
 Defined cases: texts without words (null, empty, blank) have an empty set and are linked with nothing; a text of fewer
-words than a shingle has one shingle; rows without doc_id are linked with nothing, have no component and are kept; rows
-that share a doc_id count as one document; an empty table gives no rows.
+words than a shingle has one shingle; rows without doc_id are linked with nothing, have no component and are kept (the
+pipeline's stage compares them too); rows that share a doc_id are one document: what one of them is linked with, all are;
+an empty table gives no rows; other columns aren't read, and come through `deduplicated` as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             row, h = wordbytes.shingles(wordbytes.words(data, offsets), k)
             sizes = np.bincount(row, minlength=n)
             full = np.flatnonzero(sizes)
-            begin = np.r_[0, np.cumsum(sizes[full])[:-1]].astype(np.int64)
+            begin = (np.cumsum(sizes[full]) - sizes[full]).astype(np.int64)
             f1 = np.add.reduceat(h, begin) if len(full) else h[:0]
             f2 = np.bitwise_xor.reduceat(wordbytes.mix64(h + np.uint64(1)), begin) if len(full) else h[:0]
             low = _minima(h, begin, _XOR, _MUL)
@@ -300,21 +301,34 @@ def _across_clusters(nodes: DataFrame, docs: DataFrame, clusters: DataFrame, per
 # -- the operator ----------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, miss: float = 1e-6, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+def _keyed(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, text, ...) with _key, one number for each doc_id and text that occur together, and the table
+    (_key, _id) of them."""
+    for seed in range(8):
+        hashed = lambda salt: F.xxhash64(F.lit(salt), F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"), F.col("text").isNull())
+        keyed = rows.withColumn("_key", hashed(2 * seed))
+        other = hashed(2 * seed + 1)
+        ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("_id"), F.min(other).alias("_low"), F.max(other).alias("_high"))
+        ids = scratch.keep(ids, "ids")
+        if ids.where("_low <> _high").isEmpty():
+            return keyed, ids.select("_key", "_id")
+    raise RuntimeError("no seed tells all rows apart")
 
-    Documents are linked if 100 * intersection >= percent * union of their k-word shingle sets. miss: the probability,
-    at each look at a pair's signatures, at which the pair may be dropped though it is a link.
-    """
-    if percent < 80:
-        raise ValueError("the bands are made for similarities of 0.8 and more")
-    scratch = scratch or Scratch(docs.sparkSession, "near")
+
+def _groups(docs: DataFrame, percent: int, k: int, miss: float, scratch: Scratch, same: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text), in which a doc_id has one text; rows
+    without doc_id have no component. same: pairs (a, b) of doc_ids that are one document."""
     sketch = scratch.keep(sketches(docs, k), "sketch")
     full = sketch.where("f1 is not null and doc_id is not null")
     nodes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("m"))
     nodes = scratch.keep(nodes.select("node", "f1", "f2", "m.sig", "m.bands"), "nodes")
     first = _best_pivots(nodes.select("node", F.explode("bands").alias("bucket")), scratch)
     links = verified(first, nodes, docs, percent, miss, k, scratch)
+    if same is not None:
+        node_of = full.select("doc_id", "f1", "f2").distinct().join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("doc_id", "node")
+        a, b = (node_of.select(F.col("doc_id").alias(x), F.col("node").alias(f"node_{x}")) for x in "ab")
+        one = same.join(a, "a").join(b, "b").where("node_a <> node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        links = links.unionByName(scratch.keep(one, "same"))
     tested = first
     for best in (BEST, None):
         pairs = _across_clusters(nodes, docs, components(links, scratch), percent, miss, k, best, scratch)
@@ -325,34 +339,42 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, miss: float
     named = scratch.keep(nodes.join(groups, "node", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "node").alias("component_id")), "named")
     light = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("f1")).alias("f1"), "f2")
     out = light.join(named, (light.f1 == named.g1) & (light.f2 == named.g2), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """docs with _key, one number for each doc_id and text that occur together, and the table (_key, _id) of them."""
-    for seed in range(8):
-        hashed = lambda salt: F.xxhash64(F.lit(salt), F.col("doc_id"), F.col("text"), F.col("text").isNull())
-        keyed = docs.withColumn("_key", hashed(2 * seed))
-        other = hashed(2 * seed + 1)
-        ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("_id"), F.min(other).alias("_low"), F.max(other).alias("_high"))
-        ids = scratch.keep(ids, "ids")
-        if ids.where("_low <> _high").isEmpty():
-            return keyed, ids.select("_key", "_id")
-    raise RuntimeError("no seed tells all rows apart")
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, miss: float = 1e-6, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Documents are linked if 100 * intersection >= percent * union of their k-word shingle sets. miss: the probability,
+    at each look at a pair's signatures, at which the pair may be dropped though it is a link.
+    """
+    if percent < 80:
+        raise ValueError("the bands are made for similarities of 0.8 and more")
+    scratch = scratch or Scratch(docs.sparkSession, "near")
+    keyed, ids = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch)
+    named = keyed.select(F.when(F.col("doc_id").isNotNull(), F.col("_key")).alias("doc_id"), "text")
+    ids = ids.where("_id is not null")
+    least = ids.groupBy("_id").agg(F.min("_key").alias("b"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    same = ids.join(least, "_id").where("_key <> b").select(F.col("_key").alias("a"), "b")
+    found = scratch.keep(_groups(named, percent, k, miss, scratch, same).withColumnsRenamed({"doc_id": "_key", "component_id": "_group"}), "groups")
+    first = found.where("_key is not null").join(ids, "_key").groupBy("_group").agg(F.min("_id").alias("component_id"))
+    own = found.select("_key", "_group").where("_key is not null").distinct().join(ids, "_key").join(first, "_group").select(F.col("_key").alias("_k"), "_id", "component_id")
+    out = found.join(own, F.col("_key") == F.col("_k"), "left")
+    return out.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", (F.col("_id").isNull() | (F.col("_id") == F.col("component_id"))).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 85, k: int = 3, miss: float = 1e-6) -> DataFrame:
-    """docs with one document of each group, the one with the smallest doc_id; repeated rows stay once.
+    """docs with one document of each group, the one with the smallest doc_id, those without one last; repeated rows stay
+    once. Columns of docs may have any name.
 
-    Rows that share a doc_id and differ in text are documents of their own here."""
+    Rows that share a doc_id and differ in text are documents of their own here, and so are rows without one."""
     scratch = Scratch(docs.sparkSession, "kept")
-    keyed, ids = _keyed(docs.where("doc_id is not null"), scratch)
-    decided = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), percent, k, miss)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("_row"))
+    keyed, ids = _keyed(rows, scratch)
+    decided = _groups(keyed.select(F.col("_key").alias("doc_id"), "text"), percent, k, miss, scratch)
     groups = decided.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(ids, "_key").groupBy("component_id")
-    keep = scratch.keep(groups.agg(F.min(F.struct("_id", "_key")).alias("m")).select("m._key"), "kept")
-    named = keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    keep = scratch.keep(groups.agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("m")).select("m._key"), "kept")
+    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

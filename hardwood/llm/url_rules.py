@@ -2,7 +2,9 @@
 
 FP-growth over the token sets of labelled URLs finds combinations that go with a label, bad or good. Rules above a
 support, a confidence and a lift match new URLs by an inverted index: each rule stands under its rarest token, a URL
-looks up its own tokens, and the few rules found are then checked in full. The most confident of them decides, block
+looks up its own tokens, and the few rules found are then checked in full. Tokens that occur in exactly the same URLs are
+mined as one, any of which a rule asks for, and of the combinations that name the same URLs the smallest is kept, which
+matches all that the larger ones do. The most confident of them decides, block
 before allow. Labels and parent domains of a host follow from it, so they are mined in its place, in baskets of their
 own: no combination is left out but those that say the same twice.
 
@@ -14,6 +16,8 @@ rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,26 +80,53 @@ def label_tokens(tokens: Column, host: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(tokens, lambda t: ~t.startswith("host=")), each, domains))
 
 
+def _merged_tokens(rows: DataFrame, min_count: int) -> DataFrame:
+    """(item, members): the tokens of at least min_count of rows (_row, tokens), those of exactly the same rows in one
+    item. Sets of rows are told apart by their number and two sums of hashes."""
+    each = rows.select("_row", F.explode("tokens").alias("token"))
+    seen = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "_row")).alias("y")).where(F.col("n") >= min_count)
+    return seen.groupBy("n", "x", "y").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("members")).select("item", "members")
+
+
+def _smallest_sets(sets: DataFrame) -> DataFrame:
+    """The sets (items, freq) without those that one item fewer names as well: what holds all of a set's fewer items is
+    then in the same rows, so a rule on the larger set would match less and say nothing new."""
+    fewer = sets.where(F.size("items") > 1).select("items", "freq", F.explode("items").alias("_one")).select("items", "freq", F.array_remove("items", F.col("_one")).alias("_fewer"))
+    same = fewer.join(sets.select(F.col("items").alias("_fewer"), "freq"), ["_fewer", "freq"]).select("items").distinct()
+    return sets.join(same, "items", "left_anti")
+
+
 def mine_rules(labelled: DataFrame, scratch: Scratch, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_errors: float = MIN_ERRORS) -> DataFrame:
-    """From (tokens, bad boolean): rule_id, items, bad, confidence, support, index_token of the rules for each label."""
-    baskets = labelled.where(F.size("tokens") > 0).select(F.array_append("tokens", F.when(F.col("bad"), BAD).otherwise(GOOD)).alias("items"))
-    n = baskets.count()
+    """From (tokens, bad boolean): rule_id, groups, items, bad, confidence, support, lift, index_tokens of the rules for
+    each label. A rule fits a URL that has a token of each of its groups; items are all its tokens.
+
+    Tokens that only occur together are one item, so that URLs that share many tokens don't give all their combinations."""
+    rows = scratch.keep(labelled.where(F.size("tokens") > 0).select("tokens", "bad").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    of_label = {r.bad: r["count"] for r in rows.groupBy("bad").count().collect()}
+    n = max(1, sum(of_label.values()))
+    least = max(1, min_count, math.ceil(min_support * n))
+    merged = scratch.keep(_merged_tokens(rows, least), "merged")
+    mapped = rows.select("_row", "bad", F.explode("tokens").alias("item")).join(merged.select("item"), "item")
+    baskets = mapped.groupBy("_row").agg(F.collect_set("item").alias("items"), F.max(F.when(F.col("bad"), BAD).otherwise(GOOD)).alias("label"))
+    baskets = scratch.keep(baskets.select(F.array_append("items", F.col("label")).alias("items")), "baskets")
     # Half a URL less than the count, as the product with the number of baskets is rounded up.
-    support = min(1.0, max(min_support, (min_count - 0.5) / max(1, n)))
-    sets = FPGrowth(itemsCol="items", minSupport=support).fit(baskets).freqItemsets
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, baskets.count()))).fit(baskets).freqItemsets
     sets = scratch.keep(sets.select(F.array_sort("items").alias("items"), "freq"), "sets")
     label = F.when(F.array_contains("items", BAD), BAD).when(F.array_contains("items", GOOD), GOOD)
-    both = sets.select(label.alias("label"), F.array_except("items", F.array(F.lit(BAD), F.lit(GOOD))).alias("items"), F.col("freq").alias("together"))
-    shares = both.where("label is not null and size(items) = 0").select("label", F.col("together").alias("of_label"))  # two rows
-    rules = both.where("label is not null and size(items) > 0").join(sets, "items").join(F.broadcast(shares), "label")
-    confidence = F.col("together") / F.col("freq")
-    share = F.col("of_label") / F.lit(max(1, n))
+    both = sets.select(label.alias("label"), F.array_except("items", F.array(F.lit(BAD), F.lit(GOOD))).alias("items"), "freq")
+    plain = _smallest_sets(both.where("label is null").select("items", "freq"))
+    bad = F.col("label") == BAD
+    rules = both.where("label is not null and size(items) > 0").withColumnRenamed("freq", "together").join(plain, "items")
+    confidence, of = F.col("together") / F.col("freq"), F.when(bad, F.lit(of_label.get(True, 0))).otherwise(F.lit(of_label.get(False, 0)))
+    share = of / F.lit(n)
     errors = (confidence - share) * F.sqrt("freq") / F.nullif(F.sqrt(share * (1 - share)), F.lit(0.0))
-    rules = rules.where(errors >= min_errors).select("items", (F.col("label") == BAD).alias("bad"), confidence.alias("confidence"), (F.col("together") / F.lit(max(1, n))).alias("support"), (confidence * n / F.col("of_label")).alias("lift"))
-    rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)).withColumn("rule_id", F.xxhash64("items", "bad"))
-    single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rarest = rules.select("rule_id", F.explode("items").alias("token")).join(single, "token").groupBy("rule_id").agg(F.min(F.struct("freq", "token")).alias("m"))
-    return rules.join(rarest.select("rule_id", F.col("m.token").alias("index_token")), "rule_id")
+    rules = rules.where(errors >= min_errors).select("items", bad.alias("bad"), confidence.alias("confidence"), (F.col("together") / F.lit(n)).alias("support"), (confidence * n / of).alias("lift"))
+    rules = scratch.keep(rules.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)).withColumn("rule_id", F.xxhash64("items", "bad")), "found")
+    single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
+    parts = rules.select("rule_id", F.explode("items").alias("item")).join(single, "item").join(merged, "item")
+    named = parts.groupBy("rule_id").agg(F.array_sort(F.collect_list("members")).alias("groups"), F.min(F.struct("freq", "item", "members")).alias("m"))
+    named = named.select("rule_id", "groups", F.array_sort(F.flatten("groups")).alias("all"), F.col("m.members").alias("index_tokens"))
+    return rules.drop("items").join(named, "rule_id").withColumnRenamed("all", "items")
 
 
 def mine_all_rules(labelled: DataFrame, scratch: Scratch) -> DataFrame:
@@ -115,9 +146,9 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rule, listed = listed_rule(F.col("host"), F.col("path"))
     own = tokens(F.col("url"), F.col("host"), F.col("path"))
     p = p.withColumns({"rule": rule, "_listed": listed, "_tokens": F.array_union(own, label_tokens(own, F.col("host"))), "_row": F.monotonically_increasing_id()})
-    index = broadcast_if_small(rules.select("index_token", "items", "bad", "confidence"), BROADCAST_TOKENS)
+    index = broadcast_if_small(rules.select(F.explode("index_tokens").alias("index_token"), "groups", "items", "bad", "confidence"), BROADCAST_TOKENS)
     found = p.withColumn("_token", F.explode_outer("_tokens")).join(index, F.col("_token") == F.col("index_token"), "left")
-    fits = F.size(F.array_except("items", "_tokens")) == 0
+    fits = F.forall("groups", lambda g: F.arrays_overlap(g, F.col("_tokens")))
     hit = F.max(F.when(F.col("items").isNotNull() & fits, F.struct("confidence", "bad", F.array_join("items", " ").alias("mined"))))
     best = found.groupBy("_row", "page_id", "host", "path", "rule", "_listed").agg(hit.alias("hit"))
     verdict = F.coalesce("_listed", F.when(F.col("hit.bad"), F.lit("block")).otherwise(F.lit("allow")))

@@ -84,3 +84,14 @@ def test_mixed_documents_like_copies(spark):
 
 def test_empty_table(spark, tmp_path):
     assert mixing.op10_mix_sources(spark, tables(spark, tmp_path, documents=frame(spark, []))).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 3, 1000])
+def test_repeated_rows_at_the_cut(spark, copies):
+    """Equal rows are one key; what the mix takes of them still sums to the target, and no more than is there."""
+    rows = [(1, "a b c d e f g", "en", "s0", 1)] * copies + [(2, "other words", "en", "s1", 1)] * copies
+    got = mixing.mix(mixing.with_sizes(frame(spark, rows).repartition(7))).collect()
+    for source in ("s0", "s1"):
+        own = [r for r in got if r.source == source]
+        assert len(own) == copies and sum(r.taken for r in own) == int(own[0].target + 1e-9) and all(r.taken <= 3 * r.size for r in own)
+        assert max(r.taken for r in own) - min(r.taken for r in own) <= own[0].size

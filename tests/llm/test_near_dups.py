@@ -24,7 +24,7 @@ def brute(rows, percent=85, k=3):
     for a in range(len(sets)):
         for b in range(a):
             (i, s), (j, t) = sets[a], sets[b]
-            if i is not None and j is not None and s and t and 100 * len(s & t) >= percent * len(s | t):
+            if i is not None and j is not None and s and t and (i == j or 100 * len(s & t) >= percent * len(s | t)):
                 label[root(a)] = root(b)
     least = {}
     for n, (i, _) in enumerate(sets):
@@ -71,7 +71,9 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert out.columns == docs.columns
     ids = [r.doc_id for r in out.collect()]
     named = [i for i in ids if i is not None]
-    assert len(named) == len(set(named)) and {5, 200, 201, 203} <= set(named) and not {100, 101} & set(named) and ids.count(None) == 2
+    assert len(named) == len(set(named)) and {5, 200, 201, 203} <= set(named) and not {100, 101} & set(named)
+    # The copy without id goes with its group; the row without id and text is linked with nothing.
+    assert [r for r in out.collect() if r.doc_id is None and r.text is not None] == [] and ids.count(None) == 1
 
 
 def test_low_thresholds_are_refused(spark):
@@ -104,3 +106,17 @@ def test_deduplicated_keeps_other_texts_of_a_shared_id(spark):
     rows = [(1, texts["a"]), (1, texts["b"]), (1, texts["b"]), (2, texts["a"]), (2, texts["c"]), (3, texts["b"].upper()), (4, ""), (4, None), (4, None)]
     out = near_dups.deduplicated(frame(spark, rows, "doc_id long, text string").coalesce(1)).collect()
     assert sorted(map(tuple, out), key=str) == sorted([(1, texts["a"]), (1, texts["b"]), (2, texts["c"]), (4, ""), (4, None)], key=str)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "x y z w"), (3, "x y z w"), (2, "A b c d"), (4, "p q r s"), (4, None), (4, "")]
+    found = got(near_dups.near_duplicates(frame(spark, rows, "doc_id long, text string").coalesce(1)))
+    assert found == brute(rows) and (3, 2, 1) in found and (2, 2, 1) in found
+
+
+def test_deduplicated_rows_without_id_and_clashing_columns(spark):
+    rows = [(None, "one two three four"), (None, "one two three four"), (None, "ONE two three four"), (7, "five six seven"), (None, "five six seven"), (None, None)]
+    docs = frame(spark, rows, "doc_id long, text string").selectExpr("*", "'K' as _key", "'I' as _id", "'R' as _row", "'G' as component_id")
+    out = near_dups.deduplicated(docs).collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in out if r.doc_id) == [(7, "five six seven")] and len(out) == 3
+    assert {(r._key, r._id, r._row, r.component_id) for r in out} == {("K", "I", "R", "G")}

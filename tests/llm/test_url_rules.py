@@ -65,8 +65,18 @@ def test_mined_rules_like_brute_force(spark):
                 errors = (n / len(have) - p) * (len(have) / (p * (1 - p))) ** 0.5 if have else 0
                 if n >= 10 and n / len(have) >= 0.6 and n / len(have) / p >= 1.1 and errors >= 1:
                     want[items, label] = (n / len(have), n / 400, n / len(have) / share[label])
-    assert set(rules) == set(want) and {bad for _, bad in want} == {True, False}
-    assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(rules[k], want[k], strict=True))
+    assert {bad for _, bad in want} == {True, False}
+    # Each wanted combination has a rule that names a part of it, or tokens that go with it, and says the same.
+    alike = {t: frozenset(u for u in tokens if all((t in b) == (u in b) for b, _ in baskets)) for t in tokens}
+    for (items, bad), figures in want.items():
+        named = frozenset().union(*(alike[t] for t in items))
+        assert any(b == bad and r <= named and all(abs(x - y) < 1e-9 for x, y in zip(f, figures, strict=True)) for (r, b), f in rules.items())
+    for (items, bad), figures in rules.items():
+        one = frozenset(min(alike[t]) for t in items)
+        assert all(abs(x - y) < 1e-9 for x, y in zip(figures, want[one, bad], strict=True))
+        # No smaller combination is in the same URLs.
+        rows_of = {x for x, (b, _) in enumerate(baskets) if one <= b}
+        assert all({x for x, (b, _) in enumerate(baskets) if one - {t} <= b} != rows_of for t in one)
     blocked = 0
     for r in url_rules.judge(pages, mined).collect():
         fired = [(c[0], bad) for (items, bad), c in want.items() if items <= set(tokens_of(rows[r.page_id][1]))]
@@ -116,3 +126,22 @@ def test_clashing_columns(spark):
     pages = frame(spark, [(1, "http://a.org/es/", None)], PAGES).selectExpr("*", "2 as host", "3 as _row", "4 as _tokens")
     none = url_rules.mine_all_rules(url_rules.labelled_urls(pages, frame(spark, [], LABELS)), Scratch(spark, "test"))
     assert [tuple(r)[:5] for r in url_rules.judge(pages, none).collect()] == [(1, "a.org", "/es/", "org/", "allow")]
+
+
+def test_urls_that_share_many_tokens(spark):
+    """One rule, whatever the number of tokens, named by all of them; each token alone is enough, as it was before."""
+    keys = "&".join(f"k{i}=1" for i in range(40))
+    pages = frame(spark, [(i, f"http://n{i}.net/{i}" + (f"?{keys}" if i < 30 else ""), None) for i in range(300)], PAGES)
+    labelled = url_rules.labelled_urls(pages, frame(spark, [(i, int(i >= 30), 0) for i in range(300)], LABELS))
+    rules = url_rules.mine_all_rules(labelled, Scratch(spark, "test")).where("bad").collect()
+    assert [len(r["items"]) for r in rules] == [40]
+    mined = url_rules.mine_all_rules(labelled, Scratch(spark, "test"))
+    new = frame(spark, [(1, "http://x.net/1?k7=2", None), (2, "http://x.net/2?k77=2", None)], PAGES)
+    assert {r.page_id: r.verdict for r in url_rules.judge(new, mined).collect()} == {1: "block", 2: "allow"}
+
+
+def test_repeated_rows_with_many_tokens(spark):
+    keys = "&".join(f"k{i}=1" for i in range(30))
+    pages = frame(spark, [(i, f"http://a.net/{i % 2}?{keys}", None) for i in range(50)] + [(99, "http://b.net/7", None)] * 40, PAGES)
+    rules = url_rules.mine_all_rules(url_rules.labelled_urls(pages, frame(spark, [(0, 0, 0), (1, 0, 0), (7, 1, 0)], LABELS)), Scratch(spark, "test"))
+    assert 1 <= rules.where("bad").count() <= 3 and {r.verdict for r in url_rules.judge(pages.where("page_id < 99"), rules).collect()} == {"block"}
