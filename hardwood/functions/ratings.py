@@ -91,10 +91,18 @@ def rest_edge(diff: Column) -> Column:
     return F.when(diff >= 2, "advantage").when(diff <= -2, "disadvantage").when(diff.isNotNull(), "even")
 
 
+#: How a schedule is described, from the densest kind to the rest in days.
+SCHEDULE_TEXTS = {
+    "b2b": "Back-to-Back", "3in4": "3-in-4 nights (%d days rest)", "4in5": "4-in-5 nights (%d days rest)", "5in7": "5-in-7 nights (%d days rest)",
+    "well": "Well rested (%d days rest)", "normal": "Normal rest (%d days rest)", "short": "Short rest (%d day rest)", "other": "%d days rest", "unknown": "Unknown",
+}
+
+
 def schedule_text(b2b: Column, three4: Column, four5: Column, five7: Column, rest: Column) -> Column:
+    t = lambda k: F.format_string(SCHEDULE_TEXTS[k], rest)
     return (
-        F.when(b2b, "Back-to-back").when(three4, "3 games in 4 days").when(four5, "4 games in 5 days").when(five7, "5 games in 7 days")
-        .when(rest.isNotNull(), F.format_string("%d days rest", rest)).otherwise("Season opener")
+        F.when(b2b, SCHEDULE_TEXTS["b2b"]).when(three4, t("3in4")).when(four5, t("4in5")).when(five7, t("5in7"))
+        .when(rest >= 3, t("well")).when(rest == 2, t("normal")).when(rest == 1, t("short")).when(rest.isNotNull(), t("other")).otherwise(SCHEDULE_TEXTS["unknown"])
     )
 
 
@@ -165,23 +173,32 @@ def game_status(result: Column, game_date: Column, today: Column) -> Column:
     return F.when(result.isNotNull(), "Final").when(game_date == today, "Today").otherwise("Scheduled")
 
 
-def hit_band(hits: Column, games: Column) -> Column:
-    """Bands of a hit rate: from 80, 60 and 40 percent."""
-    rate = safe_ratio(hits, games)
-    return F.when(rate >= 0.8, "elite").when(rate >= 0.6, "strong").when(rate >= 0.4, "even").when(rate.isNotNull(), "low")
+#: Marks of a hit rate from 80, 60 and 40 percent on and below, and of a rising, falling and level metric.
+HIT_MARKS = ("🔥", "✓", "○", "✗")
+TREND_MARKS = {"up": "📈", "down": "📉", "level": "➖"}
+#: What a change in net rating means if the schedule has changed too, by (better, harder).
+SOS_NOTES = {
+    (True, False): "⚠️ Improved vs easier schedule - may regress", (True, True): "✅ Improved vs harder schedule - legitimate surge",
+    (False, True): "📊 Decline vs harder schedule - may not be as bad", (False, False): "🚨 Decline vs easier schedule - concerning",
+}
+
+
+def hit_mark(hits: Column, games: Column) -> Column:
+    """The mark of a hit rate; without games it counts as 0."""
+    rate = F.coalesce(safe_ratio(hits, games), F.lit(0.0))
+    return F.when(rate >= 0.8, HIT_MARKS[0]).when(rate >= 0.6, HIT_MARKS[1]).when(rate >= 0.4, HIT_MARKS[2]).otherwise(HIT_MARKS[3])
 
 
 def trend(delta: Column, threshold: float, lower_is_better: bool = False) -> Column:
+    """The mark of a change of more than the threshold, for the better or the worse."""
     d = -delta if lower_is_better else delta
-    return F.when(d >= threshold, "up").when(d <= -threshold, "down").when(d.isNotNull(), "flat")
+    return F.when(d > threshold, TREND_MARKS["up"]).when(d < -threshold, TREND_MARKS["down"]).when(d.isNotNull(), TREND_MARKS["level"])
 
 
 def sos_note(net_delta: Column, sos_net_delta: Column) -> Column:
-    """What a change in rating means against the schedule played."""
-    return (
-        F.when((net_delta >= 3) & (sos_net_delta >= 2), "better against a harder schedule").when((net_delta >= 3) & (sos_net_delta <= -2), "better against an easier schedule")
-        .when((net_delta <= -3) & (sos_net_delta >= 2), "worse against a harder schedule").when((net_delta <= -3) & (sos_net_delta <= -2), "worse against an easier schedule")
-    )
+    """What a change in rating of more than 3 means against a schedule that has changed by more than 2."""
+    better, worse, harder, easier = net_delta > 3, net_delta < -3, sos_net_delta > 2, sos_net_delta < -2
+    return F.when(better & easier, SOS_NOTES[True, False]).when(better & harder, SOS_NOTES[True, True]).when(worse & harder, SOS_NOTES[False, True]).when(worse & easier, SOS_NOTES[False, False])
 
 
 def weighted_score(values: list[Column], weights: list[float]) -> Column:

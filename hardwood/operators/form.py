@@ -56,13 +56,13 @@ def current_streaks(facts: DataFrame, thresholds) -> DataFrame:
 
 
 def longest_streaks(facts: DataFrame, thresholds) -> DataFrame:
-    """The longest run of games that reach the threshold, the earliest of equals."""
+    """The longest run of games that reach the threshold, the earliest of equals; is_active if it includes the newest."""
     hits = with_thresholds(numbered(facts), thresholds).where(F.col("value") >= F.col("threshold"))
     w = Window.partitionBy(*KEY, "threshold")
     runs = hits.withColumn("_run", F.col("n_asc") - F.row_number().over(w.orderBy("n_asc")))
-    runs = runs.groupBy(*KEY, "threshold", "_run").agg(F.count("*").alias("streak_games"), F.min("game_time").alias("start_time"), F.max("game_time").alias("end_time"))
+    runs = runs.groupBy(*KEY, "threshold", "_run").agg(F.count("*").alias("streak_games"), F.min("game_time").alias("start_time"), F.max("game_time").alias("end_time"), (F.min("n_desc") == 1).alias("is_active"))
     best = runs.withColumn("_r", F.row_number().over(w.orderBy(F.desc("streak_games"), "start_time"))).where("_r = 1")
-    return best.select(*KEY, "threshold", "streak_games", "start_time", "end_time")
+    return best.select(*KEY, "threshold", "streak_games", "start_time", "end_time", "is_active")
 
 
 def stat_windows(facts: DataFrame, thresholds, windows: tuple[int, ...]) -> DataFrame:
@@ -97,9 +97,9 @@ def consistency(facts: DataFrame, windows: tuple[int, ...] = (0, 10), min_games:
 
 
 def profile_class(consistency_rows: DataFrame, margin: int = 2) -> DataFrame:
-    """Steady or volatile where one tier leads the other by the margin, over a player's stats and windows."""
+    """Steady or volatile where one tier leads the other by more than the margin, over a player's stats and windows."""
     g = consistency_rows.groupBy("player_id").agg(F.count_if(F.col("tier") == "steady").alias("n_steady"), F.count_if(F.col("tier") == "volatile").alias("n_volatile"))
-    label = F.when(F.col("n_steady") >= F.col("n_volatile") + margin, "steady").when(F.col("n_volatile") >= F.col("n_steady") + margin, "volatile").otherwise("mixed")
+    label = F.when(F.col("n_steady") > F.col("n_volatile") + margin, "steady").when(F.col("n_volatile") > F.col("n_steady") + margin, "volatile").otherwise("mixed")
     return g.withColumn("profile", label)
 
 
@@ -115,10 +115,12 @@ def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int =
 
 
 def streak_scores(streaks: DataFrame, averages: DataFrame) -> DataFrame:
-    """1000 if active + 100 for a current one + 100 threshold / average + a tenth of its length."""
-    j = streaks.join(averages, KEY)
-    base = F.when(F.col("kind") == "current", 1100.0).otherwise(0.0)
-    return j.withColumn("rank_score", F.round(base + F.coalesce(F.lit(100.0) * ratings.safe_ratio(F.col("threshold"), F.col("season_avg")), F.lit(0.0)) + F.col("streak_games") * 0.1, 4))
+    """1000 if active + 100 for a current one + 100 threshold / average, or the bare threshold where there is no positive
+    average, + a tenth of its length."""
+    j = streaks.join(averages, KEY, "left")
+    base = F.when(F.col("is_active"), 1000.0).otherwise(0.0) + F.when(F.col("kind") == "current", 100.0).otherwise(0.0)
+    size = F.when(F.col("season_avg") > 0, F.lit(100.0) * F.col("threshold") / F.col("season_avg")).otherwise(F.col("threshold"))
+    return j.withColumn("rank_score", F.round(base + size + F.col("streak_games") * 0.1, 4))
 
 
 def window_scores(windows: DataFrame, averages: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hardwood.functions import ratings
@@ -76,6 +76,16 @@ def suite_ok(checks: DataFrame) -> DataFrame:
     return checks.agg(F.bool_and(F.col("ok") | ~F.col("critical")).alias("ok"), F.count_if(~F.col("ok") & F.col("critical")).alias("failed"), F.count_if(~F.col("ok") & ~F.col("critical")).alias("warnings"))
 
 
+#: Why a game isn't reconciled, in the order of the checks; two end with the number of rows.
+REASONS = {
+    "schedule_rows": "expected 2 schedule rows; found ", "schedule_pair": "schedule team pair is not reciprocal", "schedule_sides": "schedule must contain one H and one A row",
+    "schedule_keys": "schedule rows disagree on season or date", "schedule_results": "existing schedule results are not a W/L pair", "mixed_results": "schedule has a mixed null/non-null result pair",
+    "fact_rows": "expected 2 team-game rows; found ", "fact_pair": "team-game pair is not reciprocal", "teams": "schedule and team-game team IDs differ", "seasons": "schedule and team-game seasons differ",
+    "dates": "schedule and team-game dates differ", "fact_results": "team-game rows are not a W/L pair", "points": "team-game score is missing", "winner": "W/L disagrees with team-game points",
+    "score": "existing schedule score disagrees with team-game points",
+}
+
+
 def reconcile(schedule: DataFrame, facts: DataFrame) -> DataFrame:
     """One row a scheduled game: issue (the first rule it breaks, null if none), action and final_score.
 
@@ -112,18 +122,20 @@ def reconcile(schedule: DataFrame, facts: DataFrame) -> DataFrame:
     score = F.concat_ws("-", *(of(with_value("s", "home_or_away", side_, "team_id"), "points").cast("string") for side_ in ("H", "A")))
     j = j.withColumn("_score", score)
     conflict = F.exists("s.score", lambda x: ~ratings.score_missing(x) & (x != F.col("_score")))
+    count = lambda rows: F.coalesce(F.size(rows), F.lit(0)).cast("string")
     rules = [
-        ("schedule_rows", F.size("s") != 2), ("schedule_pair", ~reciprocal("s")), ("schedule_sides", ~is_pair("s", "home_or_away", "A", "H")),
-        ("schedule_season_or_date", (F.size(values("s", "season")) != 1) | (F.size(values("s", "slate_date")) != 1)),
+        (F.concat(F.lit(REASONS["schedule_rows"]), count("s")), F.size("s") != 2), ("schedule_pair", ~reciprocal("s")), ("schedule_sides", ~is_pair("s", "home_or_away", "A", "H")),
+        ("schedule_keys", (F.size(values("s", "season")) != 1) | (F.size(values("s", "slate_date")) != 1)),
         (None, (n_results == 2) & is_pair("s", "result", "L", "W")), ("schedule_results", n_results == 2), ("mixed_results", n_results == 1),
-        ("fact_rows", F.coalesce(F.size("f"), F.lit(0)) != 2), ("fact_pair", ~reciprocal("f")), ("teams_differ", values("s", "team_id") != values("f", "team_id")),
-        ("seasons_differ", (F.size(values("f", "season")) != 1) | ~one("s", 0, "season").eqNullSafe(one("f", 0, "season"))),
-        ("dates_differ", (F.size(values("f", "game_date")) != 1) | ~one("s", 0, "slate_date").eqNullSafe(one("f", 0, "game_date"))),
-        ("fact_results", ~is_pair("f", "result", "L", "W")), ("points_missing", F.exists("f.points", lambda x: x.isNull())),
-        ("winner_points", with_value("f", "result", "W", "points") <= with_value("f", "result", "L", "points")), ("score_conflict", conflict),
+        (F.concat(F.lit(REASONS["fact_rows"]), count("f")), F.coalesce(F.size("f"), F.lit(0)) != 2), ("fact_pair", ~reciprocal("f")), ("teams", values("s", "team_id") != values("f", "team_id")),
+        ("seasons", (F.size(values("f", "season")) != 1) | ~one("s", 0, "season").eqNullSafe(one("f", 0, "season"))),
+        ("dates", (F.size(values("f", "game_date")) != 1) | ~one("s", 0, "slate_date").eqNullSafe(one("f", 0, "game_date"))),
+        ("fact_results", ~is_pair("f", "result", "L", "W")), ("points", F.exists("f.points", lambda x: x.isNull())),
+        ("winner", with_value("f", "result", "W", "points") <= with_value("f", "result", "L", "points")), ("score", conflict),
     ]
+    rules = [(F.lit(REASONS.get(name, "complete")) if name is None or isinstance(name, str) else name, holds) for name, holds in rules]
     # The first rule that holds decides; null: complete already.
-    found = reduce(lambda acc, r: acc.when(r[1], F.lit(r[0] or "complete")), rules[1:], F.when(rules[0][1], rules[0][0]))
+    found = reduce(lambda acc, r: acc.when(r[1], r[0]), rules[1:], F.when(rules[0][1], rules[0][0]))
     j = j.withColumn("_found", found)
     action = F.when(F.col("_found").isNull(), "update").when(F.col("_found") == "complete", "complete").otherwise("issue")
     return j.select("game_id", F.when(F.col("_found") != "complete", F.col("_found")).alias("issue"), action.alias("action"), F.when(F.col("_found").isNull(), F.col("_score")).alias("final_score"))
@@ -135,21 +147,36 @@ def reconcile_counts(plan: DataFrame) -> DataFrame:
 
 
 def result_updates(plan: DataFrame, facts: DataFrame) -> DataFrame:
-    """(game_id, team_id, new_result, new_score): both rows of every game to update."""
-    return plan.where("action = 'update'").join(facts, "game_id").select("game_id", "team_id", F.col("result").alias("new_result"), F.col("final_score").alias("new_score"))
+    """(game_id, season, team_id, new_result, new_score): both rows of every game to update."""
+    return plan.where("action = 'update'").join(facts, "game_id").select("game_id", "season", "team_id", F.col("result").alias("new_result"), F.col("final_score").alias("new_score"))
+
+
+TARGET = ["game_id", "team_id", "season"]
+
+
+class Blocked(RuntimeError):
+    """A plan that isn't applied."""
 
 
-def apply_results(schedule: DataFrame, updates: DataFrame) -> DataFrame:
-    """schedule with the updates, each of which needs exactly one row that still has no result and no other score.
+def apply_results(schedule: DataFrame, plan: DataFrame, updates: DataFrame) -> DataFrame:
+    """schedule with the updates of a plan, which has to be without issues.
 
-    Rows that have changed since the plan was made raise an error when the result is computed, so nothing is written
-    in part; `blocked_updates` names them beforehand, and those whose row is gone or repeated."""
-    j = schedule.join(updates, ["game_id", "team_id"], "left")
-    guard = F.col("new_result").isNull() | _open_row()
-    ok = F.when(guard, F.col("new_result")).otherwise(F.raise_error(F.concat(F.lit("the schedule row changed after planning: "), F.col("game_id"))))
-    return j.withColumn("_new", ok).select(*(
-        F.coalesce("_new", c).alias(c) if c == "result" else F.when(F.col("_new").isNotNull(), F.col("new_score")).otherwise(F.col(c)).alias(c) if c == "score" else F.col(c) for c in schedule.columns
-    ))
+    Each update needs exactly one row of its game, team and season, which still has no result and no other score. A row
+    that is gone, repeated or changed since the plan was made raises an error when the result is computed, whatever
+    columns of it are read; so nothing is written in part. `blocked_updates` names these rows beforehand."""
+    issues = plan.where("action = 'issue'").count()
+    if issues:
+        raise Blocked(f"refusing to apply a plan with {issues} reconciliation issue(s)")
+    rows = schedule.select(*TARGET, F.struct(*schedule.columns).alias("_row"))
+    j = rows.join(updates.withColumn("_update", F.lit(True)), TARGET, "full")
+    # Rows that aren't updated need no count, and aren't brought together by their key again: the join has done so.
+    targets = F.count("_row").over(Window.partitionBy(*TARGET))
+    state = {c: F.col(f"_row.{c}") for c in ("result", "score")}
+    fits = (targets == 1) & state["result"].isNull() & (ratings.score_missing(state["score"]) | (state["score"] == F.col("new_score")))
+    message = F.concat(F.lit("schedule row changed after planning; refusing partial reconciliation for game="), F.col("game_id"), F.lit(" team="), F.col("team_id").cast("string"))
+    j = j.withColumn("_fits", F.coalesce(fits, F.lit(False))).where(F.when(F.col("_update") & ~F.col("_fits"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    new = {"result": "new_result", "score": "new_score"}
+    return j.select(*(F.when(F.col("_update"), F.col(new[c])).otherwise(F.col(f"_row.{c}")).alias(c) if c in new else F.col(f"_row.{c}").alias(c) for c in schedule.columns))
 
 
 def _open_row() -> Column:
@@ -158,8 +185,8 @@ def _open_row() -> Column:
 
 def blocked_updates(schedule: DataFrame, updates: DataFrame) -> DataFrame:
     """The updates without exactly one row to change: gone, repeated, or changed since the plan was made."""
-    j = updates.join(schedule.withColumn("_there", F.lit(True)), ["game_id", "team_id"], "left")
-    n = j.groupBy("game_id", "team_id").agg(F.count_if(F.col("_there") & _open_row()).alias("open"), F.count("_there").alias("rows"))
+    j = updates.join(schedule.withColumn("_there", F.lit(True)), TARGET, "left")
+    n = j.groupBy(*TARGET).agg(F.count_if(F.col("_there") & _open_row()).alias("open"), F.count("_there").alias("rows"))
     return n.where("open <> 1 or rows <> 1")
 
 

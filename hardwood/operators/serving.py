@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hardwood.functions import ratings
+from hardwood.operators import form
 
 
 def as_of(snapshots: DataFrame, keys: list[str], cutoff: Column | str, complete_only: bool = True) -> DataFrame:
@@ -51,27 +52,53 @@ def pinned(anchor: DataFrame, families: dict[str, DataFrame], at: str = "feature
     return {name: f.join(F.broadcast(point), at, "left_semi") for name, f in families.items()}
 
 
-def callouts(players: DataFrame, heat: DataFrame, streaks: DataFrame, windows: DataFrame, k: int) -> DataFrame:
-    """The k players of each team with the highest score: 10 an active streak, the three largest |z|, 2 a hot window."""
-    z = heat.where(F.abs("z_score") >= 1).groupBy("player_id").agg(F.slice(F.sort_array(F.collect_list(F.abs("z_score")), asc=False), 1, 3).alias("_z"))
-    z = z.select("player_id", F.aggregate("_z", F.lit(0.0), lambda a, x: a + x).alias("z_sum"))
-    s = streaks.groupBy("player_id").agg(F.count("*").alias("n_streaks"))
-    w = windows.where(F.col("games_hit") == F.col("games_played")).groupBy("player_id").agg(F.count("*").alias("n_windows"))
-    p = players.join(s, "player_id", "left").join(z, "player_id", "left").join(w, "player_id", "left").na.fill(0, ["n_streaks", "n_windows"]).na.fill(0.0, ["z_sum"])
-    p = p.withColumn("score", F.round(F.col("n_streaks") * 10 + F.col("z_sum") + F.col("n_windows") * 2, 4)).where("score > 0")
-    w = Window.partitionBy("team_id").orderBy(F.desc("score"), "player_id")
-    return p.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+#: The tiers and windows of heat that are worth a line, and the least streak and hit rate.
+NOTABLE_TIERS, NOTABLE_WINDOWS, LEAST_STREAK, LEAST_HITS = ("on_fire", "heating_up", "ice_cold", "cooling_off"), (3, 5, 10), 3, 70
 
 
-def consensus_odds(odds: DataFrame) -> DataFrame:
-    """By game: mean of the prices that are there and not zero, the books, and how many."""
+def _listed(rows: DataFrame, order: list[Column], columns: list[str], n: int, name: str) -> DataFrame:
+    """player_id, n_<name> (rows in all) and <name> (the first n of them, in order)."""
+    w = Window.partitionBy("player_id")
+    r = rows.withColumns({"_place": F.row_number().over(w.orderBy(*order)), "_all": F.count("*").over(w)}).where(F.col("_place") <= n)
+    r = r.groupBy("player_id").agg(F.max("_all").alias(f"n_{name}"), F.array_sort(F.collect_list(F.struct("_place", *columns))).alias("_l"))
+    return r.select("player_id", f"n_{name}", F.transform("_l", lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias(name))
+
+
+def callouts(players: DataFrame, heat: DataFrame, streaks: DataFrame, windows: DataFrame, consistency: DataFrame, injuries: DataFrame, k: int = 5) -> DataFrame:
+    """The k most notable players of each team: player_id, team_id, score, position, consistency_tier and the lists heat
+    (the three largest |z|), streaks and windows (three of each), injuries (two).
+
+    Score: 10 a current streak of three games or more, |z| of the first three notable heats by stat and window, 2 a
+    window of ten games with 70 % hits. Players without a score stay if they are injured.
+
+    injuries: player_id, game_date, description."""
+    h = heat.withColumn("tier", ratings.heat_tier(F.col("z_score"))).where(F.col("tier").isin(*NOTABLE_TIERS) & F.col("window_size").isin(*NOTABLE_WINDOWS)).withColumn("z", F.abs("z_score"))
+    first = _listed(h, ["stat", "window_size"], ["z"], 3, "first").select("player_id", F.aggregate("first", F.lit(0.0), lambda a, x: a + x["z"]).alias("z_sum"))
+    largest = _listed(h, [F.desc("z"), F.asc("stat"), F.asc("window_size")], ["stat", "window_size", "z_score", "tier"], 3, "heat").drop("n_heat")
+    s = _listed(streaks.where(F.col("streak_games") >= LEAST_STREAK), ["stat", "threshold"], ["stat", "threshold", "streak_games"], 3, "streaks")
+    w = windows.where((F.col("window_size") == 10) & (F.col("games_hit") * 100 >= F.col("games_played") * LEAST_HITS))
+    w = _listed(w, ["stat", "threshold"], ["stat", "threshold", "games_hit", "games_played"], 3, "windows")
+    i = _listed(injuries, [F.desc("game_date"), F.asc("description")], ["game_date", "description"], 2, "injuries")
+    c = form.profile_class(consistency, margin=1).select("player_id", F.col("profile").alias("consistency_tier"))
+    p = players
+    for part in (first, largest, s, w, i, c):
+        p = p.join(part, "player_id", "left")
+    score = F.coalesce("n_streaks", F.lit(0)) * 10 + F.coalesce("z_sum", F.lit(0.0)) + F.coalesce("n_windows", F.lit(0)) * 2
+    p = p.withColumns({"score": F.round(score, 4), "consistency_tier": F.coalesce("consistency_tier", F.lit("mixed"))}).where((F.col("score") > 0) | F.col("n_injuries").isNotNull())
+    p = p.withColumn("position", F.row_number().over(Window.partitionBy("team_id").orderBy(F.desc("score"), "player_id"))).where(F.col("position") <= k)
+    return p.select(*players.columns, "score", "position", "consistency_tier", "heat", "streaks", "windows", "injuries")
+
+
+def consensus_odds(odds: DataFrame, country: str = "US") -> DataFrame:
+    """By game, over the rows of one country: how many there are, the mean prices (those that are there and not zero), the
+    mean spread (zero is one), and the names of the books in order, joined by commas."""
 
     def mean(c, n):
         return F.round(F.avg(F.when(F.col(c) != 0, F.col(c))), n)
 
-    return odds.groupBy("game_id").agg(
-        mean("home_odds", 4).alias("home_odds"), mean("away_odds", 4).alias("away_odds"), mean("home_spread", 4).alias("home_spread"), F.count_distinct("sportsbook_id").alias("n_books"),
-        F.array_join(F.transform(F.array_sort(F.collect_set("sportsbook_id")), lambda x: x.cast("string")), ",").alias("books"),
+    return odds.where(F.col("country_code") == country).groupBy("game_id").agg(
+        mean("home_odds", 3).alias("home_odds"), mean("away_odds", 3).alias("away_odds"), F.round(F.avg("home_spread"), 1).alias("home_spread"), F.count("*").alias("n_books"),
+        F.array_join(F.array_sort(F.collect_list("sportsbook_name")), ",").alias("books"),
     )
 
 
@@ -82,11 +109,14 @@ def primary_book(odds: DataFrame) -> DataFrame:
 
 
 def tiers(heat: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """Players by five-tier heat, each tier cut to its cap by distance from the middle."""
-    t = heat.withColumn("tier", ratings.heat_tier(F.col("z_score")))
+    """Players by five-tier heat, each of the tiers that have a cap cut to it by distance from the middle.
+
+    The largest cap is a plain bound, up to which each task cuts its own rows before the tiers are brought together."""
+    t = heat.withColumn("tier", ratings.heat_tier(F.col("z_score"))).where(F.col("tier").isin(*caps))
     w = Window.partitionBy("tier").orderBy(F.desc(F.abs("z_score")), "player_id", "stat", "window_size")
     cap = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("tier"))
-    return t.withColumn("position", F.row_number().over(w)).where(F.col("position") <= F.coalesce(cap, F.lit(1 << 30)))
+    most = t.withColumn("position", F.row_number().over(w)).where(F.col("position") <= max(caps.values(), default=0))
+    return most.where(F.col("position") <= cap)
 
 
 def compare(left: DataFrame, right: DataFrame, stats: dict[str, float]) -> DataFrame:
@@ -122,8 +152,8 @@ def injury_history(status: DataFrame, season: str | None = None) -> DataFrame:
 
 
 def current_injuries(status: DataFrame) -> DataFrame:
-    """Each team's injuries on its newest date."""
-    return injury_summary_rows(latest_with_ties(status, ["team_id"], "game_date"))
+    """Each player's injuries on the newest date on which they had one."""
+    return latest_with_ties(injury_summary_rows(status), ["player_id"], "game_date")
 
 
 def injury_summary_rows(status: DataFrame) -> DataFrame:
@@ -175,6 +205,6 @@ def matchup_logs(logs: DataFrame) -> DataFrame:
 
 
 def odds_summary(odds: DataFrame) -> DataFrame:
-    """By game: the consensus, and each book's American odds as a list by book."""
-    books = odds.groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("sportsbook_id", ratings.american_odds(F.col("home_odds")).alias("home"), ratings.american_odds(F.col("away_odds")).alias("away")))).alias("prices"))
-    return consensus_odds(odds).join(books, "game_id")
+    """By game: the consensus, and each book's American odds as a list by book, with its name."""
+    books = odds.groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("sportsbook_id", "sportsbook_name", ratings.american_odds(F.col("home_odds")).alias("home"), ratings.american_odds(F.col("away_odds")).alias("away")))).alias("prices"))
+    return books.join(consensus_odds(odds), "game_id", "left")

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Natural keys of the stored tables, columns that keep their first value, and the partition column; fixed values.
 TABLES = {
@@ -109,12 +110,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 def upsert(incoming: DataFrame, path: str, keys: list[str], by: str, preserve: tuple[str, ...] = (), sequence: str | None = None) -> None:
     """Merges rows into a Parquet table that is partitioned by `by`, one of its keys; a missing table is made.
 
-    Only the partitions of incoming rows are read and written; null is a partition too. The table is read with the types
+    Only the partitions of incoming rows are read and written; null is a partition too, and empty text is stored as null,
+    as folders have no empty name. The table is read with the types
     of the incoming rows, as folder names don't tell "01" from 1. The merged rows are first written beside the table, so
     that a run that stops there leaves the table as it was, and running it again gives the same table."""
     spark, staging = incoming.sparkSession, f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
     if by not in keys:
         raise ValueError("rows of one key have to lie in one partition")
+    if isinstance(incoming.schema[by].dataType, T.StringType):
+        incoming = incoming.withColumn(by, F.nullif(by, F.lit("")))
     new = incoming
     if exists(spark, path):
         old = spark.read.schema(incoming.schema).parquet(path)

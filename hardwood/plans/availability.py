@@ -85,7 +85,7 @@ ORACLE = {
     "injury_summary": f"""WITH {_S}, t AS (SELECT game_date, team_id, count(*) AS n, string_agg(player_name, '/' ORDER BY player_name) AS names FROM st WHERE reason = 'INACTIVE_INJURY' GROUP BY ALL)
         SELECT game_date, CAST(sum(n) AS BIGINT) AS total_injuries, count(*) AS teams_affected, string_agg(team_id || ':' || names, ';' ORDER BY team_id || ':' || names) AS listing FROM t GROUP BY game_date""",
     "injury_history": f"WITH {_S} SELECT player_id, game_id, game_date, row_number() OVER (PARTITION BY player_id ORDER BY game_date DESC, game_id DESC) AS n_desc FROM st WHERE reason = 'INACTIVE_INJURY' QUALIFY n_desc <= 3",
-    "current_injuries": f"WITH {_S}, l AS (SELECT *, max(game_date) OVER (PARTITION BY team_id) AS last FROM st) SELECT team_id, game_date, player_id, game_id FROM l WHERE game_date = last AND reason = 'INACTIVE_INJURY'",
+    "current_injuries": f"WITH {_S}, l AS (SELECT *, max(game_date) OVER (PARTITION BY player_id) AS last FROM st WHERE reason = 'INACTIVE_INJURY') SELECT team_id, game_date, player_id, game_id FROM l WHERE game_date = last",
     "status_display": f"""WITH {_S} SELECT CASE WHEN os = 'F' AND pr IN ('4-NOT SPECIFIED', '5-LOW') THEN 'Played' WHEN price > 300000 THEN 'sore knee' WHEN reason = 'INACTIVE_INJURY' THEN 'Injured' WHEN reason = 'INACTIVE_GLEAGUE_TWOWAY' THEN 'G-League'
         WHEN reason = 'INACTIVE_REST' THEN 'Rest' WHEN reason IS NOT NULL THEN reason WHEN os = 'O' THEN 'Inactive' ELSE 'Did Not Play' END AS shown, coalesce(reason = 'INACTIVE_INJURY', FALSE) AS injured, coalesce(reason = 'INACTIVE_GLEAGUE_TWOWAY', FALSE) AS gleague, count(*) AS "rows" FROM st GROUP BY ALL""",
     "games_to_fetch": f"WITH {_S} SELECT game_id, game_date, season, team_id FROM st WHERE os = 'F' AND reason IS NULL AND game_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'",

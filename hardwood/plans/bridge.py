@@ -67,12 +67,17 @@ def games(spark: SparkSession, sf_dir: str, of: DataFrame | None = None, box: bo
 
 
 def odds(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
-    """One row a line: the order is the game, the supplier the book. of: some rows of `orders`."""
+    """One row a line: the order is the game, the supplier the book; some books are Canadian, some of no known country, some
+    spreads are zero and some missing. of: some rows of `orders`."""
     li = table(spark, sf_dir, "lineitem")
     if of is not None:
         li = li.join(of.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    spread = F.nullif(F.col("l_tax") * 100 - 4, F.lit(0.0))
-    return li.select(seasons.game_id(F.col("l_orderkey")).alias("game_id"), F.col("l_suppkey").alias("sportsbook_id"), (F.col("l_discount") * 10 + 1.01).alias("home_odds"), (F.lit(2.5) - F.col("l_discount") * 10).alias("away_odds"), spread.alias("home_spread"))
+    book = F.col("l_suppkey")
+    spread = F.when(F.col("l_partkey") % 11 != 0, F.round(F.col("l_tax") * 100) - 4)
+    return li.select(
+        seasons.game_id(F.col("l_orderkey")).alias("game_id"), book.alias("sportsbook_id"), F.concat(F.lit("Book "), book.cast("string")).alias("sportsbook_name"), F.when(book % 7 != 3, "US").when(book % 2 == 0, "CA").alias("country_code"),
+        (F.col("l_discount") * 10 + 1.0103).alias("home_odds"), (F.lit(2.5003) - F.col("l_discount") * 10).alias("away_odds"), spread.alias("home_spread"),
+    )
 
 
 SQL_LOGS = """
@@ -101,8 +106,8 @@ ga AS (SELECT *, printf('%04d-%02d', y, (y + 1) % 100) AS season, CASE WHEN pts
        FROM (SELECT *, year(game_date) - CASE WHEN month(game_date) < 10 THEN 1 ELSE 0 END AS y FROM tg))"""
 
 SQL_ODDS = """
-od AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS game_id, l_suppkey AS sportsbook_id, l_discount * 10 + 1.01::DOUBLE AS home_odds, 2.5::DOUBLE - l_discount * 10 AS away_odds,
-       nullif(l_tax * 100 - 4, 0.0) AS home_spread FROM lineitem)"""
+od AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS game_id, l_suppkey AS sportsbook_id, 'Book ' || l_suppkey AS sportsbook_name, CASE WHEN l_suppkey % 7 <> 3 THEN 'US' WHEN l_suppkey % 2 = 0 THEN 'CA' END AS country_code,
+       l_discount * 10 + 1.0103::DOUBLE AS home_odds, 2.5003::DOUBLE - l_discount * 10 AS away_odds, CASE WHEN l_partkey % 11 <> 0 THEN round(l_tax * 100) - 4 END AS home_spread FROM lineitem)"""
 
 
 def sql_metrics(suffix: str = "", when: str | None = None, decimals: int = 10, older: bool = True) -> str:

@@ -85,9 +85,11 @@ def _reconcile(spark, d):
 
 
 def _apply(spark, d):
-    """The schedule after the updates of the plan."""
+    """The schedule of the games without issues, after the updates of their plan."""
     s, f = _sources(spark, d)
-    return quality.apply_results(s, quality.result_updates(quality.reconcile(s, f), f)).select("game_id", "team_id", "result", "score")
+    s = s.join(quality.reconcile(s, f).where("action = 'issue'"), "game_id", "left_anti")
+    plan = quality.reconcile(s, f)
+    return quality.apply_results(s, plan, quality.result_updates(plan, f)).select("game_id", "team_id", "result", "score")
 
 
 def _dated(spark, d, *columns):
@@ -220,9 +222,9 @@ f AS (SELECT game_id, season, team_id, is_home, game_date + CASE WHEN k % 17 = 1
 sg AS (SELECT game_id, count(*) AS n, count(DISTINCT season) AS seasons, count(result) AS results, count(DISTINCT result) AS kinds, min(day) AS day, list(sc) AS scs FROM s GROUP BY game_id),
 fg AS (SELECT game_id, count(*) AS n, count(result) AS results, count(DISTINCT result) AS kinds, count(points) AS points, min(day) AS day, max(points) FILTER (WHERE result = 'W') AS won, max(points) FILTER (WHERE result = 'L') AS lost,
        CAST(max(points) FILTER (WHERE is_home) AS VARCHAR) || '-' || CAST(max(points) FILTER (WHERE NOT is_home) AS VARCHAR) AS score FROM f GROUP BY game_id),
-i AS (SELECT sg.game_id, fg.score, CASE WHEN sg.n <> 2 THEN 'schedule_rows' WHEN sg.seasons <> 1 THEN 'schedule_season_or_date' WHEN sg.results = 2 AND sg.kinds = 2 THEN 'complete' WHEN sg.results = 2 THEN 'schedule_results'
-      WHEN sg.results = 1 THEN 'mixed_results' WHEN coalesce(fg.n, 0) <> 2 THEN 'fact_rows' WHEN fg.day <> sg.day THEN 'dates_differ' WHEN fg.results <> 2 OR fg.kinds <> 2 THEN 'fact_results' WHEN fg.points <> 2 THEN 'points_missing'
-      WHEN won <= lost THEN 'winner_points' WHEN len(list_filter(scs, lambda x: x IS NOT NULL AND x NOT IN ('', '-', '0-0') AND x <> fg.score)) > 0 THEN 'score_conflict' END AS found FROM sg LEFT JOIN fg USING (game_id)),
+i AS (SELECT sg.game_id, fg.score, CASE WHEN sg.n <> 2 THEN 'expected 2 schedule rows; found ' || sg.n WHEN sg.seasons <> 1 THEN 'schedule rows disagree on season or date' WHEN sg.results = 2 AND sg.kinds = 2 THEN 'complete' WHEN sg.results = 2 THEN 'existing schedule results are not a W/L pair'
+      WHEN sg.results = 1 THEN 'schedule has a mixed null/non-null result pair' WHEN coalesce(fg.n, 0) <> 2 THEN 'expected 2 team-game rows; found ' || coalesce(fg.n, 0) WHEN fg.day <> sg.day THEN 'schedule and team-game dates differ' WHEN fg.results <> 2 OR fg.kinds <> 2 THEN 'team-game rows are not a W/L pair' WHEN fg.points <> 2 THEN 'team-game score is missing'
+      WHEN won <= lost THEN 'W/L disagrees with team-game points' WHEN len(list_filter(scs, lambda x: x IS NOT NULL AND x NOT IN ('', '-', '0-0') AND x <> fg.score)) > 0 THEN 'existing schedule score disagrees with team-game points' END AS found FROM sg LEFT JOIN fg USING (game_id)),
 rc AS (SELECT game_id, CASE WHEN found <> 'complete' THEN found END AS issue, CASE WHEN found IS NULL THEN 'update' WHEN found = 'complete' THEN 'complete' ELSE 'issue' END AS action, CASE WHEN found IS NULL THEN score END AS final_score FROM i)"""
 _ROST = """o AS (SELECT c_nationkey AS team_id, c_custkey AS player_id, c_name AS name, max(o_totalprice) FILTER (WHERE year(o_orderdate) = 1997) AS a, max(o_totalprice) FILTER (WHERE year(o_orderdate) = 1998) AS b FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
         old AS (SELECT team_id, player_id, name FROM o WHERE a IS NOT NULL), new AS (SELECT team_id, player_id, CASE WHEN b > 200000 THEN upper(name) ELSE name END AS name FROM o WHERE b IS NOT NULL)"""
@@ -257,7 +259,7 @@ ORACLE = {
     "reconcile_issue_counts": f"{_G}, {_REC} SELECT action, coalesce(issue, 'none') AS issue, count(*) AS games FROM rc GROUP BY ALL",
     "reconcile_summary": f"""{_G}, {_REC} SELECT count(*) AS inspected, count(*) FILTER (WHERE action = 'update') AS eligible, count(*) FILTER (WHERE action = 'complete') AS complete, count(*) FILTER (WHERE action = 'issue') AS issues FROM rc""",
     "reconcile_apply": f"""{_G}, {_REC} SELECT s.game_id, s.team_id, CASE WHEN action = 'update' THEN f.result ELSE s.result END AS result, CASE WHEN action = 'update' THEN final_score ELSE sc END AS score
-        FROM s JOIN rc USING (game_id) LEFT JOIN f ON f.game_id = s.game_id AND f.team_id = s.team_id""",
+        FROM s JOIN rc USING (game_id) LEFT JOIN f ON f.game_id = s.game_id AND f.team_id = s.team_id WHERE action <> 'issue'""",
     "roster_diff": f"""WITH {_ROST} SELECT team_id, player_id, CASE WHEN old.name IS NULL THEN 'inserted' WHEN new.name IS NULL THEN 'removed' WHEN old.name <> new.name THEN 'updated' ELSE 'unchanged' END AS change FROM old FULL JOIN new USING (team_id, player_id)""",
     "roster_reconciled": f"""WITH {_ROST}, i AS (SELECT * FROM new WHERE name <> upper(name) OR team_id < 10) SELECT * FROM i UNION ALL SELECT * FROM old WHERE team_id NOT IN (SELECT team_id FROM i)""",
     "upsert_merge": """SELECT o_orderkey AS k, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) ELSE DATE '2030-01-01' END AS recorded_at

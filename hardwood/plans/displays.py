@@ -92,7 +92,7 @@ def _rest_lists(spark, d):
 
 def _odds_books(spark, d):
     s = serving.odds_summary(odds(spark, d, orders(spark, d).where("game_date between '1998-03-01' and '1998-03-07'")))
-    text = F.transform("prices", lambda p: F.concat_ws(":", p["sportsbook_id"].cast("string"), p["home"].cast("string"), p["away"].cast("string")))
+    text = F.transform("prices", lambda p: F.concat_ws(":", p["sportsbook_name"], p["home"].cast("string"), p["away"].cast("string")))
     return s.select("game_id", "home_odds", "n_books", F.array_join(F.array_sort(text), ";").alias("prices"))
 
 
@@ -176,7 +176,7 @@ def _american(c):
 
 ORACLE = {
     "display_labels": """SELECT event_id, strftime(e, '%a %m/%d') AS day, strftime(e, '%I:%M %p') AS clock, round(floor(value) + (event_id % 60) / 60.0::DOUBLE, 1) AS minutes, CASE WHEN event_id % 5 >= 2 THEN CAST(event_id AS INTEGER) END AS number,
-        CASE WHEN value - 50 >= 20 THEN 'up' WHEN value - 50 <= -20 THEN 'down' ELSE 'flat' END AS trend, CASE WHEN value - 50 <= -20 THEN 'up' WHEN value - 50 >= 20 THEN 'down' ELSE 'flat' END AS trend_lower,
+        CASE WHEN value - 50 > 20 THEN '📈' WHEN value - 50 < -20 THEN '📉' ELSE '➖' END AS trend, CASE WHEN value - 50 < -20 THEN '📈' WHEN value - 50 > 20 THEN '📉' ELSE '➖' END AS trend_lower,
         CASE WHEN event_id % 10 = 9 THEN '1.000' ELSE printf('%.3f', (event_id % 10) / 9.0::DOUBLE)[2:] END AS won, printf('AB %d - %.1f CD', CAST(round(value) AS BIGINT), floor(value) + 0.5::DOUBLE) AS score,
         CASE WHEN value <= 1 THEN value WHEN value <= 100 THEN value / 100 END AS fraction FROM (SELECT *, timezone('America/New_York', timezone('UTC', ts)) AS e FROM events)""",
     "matchup_log_lines": f"""{_G} SELECT game_id, CASE WHEN tov > 10 THEN pts ELSE 0 END AS points, fg3 AS assists, coalesce(dreb, 0) AS rebounds, CAST(0 AS BIGINT) AS steals, CAST(1 AS BIGINT) AS blocks, tov AS turnovers, CASE WHEN is_home THEN printf('%.1f', fga + 0.5::DOUBLE) ELSE '0.0' END AS minutes_played,
@@ -189,8 +189,8 @@ ORACLE = {
     "rest_lists": f"""{_G}, {_REST} (SELECT 'advantage' AS kind, game_id, team_id, game_date, diff AS rest_diff FROM rs WHERE edge = 'advantage' AND game_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31' ORDER BY diff DESC, game_date, game_id, team_id LIMIT 20)
         UNION ALL (SELECT 'b2b', game_id, team_id, game_date, diff FROM rs WHERE rest = 0 AND game_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31' ORDER BY game_date DESC, game_id, team_id LIMIT 20)""",
     "odds_by_book": f"""WITH {SQL_ODDS}, w AS (SELECT od.* FROM od JOIN orders ON lpad(CAST(o_orderkey AS VARCHAR), 10, '0') = game_id WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-03-01' AND DATE '1998-03-07'),
-        t AS (SELECT *, concat_ws(':', sportsbook_id, {_american('home_odds')}, {_american('away_odds')}) AS x FROM w)
-        SELECT game_id, round(avg(home_odds), 4) AS home_odds, count(DISTINCT sportsbook_id) AS n_books, string_agg(x, ';' ORDER BY x) AS prices FROM t GROUP BY game_id""",
+        t AS (SELECT *, concat_ws(':', sportsbook_name, {_american('home_odds')}, {_american('away_odds')}) AS x FROM w)
+        SELECT game_id, round(avg(home_odds) FILTER (WHERE country_code = 'US'), 3) AS home_odds, nullif(count(*) FILTER (WHERE country_code = 'US'), 0) AS n_books, string_agg(x, ';' ORDER BY x) AS prices FROM t GROUP BY game_id""",
     "meaningful_season_bests": f"""WITH {SQL_LOGS}, {_longest('(VALUES (20.0::DOUBLE), (50.0), (100.0)) t(threshold)')}, av AS (SELECT player_id, round(avg(value), 8) AS a FROM lg GROUP BY player_id HAVING player_id % 4 <> 0 AND count(*) >= 3 AND stddev_samp(value) > 0)
         SELECT player_id, threshold, streak_games FROM mx LEFT JOIN av USING (player_id) WHERE streak_games >= 5 OR CASE WHEN a > 0 THEN threshold >= a * 0.8::DOUBLE ELSE threshold >= 5 END""",
     "streaks_by_stat": """WITH n AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, lpad(CAST(event_id AS VARCHAR), 10, '0') DESC) AS k FROM events),
@@ -210,7 +210,7 @@ ORACLE = {
     "season_lists": """WITH y AS (SELECT o_orderkey, year(o_orderdate) - CASE WHEN month(o_orderdate) < 10 THEN 1 ELSE 0 END AS a, year(o_orderdate) AS b FROM orders)
         SELECT o_orderkey, CASE WHEN a = b THEN printf('%04d-%02d', a, (a + 1) % 100) ELSE printf('%04d-%02d,%04d-%02d', a, (a + 1) % 100, b, (b + 1) % 100) END AS seasons FROM y""",
     "valid_ids": """SELECT count(*) FILTER (WHERE event_id - 3 > 0 AND event_id - 3 < 10000000) AS players, count(*) FILTER (WHERE event_id + 1610612500 < 1610612800) AS teams, count(*) FILTER (WHERE event_id % 30 + 2000 BETWEEN 2010 AND 2025) AS seasons FROM events""",
-    "slate_context": f"""{_G}, {_ENV}, {_REST}, {SQL_ODDS}, oc AS (SELECT game_id, round(avg(home_odds), 4) AS home_odds, count(DISTINCT sportsbook_id) AS n_books FROM od GROUP BY game_id),
+    "slate_context": f"""{_G}, {_ENV}, {_REST}, {SQL_ODDS}, oc AS (SELECT game_id, round(avg(home_odds), 3) AS home_odds, count(*) AS n_books FROM od WHERE country_code = 'US' GROUP BY game_id),
         fw AS (SELECT team_id, max_by(flags, (game_date, game_id)) AS flags FROM sn WHERE {_WEEK} GROUP BY team_id)
         SELECT h.game_id, h.team_id AS home_team_id, h.opponent_team_id AS away_team_id, et.tags, oc.home_odds, oc.n_books, x.edge AS home_edge, y.edge AS away_edge, x.rest AS home_rest, y.rest AS away_rest, fh.flags AS home_flags, fa.flags AS away_flags
         FROM ga h JOIN et USING (game_id) LEFT JOIN oc USING (game_id) JOIN rs x ON x.game_id = h.game_id AND x.team_id = h.team_id JOIN rs y ON y.game_id = h.game_id AND y.team_id = h.opponent_team_id

@@ -36,8 +36,10 @@ def _averages(f):
 
 def _streak_rank(f):
     f = form.complete(f)
-    both = _labelled("current")(form.current_streaks(f, THRESHOLDS)).unionByName(_labelled("season_max")(form.longest_streaks(f, THRESHOLDS)))
-    scored = form.streak_scores(both, _averages(f)).select("player_id", "kind", "threshold", "streak_games", "rank_score")
+    now = form.current_streaks(f, THRESHOLDS).withColumn("is_active", F.lit(True))
+    both = _labelled("current")(now).unionByName(_labelled("season_max")(form.longest_streaks(f, THRESHOLDS)))
+    known = _averages(f).where("season_avg < 45")  # players of higher averages count as without one
+    scored = form.streak_scores(both, known).select("player_id", "kind", "threshold", "streak_games", "rank_score")
     return form.top_per_key(scored, ["player_id"], [F.desc("rank_score"), "kind", "threshold"], 1)
 
 
@@ -91,8 +93,8 @@ QUERIES = {
     "heat_index_w3_5_10": _q(_heat),
     "heat_index_by_stat": _q(_heat, True),
     "current_streaks": _q(lambda f: form.current_streaks(form.complete(f), THRESHOLDS)),
-    "season_max_streaks": _q(lambda f: form.longest_streaks(form.complete(f), THRESHOLDS)),
-    "season_max_streaks_by_stat": _q(lambda f: form.longest_streaks(form.complete(f), [20, 50]), True),
+    "season_max_streaks": _q(lambda f: form.longest_streaks(form.complete(f), THRESHOLDS).drop("is_active")),
+    "season_max_streaks_by_stat": _q(lambda f: form.longest_streaks(form.complete(f), [20, 50]).drop("is_active"), True),
     "stat_windows_5_10": _q(lambda f: form.stat_windows(form.complete(f), THRESHOLDS, (5, 10))),
     "consistency_profile": _q(_consistency, True),
     "consistency_overall_class": _q(lambda f: form.profile_class(_consistency(f)), True),
@@ -155,8 +157,8 @@ ORACLE = {
     "stat_windows_5_10": f"{_L}, {_win('5, 10')} SELECT * FROM wn",
     "consistency_profile": f"{_T}, {_CONS} SELECT * FROM cn",
     "consistency_overall_class": f"""{_T}, {_CONS} SELECT player_id, count(*) FILTER (WHERE tier = 'steady') AS n_steady, count(*) FILTER (WHERE tier = 'volatile') AS n_volatile,
-        CASE WHEN count(*) FILTER (WHERE tier = 'steady') >= count(*) FILTER (WHERE tier = 'volatile') + 2 THEN 'steady'
-             WHEN count(*) FILTER (WHERE tier = 'volatile') >= count(*) FILTER (WHERE tier = 'steady') + 2 THEN 'volatile' ELSE 'mixed' END AS profile FROM cn GROUP BY player_id""",
+        CASE WHEN count(*) FILTER (WHERE tier = 'steady') > count(*) FILTER (WHERE tier = 'volatile') + 2 THEN 'steady'
+             WHEN count(*) FILTER (WHERE tier = 'volatile') > count(*) FILTER (WHERE tier = 'steady') + 2 THEN 'volatile' ELSE 'mixed' END AS profile FROM cn GROUP BY player_id""",
     "legacy_x_of_last_10": f"{_L}, {_win('10')} SELECT player_id, threshold, games_hit, games_played FROM wn WHERE games_hit >= 7",
     "hot_players_top20": f"{_L}, {_HEAT} SELECT player_id, z_score FROM ht WHERE window_size = 3 AND status = 'on_fire' ORDER BY z_score DESC, player_id LIMIT 20",
     "cold_players_top20": f"{_L}, {_HEAT} SELECT player_id, z_score FROM ht WHERE window_size = 3 AND status = 'ice_cold' ORDER BY z_score, player_id LIMIT 20",
@@ -168,8 +170,9 @@ ORACLE = {
     "last_10_averages": f"{_L} SELECT player_id, round(avg(value), 4) AS avg_value, count(*) AS games, max(value) AS best FROM nl WHERE n_desc <= 10 GROUP BY player_id",
     "best_event_per_user": f"{_L} SELECT player_id, game_id, value FROM lg QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY value DESC, game_id) = 1",
     "streak_rank_score": f"""{_L}, {_CUR}, {_longest(_TH)}, {_MEAN},
-        bo AS (SELECT player_id, 'current' AS kind, threshold, streak_games FROM cs UNION ALL SELECT player_id, 'season_max', threshold, streak_games FROM mx),
-        sc AS (SELECT bo.*, round(CASE WHEN kind = 'current' THEN 1100.0::DOUBLE ELSE 0 END + coalesce(100.0::DOUBLE * CASE WHEN a > 0 THEN threshold / a END, 0) + streak_games * 0.1::DOUBLE, 4) AS rank_score FROM bo JOIN av USING (player_id))
+        nw AS (SELECT player_id, max(game_time) AS newest FROM lg GROUP BY player_id),
+        bo AS (SELECT player_id, 'current' AS kind, threshold, streak_games, TRUE AS active FROM cs UNION ALL SELECT player_id, 'season_max', threshold, streak_games, end_time = newest FROM mx JOIN nw USING (player_id)),
+        sc AS (SELECT bo.* EXCLUDE (active), round(CASE WHEN active THEN 1000.0::DOUBLE ELSE 0 END + CASE WHEN kind = 'current' THEN 100 ELSE 0 END + CASE WHEN a > 0 AND a < 45 THEN 100.0::DOUBLE * threshold / a ELSE threshold END + streak_games * 0.1::DOUBLE, 4) AS rank_score FROM bo LEFT JOIN av USING (player_id))
         SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY rank_score DESC, kind, threshold) = 1""",
     "window_rank_score": f"""{_L}, {_win('5, 10')}, {_MEAN},
         sc AS (SELECT player_id, threshold, window_size, games_hit, games_played, round(CASE WHEN a > 0 THEN least(50.0::DOUBLE * threshold / a, 100.0) ELSE least(threshold * 3, 100.0) END + games_hit / games_played * 50 + CASE WHEN window_size = 10 THEN 10 ELSE 0 END, 4) AS rank_score

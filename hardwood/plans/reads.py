@@ -14,7 +14,7 @@ def _windows(spark, d):
     """Windows by optional predicates: a list of thresholds, one size, any player."""
     w = form.stat_windows(form.complete(logs(spark, d)), [10, 20, 50], (5, 10))
     got = reading.filtered(w, [F.desc("games_hit"), "player_id", "threshold"], 25, threshold=[20.0, 50.0], window_size=10, player_id=None)
-    return got.select("player_id", "threshold", "games_hit", "games_played", ratings.hit_band(F.col("games_hit"), F.col("games_played")).alias("band"))
+    return got.select("player_id", "threshold", "games_hit", "games_played", ratings.hit_mark(F.col("games_hit"), F.col("games_played")).alias("mark"))
 
 
 def _pairs(spark, d):
@@ -61,7 +61,7 @@ QUERIES = {
 _L, _G = f"WITH {SQL_LOGS}", f"WITH {SQL_GAMES}"
 ORACLE = {
     "filtered_windows": f"""{_L}, w AS (SELECT player_id, threshold, count(*) FILTER (WHERE value >= threshold) AS games_hit, count(*) AS games_played FROM nl, (VALUES (20.0::DOUBLE), (50.0)) t(threshold) WHERE n_desc <= 10 GROUP BY ALL)
-        SELECT *, CASE WHEN games_hit / games_played >= 0.8 THEN 'elite' WHEN games_hit / games_played >= 0.6 THEN 'strong' WHEN games_hit / games_played >= 0.4 THEN 'even' ELSE 'low' END AS band FROM w ORDER BY games_hit DESC, player_id, threshold LIMIT 25""",
+        SELECT *, CASE WHEN games_hit / games_played >= 0.8 THEN '🔥' WHEN games_hit / games_played >= 0.6 THEN '✓' WHEN games_hit / games_played >= 0.4 THEN '○' ELSE '✗' END AS mark FROM w ORDER BY games_hit DESC, player_id, threshold LIMIT 25""",
     "pair_filter": f"{_G}, p AS (SELECT DISTINCT team_id, opponent_team_id FROM ga JOIN (SELECT season, min(game_date) AS game_date FROM ga GROUP BY season) USING (season, game_date)) SELECT game_id, team_id, opponent_team_id FROM ga SEMI JOIN p USING (team_id, opponent_team_id)",
     "chosen_metric": f"{_G}, {_M} SELECT team_id, pace_season AS value FROM ms",
     "distinct_seasons": f"{_G} SELECT DISTINCT season FROM ga",

@@ -67,8 +67,8 @@ _F = """
 fc AS (SELECT g.game_id, g.team_id, g.opponent_team_id, g.game_date, x.days_rest, x.is_b2b, x.is_3in4, x.is_4in5, x.is_5in7, x.days_rest - y.days_rest AS rest_diff
        FROM ga g JOIN df x USING (team_id, game_date) LEFT JOIN df y ON y.team_id = g.opponent_team_id AND y.game_date = g.game_date),
 fe AS (SELECT *, CASE WHEN rest_diff >= 2 THEN 'advantage' WHEN rest_diff <= -2 THEN 'disadvantage' WHEN rest_diff IS NOT NULL THEN 'even' END AS rest_edge,
-       CASE WHEN is_b2b THEN 'Back-to-back' WHEN is_3in4 THEN '3 games in 4 days' WHEN is_4in5 THEN '4 games in 5 days' WHEN is_5in7 THEN '5 games in 7 days'
-       WHEN days_rest IS NOT NULL THEN CAST(days_rest AS VARCHAR) || ' days rest' ELSE 'Season opener' END AS description FROM fc)"""
+       CASE WHEN is_b2b THEN 'Back-to-Back' WHEN is_3in4 THEN '3-in-4 nights (' || days_rest || ' days rest)' WHEN is_4in5 THEN '4-in-5 nights (' || days_rest || ' days rest)' WHEN is_5in7 THEN '5-in-7 nights (' || days_rest || ' days rest)'
+       WHEN days_rest >= 3 THEN 'Well rested (' || days_rest || ' days rest)' WHEN days_rest = 2 THEN 'Normal rest (2 days rest)' WHEN days_rest = 1 THEN 'Short rest (1 day rest)' WHEN days_rest IS NOT NULL THEN days_rest || ' days rest' ELSE 'Unknown' END AS description FROM fc)"""
 _SEASON = "printf('%04d-%02d', {y}, ({y} + 1) % 100)"
 _Y = "(year(o_orderdate) - CASE WHEN month(o_orderdate) < 10 THEN 1 ELSE 0 END)"
 

@@ -276,9 +276,9 @@ ORACLE = {
     "team_decliners_by_delta": f"{_G}, {_M} SELECT team_id, net_rtg_delta AS delta FROM md WHERE delta IS NOT NULL ORDER BY delta, team_id LIMIT 10",
     "headlines": f"""{_G}, {_M} (SELECT team_id, net_rtg_delta AS delta, 'improver' AS kind FROM md WHERE delta IS NOT NULL ORDER BY delta DESC, team_id LIMIT 3)
         UNION ALL (SELECT team_id, net_rtg_delta AS delta, 'decliner' AS kind FROM md WHERE delta IS NOT NULL ORDER BY delta, team_id LIMIT 3)""",
-    "sos_context_notes": f"""{_G}, {_M}, {_SOS} SELECT team_id, net_rtg_delta, sos_net_delta, CASE WHEN net_rtg_delta >= 3 AND sos_net_delta >= 2 THEN 'better against a harder schedule'
-        WHEN net_rtg_delta >= 3 AND sos_net_delta <= -2 THEN 'better against an easier schedule' WHEN net_rtg_delta <= -3 AND sos_net_delta >= 2 THEN 'worse against a harder schedule'
-        WHEN net_rtg_delta <= -3 AND sos_net_delta <= -2 THEN 'worse against an easier schedule' END AS note FROM md JOIN sd USING (team_id)""",
+    "sos_context_notes": f"""{_G}, {_M}, {_SOS} SELECT team_id, net_rtg_delta, sos_net_delta, CASE WHEN net_rtg_delta > 3 AND sos_net_delta > 2 THEN '✅ Improved vs harder schedule - legitimate surge'
+        WHEN net_rtg_delta > 3 AND sos_net_delta < -2 THEN '⚠️ Improved vs easier schedule - may regress' WHEN net_rtg_delta < -3 AND sos_net_delta > 2 THEN '📊 Decline vs harder schedule - may not be as bad'
+        WHEN net_rtg_delta < -3 AND sos_net_delta < -2 THEN '🚨 Decline vs easier schedule - concerning' END AS note FROM md JOIN sd USING (team_id)""",
     "team_completeness": f"{_G} SELECT team_id, count(*) AS played, count(*) FILTER (WHERE ok) AS used, CASE WHEN count(*) FILTER (WHERE n_desc <= 10) = 10 AND count(*) FILTER (WHERE NOT ok) = 0 THEN 'complete' ELSE 'partial' END AS status FROM ga GROUP BY team_id",
     "score_split": f"{_G} SELECT game_id, team_id, CAST(pts AS INTEGER) AS own_points, CAST(o_pts AS INTEGER) AS other_points FROM ga",
     "last_10_games": f"{_G} SELECT team_id, game_id, game_date, n_desc FROM ga WHERE n_desc <= 10",

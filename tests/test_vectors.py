@@ -64,7 +64,7 @@ def test_small_columns(spark):
     assert [one(ratings.minutes(F.lit(x))) for x in ("34:30", "12.26", "x", None)] == [34.5, 12.3, None, None]
     assert [one(ratings.int_or_null(F.lit(x))) for x in (" 7 ", "", "a", None)] == [7, None, None, None]
     assert [one(ratings.whole_scores(F.lit(x))) for x in ("AB 101.0 - 99.5 CD", "AB 101 - 99.0 CD", "none")] == ["AB 101 - 99.5 CD", "AB 101 - 99 CD", "none"]
-    assert [one(ratings.hit_band(F.lit(n), F.lit(10))) for n in (8, 6, 4, 3)] == ["elite", "strong", "even", "low"]
+    assert [one(ratings.hit_mark(F.lit(n), F.lit(10))) for n in (8, 6, 4, 3)] == ["🔥", "✓", "○", "✗"] and one(ratings.hit_mark(F.lit(0), F.lit(0))) == "✗"
     show = lambda *a: one(ratings.reason_text(*(F.lit(x) for x in a)))
     assert show("INACTIVE_REST", "", "INACTIVE", False) == "Rest" and show("X", None, None, True) == "Played" and show(None, None, "INACTIVE", False) == "Inactive"
     assert show("ODD", None, None, False) == "ODD" and show(None, "sore", None, False) == "sore" and show(None, None, "OUT", False) == "Did Not Play"
@@ -138,7 +138,7 @@ def test_backfills_are_bounded_and_resume(spark):
     dates = lambda **k: sorted(r[0].day for r in snapshots.slate_dates(games, DAY(2025, 1, 1), DAY(2025, 1, 31), **k).collect())
     assert dates() == [1, 2, 3] and dates(resume_after=DAY(2025, 1, 1)) == [2, 3]
     with pytest.raises(ValueError):
-        snapshots.slate_dates(games, DAY(2025, 1, 1), DAY(2025, 2, 1))
+        snapshots.slate_dates(games, DAY(2025, 2, 1), DAY(2025, 1, 1))
 
 
 def test_player_snapshots_without_dates_and_late_sources(spark):
@@ -168,11 +168,11 @@ def sources(spark, results=(None, None), scores=(None, None), wl=("W", "L"), poi
 @pytest.mark.parametrize(
     "case,action,issue",
     [
-        ({}, "update", None), ({"results": ("W", None)}, "issue", "mixed_results"), ({"opponent": 30}, "issue", "fact_pair"), ({"points": (100, 105)}, "issue", "winner_points"),
+        ({}, "update", None), ({"results": ("W", None)}, "issue", "schedule has a mixed null/non-null result pair"), ({"opponent": 30}, "issue", "team-game pair is not reciprocal"), ({"points": (100, 105)}, "issue", "W/L disagrees with team-game points"),
         ({"results": ("W", "L"), "scores": (None, None)}, "complete", None), ({"results": ("W", "L"), "scores": ("1-2", "1-2")}, "complete", None), ({"results": ("W", "L"), "fact_rows": 0}, "complete", None),
-        ({"results": ("W", "W")}, "issue", "schedule_results"), ({"scores": ("99-98", None)}, "issue", "score_conflict"), ({"scores": ("0-0", "-")}, "update", None), ({"scores": ("112-105", None)}, "update", None),
-        ({"fact_rows": 0}, "issue", "fact_rows"), ({"season": "2023-24"}, "issue", "seasons_differ"), ({"day": DAY(2025, 1, 11)}, "issue", "dates_differ"), ({"wl": ("W", None)}, "issue", "fact_results"),
-        ({"points": (112, None)}, "issue", "points_missing"), ({"sides": ("H", "H")}, "issue", "schedule_sides"),
+        ({"results": ("W", "W")}, "issue", "existing schedule results are not a W/L pair"), ({"scores": ("99-98", None)}, "issue", "existing schedule score disagrees with team-game points"), ({"scores": ("0-0", "-")}, "update", None), ({"scores": ("112-105", None)}, "update", None),
+        ({"fact_rows": 0}, "issue", "expected 2 team-game rows; found 0"), ({"season": "2023-24"}, "issue", "schedule and team-game seasons differ"), ({"day": DAY(2025, 1, 11)}, "issue", "schedule and team-game dates differ"), ({"wl": ("W", None)}, "issue", "team-game rows are not a W/L pair"),
+        ({"points": (112, None)}, "issue", "team-game score is missing"), ({"sides": ("H", "H")}, "issue", "schedule must contain one H and one A row"),
     ],
 )
 def test_reconciliation(spark, case, action, issue):
@@ -182,18 +182,30 @@ def test_reconciliation(spark, case, action, issue):
     assert (r.action, r.issue) == (action, issue) and r.final_score == ("112-105" if action == "update" else None)
     updates = quality.result_updates(plan, f)
     assert quality.blocked_updates(s, updates).count() == 0
-    after = {x.team_id: (x.result, x.score) for x in quality.apply_results(s, updates).collect()}
-    assert after == ({10: ("W", "112-105"), 20: ("L", "112-105")} if action == "update" else {x.team_id: (x.result, x.score) for x in s.collect()})
+    if action == "issue":
+        with pytest.raises(quality.Blocked, match="1 reconciliation issue"):
+            quality.apply_results(s, plan, updates)
+    else:
+        after = {x.team_id: (x.result, x.score) for x in quality.apply_results(s, plan, updates).collect()}
+        assert after == ({10: ("W", "112-105"), 20: ("L", "112-105")} if action == "update" else {x.team_id: (x.result, x.score) for x in s.collect()})
 
 
-def test_a_schedule_that_changed_is_not_written(spark):
+@pytest.mark.parametrize("change", ["result", "score", "season", "gone", "twice", "update twice"])
+def test_a_schedule_that_changed_is_not_written(spark, change):
+    """Each stops the run, whatever columns are read; the row of the other team is as it was."""
     s, f = sources(spark)
-    updates = quality.result_updates(quality.reconcile(s, f), f)
-    changed = s.withColumn("result", F.when(F.col("team_id") == 10, "L"))
-    assert quality.blocked_updates(changed, updates).count() == 1
-    assert quality.blocked_updates(s.where("team_id = 10"), updates).count() == 1
+    plan = quality.reconcile(s, f)
+    updates = quality.result_updates(plan, f)
+    one = F.col("team_id") == 10
+    changed = {
+        "result": s.withColumn("result", F.when(one, "L")), "score": s.withColumn("score", F.when(one, "1-2")), "season": s.withColumn("season", F.when(one, "2023-24").otherwise(F.col("season"))), "gone": s.where(~one), "twice": s.unionByName(s.where(one)), "update twice": s,
+    }[change]
+    if change == "update twice":
+        updates = updates.unionByName(updates.where(one))
+    else:
+        assert quality.blocked_updates(changed, updates).count() == 1
     with pytest.raises(Exception, match="changed after planning"):
-        quality.apply_results(changed, updates).collect()
+        quality.apply_results(changed, plan, updates).select("game_id").collect()
 
 
 def test_pairs_sides_and_opponents(spark):
