@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +105,15 @@ def is_stale(marker: DataFrame, now, hours: int = 30) -> DataFrame:
     return marker.agg(F.coalesce(age > hours, F.lit(True)).alias("stale"))
 
 
+def newest_files(spark: SparkSession, folder: str, k: int = 3, pattern: str = "*.json") -> DataFrame:
+    """path, modified and place of the k files below a folder that were changed last, newest first, each path once.
+
+    Only the files' names and times are read, as Spark's readers tell them, so any store will do."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime").groupBy("path").agg(F.max("modificationTime").alias("modified"))
+    top = files.orderBy(F.desc("modified"), F.desc("path")).limit(k)
+    return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("modified"), F.desc("path"))))
+
+
 # -- what is to be fetched, and what of it may be stored -------------------------------------------------------------
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hardwood.operators.upsert import exists
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -25,27 +27,40 @@ def sessions(events: DataFrame, gap: str = "1 hour", late: str = "6 hours") -> D
     return w.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def over_limit(requests: DataFrame, key: str, most: int, width: str, slide: str, late: str = "6 hours") -> DataFrame:
+    """The overlapping windows in which a key has more than `most` requests: start, end, key, n. Each event counts in
+    width / slide windows; a window is given out once, when the watermark has passed its end."""
+    w = requests.withWatermark("ts", late).groupBy(F.window("ts", width, slide), key).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return w.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), key, "n")
+
+
+def renewed_counters(requests: DataFrame, key: str, most: int, expires: str, late: str = "6 hours") -> DataFrame:
+    """The runs of requests of a key in which each follows the last before its counter expires, with more than `most` of
+    them: key, start, end, n."""
+    w = requests.withWatermark("ts", late).groupBy(F.session_window("ts", expires), key).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return w.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
 def distinct_events(events: DataFrame, late: str = "6 hours") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def publish(stream: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
-    """Runs the stream over what is there now and hands each batch to an idempotent upsert."""
+    """Runs the stream over what is there now and hands each batch to an idempotent upsert. A run on the checkpoint of an
+    earlier one goes on where that has stopped, with its state and its watermark."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
     query.awaitTermination()
 
 
-def stored(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Runs the stream over what is there now; its result, as its batches have written it below folder, which driver and
-    executors share: that of the last batch in mode complete, of all in mode append. Every batch writes a folder of its
-    own, so that one that is repeated leaves no trace."""
-    batches: list[int] = []
+def stored(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
+    """Runs the stream, in append mode, over what is there now; its result, as its batches and those of earlier runs have
+    written it below folder, which driver and executors share. State ends with the watermark, which is why rows stay
+    out that it hasn't passed yet. Every batch writes a folder of its own, so that one that is repeated leaves no trace."""
 
     def write(df: DataFrame, n: int) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/result/batch={n}")
-        batches.append(n)
 
-    publish(stream, write, f"{folder}/checkpoint", mode)
-    counted = [max(batches)] if mode == "complete" and batches else batches
-    paths = [f"{folder}/result/batch={n}" for n in sorted(set(counted))]
-    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
+    publish(stream, write, f"{folder}/checkpoint", "append")
+    if not exists(spark, f"{folder}/result"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("basePath", f"{folder}/result").parquet(f"{folder}/result").select(*stream.columns)
