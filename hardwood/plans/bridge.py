@@ -7,7 +7,7 @@ lie where those of real games do. One box in 89 lacks its defensive rebounds, an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hardwood.functions import seasons
@@ -36,20 +36,26 @@ def games(spark: SparkSession, sf_dir: str, of: DataFrame | None = None, box: bo
     o_*, result (null if level) and score.
 
     of: some rows of `orders`; their lines alone are then read into the shuffle. box: without it, who plays whom and when
-    only. The two first lines of an order come from one aggregation, without a sort of the lines."""
+    only. Each task cuts the lines of its orders to the first two, raw, before they are brought together; boxes are made of
+    what is left."""
     o = orders(spark, sf_dir) if of is None else of
-    li = table(spark, sf_dir, "lineitem")
+    raw = [*LINE_ORDER, *(["l_discount", "l_tax"] if box else [])]
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *raw)
     if of is not None:
         li = li.join(of.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    q, part = F.col("l_quantity"), F.col("l_partkey")
-    pts = F.floor("l_extendedprice") % 51 + 85
-    stats = {
-        "fg": F.floor(q * 0.4 + 18), "fga": q + 60, "fg3": F.floor(q * 0.2 + 8), "fta": F.round(F.col("l_discount") * 100) + 20, "oreb": F.round(F.col("l_tax") * 100) + 6,
-        "dreb": F.when(part % 89 != 0, part % 20 + 20), "tov": part % 14 + 8, "pts": pts, "paint": F.floor(pts * (part % 25 + 30) / 100), "fb": F.floor(pts * (part % 11 + 8) / 100),
-    }
-    line = F.struct(*LINE_ORDER, F.col("l_suppkey").alias("team"), *(c.cast("long").alias(n) for n, c in stats.items() if box))
-    g = li.groupBy("l_orderkey").agg(F.slice(F.array_sort(F.collect_list(line)), 1, 2).alias("b")).where("size(b) = 2 and b[0].team <> b[1].team")
-    g = g.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "game_date", F.col("b")[0].alias("h"), F.col("b")[1].alias("a"))
+
+    def line(c):
+        q, part, pts = c("l_quantity"), c("l_partkey"), F.floor(c("l_extendedprice")) % 51 + 85
+        stats = {
+            "fg": F.floor(q * 0.4 + 18), "fga": q + 60, "fg3": F.floor(q * 0.2 + 8), "fta": F.round(c("l_discount") * 100) + 20, "oreb": F.round(c("l_tax") * 100) + 6,
+            "dreb": F.when(part % 89 != 0, part % 20 + 20), "tov": part % 14 + 8, "pts": pts, "paint": F.floor(pts * (part % 25 + 30) / 100), "fb": F.floor(pts * (part % 11 + 8) / 100),
+        } if box else {}
+        return F.struct(c("l_suppkey").alias("team"), *(v.cast("long").alias(n) for n, v in stats.items()))
+
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    two = li.withColumn("_n", F.row_number().over(w)).where("_n <= 2")
+    pair = two.withColumn("_a", F.lead(F.struct(*raw)).over(w)).where("_n = 1 and _a.l_suppkey <> l_suppkey")
+    g = pair.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "game_date", line(F.col).alias("h"), line(lambda c: F.col(f"_a.{c}")).alias("a"))
 
     keys = [seasons.game_id(F.col("l_orderkey")).alias("game_id"), seasons.season_of(F.col("game_date")).alias("season"), "game_date"]
     if not box:

@@ -67,9 +67,10 @@ def _integrity(spark, d):
     return quality.pair_integrity(g)
 
 
-def _sources(spark, d):
-    """A schedule with gaps and wrong entries, and the facts of the same games, as made from the star tables."""
-    g = games(spark, d).withColumn("k", F.col("game_id").cast("long"))
+def _sources(spark, d, g=None):
+    """A schedule with gaps and wrong entries, and the facts of the same games (g, by default all), as made from the star
+    tables."""
+    g = (games(spark, d) if g is None else g).withColumn("k", F.col("game_id").cast("long"))
     m = F.col("k") % 13
     result = F.when(m == 0, F.col("result")).when((m == 1) & F.col("is_home"), F.col("result")).when(m == 2, "W")
     score = F.when(m == 0, "1-2").when(m == 3, "0-0").when((m == 4) & F.col("is_home"), F.col("score")).when(m == 5, "77-70").when(m == 6, "-")

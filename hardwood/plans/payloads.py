@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hardwood.functions import seasons
@@ -10,18 +11,20 @@ from hardwood.sources import feeds
 
 
 def _schedule(spark, d):
-    """One payload a date; games are final if the home team's turnovers are even, and one in fifty has no time."""
+    """Payloads of up to about 64 games of a date; games are final if the home team's turnovers are even, and one in fifty
+    has no time."""
     g = games(spark, d).where("is_home")
     side = lambda team, pts: F.struct(F.col(team).alias("teamId"), F.col(pts).cast("int").alias("score"))
     time = F.when(F.col("game_id").cast("long") % 50 != 0, F.date_format("game_date", "yyyy-MM-dd'T'12:00:00'Z'"))
     one = F.struct(F.col("game_id").alias("gameId"), time.alias("gameDateTimeUTC"), F.when(F.col("tov") % 2 == 0, 3).otherwise(1).alias("gameStatus"), side("team_id", "pts").alias("homeTeam"), side("opponent_team_id", "o_pts").alias("awayTeam"))
-    feed = g.groupBy("game_date").agg(F.array(F.struct(F.collect_list(one).alias("games"))).alias("gameDates"))
+    per_day = F.ceil(F.count("*").over(Window.partitionBy("game_date")) / 64)
+    feed = g.withColumn("part", F.pmod(F.xxhash64("game_id"), per_day)).groupBy("game_date", "part").agg(F.array(F.struct(F.collect_list(one).alias("games"))).alias("gameDates"))
     return feeds.schedule_rows(feed).select("game_id", "team_id", "opponent_team_id", "home_or_away", "result", "score", F.to_date("game_date").alias("game_date"))
 
 
 def _odds(spark, d):
     """One payload an order, a book for each line and market; every third book is abroad, and a price of 0 is none."""
-    li = table(spark, d, "lineitem").where("l_linenumber <= 3")
+    li = table(spark, d, "lineitem")
     book = lambda outcomes: F.struct(F.col("l_partkey").cast("string").alias("id"), F.lit("book").alias("name"), F.when(F.col("l_partkey") % 3 == 0, "CA").otherwise("US").alias("countryCode"), outcomes.alias("outcomes"))
     out = lambda kind, price, spread: F.struct(F.lit(kind).alias("type"), price.cast("string").alias("odds"), spread.cast("string").alias("spread"))
     none = F.lit(None).cast("string")
@@ -47,9 +50,9 @@ def _availability(spark, d):
 
 
 def _records(spark, d):
-    """Rows of part as header and row arrays, read back by name and counted."""
+    """Rows of part as header and row arrays, some hundred rows a payload, read back by name and counted."""
     p = table(spark, d, "part")
-    payload = p.groupBy("p_brand").agg(F.collect_list(F.array(F.col("p_partkey").cast("string"), F.col("p_size").cast("string"))).alias("rowSet")).withColumn("headers", F.array(F.lit("KEY"), F.lit("SIZE")))
+    payload = p.groupBy("p_brand", F.floor(F.col("p_partkey") / 4096).alias("part")).agg(F.collect_list(F.array(F.col("p_partkey").cast("string"), F.col("p_size").cast("string"))).alias("rowSet")).withColumn("headers", F.array(F.lit("KEY"), F.lit("SIZE")))
     r = feeds.records(payload).select(F.element_at("record", "KEY").cast("long").alias("key"), F.element_at("record", "SIZE").cast("int").alias("size"))
     return r.groupBy("size").agg(F.count("*").alias("parts"), F.max("key").alias("last"))
 
@@ -95,7 +98,7 @@ ORACLE = {
     "schedule_feed": f"""{_G}, h AS (SELECT game_id, tov % 2 = 0 AS final FROM ga WHERE is_home AND CAST(game_id AS BIGINT) % 50 <> 0)
         SELECT game_id, team_id, opponent_team_id, CASE WHEN is_home THEN 'H' ELSE 'A' END AS home_or_away, CASE WHEN final THEN result END AS result, CASE WHEN final THEN score END AS score, game_date FROM ga JOIN h USING (game_id)""",
     "odds_feed": """SELECT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS game_id, CAST(l_partkey AS VARCHAR) AS sportsbook_id, nullif(max(l_discount), 0) AS home_odds, nullif(max(l_tax), 0) AS away_odds, -max(l_quantity) AS home_spread, max(l_quantity) AS away_spread
-        FROM lineitem WHERE l_linenumber <= 3 AND l_partkey % 3 <> 0 GROUP BY l_orderkey, l_partkey""",
+        FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY l_orderkey, l_partkey""",
     "availability_feed": """SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS game_id, CAST(1 AS BIGINT) AS team_id, o_custkey AS player_id, CASE o_orderstatus WHEN 'F' THEN 'ACTIVE' WHEN 'O' THEN 'INACTIVE' END AS status, TRUE AS played FROM orders WHERE o_orderstatus <> 'F' OR o_orderpriority = '1-URGENT'
         UNION ALL SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0'), 2, o_custkey + 1, 'ACTIVE', FALSE FROM orders WHERE o_orderpriority = '5-LOW'""",
     "records_feed": "SELECT p_size AS size, count(*) AS parts, max(p_partkey) AS last FROM part GROUP BY p_size",

@@ -11,6 +11,7 @@ from hardwood.plans import availability, checks
 from hardwood.plans.bridge import SQL_GAMES, SQL_LOGS, SQL_ODDS, games, logs, odds, orders, table
 from hardwood.plans.checks import _REC
 from hardwood.plans.team_games import _ENV
+from hardwood.session import run_folder
 
 DATE, SEASON, SLATE = "1998-03-03", "1997-98", datetime.date(2024, 1, 12)
 
@@ -48,17 +49,25 @@ def _there(name, df):
     return quality.check(name, F.col("n") > 0, F.col("n"), False, _count(df))
 
 
+def _kept(spark, df, name):
+    """df, written once and read by all checks that need it."""
+    path = f"{run_folder(spark, 'validation')}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def daily(spark, d):
     """name, ok, critical, detail of every check."""
-    g = games(spark, d)
-    s, f = checks._sources(spark, d)
+    g = _kept(spark, games(spark, d), "games")  # six checks read them
+    s, f = checks._sources(spark, d, g)
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
     orphan = quality.orphans(li, table(spark, d, "orders"), {"o_orderkey": "o_orderkey"}).select("o_orderkey").union(quality.orphans(li, table(spark, d, "supplier"), {"s_suppkey": "s_suppkey"}).select("o_orderkey"))
     facts = form.complete(logs(spark, d))
     dates = snapshots.slate_dates(logs(spark, d).select(F.to_date("game_time").alias("game_date")), SLATE, SLATE)
     windows = snapshots.with_provenance(snapshots.player_snapshots(logs(spark, d), dates, [20])["windows"], "Regular Season", "player-v2.1", "run-1", F.col("feature_as_of"))
-    before = games(spark, d, orders(spark, d).where(F.col("game_date") <= DATE)).withColumn("game_time", F.col("game_date").cast("timestamp"))
-    team = snapshots.with_provenance(snapshots.team_features(before.where(F.col("game_date") == DATE), before), "Regular Season", "team-v2.1", "run-1")
+    before = g.where(F.col("game_date") <= DATE).withColumn("game_time", F.col("game_date").cast("timestamp"))
+    season = before.where(F.col("season") == SEASON)  # features of a date come from its season
+    team = _kept(spark, snapshots.with_provenance(snapshots.team_features(season.where(F.col("game_date") == DATE), season), "Regular Season", "team-v2.1", "run-1"), "team")
     rows = team.agg(F.count("*").alias("rows"), F.count_distinct("game_id").alias("games"), F.count_if(F.col("data_available_at") > F.col("feature_as_of")).alias("late"), F.count_if(F.col("source_latest_game_date") >= DATE).alias("future"))
     sound = (F.col("rows") == F.col("games") * 2) & (F.col("late") == 0) & (F.col("future") == 0) & (F.col("environments") == F.col("games"))
     counted = rows.withColumn("environments", F.lit(0)).unionByName(_count(snapshots.game_environments(team), "environments").select("environments", *(F.lit(0).alias(c) for c in rows.columns)))
@@ -72,7 +81,7 @@ def daily(spark, d):
         _there("heat_index_present", form.heat_index(facts, (5,))), _there("consecutive_streaks_present", form.current_streaks(facts, [20])), _there("game_environment_freshness", snapshots.game_environments(team)),
         quality.check("player_snapshot_integrity", (F.col("n") > 0) & (F.col("bad") == 0), F.col("n"), False, windows.agg(F.count("*").alias("n"), F.count_if(F.col("games_hit") > F.col("games_played")).alias("bad"))),
         quality.check("team_snapshot_integrity", sound, F.concat_ws("/", *(F.col(c).cast("string") for c in ("rows", "games", "late", "future"))), False, both),
-        _coverage("odds_coverage", serving.latest(games(spark, d, day, box=False), ["game_id"], ["team_id"]).select("game_id"), odds(spark, d, day), "game_id", 0.5), _there("injury_coverage", status.where("not_playing_reason is not null")),
+        _coverage("odds_coverage", serving.latest(g.where(F.col("game_date") == DATE), ["game_id"], ["team_id"]).select("game_id"), odds(spark, d, day), "game_id", 0.5), _there("injury_coverage", status.where("not_playing_reason is not null")),
     ])
 
 
