@@ -56,8 +56,10 @@ def three_env_index(h: Column, a: Column) -> Column:
     return (h + a) / 2 / 0.35 * 100
 
 
-def chaos_index(pace: Column, h_tov: Column, a_tov: Column) -> Column:
-    return pace / 99 * 50 + (h_tov + a_tov) / 2 / 0.14 * 50
+def chaos_index(pace: Column, h_tov: Column, a_tov: Column, older: bool = False) -> Column:
+    """older: without the turnovers of both sides their half is neutral, 50."""
+    turnovers = (h_tov + a_tov) / 2 / 0.14 * 50
+    return pace / 99 * 50 + (F.coalesce(turnovers, F.lit(50.0)) if older else turnovers)
 
 
 def environment_tags(pace: Column, scoring: Column, three: Column, chaos: Column, paint: Column | None = None, orb: Column | None = None, ftr: Column | None = None) -> Column:

@@ -182,14 +182,24 @@ def slate_streaks(games: DataFrame, roster: DataFrame, streaks: DataFrame) -> Da
     return sides.join(roster.select("team_id", "player_id"), "team_id").join(streaks, "player_id")
 
 
-def slate_context(matchups: DataFrame, environments: DataFrame, rest: DataFrame, odds: DataFrame, flags: DataFrame) -> DataFrame:
-    """Matchups with their environment, both sides' rest and flags, and the odds; what is missing is null.
+def slate_context(matchups: DataFrame, environments: DataFrame, rest: DataFrame, odds: DataFrame, flags: DataFrame, metrics: DataFrame | None = None, called: DataFrame | None = None, hurt: DataFrame | None = None) -> DataFrame:
+    """Matchups with their environment, both sides' rest, flags, metrics, callouts and injuries, and the odds; what is
+    missing is null.
 
-    rest: game_id, team_id, days_rest, rest_edge. flags: team_id, flags (array)."""
+    rest: game_id, team_id, days_rest, rest_edge. flags: team_id, flags (array). metrics: team_id and its columns, which
+    get the side's name in front. called: rows of `callouts`. hurt: team_id, player_id, description."""
     out = matchups.join(environments, "game_id", "left").join(odds, "game_id", "left")
     for side in ("home", "away"):
         own = rest.select("game_id", F.col("team_id").alias(f"{side}_team_id"), F.col("days_rest").alias(f"{side}_rest"), F.col("rest_edge").alias(f"{side}_edge"))
         out = out.join(own, ["game_id", f"{side}_team_id"], "left").join(flags.select(F.col("team_id").alias(f"{side}_team_id"), F.col("flags").alias(f"{side}_flags")), f"{side}_team_id", "left")
+    lists = {"callouts": (called, ["position", "player_id", "score", "consistency_tier"]), "injuries": (hurt, ["player_id", "description"])}
+    for side in ("home", "away"):
+        key = F.col("team_id").alias(f"{side}_team_id")
+        if metrics is not None:
+            out = out.join(metrics.select(key, *(F.col(c).alias(f"{side}_{c}") for c in metrics.columns if c != "team_id")), f"{side}_team_id", "left")
+        for name, (rows, columns) in lists.items():
+            if rows is not None:
+                out = out.join(rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(f"{side}_{name}")), f"{side}_team_id", "left")
     return out
 
 

@@ -132,14 +132,15 @@ def pair_sides(games: DataFrame, columns: list[str]) -> DataFrame:
 
 def environments(sides: DataFrame, older: bool = False, decimals: int = 2) -> DataFrame:
     """From home_/away_ off_rtg, def_rtg, pace, tov_pct and pct_pts_3pt: indices and tags of each matchup. Without one of
-    the first four there are none; without the last no three_env_index. older: tags of paint, boards and fouls too."""
+    the first four there are none; without the last no three_env_index. older: tags of paint, boards and fouls too, and
+    turnovers may be missing."""
     h, a = (lambda c: F.col(f"home_{c}")), (lambda c: F.col(f"away_{c}"))
     there = F.lit(True)
-    for c in ("off_rtg", "def_rtg", "pace", "tov_pct"):
+    for c in ("off_rtg", "def_rtg", "pace", *(() if older else ("tov_pct",))):
         there = there & h(c).isNotNull() & a(c).isNotNull()
     e = sides.withColumn("pace_projection", F.when(there, F.round(ratings.pace_projection(h("pace"), a("pace")), decimals)))
     e = e.withColumn("scoring_env_index", F.round(ratings.scoring_env_index(h("off_rtg"), h("def_rtg"), a("off_rtg"), a("def_rtg"), F.col("pace_projection")), decimals))
-    e = e.withColumn("three_env_index", F.when(there, F.round(ratings.three_env_index(h("pct_pts_3pt"), a("pct_pts_3pt")), decimals))).withColumn("chaos_index", F.round(ratings.chaos_index(F.col("pace_projection"), h("tov_pct"), a("tov_pct")), decimals))
+    e = e.withColumn("three_env_index", F.when(there, F.round(ratings.three_env_index(h("pct_pts_3pt"), a("pct_pts_3pt")), decimals))).withColumn("chaos_index", F.round(ratings.chaos_index(F.col("pace_projection"), h("tov_pct"), a("tov_pct"), older), decimals))
     means = [(h(c) + a(c)) / 2 for c in ("pct_pts_paint", "orb_pct", "ftr")] if older else []
     return e.withColumn("tags", ratings.environment_tags(F.col("pace_projection"), F.col("scoring_env_index"), F.col("three_env_index"), F.col("chaos_index"), *means))
 

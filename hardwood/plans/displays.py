@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hardwood.functions import ratings, seasons
 from hardwood.operators import form, schedule, serving, snapshots, teams, upsert
 from hardwood.plans.bridge import SQL_GAMES, SQL_LOGS, SQL_ODDS, games, logs, odds, orders, table
+from hardwood.plans.pages import _CALLED, called_out
 from hardwood.plans.players import _longest
 from hardwood.plans.team_games import _ENV
 from hardwood.sources import feeds
@@ -77,8 +78,16 @@ def _context(spark, d):
     env = snapshots.game_environments(f, 10).select("game_id", "pace_projection", F.array_join("tags", ",").alias("tags"))
     rest = schedule.factors(before).where("game_date >= '1998-03-01'").select("game_id", "team_id", "days_rest", "rest_edge")
     flags = f.groupBy("team_id").agg(F.max_by(F.array_join("flags", ","), F.struct("game_date", "game_id")).alias("flags"))
-    out = serving.slate_context(teams.pair_sides(slate, ["team_id"]), env, rest, serving.consensus_odds(odds(spark, d, week)).select("game_id", "home_odds", "n_books"), flags)
-    return out.select("game_id", "home_team_id", "away_team_id", "tags", "home_odds", "n_books", "home_edge", "away_edge", "home_flags", "away_flags", *(F.col(f"{s}_rest").cast("long").alias(f"{s}_rest") for s in ("home", "away")))
+    metrics = f.groupBy("team_id").agg(*(F.max_by(c, F.struct("game_date", "game_id")).alias(c) for c in ("net_rtg_season", "pace_lastn")))
+    called, hurt = called_out(spark, d, 5)
+    hurt = hurt.select((F.col("player_id") % 10).alias("team_id"), "player_id", F.concat_ws(" ", F.col("game_date").cast("string"), "description").alias("description"))
+    out = serving.slate_context(teams.pair_sides(slate, ["team_id"]), env, rest, serving.consensus_odds(odds(spark, d, week)).select("game_id", "home_odds", "n_books"), flags, metrics, called, hurt)
+    sides = ("home", "away")
+    players = [F.array_join(F.transform(f"{s}_callouts", lambda x: F.concat_ws(":", x["player_id"].cast("string"), x["consistency_tier"])), ",").alias(f"{s}_callouts") for s in sides]
+    return out.select(
+        "game_id", "home_team_id", "away_team_id", "tags", "home_odds", "n_books", "home_edge", "away_edge", "home_flags", "away_flags", *(F.col(f"{s}_rest").cast("long").alias(f"{s}_rest") for s in sides),
+        *(f"{s}_{c}" for s in sides for c in ("net_rtg_season", "pace_lastn")), *players, *(F.size(f"{s}_injuries").alias(f"{s}_injured") for s in sides),
+    )
 
 
 def _rest_lists(spark, d):
@@ -210,9 +219,14 @@ ORACLE = {
     "season_lists": """WITH y AS (SELECT o_orderkey, year(o_orderdate) - CASE WHEN month(o_orderdate) < 10 THEN 1 ELSE 0 END AS a, year(o_orderdate) AS b FROM orders)
         SELECT o_orderkey, CASE WHEN a = b THEN printf('%04d-%02d', a, (a + 1) % 100) ELSE printf('%04d-%02d,%04d-%02d', a, (a + 1) % 100, b, (b + 1) % 100) END AS seasons FROM y""",
     "valid_ids": """SELECT count(*) FILTER (WHERE event_id - 3 > 0 AND event_id - 3 < 10000000) AS players, count(*) FILTER (WHERE event_id + 1610612500 < 1610612800) AS teams, count(*) FILTER (WHERE event_id % 30 + 2000 BETWEEN 2010 AND 2025) AS seasons FROM events""",
-    "slate_context": f"""{_G}, {_ENV}, {_REST}, {SQL_ODDS}, oc AS (SELECT game_id, round(avg(home_odds), 3) AS home_odds, count(*) AS n_books FROM od WHERE country_code = 'US' GROUP BY game_id),
+    "slate_context": f"""{_G}, {_ENV}, {_REST}, {SQL_ODDS}, {SQL_LOGS}, {_CALLED},
+        cl AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY score DESC, player_id) AS position FROM q WHERE score > 0 OR injuries IS NOT NULL QUALIFY position <= 5),
+        ca AS (SELECT team_id, string_agg(player_id || ':' || consistency_tier, ',' ORDER BY position) AS called FROM cl GROUP BY 1), hu AS (SELECT player_id % 10 AS team_id, CAST(count(*) AS INTEGER) AS injured FROM hi GROUP BY 1),
+        nm AS (SELECT team_id, max_by(net_rtg_season, (game_date, game_id)) AS net, max_by(pace_lastn, (game_date, game_id)) AS pace FROM sn WHERE {_WEEK} GROUP BY 1), oc AS (SELECT game_id, round(avg(home_odds), 3) AS home_odds, count(*) AS n_books FROM od WHERE country_code = 'US' GROUP BY game_id),
         fw AS (SELECT team_id, max_by(flags, (game_date, game_id)) AS flags FROM sn WHERE {_WEEK} GROUP BY team_id)
-        SELECT h.game_id, h.team_id AS home_team_id, h.opponent_team_id AS away_team_id, et.tags, oc.home_odds, oc.n_books, x.edge AS home_edge, y.edge AS away_edge, x.rest AS home_rest, y.rest AS away_rest, fh.flags AS home_flags, fa.flags AS away_flags
+        SELECT h.game_id, h.team_id AS home_team_id, h.opponent_team_id AS away_team_id, et.tags, oc.home_odds, oc.n_books, x.edge AS home_edge, y.edge AS away_edge, x.rest AS home_rest, y.rest AS away_rest, fh.flags AS home_flags, fa.flags AS away_flags,
+        nh_.net AS home_net_rtg_season, nh_.pace AS home_pace_lastn, na_.net AS away_net_rtg_season, na_.pace AS away_pace_lastn, ch.called AS home_callouts, ca_.called AS away_callouts, hh.injured AS home_injured, ha.injured AS away_injured
         FROM ga h JOIN et USING (game_id) LEFT JOIN oc USING (game_id) JOIN rs x ON x.game_id = h.game_id AND x.team_id = h.team_id JOIN rs y ON y.game_id = h.game_id AND y.team_id = h.opponent_team_id
-        LEFT JOIN fw fh ON fh.team_id = h.team_id LEFT JOIN fw fa ON fa.team_id = h.opponent_team_id WHERE h.is_home AND h.{_WEEK}""",
+        LEFT JOIN fw fh ON fh.team_id = h.team_id LEFT JOIN fw fa ON fa.team_id = h.opponent_team_id LEFT JOIN nm nh_ ON nh_.team_id = h.team_id LEFT JOIN nm na_ ON na_.team_id = h.opponent_team_id
+        LEFT JOIN ca ch ON ch.team_id = h.team_id LEFT JOIN ca ca_ ON ca_.team_id = h.opponent_team_id LEFT JOIN hu hh ON hh.team_id = h.team_id LEFT JOIN hu ha ON ha.team_id = h.opponent_team_id WHERE h.is_home AND h.{_WEEK}""",
 }

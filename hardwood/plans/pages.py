@@ -39,13 +39,17 @@ def _pinned(spark, d):
     return cut.groupBy("feature_as_of").agg(F.count("*").alias("rows_at_cutoff"), F.count_distinct("player_id").alias("players"))
 
 
-def _callouts(spark, d):
-    """The callouts of ten teams; customers with urgent orders since August 1998 are injured."""
+def called_out(spark, d, k):
+    """The callouts of ten teams; customers with urgent orders since August 1998 are injured. Also the injured rows."""
     f = form.complete(logs(spark, d))
     hurt = serving.injury_summary_rows(statuses(spark, d)).where("game_date >= '1998-08-01'").select("player_id", "game_date", F.col("not_playing_description").alias("description"))
     players = f.select("player_id").distinct().unionByName(hurt.select("player_id").distinct()).distinct().withColumn("team_id", F.col("player_id") % 10)
     heat, by_type = form.heat_index(f, (3, 5, 10), decimals=8), form.complete(logs(spark, d, True))
-    c = serving.callouts(players, heat, form.current_streaks(f, [10, 20, 50, 100]), form.stat_windows(f, [10, 20, 50, 100], (5, 10)), form.consistency(by_type, decimals=8), hurt, 4)
+    return serving.callouts(players, heat, form.current_streaks(f, [10, 20, 50, 100]), form.stat_windows(f, [10, 20, 50, 100], (5, 10)), form.consistency(by_type, decimals=8), hurt, k), hurt
+
+
+def _callouts(spark, d):
+    c, _ = called_out(spark, d, 4)
     shown = lambda c, *parts: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *(x[p].cast("string") for p in parts))), ",")
     return c.select(
         "team_id", "player_id", "score", F.col("position").cast("long").alias("position"), "consistency_tier", shown("heat", "window_size", "tier").alias("heat"),
@@ -150,6 +154,20 @@ _CON = """
 co AS (SELECT game_id, round(avg(home_odds) FILTER (WHERE home_odds <> 0), 3) AS home_odds, round(avg(away_odds) FILTER (WHERE away_odds <> 0), 3) AS away_odds, round(avg(home_spread), 1) AS home_spread,
        count(*) AS n_books, string_agg(sportsbook_name, ',' ORDER BY sportsbook_name) AS books FROM od WHERE country_code = 'US' GROUP BY game_id)"""
 
+_CALLED = f"""{_HEAT}, {_CUR}, {_win('5, 10')}, {_S},
+        hi AS (SELECT player_id, game_date FROM st WHERE reason = 'INACTIVE_INJURY' AND game_date >= DATE '1998-08-01'),
+        p AS (SELECT DISTINCT player_id, player_id % 10 AS team_id FROM (SELECT player_id FROM lg UNION ALL SELECT player_id FROM hi)),
+        nh AS (SELECT player_id, window_size, z_score, {_TIER} AS tier FROM ht WHERE {_TIER} <> 'average'),
+        z AS (SELECT player_id, sum(abs(z_score)) AS z_sum, string_agg(window_size || ':' || tier, ',' ORDER BY abs(z_score) DESC, window_size) AS heat FROM nh GROUP BY 1),
+        s AS (SELECT player_id, max(c) AS n, string_agg(streak_games, ',' ORDER BY threshold) AS streaks FROM (SELECT *, count(*) OVER (PARTITION BY player_id) AS c FROM cs WHERE streak_games >= 3 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY threshold) <= 3) GROUP BY 1),
+        w AS (SELECT player_id, max(c) AS n, string_agg(games_hit, ',' ORDER BY threshold) AS windows FROM (SELECT *, count(*) OVER (PARTITION BY player_id) AS c FROM wn WHERE window_size = 10 AND games_hit * 100 >= games_played * 70 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY threshold) <= 3) GROUP BY 1),
+        i AS (SELECT player_id, string_agg(game_date, ',' ORDER BY game_date DESC) AS injuries FROM (SELECT * FROM hi QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY game_date DESC) <= 2) GROUP BY 1),
+        te AS (SELECT user_id AS player_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, lpad(CAST(event_id AS VARCHAR), 10, '0') DESC) AS k FROM events),
+        ct AS (SELECT player_id, event_type, w, stddev_samp(value) / avg(value) AS cv FROM te, (SELECT unnest([0, 10]) AS w) WHERE w = 0 OR k <= w GROUP BY ALL HAVING count(*) >= 5),
+        cp AS (SELECT player_id, CASE WHEN count(*) FILTER (WHERE cv < 0.35::DOUBLE) > count(*) FILTER (WHERE cv > 0.55::DOUBLE) + 1 THEN 'steady' WHEN count(*) FILTER (WHERE cv > 0.55::DOUBLE) > count(*) FILTER (WHERE cv < 0.35::DOUBLE) + 1 THEN 'volatile' ELSE 'mixed' END AS tier FROM ct GROUP BY 1),
+        q AS (SELECT team_id, player_id, round(coalesce(s.n, 0) * 10 + coalesce(z_sum, 0) + coalesce(w.n, 0) * 2, 4) AS score, coalesce(cp.tier, 'mixed') AS consistency_tier, heat, streaks, windows, injuries
+              FROM p LEFT JOIN z USING (player_id) LEFT JOIN s USING (player_id) LEFT JOIN w USING (player_id) LEFT JOIN i USING (player_id) LEFT JOIN cp USING (player_id))"""
+
 
 def _am(c):
     return f"CASE WHEN {c} >= 2 THEN CAST(trunc(({c} - 1) * 100) AS INTEGER) WHEN {c} > 1 THEN CAST(trunc(-100 / ({c} - 1)) AS INTEGER) END"
@@ -165,20 +183,7 @@ ORACLE = {
         SELECT feature_as_of, count(*) AS rows_at_cutoff, count(DISTINCT player_id) AS players FROM d JOIN c ON feature_as_of = m GROUP BY feature_as_of""",
     "latest_per_key": f"{_L} SELECT player_id, game_id, value FROM nl WHERE n_desc = 1",
     "latest_with_ties": f"{_G} SELECT team_id, game_id, game_date FROM ga QUALIFY rank() OVER (PARTITION BY team_id ORDER BY game_date DESC) = 1",
-    "callouts_topk": f"""{_L}, {_HEAT}, {_CUR}, {_win('5, 10')}, {_S},
-        hi AS (SELECT player_id, game_date FROM st WHERE reason = 'INACTIVE_INJURY' AND game_date >= DATE '1998-08-01'),
-        p AS (SELECT DISTINCT player_id, player_id % 10 AS team_id FROM (SELECT player_id FROM lg UNION ALL SELECT player_id FROM hi)),
-        nh AS (SELECT player_id, window_size, z_score, {_TIER} AS tier FROM ht WHERE {_TIER} <> 'average'),
-        z AS (SELECT player_id, sum(abs(z_score)) AS z_sum, string_agg(window_size || ':' || tier, ',' ORDER BY abs(z_score) DESC, window_size) AS heat FROM nh GROUP BY 1),
-        s AS (SELECT player_id, max(c) AS n, string_agg(streak_games, ',' ORDER BY threshold) AS streaks FROM (SELECT *, count(*) OVER (PARTITION BY player_id) AS c FROM cs WHERE streak_games >= 3 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY threshold) <= 3) GROUP BY 1),
-        w AS (SELECT player_id, max(c) AS n, string_agg(games_hit, ',' ORDER BY threshold) AS windows FROM (SELECT *, count(*) OVER (PARTITION BY player_id) AS c FROM wn WHERE window_size = 10 AND games_hit * 100 >= games_played * 70 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY threshold) <= 3) GROUP BY 1),
-        i AS (SELECT player_id, string_agg(game_date, ',' ORDER BY game_date DESC) AS injuries FROM (SELECT * FROM hi QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY game_date DESC) <= 2) GROUP BY 1),
-        te AS (SELECT user_id AS player_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, lpad(CAST(event_id AS VARCHAR), 10, '0') DESC) AS k FROM events),
-        ct AS (SELECT player_id, event_type, w, stddev_samp(value) / avg(value) AS cv FROM te, (SELECT unnest([0, 10]) AS w) WHERE w = 0 OR k <= w GROUP BY ALL HAVING count(*) >= 5),
-        cp AS (SELECT player_id, CASE WHEN count(*) FILTER (WHERE cv < 0.35::DOUBLE) > count(*) FILTER (WHERE cv > 0.55::DOUBLE) + 1 THEN 'steady' WHEN count(*) FILTER (WHERE cv > 0.55::DOUBLE) > count(*) FILTER (WHERE cv < 0.35::DOUBLE) + 1 THEN 'volatile' ELSE 'mixed' END AS tier FROM ct GROUP BY 1),
-        q AS (SELECT team_id, player_id, round(coalesce(s.n, 0) * 10 + coalesce(z_sum, 0) + coalesce(w.n, 0) * 2, 4) AS score, coalesce(cp.tier, 'mixed') AS consistency_tier, heat, streaks, windows, injuries
-              FROM p LEFT JOIN z USING (player_id) LEFT JOIN s USING (player_id) LEFT JOIN w USING (player_id) LEFT JOIN i USING (player_id) LEFT JOIN cp USING (player_id))
-        SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY score DESC, player_id) AS position FROM q WHERE score > 0 OR injuries IS NOT NULL QUALIFY position <= 4""",
+    "callouts_topk": f"{_L}, {_CALLED} SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY score DESC, player_id) AS position FROM q WHERE score > 0 OR injuries IS NOT NULL QUALIFY position <= 4",
     "heat_tier_lists": f"""{_L}, {_HEAT}, t AS (SELECT {_TIER} AS tier, player_id, z_score FROM ht WHERE window_size = 5)
         SELECT tier, player_id, z_score, row_number() OVER (PARTITION BY tier ORDER BY abs(z_score) DESC, player_id) AS position FROM t
         QUALIFY position <= CASE tier WHEN 'on_fire' THEN 20 WHEN 'ice_cold' THEN 20 WHEN 'average' THEN 10 ELSE 15 END""",

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hardwood.functions import ratings
-from hardwood.operators import form, serving
+from hardwood.operators import form, reading, serving
 
 DAY = datetime.date
 
@@ -99,3 +99,16 @@ def test_tiers_are_cut_to_their_caps(spark):
     heat = spark.createDataFrame([(i, "PTS", 5, 1.0 + i) for i in range(5)] + [(10 + i, "PTS", 5, 0.0) for i in range(4)] + [(20, "PTS", 5, -2.0)], "player_id long, stat string, window_size int, z_score double")
     got = [(r.tier, r.player_id, r.position) for r in serving.tiers(heat, {"on_fire": 2, "average": 1, "ice_cold": 3}).collect()]
     assert sorted(got) == [("average", 10, 1), ("ice_cold", 20, 1), ("on_fire", 3, 2), ("on_fire", 4, 1)]
+
+
+def test_named_reads(spark):
+    rows = spark.createDataFrame([(1, "a", 5, ["x"], DAY(2025, 1, 1)), (2, "Ab", 7, None, DAY(2025, 1, 2)), (3, "cAB", 7, ["x", "y"], DAY(2025, 1, 3))], "player_id int, name string, pts int, available_seasons array<string>, game_date date")
+    ids = lambda read, **a: [r.player_id for r in reading.named(read, rows, **a).collect()]
+    assert ids("player", player_id=2) == [2] and ids("player_by_name", name="aB") == [2] and ids("players_all") == [2, 1, 3] and ids("player", player_id=9) == []
+    assert ids("players_of_season", available_seasons="x") == [1, 3] and reading.named("has_player", rows, player_id=[1, 3, 4]).first()[0] == 2
+    g = rows.select(F.col("player_id").alias("team_id"), "game_date", "pts", F.when(F.col("pts") > 5, "W").alias("result"), F.lit("s").alias("season"), F.lit(True).alias("is_b2b"))
+    assert [r.team_id for r in reading.named("last_games", g, limit=1, game_date=DAY(2025, 1, 3)).collect()] == [2]
+    assert [r.team_id for r in reading.named("next_games", g, limit=5, game_date=DAY(2025, 1, 2)).collect()] == [2, 3]
+    assert [r.team_id for r in reading.named("back_to_backs", g, game_date=(DAY(2025, 1, 2), DAY(2025, 1, 3))).collect()] == [3, 2]
+    with pytest.raises(ValueError, match="pts"):
+        reading.named("player", rows, pts=1)
