@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,6 +95,40 @@ def cleaned(rows: DataFrame, keys: list[str], defaults: dict[str, object], names
     return latest_seasons(one, seasons)
 
 
+class Cleanup(NamedTuple):
+    """How a stored table is cleaned: its key, columns of names, its season column, and whether missing numbers are zeros."""
+
+    key: tuple[str, ...]
+    names: tuple[str, ...] = ()
+    season: str | None = "season"
+    zeros: bool = True
+    texts: tuple[tuple[str, str], ...] = ()
+
+
+#: The tables that are cleaned.
+CLEANUPS = {
+    "players": Cleanup(("player_id",), ("name",), None, False),
+    "statistics": Cleanup(("player_id", "season_year"), (), "season_year"),
+    "game_schedule": Cleanup(("game_id", "team_id"), zeros=False),
+    "team_game_stats": Cleanup(("game_id", "team_id")),
+    "gamelogs": Cleanup(("player_id", "game_id"), texts=(("minutes_played", "00:00"),)),
+    "player_dashboards": Cleanup(("player_id", "season"), ("player_name",)),
+    "player_streaks": Cleanup(("player_id", "stat", "season", "threshold")),
+    "team_dashboards": Cleanup(("team_id", "season", "season_type")),
+}
+
+
+def cleaned_table(name: str, rows: DataFrame, seasons: int = 10) -> DataFrame:
+    """`cleaned` by the rules of a table: where numbers are zeros, that holds for all of its numbers but keys and ids."""
+    c = CLEANUPS[name]
+    numbers = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in c.key and not f.name.endswith("_id")]
+    one = deduplicated(rows, list(c.key))
+    one = one.select(*(F.initcap(F.trim(x)).alias(x) if x in c.names else F.col(x) for x in one.columns)).na.fill({x: 0 for x in numbers if c.zeros} | dict(c.texts))
+    if c.season is None:
+        return one
+    return latest_seasons(one.withColumnRenamed(c.season, "season"), seasons).withColumnRenamed("season", c.season).select(*rows.columns)
+
+
 # -- stored tables ---------------------------------------------------------------------------------------------------
 
 

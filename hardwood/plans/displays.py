@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hardwood.functions import ratings, seasons
@@ -142,6 +144,23 @@ def _cleanup(spark, d):
     return out.groupBy("season").agg(F.count("*").alias("rows"), F.round(F.sum("discount"), 4).alias("total"), F.max("name").alias("last_name"))
 
 
+def _cleanups(spark, d):
+    """Five tables with repeated rows and gaps, each cleaned by its rules: rows, seasons and sums of what is left."""
+    g = games(spark, d)
+    gap = F.when(F.col("tov") % 5 != 0, F.col("pts"))
+    box = g.select("game_id", "team_id", "opponent_team_id", "season", gap.alias("pts"), "tov")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("player_id"), F.concat(F.lit(" "), F.upper("c_name")).alias("name"), F.nullif("c_acctbal", F.lit(0.0)).alias("weight"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("player_id"), F.col("event_id").cast("string").alias("game_id"), F.when(F.col("value") > 20, F.col("value")).alias("points"), F.when(F.col("event_id") % 3 != 0, "12:00").alias("minutes_played"), F.lit("2023-24").alias("season"))
+    dash = g.groupBy(F.col("team_id").alias("player_id"), "season").agg(F.lit("joHN dOE").alias("player_name"), F.max(F.when(F.col("pts") > 130, F.col("pts"))).alias("best"))
+    made = {"team_game_stats": (box, "pts"), "game_schedule": (box, "pts"), "players": (c, "weight"), "gamelogs": (e, "points"), "player_dashboards": (dash, "best")}
+    out = []
+    for name, (rows, number) in made.items():
+        r = upsert.cleaned_table(name, rows.unionByName(rows), 3)
+        text = next((x for x in ("name", "player_name", "minutes_played") if x in r.columns), "game_id")
+        out.append(r.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.count(number).alias("known"), F.round(F.sum(F.col(number).cast("double")), 4).alias("total"), F.min(text).alias("least")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _retained(spark, d):
     o = table(spark, d, "orders").select(seasons.season_of(F.to_date("o_orderdate")).alias("season"))
     return upsert.retained(o, ["1996-97", "1998-99"]).groupBy("season").agg(F.count("*").alias("rows"))
@@ -164,7 +183,7 @@ def _valid_ids(spark, d):
 QUERIES = {
     "display_labels": _labels, "matchup_log_lines": _log_lines, "featured_games": _featured, "slate_streaks": _slate_streaks, "roster_fallback": _roster_fallback, "slate_context": _context,
     "rest_lists": _rest_lists, "odds_by_book": _odds_books, "meaningful_season_bests": _bests, "streaks_by_stat": _by_stat, "unpivoted_stats": _unpivoted, "player_snapshot_heat": _player_heat,
-    "cleanup": _cleanup, "retained_seasons": _retained, "season_lists": _season_lists, "valid_ids": _valid_ids,
+    "cleanup": _cleanup, "cleanup_tables": _cleanups, "retained_seasons": _retained, "season_lists": _season_lists, "valid_ids": _valid_ids,
 }
 
 _G = f"WITH {SQL_GAMES}"
@@ -214,6 +233,13 @@ ORACLE = {
             FROM (SELECT *, year(l_shipdate) - CASE WHEN month(l_shipdate) < 10 THEN 1 ELSE 0 END AS y FROM lineitem) JOIN part ON p_partkey = l_partkey),
         o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY raw, discount NULLS LAST, season) = 1)
         SELECT season, count(*) AS "rows", round(sum(coalesce(discount, -1.0)), 4) AS total, max(name) AS last_name FROM o WHERE season IN (SELECT DISTINCT season FROM o ORDER BY 1 DESC LIMIT 3) GROUP BY season""",
+    "cleanup_tables": f"""{_G}, r AS (SELECT * FROM ga WHERE season IN (SELECT DISTINCT season FROM ga ORDER BY 1 DESC LIMIT 3)), b AS (SELECT game_id, CASE WHEN tov % 5 <> 0 THEN pts END AS pts FROM r),
+        da AS (SELECT team_id, season, max(pts) FILTER (WHERE pts > 130) AS best FROM r GROUP BY ALL)
+        SELECT 'team_game_stats' AS "table", count(*) AS "rows", count(*) AS known, CAST(sum(coalesce(pts, 0)) AS DOUBLE) AS total, min(game_id) AS least FROM b
+        UNION ALL SELECT 'game_schedule', count(*), count(pts), CAST(sum(pts) AS DOUBLE), min(game_id) FROM b
+        UNION ALL SELECT 'players', count(*), count(nullif(c_acctbal, 0)), round(sum(nullif(c_acctbal, 0)), 4), min(upper(c_name[1]) || lower(c_name[2:])) FROM customer
+        UNION ALL SELECT 'gamelogs', count(*), count(*), round(sum(CASE WHEN value > 20 THEN value ELSE 0 END), 4), min(CASE WHEN event_id % 3 <> 0 THEN '12:00' ELSE '00:00' END) FROM events
+        UNION ALL SELECT 'player_dashboards', count(*), count(*), CAST(sum(coalesce(best, 0)) AS DOUBLE), 'John Doe' FROM da""",
     "retained_seasons": """SELECT CASE WHEN o_orderdate < DATE '1997-10-01' THEN '1996-97' ELSE '1998-99' END AS season, count(*) AS "rows" FROM orders
         WHERE (o_orderdate >= DATE '1996-10-01' AND o_orderdate < DATE '1997-10-01') OR (o_orderdate >= DATE '1998-10-01' AND o_orderdate < DATE '1999-10-01') GROUP BY 1""",
     "season_lists": """WITH y AS (SELECT o_orderkey, year(o_orderdate) - CASE WHEN month(o_orderdate) < 10 THEN 1 ELSE 0 END AS a, year(o_orderdate) AS b FROM orders)
