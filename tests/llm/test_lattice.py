@@ -181,3 +181,14 @@ def test_scores_do_not_depend_on_what_is_broadcast(spark):
     docs, v = frame(spark, odd_documents()), pieces.read_vocabulary()
     got = [sorted(((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lattice.lattice_scores(docs, v, frequent=n).collect()), key=str) for n in (1000, 3, 0)]
     assert got[0] == got[1] == got[2]
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 50, 200, 10**6])
+def test_frequent_words_by_a_histogram(spark, most):
+    """No more words than asked for have the count, and hardly fewer: the steps of the histogram are narrow."""
+    counts = [1] * 100 + [2] * 40 + [63, 64, 65, 66, 1000, 1001, 5_000_000]
+    df = frame(spark, [(str(i), c) for i, c in enumerate(counts)], "word string, c long")
+    least = lattice.least_frequent(df, most)
+    taken = sum(c >= least for c in counts)
+    assert taken <= most and taken >= {0: 0, 1: 1, 3: 1, 50: 47, 200: 147, 10**6: 147}[most]
+    assert lattice.least_frequent(df.limit(0), most) > 10**9
