@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hardwood.functions import ratings, seasons
-from hardwood.operators import form, schedule, serving, snapshots, teams, upsert
+from hardwood.operators import form, reports, schedule, serving, snapshots, teams, upsert
 from hardwood.plans.bridge import SQL_GAMES, SQL_LOGS, SQL_ODDS, games, logs, odds, orders, table
 from hardwood.plans.pages import _CALLED, called_out
 from hardwood.plans.players import _longest
@@ -161,6 +161,21 @@ def _cleanups(spark, d):
     return reduce(DataFrame.unionByName, out)
 
 
+def _player_reports(spark, d):
+    """The report of each player: streaks, windows of ten games, heat and consistency, a section each."""
+    f = form.complete(logs(spark, d))
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("player_name"))
+    last = f.groupBy("player_id").agg(F.max("game_time").alias("last_game_date"))
+    best = form.longest_streaks(f, [20, 50]).withColumn("kind", F.lit("season_max"))
+    streaks = form.current_streaks(f, [20, 50]).withColumns({"is_active": F.lit(True), "kind": F.lit("current")}).unionByName(best).join(names, "player_id")
+    windows = form.stat_windows(f, [20, 50], (10,)).join(names, "player_id").join(last, "player_id")
+    heat = form.heat_index(f, (3, 5), decimals=8).join(names, "player_id")
+    return reports.report([
+        reports.section(1, streaks, "player_id", reports.streak_line(), [F.asc("kind"), F.asc("threshold")], "🔥 %d Streaks"), reports.section(2, windows, "player_id", reports.window_line(), [F.asc("threshold")], "📊 %d Stat Windows"),
+        reports.section(3, heat, "player_id", reports.heat_line(), [F.asc("window_size")], "📈 %d Heat Rows"), reports.section(4, form.consistency(f, decimals=8), "player_id", reports.consistency_line(), [F.asc("window_size")]),
+    ], "player_id")
+
+
 def _retained(spark, d):
     o = table(spark, d, "orders").select(seasons.season_of(F.to_date("o_orderdate")).alias("season"))
     return upsert.retained(o, ["1996-97", "1998-99"]).groupBy("season").agg(F.count("*").alias("rows"))
@@ -183,7 +198,7 @@ def _valid_ids(spark, d):
 QUERIES = {
     "display_labels": _labels, "matchup_log_lines": _log_lines, "featured_games": _featured, "slate_streaks": _slate_streaks, "roster_fallback": _roster_fallback, "slate_context": _context,
     "rest_lists": _rest_lists, "odds_by_book": _odds_books, "meaningful_season_bests": _bests, "streaks_by_stat": _by_stat, "unpivoted_stats": _unpivoted, "player_snapshot_heat": _player_heat,
-    "cleanup": _cleanup, "cleanup_tables": _cleanups, "retained_seasons": _retained, "season_lists": _season_lists, "valid_ids": _valid_ids,
+    "cleanup": _cleanup, "cleanup_tables": _cleanups, "player_reports": _player_reports, "retained_seasons": _retained, "season_lists": _season_lists, "valid_ids": _valid_ids,
 }
 
 _G = f"WITH {SQL_GAMES}"
@@ -233,6 +248,24 @@ ORACLE = {
             FROM (SELECT *, year(l_shipdate) - CASE WHEN month(l_shipdate) < 10 THEN 1 ELSE 0 END AS y FROM lineitem) JOIN part ON p_partkey = l_partkey),
         o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY raw, discount NULLS LAST, season) = 1)
         SELECT season, count(*) AS "rows", round(sum(coalesce(discount, -1.0)), 4) AS total, max(name) AS last_name FROM o WHERE season IN (SELECT DISTINCT season FROM o ORDER BY 1 DESC LIMIT 3) GROUP BY season""",
+    "player_reports": f"""WITH {SQL_LOGS}, {_longest('(VALUES (20.0::DOUBLE), (50.0)) t(threshold)')}, th AS (SELECT * FROM (VALUES (20.0::DOUBLE), (50.0)) t(threshold)),
+        cu AS (SELECT player_id, threshold, coalesce(min(n_desc) FILTER (WHERE value < threshold) - 1, max(n_desc)) AS g FROM nl, th GROUP BY ALL), nw AS (SELECT player_id, max(game_time) AS newest FROM lg GROUP BY 1),
+        sk AS (SELECT player_id, 'Current' AS kind, threshold, g, min(game_time) AS a, max(game_time) AS b, TRUE AS active FROM cu JOIN nl USING (player_id) WHERE n_desc <= g GROUP BY ALL
+               UNION ALL SELECT player_id, 'Season Best', threshold, streak_games, start_time, end_time, end_time = newest FROM mx JOIN nw USING (player_id)),
+        w AS (SELECT player_id, threshold, count(*) FILTER (WHERE value >= threshold) AS hit, count(*) AS n FROM nl, th WHERE n_desc <= 10 GROUP BY ALL),
+        b AS (SELECT player_id, avg(value) AS m, stddev_samp(value) AS s, avg(value) FILTER (WHERE n_desc <= 3) AS r3, avg(value) FILTER (WHERE n_desc <= 5) AS r5 FROM nl GROUP BY 1 HAVING count(*) >= 3 AND stddev_samp(value) > 0),
+        h AS (SELECT player_id, unnest([3, 5]) AS window_size, round(unnest([r3, r5]), 8) AS r, round(m, 8) AS m, round((unnest([r3, r5]) - m) / s, 8) AS z FROM b),
+        c AS (SELECT player_id, k AS window_size, round(avg(value), 8) AS m, round(stddev_samp(value), 8) AS s, min(value) AS lo, max(value) AS hi, CASE WHEN avg(value) > 0 THEN stddev_samp(value) / avg(value) ELSE 0 END AS cv FROM nl, (SELECT unnest([0, 10]) AS k) WHERE k = 0 OR n_desc <= k GROUP BY ALL HAVING count(*) >= 5),
+        ln AS (
+          SELECT player_id, 1 AS sec, row_number() OVER (PARTITION BY player_id ORDER BY kind, threshold) AS pl, printf('%-25s |  ALL | >=%3s | %3d games | %s - %s | %12s | %s', c_name, printf('%.0f', threshold), g, strftime(a, '%m/%d'), strftime(b, '%m/%d'), kind, CASE WHEN active THEN '🔥 ACTIVE' ELSE '✓ Complete' END) AS line FROM sk JOIN customer ON c_custkey = player_id
+          UNION ALL SELECT player_id, 2, row_number() OVER (PARTITION BY player_id ORDER BY threshold), printf('%-25s |  ALL | >=%3s | %2d/%2d | %2dg | %6s | %s | %s', c_name, printf('%.0f', threshold), hit, n, CAST(10 AS BIGINT), printf('%.1f', round(100.0 * hit / n, 1)) || '%', strftime(newest, '%m/%d/%Y'),
+            CASE WHEN hit / n >= 0.8 THEN '🔥' WHEN hit / n >= 0.6 THEN '✓' WHEN hit / n >= 0.4 THEN '○' ELSE '✗' END) FROM w JOIN nw USING (player_id) JOIN customer ON c_custkey = player_id
+          UNION ALL SELECT player_id, 3, row_number() OVER (PARTITION BY player_id ORDER BY window_size), printf('%-25s |  ALL | %2dg | Z: %6s | Recent: %6s | Season: %6s | %s', c_name, window_size, printf('%.2f', round(z, 2)), printf('%.2f', round(r, 2)), printf('%.2f', round(m, 2)),
+            CASE WHEN z >= 1 THEN '🔥 ON FIRE' WHEN z >= 0.65 THEN '📈 HEATING UP' WHEN z >= -0.64 THEN '➖ AVERAGE' WHEN z >= -1 THEN '📉 COOLING OFF' ELSE '🧊 ICE COLD' END) FROM h JOIN customer ON c_custkey = player_id
+          UNION ALL SELECT player_id, 4, row_number() OVER (PARTITION BY player_id ORDER BY window_size), printf(' ALL | Avg: %6s | StdDev: %5s | CV: %5s | Range: %s-%s | %s', printf('%.1f', round(m, 1)), printf('%.1f', round(s, 1)), printf('%.2f', round(round(cv, 8), 2)), printf('%.0f', round(lo)), printf('%.0f', round(hi)),
+            CASE WHEN cv < 0.35::DOUBLE THEN '🎯 STEADY' WHEN cv > 0.55::DOUBLE THEN '🎰 VOLATILE' ELSE '➖ AVERAGE' END) FROM c),
+        hd AS (SELECT player_id, sec, 0 AS pl, CASE sec WHEN 1 THEN '🔥 ' || count(*) || ' Streaks' WHEN 2 THEN '📊 ' || count(*) || ' Stat Windows' ELSE '📈 ' || count(*) || ' Heat Rows' END AS line FROM ln WHERE sec < 4 GROUP BY player_id, sec)
+        SELECT player_id, string_agg(line, chr(10) ORDER BY sec, pl) AS report FROM (FROM ln UNION ALL FROM hd) GROUP BY player_id""",
     "cleanup_tables": f"""{_G}, r AS (SELECT * FROM ga WHERE season IN (SELECT DISTINCT season FROM ga ORDER BY 1 DESC LIMIT 3)), b AS (SELECT game_id, CASE WHEN tov % 5 <> 0 THEN pts END AS pts FROM r),
         da AS (SELECT team_id, season, max(pts) FILTER (WHERE pts > 130) AS best FROM r GROUP BY ALL)
         SELECT 'team_game_stats' AS "table", count(*) AS "rows", count(*) AS known, CAST(sum(coalesce(pts, 0)) AS DOUBLE) AS total, min(game_id) AS least FROM b
