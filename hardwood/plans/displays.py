@@ -260,7 +260,7 @@ ORACLE = {
           SELECT player_id, 1 AS sec, row_number() OVER (PARTITION BY player_id ORDER BY kind, threshold) AS pl, printf('%-25s |  ALL | >=%3s | %3d games | %s - %s | %12s | %s', c_name, printf('%.0f', threshold), g, strftime(a, '%m/%d'), strftime(b, '%m/%d'), kind, CASE WHEN active THEN '🔥 ACTIVE' ELSE '✓ Complete' END) AS line FROM sk JOIN customer ON c_custkey = player_id
           UNION ALL SELECT player_id, 2, row_number() OVER (PARTITION BY player_id ORDER BY threshold), printf('%-25s |  ALL | >=%3s | %2d/%2d | %2dg | %6s | %s | %s', c_name, printf('%.0f', threshold), hit, n, CAST(10 AS BIGINT), printf('%.1f', round(100.0 * hit / n, 1)) || '%', strftime(newest, '%m/%d/%Y'),
             CASE WHEN hit / n >= 0.8 THEN '🔥' WHEN hit / n >= 0.6 THEN '✓' WHEN hit / n >= 0.4 THEN '○' ELSE '✗' END) FROM w JOIN nw USING (player_id) JOIN customer ON c_custkey = player_id
-          UNION ALL SELECT player_id, 3, row_number() OVER (PARTITION BY player_id ORDER BY window_size), printf('%-25s |  ALL | %2dg | Z: %6s | Recent: %6s | Season: %6s | %s', c_name, window_size, printf('%.2f', round(z, 2)), printf('%.2f', round(r, 2)), printf('%.2f', round(m, 2)),
+          UNION ALL SELECT player_id, 3, row_number() OVER (PARTITION BY player_id ORDER BY window_size), printf('%-25s |  ALL | %2dg | Z: %6s | Recent: %6s | Season: %6s | %s', c_name, window_size, printf('%.2f', round(z, 2) + 0), printf('%.2f', round(r, 2)), printf('%.2f', round(m, 2)),
             CASE WHEN z >= 1 THEN '🔥 ON FIRE' WHEN z >= 0.65 THEN '📈 HEATING UP' WHEN z >= -0.64 THEN '➖ AVERAGE' WHEN z >= -1 THEN '📉 COOLING OFF' ELSE '🧊 ICE COLD' END) FROM h JOIN customer ON c_custkey = player_id
           UNION ALL SELECT player_id, 4, row_number() OVER (PARTITION BY player_id ORDER BY window_size), printf(' ALL | Avg: %6s | StdDev: %5s | CV: %5s | Range: %s-%s | %s', printf('%.1f', round(m, 1)), printf('%.1f', round(s, 1)), printf('%.2f', round(round(cv, 8), 2)), printf('%.0f', round(lo)), printf('%.0f', round(hi)),
             CASE WHEN cv < 0.35::DOUBLE THEN '🎯 STEADY' WHEN cv > 0.55::DOUBLE THEN '🎰 VOLATILE' ELSE '➖ AVERAGE' END) FROM c),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hardwood.functions import ratings
-from hardwood.operators import form, reading, serving
+from hardwood.operators import form, reading, reports, serving
 
 DAY = datetime.date
 
@@ -112,3 +112,24 @@ def test_named_reads(spark):
     assert [r.team_id for r in reading.named("back_to_backs", g, game_date=(DAY(2025, 1, 2), DAY(2025, 1, 3))).collect()] == [3, 2]
     with pytest.raises(ValueError, match="pts"):
         reading.named("player", rows, pts=1)
+
+
+def test_report_lines_and_sections(spark):
+    t = lambda d: datetime.datetime(2025, 1, d)
+    s = spark.createDataFrame([(1, "Al Bo", "PTS", 20.0, 4, t(2), t(9), "current", True), (1, "Al Bo", "REB", 5.0, 12, t(1), t(30), "season_max", False)], "player_id int, player_name string, stat string, threshold double, streak_games long, start_time timestamp_ntz, end_time timestamp_ntz, kind string, is_active boolean")
+    w = spark.createDataFrame([(1, "Al Bo", "PTS", 20.0, 7, 10, 10, t(9)), (2, "Cy", "PTS", 20.0, 0, 0, 5, t(9))], "player_id int, player_name string, stat string, threshold double, games_hit long, games_played long, window_size int, last_game_date timestamp_ntz")
+    h = spark.createDataFrame([(1, "Al Bo", "PTS", 5, 0.655, 22.125, 20.0)], "player_id int, player_name string, stat string, window_size int, z_score double, recent_avg double, season_avg double")
+    c = spark.createDataFrame([(1, "pts", 0, 20.25, 5.0, 0.2469, 8.0, 31.5, "steady")], "player_id int, stat string, window_size int, mean double, sd double, cv double, min_value double, max_value double, tier string")
+    text = reports.report([reports.section(1, s, "player_id", reports.streak_line(), [F.asc("stat")], "%d Streaks"), reports.section(2, w, "player_id", reports.window_line(), [F.asc("stat")]), reports.section(3, h, "player_id", reports.heat_line(), [F.asc("stat")]), reports.section(4, c, "player_id", reports.consistency_line(), [F.asc("stat")])], "player_id")
+    got = {r.player_id: r.report.split("\n") for r in text.collect()}
+    assert got == {
+        1: [
+            "2 Streaks",
+            "Al Bo                     |  PTS | >= 20 |   4 games | 01/02 - 01/09 |      Current | 🔥 ACTIVE",
+            "Al Bo                     |  REB | >=  5 |  12 games | 01/01 - 01/30 |  Season Best | ✓ Complete",
+            "Al Bo                     |  PTS | >= 20 |  7/10 | 10g |  70.0% | 01/09/2025 | ✓",
+            "Al Bo                     |  PTS |  5g | Z:   0.66 | Recent:  22.13 | Season:  20.00 | 📈 HEATING UP",
+            " PTS | Avg:   20.3 | StdDev:   5.0 | CV:  0.25 | Range: 8-32 | 🎯 STEADY",
+        ],
+        2: ["Cy                        |  PTS | >= 20 |  0/ 0 |  5g |   0.0% | 01/09/2025 | ✗"],
+    }
