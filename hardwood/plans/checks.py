@@ -86,10 +86,9 @@ def _reconcile(spark, d):
 
 
 def _apply(spark, d):
-    """The schedule of the games without issues, after the updates of their plan."""
+    """The whole schedule after the updates of the plan; games with an issue have none and stay as they are."""
     s, f = _sources(spark, d)
-    s = s.join(quality.reconcile(s, f).where("action = 'issue'"), "game_id", "left_anti")
-    plan = quality.reconcile(s, f)
+    plan = quality.reconcile(s, f).where("action <> 'issue'")
     return quality.apply_results(s, plan, quality.result_updates(plan, f)).select("game_id", "team_id", "result", "score")
 
 
@@ -260,7 +259,7 @@ ORACLE = {
     "reconcile_issue_counts": f"{_G}, {_REC} SELECT action, coalesce(issue, 'none') AS issue, count(*) AS games FROM rc GROUP BY ALL",
     "reconcile_summary": f"""{_G}, {_REC} SELECT count(*) AS inspected, count(*) FILTER (WHERE action = 'update') AS eligible, count(*) FILTER (WHERE action = 'complete') AS complete, count(*) FILTER (WHERE action = 'issue') AS issues FROM rc""",
     "reconcile_apply": f"""{_G}, {_REC} SELECT s.game_id, s.team_id, CASE WHEN action = 'update' THEN f.result ELSE s.result END AS result, CASE WHEN action = 'update' THEN final_score ELSE sc END AS score
-        FROM s JOIN rc USING (game_id) LEFT JOIN f ON f.game_id = s.game_id AND f.team_id = s.team_id WHERE action <> 'issue'""",
+        FROM s JOIN rc USING (game_id) LEFT JOIN f ON f.game_id = s.game_id AND f.team_id = s.team_id""",
     "roster_diff": f"""WITH {_ROST} SELECT team_id, player_id, CASE WHEN old.name IS NULL THEN 'inserted' WHEN new.name IS NULL THEN 'removed' WHEN old.name <> new.name THEN 'updated' ELSE 'unchanged' END AS change FROM old FULL JOIN new USING (team_id, player_id)""",
     "roster_reconciled": f"""WITH {_ROST}, i AS (SELECT * FROM new WHERE name <> upper(name) OR team_id < 10) SELECT * FROM i UNION ALL SELECT * FROM old WHERE team_id NOT IN (SELECT team_id FROM i)""",
     "upsert_merge": """SELECT o_orderkey AS k, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) ELSE DATE '2030-01-01' END AS recorded_at

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hardwood.functions import ratings, seasons
 from hardwood.operators import form, quality, reading, snapshots, teams, upsert
+from hardwood.plans import checks
 from hardwood.sources import feeds
 
 DAY = datetime.date
@@ -208,6 +209,17 @@ def test_a_schedule_that_changed_is_not_written(spark, change):
         quality.apply_results(changed, plan, updates).select("game_id").collect()
 
 
+def test_the_applied_schedule_is_whole(spark):
+    """The query gives out every row of the schedule; those of games with an issue are the schedule's own."""
+    folder = "/root/testdata/sf0.001"
+    s, f = checks._sources(spark, folder)
+    actions = {r.game_id: r.action for r in quality.reconcile(s, f).collect()}
+    got = [tuple(r) for r in checks.QUERIES["reconcile_apply"](spark, folder).collect()]
+    own = [tuple(r) for r in s.select("game_id", "team_id", "result", "score").collect()]
+    assert len(got) == len(own) and {r[0] for r in got} == set(actions) and "issue" in actions.values()
+    assert sorted((r for r in got if actions[r[0]] != "update"), key=str) == sorted((r for r in own if actions[r[0]] != "update"), key=str)
+
+
 def test_pairs_sides_and_opponents(spark):
     rows = spark.createDataFrame([r for r in team_games(range(2)) if not (r[0].endswith("1") and r[2] == 2)], BOX)
     got = {(r.game_id[-1], r.team_id): r.o_pts for r in teams.with_opponent(rows).collect()}
