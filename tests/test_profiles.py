@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hardwood.operators import quality
+from hardwood.plans import streams
 from hardwood.sources import feeds
 from hardwood.streaming import events
 
@@ -82,6 +83,25 @@ def test_late_rows_are_gone_and_a_restart_changes_nothing(spark, tmp_path):
     assert run() == {(1, 1), (2, 1), (4, 1), (5, 1)}
 
 
+@pytest.mark.parametrize("name", ["stream_tumbling_days"])
+def test_no_event_is_left_in_an_open_window(spark, name):
+    """The rows of all windows count every event, the last ones too."""
+    folder = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{folder}/events.parquet").count()
+    assert streams.QUERIES[name](spark, folder).agg(F.sum("n")).first()[0] == want
+
+
+def test_windows_are_closed_once_events_are_over(spark, tmp_path):
+    at = lambda d, h, m=0: datetime.datetime(2025, 1, d, h, m)
+    rows = [(i, t, u, "view", 1.0, None) for i, (u, t) in enumerate([(1, at(1, 9)), (1, at(1, 9, 59)), (1, at(3, 23, 30)), (2, at(3, 23, 59)), (None, at(3, 1))])]
+    spark.createDataFrame(rows, events.SCHEMA).write.parquet(f"{tmp_path}/in")
+    stream = events.read_events(spark, f"{tmp_path}/in", "*.parquet")
+    got = {(r.start.day, r.event_type, r.n, r.total) for r in events.finished(spark, stream, events.tumbling, f"{tmp_path}/a").collect()}
+    assert got == {(1, "view", 2, 2.0), (3, "view", 3, 3.0)}
+    got = {(r.user_id, r.start, r.end, r.n) for r in events.finished(spark, stream, events.sessions, f"{tmp_path}/b").collect()}
+    assert got == {(1, at(1, 9), at(1, 10, 59), 2), (1, at(3, 23, 30), at(4, 0, 30), 1), (2, at(3, 23, 59), at(4, 0, 59), 1), (None, at(3, 1), at(3, 2), 1)}
+
+
 def test_limits_over_sliding_windows(spark, tmp_path):
     at = lambda h, m=0: datetime.datetime(2025, 1, 1, h, m)
     rows = [(i, t, u, "view", 1.0, None) for i, (u, t) in enumerate([(1, at(0, 10)), (1, at(1, 11)), (1, at(1, 50)), (2, at(0, 10)), (2, at(5)), (3, at(23))])]
