@@ -64,7 +64,7 @@ def _late_rows(spark, d):
 
 QUERIES = {
     "stream_tumbling_days": _whole(events.tumbling),
-    "stream_sessions": _run(events.sessions),
+    "stream_sessions": _whole(events.sessions),
     "stream_published_days": _published,
     "stream_distinct": _distinct,
     "stream_late_rows": _late_rows,
@@ -84,7 +84,9 @@ def _sessions(gap, least):
 
 ORACLE = {
     "stream_tumbling_days": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    "stream_sessions": _sessions(1, 0),
+    "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+        s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
+        SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, session""",
     "stream_renewed_counters": _sessions(8, 3),
     "stream_distinct": "SELECT event_id, event_type, value FROM events",
     "stream_published_days": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",

@@ -83,7 +83,7 @@ def test_late_rows_are_gone_and_a_restart_changes_nothing(spark, tmp_path):
     assert run() == {(1, 1), (2, 1), (4, 1), (5, 1)}
 
 
-@pytest.mark.parametrize("name", ["stream_tumbling_days"])
+@pytest.mark.parametrize("name", ["stream_tumbling_days", "stream_sessions"])
 def test_no_event_is_left_in_an_open_window(spark, name):
     """The rows of all windows count every event, the last ones too."""
     folder = "/root/testdata/sf0.001"
