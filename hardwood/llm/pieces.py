@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -99,9 +100,14 @@ class PieceTable:
         key, ident = np.concatenate(keys), np.concatenate(ids)
         order = np.argsort(key)
         self.keys, self.ids = key[order], ident[order]
-        #: Whether any key has these 20 high bits: most substrings are no piece and end here.
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        #: The first key with these 20 high bits, -1 for none: most substrings are no piece and end here. Some keys share
+        #: these bits; `shared` is the most that do.
+        high = (self.keys >> np.uint64(44)).astype(np.int64)
+        self.first = np.full(1 << 20, -1, np.int32)
+        self.first[high[::-1]] = np.arange(len(high), dtype=np.int32)[::-1]
+        self.shared = int(np.bincount(high).max()) if len(high) else 0
+        self.keys = np.r_[self.keys, np.zeros(self.shared, np.uint64)]
+        self.ids = np.r_[self.ids, np.full(self.shared, -1, np.int32)]
 
     @staticmethod
     def _hashes(points: np.ndarray, length: int) -> np.ndarray:
@@ -122,10 +128,13 @@ class PieceTable:
         for length in range(1, min(size, self.longest) + 1):
             h = wordbytes.mix64((sums[:, length:] - sums[:, : size + 1 - length]) * inverse[: size + 1 - length] + np.uint64(length)).ravel()
             out = np.full(len(h), -1, np.int32)
-            maybe = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-            hit = self.keys[at] == h[maybe]
-            out[maybe[hit]] = self.ids[at[hit]]
+            at = self.first[(h >> np.uint64(44)).view(np.int64)]
+            maybe = np.flatnonzero(at >= 0)
+            at, h = at[maybe], h[maybe]
+            for _ in range(self.shared):
+                hit = self.keys[at] == h
+                out[maybe[hit]] = self.ids[at[hit]]
+                maybe, at, h = maybe[~hit], at[~hit] + 1, h[~hit]
             found.append(out.reshape(n, size + 1 - length))
         return found
 
@@ -191,27 +200,37 @@ def merge_pairs(found: list[np.ndarray], scores: np.ndarray) -> np.ndarray:
     """The same table for a BPE model: each word joins its best-scored pair, the leftmost of equals, until none is a
     piece."""
     n, size = found[0].shape
+    longest, none = len(found), np.append(scores, -np.inf)  # id -1 has no score
+    piece = np.full((longest + 1, n, size), -1, np.int32)  # id by length, word and start
+    for length, ids in enumerate(found, 1):
+        piece[length, :, : ids.shape[1]] = ids
     stop = np.tile(np.minimum(np.arange(1, size + 2), size), (n, 1))  # end of the symbol that starts here
+    before = np.tile(np.arange(-1, size), (n, 1))  # start of the symbol before it
     start = np.ones((n, size + 1), bool)
     start[:, size] = False
-    gain = np.full((n, len(found) + 1, size + 1), -np.inf)  # score of the piece by length and start
-    for length, ids in enumerate(found, 1):
-        gain[:, length, : ids.shape[1]] = np.where(ids >= 0, scores[ids], -np.inf)
-    word, position = np.arange(n)[:, None], np.arange(size + 1)[None, :]
+    gain = none[piece[2]] if longest > 1 else np.full((n, size), -np.inf)  # of joining the symbol that starts here to the next
+
+    def joined(w, i, end):
+        length = end - i
+        return np.where(length <= longest, none[piece[np.minimum(length, longest), w, i]], -np.inf)
+
+    # The rows of gain are the words that still have a pair; a merge changes that pair and the one before it.
     live = np.arange(n)
     while len(live) and size > 1:
-        w = word[: len(live)]
-        first = stop[live]
-        second = stop[live][w, first]
-        length = second - position
-        joined = start[live] & (first < size) & (length <= len(found))
-        score = np.where(joined, gain[live[:, None], np.where(joined, length, 0), position], -np.inf)
-        pick = score.argmax(1)
+        pick = gain.argmax(1)
+        on = gain[np.arange(len(live)), pick] > -np.inf
+        if not on.all():
+            live, gain, pick = live[on], gain[on], pick[on]
         row = np.arange(len(live))
-        on = score[row, pick] > -np.inf
-        live, row, pick = live[on], row[on], pick[on]
-        start[live, first[row, pick]] = False
-        stop[live, pick] = second[row, pick]
+        gone = stop[live, pick]
+        end = stop[live, gone]
+        start[live, gone] = False
+        gain[row, gone] = -np.inf
+        stop[live, pick], before[live, end] = end, pick
+        gain[row, pick] = np.where(end < size, joined(live, pick, stop[live, end]), -np.inf)
+        left = before[live, pick]
+        has = left >= 0
+        gain[row[has], left[has]] = joined(live[has], left[has], end[has])
     back = np.zeros((n, size + 1), np.int64)
     w, i = np.nonzero(start)
     back[w, stop[w, i]] = i
@@ -267,6 +286,22 @@ def walked(back: np.ndarray, found: list[np.ndarray]) -> list[tuple[np.ndarray,
     return steps
 
 
+def cuts_of(back: np.ndarray, everywhere: bool) -> np.ndarray:
+    """Where the pieces of every word start: (words, L). everywhere: whether back is filled at positions off the path."""
+    n, size = back.shape[0], back.shape[1] - 1
+    cuts = np.zeros((n, size), bool)
+    if not everywhere:
+        np.put_along_axis(cuts, back, True, 1)  # 0, which every path has, where no piece ends
+        return cuts
+    rows, at = np.arange(n), np.full(n, size)
+    while len(rows):
+        at = back[rows, at]
+        cuts[rows, at] = True
+        on = at > 0
+        rows, at = rows[on], at[on]
+    return cuts
+
+
 class Segmenter:
     """Ids of units (words with the space marks before them)."""
 
@@ -291,43 +326,61 @@ class Segmenter:
         self.n_best, self.same = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _segment(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
-        n_best, same = np.zeros(len(words), np.int64), np.ones(len(words), bool)
+        flat, size, n_best, same = self._segments(words)
+        return np.split(flat, np.cumsum(size)[:-1]), n_best, same
+
+    def _segments(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in a row and how many each has; pieces of each Viterbi path, and whether it is the same."""
+        size, n_best, same = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.ones(len(words), bool)
+        order, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for index in by_length(words):
             length = len(words[index[0]])
             points = code_points([words[i] for i in index], length)
             for lo, hi in [(0, len(index))] if length <= LONG else [(i, i + 1) for i in range(len(index))]:
-                own = index[lo:hi]
+                own = np.array(index[lo:hi])
                 found = self.table.substrings(points[lo:hi])
-                steps = []
                 if self.best or self.v.kind != BPE:
-                    steps = best = walked(viterbi(found, self.scores, self.unknown) if length <= LONG else viterbi_long(length, found, self.scores, self.unknown), found)
-                    n_best[own] = self._count(best, [words[i] for i in own])
+                    cuts = best = cuts_of(viterbi(found, self.scores, self.unknown) if length <= LONG else viterbi_long(length, found, self.scores, self.unknown), True)
+                    n_best[own] = self._count(best, found, words, own)
                 if self.v.kind == BPE:
-                    steps = walked(merge_pairs(found, self.scores) if length <= LONG else merge_long(length, found, self.scores), found)
+                    cuts = cuts_of(merge_pairs(found, self.scores) if length <= LONG else merge_long(length, found, self.scores), False)
                     if self.best:
-                        same[own] = (self._cuts(best, hi - lo, length) == self._cuts(steps, hi - lo, length)).all(1)
-                pieces: list[list[int]] = [[] for _ in own]
-                for rows, start, ids in reversed(steps):
-                    for r, s, i in zip(rows.tolist(), start.tolist(), ids.tolist(), strict=True):
-                        pieces[r] += [i] if i >= 0 else self._bytes(words[own[r]][s])
-                for i, p in zip(own, pieces, strict=True):
-                    out[i] = np.array(p, np.int32)
-        return out, n_best, same
-
-    @staticmethod
-    def _cuts(steps, n: int, size: int) -> np.ndarray:
-        cuts = np.zeros((n, size), bool)
-        for rows, start, _ in steps:
-            cuts[rows, start] = True
-        return cuts
-
-    def _count(self, steps, words: list[str]) -> np.ndarray:
-        n = np.zeros(len(words), np.int64)
-        for rows, start, ids in steps:
-            n[rows] += 1
-            for r, s in zip(rows[ids < 0].tolist(), start[ids < 0].tolist(), strict=True):
-                n[r] += len(self._bytes(words[r][s])) - 1
+                        same[own] = (best == cuts).all(1)
+                flat, size[own] = self._ids(cuts, found, words, own)
+                order.append(own)
+                parts.append(flat)
+        # From the order of the lengths to that of the words.
+        order, flat = np.concatenate(order), np.concatenate(parts)
+        begin = np.zeros(len(words), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        ends = np.cumsum(size)
+        return flat[np.repeat(begin - (ends - size), size) + np.arange(len(flat))], size, n_best, same
+
+    def _ids(self, cuts: np.ndarray, found: list[np.ndarray], words: list[str], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of all words in a row, bytes for characters without one, and how many each word has."""
+        row, start = np.nonzero(cuts)
+        length = np.where(np.r_[row[1:] != row[:-1], True], cuts.shape[1], np.r_[start[1:], 0]) - start
+        ids = np.full(len(row), -1, np.int32)
+        for s, at in enumerate(found, 1):
+            of = np.flatnonzero(length == s)
+            ids[of] = at[row[of], start[of]]
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, np.bincount(row, minlength=len(cuts))
+        spelled = [self._bytes(words[own[r]][s]) for r, s in zip(row[odd].tolist(), start[odd].tolist(), strict=True)]
+        n = np.ones(len(ids), np.int64)
+        n[odd] = [len(x) for x in spelled]
+        flat = np.repeat(ids, n)
+        flat[np.repeat(ids < 0, n)] = np.concatenate(spelled)
+        return flat, np.bincount(row, n, len(cuts)).astype(np.int64)
+
+    def _count(self, cuts: np.ndarray, found: list[np.ndarray], words: list[str], own: np.ndarray) -> np.ndarray:
+        n = cuts.sum(1)
+        alone = cuts & (found[0] < 0)
+        if alone.any():
+            alone[:, :-1] &= cuts[:, 1:]
+            for r, s in zip(*(x.tolist() for x in np.nonzero(alone)), strict=True):
+                n[r] += len(self._bytes(words[own[r]][s])) - 1
         return n
 
     def _bytes(self, char: str) -> list[int]:
@@ -339,15 +392,15 @@ class Segmenter:
         split = [self.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self._reset()
-        new = list({u for units in split for u in units if u not in self.known})
+        new = list(set().union(*split).difference(self.known))
         if new:
-            ids, n_best, same = self._segment(new)
-            size = np.array([len(x) for x in ids])
-            begin = len(self.flat) + np.r_[0, np.cumsum(size)[:-1]]
+            flat, size, n_best, same = self._segments(new)
+            begin = len(self.flat) + np.cumsum(size) - size
             self.known.update(zip(new, range(len(self.begin), len(self.begin) + len(new)), strict=True))
-            self.flat, self.begin, self.size = np.concatenate([self.flat, *ids]), np.r_[self.begin, begin], np.r_[self.size, size]
+            self.flat, self.begin, self.size = np.r_[self.flat, flat], np.r_[self.begin, begin], np.r_[self.size, size]
             self.n_best, self.same = np.r_[self.n_best, n_best], np.r_[self.same, same]
-        return np.fromiter((self.known[u] for units in split for u in units), np.int64), np.array([len(u) for u in split], np.int64)
+        n = np.array([len(u) for u in split], np.int64)
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum())), n
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of the texts in them; then of each text the pieces of its Viterbi

@@ -85,6 +85,23 @@ def test_long_words_both_ways():
         assert on_path(back) == on_path(long)
 
 
+def test_every_piece_is_found_and_words_keep_their_order():
+    """Pieces whose hashes share their high bits too; words of all lengths, some spelled in bytes, in any order."""
+    v = pieces.read_vocabulary()
+    s = pieces.Segmenter(v)
+    assert s.table.shared > 1
+    for i, (p, n) in enumerate(zip(v.pieces, v.normal, strict=True)):
+        if n and p:
+            assert s.table.substrings(pieces.code_points([p], len(p)))[len(p) - 1][0, 0] == i
+    library, rng = SentencePieceProcessor(model_file=pieces.MODEL), np.random.default_rng(1)
+    words = ["▁" + "".join(rng.choice(list("etaoinshr\u4e9c\U0001f600z"), rng.integers(1, 30))) for _ in range(500)] + ["▁" + "the\U0001f600" * 100, "▁"]
+    flat, size, n_best, same = s._segments(words)
+    for w, ids, n, equal in zip(words, np.split(flat, np.cumsum(size)[:-1]), n_best, same, strict=True):
+        best = plain_viterbi(w, v)
+        assert (n, equal) == (len(best), best == ids.tolist())
+        assert ids.tolist() == library.encode(w[1:]) or w == "▁"
+
+
 def test_decode_and_columns(spark):
     v = pieces.read_vocabulary()
     docs = frame(spark, odd_documents()).selectExpr("*", "1 as pieces", "2 as ids")
