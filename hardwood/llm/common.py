@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,6 +80,12 @@ class Scratch:
         for df in kept:
             self._delete(df._hardwood_path)
 
+    def release(self) -> None:
+        """Lets go of what finished steps hold on the driver: plans, which Python's handles keep alive in the JVM, and
+        broadcasts and shuffles, which Spark cleans up once these are collected."""
+        gc.collect()
+        self.spark._jvm.java.lang.System.gc()
+
     def clear(self) -> None:
         """Removes all that this run has written."""
         self._delete(self.root)

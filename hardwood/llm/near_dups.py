@@ -331,10 +331,12 @@ def _groups(docs: DataFrame, percent: int, k: int, miss: float, scratch: Scratch
         links = links.unionByName(scratch.keep(one, "same"))
     tested = first
     for best in (BEST, None):
+        scratch.release()
         pairs = _across_clusters(nodes, docs, components(links, scratch), percent, miss, k, best, scratch)
         pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"), "untested")
         links = links.unionByName(verified(pairs, nodes, docs, percent, miss, k, scratch))
         tested = tested.unionByName(pairs)
+    scratch.release()
     groups = components(links, scratch)
     named = scratch.keep(nodes.join(groups, "node", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "node").alias("component_id")), "named")
     light = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("f1")).alias("f1"), "f2")

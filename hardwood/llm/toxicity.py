@@ -196,7 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     flat = [x.flatten().to_numpy() for x in lists]
     per_doc = [np.diff(np.asarray(x.offsets)) for x in lists]
     del got, lists
-    return fit(*flat, *per_doc, toxic, weight)
+    model = fit(*flat, *per_doc, toxic, weight)
+    del flat, per_doc
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:

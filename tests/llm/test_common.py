@@ -1,4 +1,6 @@
+import gc
 import os
+import weakref
 
 from hardwood.llm import mixing
 from hardwood.llm.common import Scratch, scratch_scope
@@ -18,3 +20,19 @@ def test_scope_clears_what_was_written_inside(spark, tmp_path):
     assert set(os.listdir(os.path.dirname(folder))) == before
     outside.clear()
     assert not os.path.exists(folder) and spark.read.parquet(f"{tmp_path}/out").count()
+
+
+def test_release_lets_go_of_plans_in_cycles(spark):
+    """Python's handles of finished steps, which keep their plans alive in the JVM, are collected."""
+    df = spark.range(3)
+    held = [df]
+    held.append(held)
+    gone = weakref.ref(df)
+    gc.disable()
+    try:
+        del df, held
+        assert gone() is not None
+        Scratch(spark, "release").release()
+        assert gone() is None
+    finally:
+        gc.enable()
