@@ -31,14 +31,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hardwood.llm import wordbytes
-from hardwood.llm.common import Scratch, table
+from hardwood.llm.common import Scratch, table, thrifty
 
 BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
 #: Hashes read between two looks at the posterior.
 BATCH = 25
 #: Buckets of more nodes than SMALL are compared in blocks of about BLOCK nodes, TILE at a time within a task.
-SMALL, BLOCK, TILE = 32, 2048, 256
+SMALL, BLOCK, TILE = 32, 2048, 128
+#: Bytes and texts, at most, whose words and minima are held at once.
+SLICE_BYTES, AT_ONCE = 1 << 18, 1024
 #: Hashes, of 8 bits, of the long signatures that decide about the pairs left in large buckets.
 LONG = 1024
 #: Most alike partners that a node outside the largest cluster of a large bucket is compared with before all others.
@@ -70,12 +72,12 @@ SHORT_LOOKS = list(range(BATCH, HASHES + 1, BATCH))
 LONG_LOOKS = [64, 128, 256, 512, LONG]
 
 
-def promising(a: np.ndarray, b: np.ndarray, tests: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of a and b (signatures) pass every test, and how many hashes they share; later batches are read for
-    the survivors only."""
-    alive, equal, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
+def promising(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, tests: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of the rows i of a and j of b (signatures) pass every test, and how many hashes they share; each batch
+    is read when its test comes, for the survivors only."""
+    alive, equal, done = np.arange(len(i)), np.zeros(len(i), np.int64), 0
     for n, least in tests:
-        equal = equal + (a[alive, done:n] == b[alive, done:n]).sum(1)
+        equal = equal + (a[i[alive], done:n] == b[j[alive], done:n]).sum(1)
         stay = equal >= least
         alive, equal, done = alive[stay], equal[stay], n
     return alive, equal
@@ -104,7 +106,7 @@ def _minima(h: np.ndarray, begin: np.ndarray, xor: np.ndarray, mul: np.ndarray)
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
-        for lo, data, offsets in wordbytes.slices(batch.column(1)):
+        for lo, data, offsets in wordbytes.slices(batch.column(1), SLICE_BYTES):
             n = len(offsets) - 1
             row, h = wordbytes.shingles(wordbytes.words(data, offsets), k)
             sizes = np.bincount(row, minlength=n)
@@ -136,13 +138,13 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """SKETCH of (doc_id, text) rows; the columns after n_shingles are null for empty sets."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _sketch(b, k), SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(thrifty(lambda b: _sketch(b, k)), SKETCH)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
-        for lo, data, offsets in wordbytes.slices(batch.column(1)):
+        for lo, data, offsets in wordbytes.slices(batch.column(1), SLICE_BYTES):
             n = len(offsets) - 1
             row, h = wordbytes.shingles(wordbytes.words(data, offsets), k)
             ends = np.r_[0, np.cumsum(np.bincount(row, minlength=n))].astype(np.int32)
@@ -151,7 +153,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 def _long_signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, data, offsets in wordbytes.slices(batch.column(1), 1 << 18):
+        for lo, data, offsets in wordbytes.slices(batch.column(1), SLICE_BYTES, AT_ONCE):
             row, h = wordbytes.shingles(wordbytes.words(data, offsets), k)
             full, begin = np.unique(row, return_index=True)
             low = _minima(h, begin, _LONG_XOR, _LONG_MUL)
@@ -167,7 +169,8 @@ def _prune(batches: Iterator[pa.RecordBatch], tests) -> Iterator[pa.RecordBatch]
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in (2, 3))
-        yield batch.select([0, 1]).take(pa.array(promising(a, b, tests)[0]))
+        row = np.arange(len(a))
+        yield batch.select([0, 1]).take(pa.array(promising(a, row, b, row, tests)[0]))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, miss: float, k: int, scratch: Scratch) -> DataFrame:
@@ -176,10 +179,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     sig = nodes.select("node", "sig")
     with_sigs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     tests = min_matches(percent, miss, SHORT_LOOKS)
-    left = scratch.keep(with_sigs.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda x: _prune(x, tests), "a long, b long"), "promising")
+    left = scratch.keep(with_sigs.select("a", "b", "sig_a", "sig_b").mapInArrow(thrifty(lambda x: _prune(x, tests)), "a long, b long"), "promising")
     wanted = scratch.keep(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = scratch.keep(texts.mapInArrow(lambda x: _sets(x, k), "node long, shingles array<long>"), "sets")
+    sets = scratch.keep(texts.mapInArrow(thrifty(lambda x: _sets(x, k)), "node long, shingles array<long>"), "sets")
     own = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
     both = own.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t")).cast("long")
@@ -228,28 +231,37 @@ def _best_pivots(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs
 
 
+def _most_alike(a: np.ndarray, b: np.ndarray, equal: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each a the pairs that share most hashes, `best` at most."""
+    order = np.lexsort((b, -equal, a))
+    a, b, equal = a[order], b[order], equal[order]
+    new = np.r_[True, a[1:] != a[:-1]]
+    rank = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return a[rank < best], b[rank < best], equal[rank < best]
+
+
 def _compare_block(tests, kind: type, best: int | None):
-    def tile(q: pd.DataFrame, t: pd.DataFrame, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sig_q, sig_t = (np.frombuffer(b"".join(x.sig), kind).reshape(len(x), -1) for x in (q, t))
-        band_q, band_t = (np.stack(x.bands.to_list()) for x in (q, t))
-        i, j = np.nonzero(q.cluster.to_numpy()[:, None] != t.cluster.to_numpy()[None, :])
-        ok, equal = promising(sig_q[i], sig_t[j], tests)
-        i, j = i[ok], j[ok]
-        # A pair counts in the first band that both share, and nowhere else.
-        first = (band_q[i] == band_t[j]).argmax(1) == band
-        return q.node.to_numpy()[i[first]], t.node.to_numpy()[j[first]], equal[first]
+    def arrays(x: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        return np.frombuffer(b"".join(x.sig), kind).reshape(len(x), -1), np.stack(x.bands.to_list()), x.node.to_numpy(), x.cluster.to_numpy()
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, t = pdf[pdf.asks], pdf[~pdf.asks]
         none = np.zeros(0, np.int64)
-        found = [tile(q.iloc[x : x + TILE], t.iloc[y : y + TILE], pdf.band.iat[0]) for x in range(0, len(q), TILE) for y in range(0, len(t), TILE)]
-        a, b, equal = (np.concatenate([none, *x]) for x in zip(*found, strict=True)) if found else (none, none, none)
-        if best and len(a):
-            order = np.lexsort((b, -equal, a))
-            a, b, equal = a[order], b[order], equal[order]
-            new = np.r_[True, a[1:] != a[:-1]]
-            rank = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-            a, b, equal = a[rank < best], b[rank < best], equal[rank < best]
+        found, band = [(none, none, none)], pdf.band.iat[0]
+        if pdf.asks.any() and not pdf.asks.all():
+            (sig_q, band_q, node_q, cluster_q), (sig_t, band_t, node_t, cluster_t) = arrays(pdf[pdf.asks]), arrays(pdf[~pdf.asks])
+            for x in range(0, len(node_q), TILE):
+                row = []
+                for y in range(0, len(node_t), TILE):
+                    i, j = np.nonzero(cluster_q[x : x + TILE, None] != cluster_t[None, y : y + TILE])
+                    i, j = i + x, j + y
+                    ok, equal = promising(sig_q, i, sig_t, j, tests)
+                    i, j = i[ok], j[ok]
+                    # A pair counts in the first band that both share, and nowhere else.
+                    first = (band_q[i] == band_t[j]).argmax(1) == band
+                    row.append((node_q[i[first]], node_t[j[first]], equal[first]))
+                a, b, equal = (np.concatenate(x) for x in zip(*row, strict=True))
+                found.append(_most_alike(a, b, equal, best) if best and len(a) else (a, b, equal))
+        a, b, equal = (np.concatenate(x) for x in zip(*found, strict=True))
         return pd.DataFrame({"a": a, "b": b, "equal": equal})
 
     return compare
@@ -280,7 +292,7 @@ def _across_clusters(nodes: DataFrame, docs: DataFrame, clusters: DataFrame, per
         tests, kind = min_matches(percent, miss, LONG_LOOKS), np.uint8
         wanted = scratch.keep(large.select(F.col("node").alias("doc_id")), "wanted")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-        sig = scratch.keep(texts.mapInArrow(lambda x: _long_signatures(x, k), "node long, sig binary").dropDuplicates(["node"]), "long")
+        sig = scratch.keep(texts.mapInArrow(thrifty(lambda x: _long_signatures(x, k)), "node long, sig binary").dropDuplicates(["node"]), "long")
         large = large.join(sig, "node")
     large = large.join(nodes.select("node", "bands", *(["sig"] if best else [])), "node")
     large = large.select("node", "cluster", "sig", "bands", F.inline("entries"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hardwood.llm import wordbytes
-from hardwood.llm.common import Scratch, table
+from hardwood.llm.common import Scratch, table, thrifty
 
 #: Labelled documents that the fit may take, toxic and clean, by the hash of their id.
 SAMPLE = (1500, 3000)
@@ -222,7 +222,7 @@ def clean(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_text_scores(model, batch.column(where))[0] < at))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(thrifty(keep), docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

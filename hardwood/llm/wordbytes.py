@@ -59,7 +59,7 @@ def _powers(n: int) -> list[np.ndarray]:
     return _power
 
 
-def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES, max_rows: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of the rows in them); null texts are empty, no text is split."""
     texts = texts.fill_null("").cast(pa.large_string())
     n = len(texts)
@@ -70,6 +70,7 @@ def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int,
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + max_bytes, "right")) - 1)
+        hi = min(hi, lo + max_rows) if max_rows else hi
         yield lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 

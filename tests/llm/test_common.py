@@ -3,6 +3,7 @@ import os
 import weakref
 
 from hardwood.llm import mixing
+from hardwood.llm import common
 from hardwood.llm.common import Scratch, scratch_scope
 from tests.llm.helpers import frame, odd_documents
 
@@ -36,3 +37,15 @@ def test_release_lets_go_of_plans_in_cycles(spark):
         assert gone() is None
     finally:
         gc.enable()
+
+
+def test_thrifty_steps_give_back_once_their_rows_are_out(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    out = common.thrifty(lambda batches: (x + 1 for x in batches))(iter([1, 2]))
+    assert next(out) == 2 and not calls
+    assert list(out) == [3] and calls == [1]
+
+
+def test_give_back():
+    common.give_back()

@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from hardwood.llm import near_dups
@@ -120,3 +123,51 @@ def test_deduplicated_rows_without_id_and_clashing_columns(spark):
     out = near_dups.deduplicated(docs).collect()
     assert sorted((r.doc_id, (r.text or "").lower()) for r in out if r.doc_id) == [(7, "five six seven")] and len(out) == 3
     assert {(r._key, r._id, r._row, r.component_id) for r in out} == {("K", "I", "R", "G")}
+
+
+def peak_mb(step):
+    tracemalloc.start()
+    try:
+        step()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("best,kind,width,looks", [(None, np.uint8, near_dups.LONG, near_dups.LONG_LOOKS), (4, np.uint16, near_dups.HASHES, near_dups.SHORT_LOOKS)])
+def test_blocks_of_alike_nodes_take_little_memory(best, kind, width, looks):
+    """Whole blocks of near copies, against all pairs one by one."""
+    rng, n = np.random.default_rng(5), 600
+    base, tests = rng.integers(0, 250, width), near_dups.min_matches(85, 1e-6, looks)
+    sig = np.where(rng.random((2 * n, width)) < rng.choice([0.02, 0.11, 0.5], 2 * n)[:, None], rng.integers(0, 250, (2 * n, width)), base).astype(kind)
+    bands = np.where(rng.random((2 * n, near_dups.BANDS)) < 0.5, np.arange(near_dups.BANDS), -1 - np.arange(2 * n)[:, None])
+    bands[:, 1] = 1
+    cluster = rng.integers(0, 40, 2 * n)
+    pdf = pd.DataFrame({"node": rng.permutation(2 * n), "cluster": cluster, "band": 1, "sig": [x.tobytes() for x in sig], "bands": list(bands), "asks": np.arange(2 * n) < n})
+    expected = []
+    for q in range(n):
+        equal = np.cumsum(sig[q] == sig[n:], 1)
+        fits = np.all([equal[:, m - 1] >= least for m, least in tests], 0) & (cluster[q] != cluster[n:]) & ((bands[q] == bands[n:]).argmax(1) == 1)
+        pairs = sorted((-int(equal[t, -1]), int(pdf.node[n + t])) for t in np.flatnonzero(fits))
+        expected += [(int(pdf.node[q]), b, -e) for e, b in pairs[:best]]
+    compare = near_dups._compare_block(tests, kind, best)
+    found = compare(pdf)
+    assert expected and sorted(map(tuple, found.values.tolist())) == sorted(expected)
+    assert peak_mb(lambda: compare(pdf)) < 40
+    assert not len(compare(pdf[pdf.asks])) and not len(compare(pdf[~pdf.asks]))
+
+
+def test_long_signatures_of_short_texts_take_little_memory():
+    texts = pa.array([None, "", *(f"a{i} b{i % 7} c d" for i in range(8000))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])
+    found = {}
+
+    def step():
+        for part in near_dups._long_signatures(iter([batch]), 3):
+            found.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+
+    assert peak_mb(step) < 40
+    assert sorted(found) == list(range(2, 8002)) and {len(x) for x in found.values()} == {near_dups.LONG}
+    for i in (2, 1025, 1026, 8001):
+        alone = pa.RecordBatch.from_arrays([pa.array([i]), texts.slice(i, 1)], ["doc_id", "text"])
+        assert next(near_dups._long_signatures(iter([alone]), 3)).column(1)[0].as_py() == found[i]
