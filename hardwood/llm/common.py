@@ -50,14 +50,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Shuffle partitions that a task of a packed table takes at most, and tasks a core that there are at least.
+PACK, WAVES = 8, 4
+#: No .crc files beside Parquet's own checksums, where the shared folder is a local one.
+NO_CRC = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df in fewer partitions, without a shuffle. Each of them becomes a file, and for each file and each .crc file in a
+    local folder Hadoop forks the executor's JVM to set permissions, whose memory counts twice for an instant."""
+    spark = df.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(WAVES * spark.sparkContext.defaultParallelism, -(-shuffled // PACK)))
+
+
 class Scratch:
     """Intermediate tables of one operator run, as Parquet in the shared folder.
 
     A written table cuts the lineage and outlives lost executors. Tables go when `drop` is called; what is left
-    belongs to the lazy result and goes with `clear`, or at the end of a `scratch_scope`, once that has been written."""
+    belongs to the lazy result and goes with `clear`, or at the end of a `scratch_scope`, once that has been written.
+    With `pack`, tables are written in few files."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/hardwood/{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str, pack: bool = False):
+        self.spark, self.root, self.pack = spark, f"{shared_dir(spark)}/hardwood/{name}-{uuid.uuid4().hex}", pack
         self._n = 0
         for made in _scopes[-1:]:
             made.append(self)
@@ -65,11 +80,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and reads it back."""
+    def keep(self, df: DataFrame, name: str, by_partition: bool = False) -> DataFrame:
+        """Writes df and reads it back. by_partition: its rows are named by their partitions, which are not packed."""
         self._n += 1
         path = self.path(f"{name}-{self._n}")
-        df.write.option("compression", "zstd").parquet(path)
+        few = packed(df) if self.pack and not by_partition else df
+        few.write.options(compression="zstd", **(NO_CRC if self.pack else {})).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._hardwood_path = path
         return kept

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hardwood.llm.common import Scratch, ascii_lower, table, words
+from hardwood.llm.common import Scratch, ascii_lower, packed, table, thrifty, words
 from hardwood.llm.pieces import SPACE, PieceTable, Vocabulary, by_length, code_points, read_vocabulary
 
 FOLDS, HELD = 7, 2
@@ -287,7 +287,7 @@ def learn_scores(counts: DataFrame, documents: np.ndarray, v: Vocabulary, scratc
             none = [pa.nulls(len(k), t) for t in (pa.string(), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *none, pa.array(total[k, arc]), pa.array(arc, pa.int32())], names)
 
-        step = scratch.keep(learned.mapInArrow(expect, _STEP), "uses")
+        step = scratch.keep(learned.mapInArrow(thrifty(expect), _STEP), "uses")
         shared.destroy()
         scratch.drop(kept)
         kept, learned = step, step.where("word is not null").drop("arc")
@@ -379,7 +379,7 @@ def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, lan
     """One row per row of docs (doc_id, text, lang): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     vocabulary_score."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "lattice")
+    scratch = scratch or Scratch(spark, "lattice", pack=True)
     docs = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out"), "lang")
     training = docs.where("not held_out")
     by_lang = training.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
@@ -400,10 +400,10 @@ def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, lan
     top = counts.where(F.col("c") >= least_frequent(counts, frequent)).toArrow()
     base = np.log10((top.column("c").to_numpy() + 1) / denominator)
     shared = spark.sparkContext.broadcast((v, scores, top.column("word").to_pylist(), base, _by_component(top.column("uses").combine_chunks(), len(components)), denominator, ends))
-    rows = scratch.keep(docs.mapInArrow(lambda b: _score_rows(b, shared), _DOC), "rows")
+    rows = scratch.keep(docs.mapInArrow(thrifty(lambda b: _score_rows(b, shared)), _DOC), "rows", by_partition=True)
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     distinct_rare = rare.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("uses", F.array(*[F.lit(0.0)] * len(components))).alias("uses"))
-    priced = scratch.keep(distinct_rare.mapInArrow(lambda b: _rare_logs(b, shared), "word string, c long, logs array<double>"), "priced")
+    priced = distinct_rare.mapInArrow(thrifty(lambda b: _rare_logs(b, shared)), "word string, c long, logs array<double>")
     found = rare.join(priced, "word")
     n_base = F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))
     sums = found.groupBy("row").agg(F.sum(n_base).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"), *(F.sum(F.col("n") * F.col("logs")[k]).alias(f"more_{k}") for k in components))
@@ -412,10 +412,11 @@ def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, lan
     out = out.withColumn("_each", each).withColumn("_top", F.array_max("_each"))
     vocabulary = F.col("_each")[components[-1]] - F.lit(float(scores.shares[-1]))
     total = F.col("_top") + F.log(F.aggregate("_each", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_top"))))
-    return out.select(
+    out = out.select(
         "doc_id", "held_out", "n_tokens", (F.col("frequent") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (total / F.lit(math.log(10))).alias("score"), (vocabulary / F.lit(math.log(10))).alias("vocabulary_score"),
     )
+    return packed(out)
 
 
 def op6_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import random
 
+from hardwood.llm.common import Scratch
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -30,3 +34,31 @@ def tables(spark, folder, **frames):
     for name, df in frames.items():
         df.coalesce(2).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
+
+
+@contextlib.contextmanager
+def many_partitions(spark, n):
+    """Shuffles of n partitions, none of which are merged."""
+    settings = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def files_written(monkeypatch):
+    """Gets the number of files of each table that a scratch keeps from now on."""
+    counts, keep = {}, Scratch.keep
+
+    def counted(self, df, name, *args, **more):
+        kept = keep(self, df, name, *args, **more)
+        path = kept._hardwood_path
+        counts[path.rsplit("/", 1)[1]] = sum(f.endswith(".parquet") for f in os.listdir(path.removeprefix("file://")))
+        return kept
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    return counts

@@ -5,7 +5,7 @@ import weakref
 from hardwood.llm import mixing
 from hardwood.llm import common
 from hardwood.llm.common import Scratch, scratch_scope
-from tests.llm.helpers import frame, odd_documents
+from tests.llm.helpers import frame, many_partitions, odd_documents
 
 
 def test_scope_clears_what_was_written_inside(spark, tmp_path):
@@ -49,3 +49,19 @@ def test_thrifty_steps_give_back_once_their_rows_are_out(monkeypatch):
 
 def test_give_back():
     common.give_back()
+
+
+def test_packed_tables_have_few_files(spark):
+    """A task takes several shuffle partitions, and no file has a .crc file beside it; no row is lost."""
+    plain, few, n = Scratch(spark, "plain"), Scratch(spark, "few", pack=True), 400
+    with many_partitions(spark, n):
+        df = spark.range(5000).repartition("id")
+        kept = {"plain": plain.keep(df, "t"), "few": few.keep(df, "t"), "rows": few.keep(df, "t", by_partition=True)}
+    assert all(k.count() == k.distinct().count() == 5000 for k in kept.values())
+    files = {name: os.listdir(k._hardwood_path.removeprefix("file://")) for name, k in kept.items()}
+    parts = {name: sum(f.endswith(".parquet") for f in found) for name, found in files.items()}
+    assert parts["plain"] == parts["rows"] == n
+    assert parts["few"] == max(common.WAVES * spark.sparkContext.defaultParallelism, n // common.PACK)
+    assert not any(f.endswith(".crc") for f in files["few"] + files["rows"])
+    plain.clear()
+    few.clear()

@@ -5,8 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from hardwood.llm import lattice, pieces
-from tests.llm.helpers import frame, odd_documents, tables
+from hardwood.llm import common, lattice, pieces
+from tests.llm.helpers import files_written, frame, many_partitions, odd_documents, tables
 
 
 def small_model():
@@ -192,3 +192,17 @@ def test_frequent_words_by_a_histogram(spark, most):
     taken = sum(c >= least for c in counts)
     assert taken <= most and taken >= {0: 0, 1: 1, 3: 1, 50: 47, 200: 147, 10**6: 147}[most]
     assert lattice.least_frequent(df.limit(0), most) > 10**9
+
+
+def test_same_scores_and_few_files_from_many_partitions(spark, monkeypatch):
+    """Rows keep apart, and the tables of shuffled words have a file for several partitions."""
+    docs, v, n = frame(spark, odd_documents()), pieces.read_vocabulary(), 300
+    scores = lambda df: sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in df.collect()), key=str)
+    want = scores(lattice.lattice_scores(docs, v, frequent=3))
+    files = files_written(monkeypatch)
+    with many_partitions(spark, n):
+        out = lattice.lattice_scores(docs.repartition(n // 3), v, frequent=3)
+        assert scores(out) == want
+        most = max(common.WAVES * spark.sparkContext.defaultParallelism, -(-n // common.PACK))
+        assert out.rdd.getNumPartitions() <= most
+    assert max(c for name, c in files.items() if not name.startswith("rows-")) <= most and any(name.startswith("rows-") for name in files)
