@@ -80,11 +80,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, by_partition: bool = False) -> DataFrame:
-        """Writes df and reads it back. by_partition: its rows are named by their partitions, which are not packed."""
+    def keep(self, df: DataFrame, name: str, as_dealt: bool = False) -> DataFrame:
+        """Writes df and reads it back. as_dealt: is not packed, as its rows are named by their partitions or its tasks
+        are few and long."""
         self._n += 1
         path = self.path(f"{name}-{self._n}")
-        few = packed(df) if self.pack and not by_partition else df
+        few = packed(df) if self.pack and not as_dealt else df
         few.write.options(compression="zstd", **(NO_CRC if self.pack else {})).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._hardwood_path = path

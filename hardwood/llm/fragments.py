@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hardwood.llm import wordbytes
-from hardwood.llm.common import Scratch, table
+from hardwood.llm.common import Scratch, packed, table, thrifty
 from hardwood.llm.near_dups import components
 
 #: N-grams of a wide fragment, about.
@@ -198,7 +198,7 @@ class Join:
         """SKETCH of all documents; no two sets have the same node."""
         for self.salt in range(8):
             percent, k, salt = self.percent, self.k, self.salt
-            sketch = self.scratch.keep(self.docs.mapInArrow(lambda b: _sketch(b, k, percent, salt), SKETCH), "sketch")
+            sketch = self.scratch.keep(self.docs.mapInArrow(thrifty(lambda b: _sketch(b, k, percent, salt)), SKETCH), "sketch", as_dealt=True)
             if sketch.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").isEmpty():
                 return sketch
             self.scratch.drop(sketch)
@@ -208,7 +208,7 @@ class Join:
         """SEGMENTS of the wanted (node, cut)."""
         percent, k, salt = self.percent, self.k, self.salt
         cuts = self.scratch.keep(wanted.distinct().join(self.nodes, "node").groupBy("doc_id").agg(F.collect_set("cut").alias("cuts")), "cuts")
-        made = self.docs.join(cuts, "doc_id").select("doc_id", "text", "cuts").mapInArrow(lambda b: _segments(b, k, percent, salt), SEGMENTS)
+        made = self.docs.join(cuts, "doc_id").select("doc_id", "text", "cuts").mapInArrow(thrifty(lambda b: _segments(b, k, percent, salt)), SEGMENTS)
         return self.scratch.keep(made.select("node", "cut", "fragment", "segment"), "segments")
 
     def linked(self, counts: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = 3, scratch: Scratc
     Documents are linked if 100 * intersection >= percent * union of their sets of k words."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
-    scratch = scratch or Scratch(docs.sparkSession, "fragments")
+    scratch = scratch or Scratch(docs.sparkSession, "fragments", pack=True)
     join = Join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, k, scratch)
     sketch = join.sketch()
     full = sketch.where("node is not null and doc_id is not null")
@@ -340,7 +340,7 @@ def jaccard_join(docs: DataFrame, percent: int = 90, k: int = 3, scratch: Scratc
     groups = scratch.keep(named.join(first, "component").select(F.col("node").alias("_node"), "component_id"), "groups")
     node = F.when(F.col("doc_id").isNotNull(), F.col("node"))
     out = sketch.select("doc_id", "n_shingles", node.alias("node")).join(groups, F.col("node") == F.col("_node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return packed(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -400,7 +400,7 @@ def lattice_scores(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT, lan
     top = counts.where(F.col("c") >= least_frequent(counts, frequent)).toArrow()
     base = np.log10((top.column("c").to_numpy() + 1) / denominator)
     shared = spark.sparkContext.broadcast((v, scores, top.column("word").to_pylist(), base, _by_component(top.column("uses").combine_chunks(), len(components)), denominator, ends))
-    rows = scratch.keep(docs.mapInArrow(thrifty(lambda b: _score_rows(b, shared)), _DOC), "rows", by_partition=True)
+    rows = scratch.keep(docs.mapInArrow(thrifty(lambda b: _score_rows(b, shared)), _DOC), "rows", as_dealt=True)
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     distinct_rare = rare.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("uses", F.array(*[F.lit(0.0)] * len(components))).alias("uses"))
     priced = distinct_rare.mapInArrow(thrifty(lambda b: _rare_logs(b, shared)), "word string, c long, logs array<double>")

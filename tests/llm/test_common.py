@@ -56,7 +56,7 @@ def test_packed_tables_have_few_files(spark):
     plain, few, n = Scratch(spark, "plain"), Scratch(spark, "few", pack=True), 400
     with many_partitions(spark, n):
         df = spark.range(5000).repartition("id")
-        kept = {"plain": plain.keep(df, "t"), "few": few.keep(df, "t"), "rows": few.keep(df, "t", by_partition=True)}
+        kept = {"plain": plain.keep(df, "t"), "few": few.keep(df, "t"), "rows": few.keep(df, "t", as_dealt=True)}
     assert all(k.count() == k.distinct().count() == 5000 for k in kept.values())
     files = {name: os.listdir(k._hardwood_path.removeprefix("file://")) for name, k in kept.items()}
     parts = {name: sum(f.endswith(".parquet") for f in found) for name, found in files.items()}

@@ -3,9 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from hardwood.llm import fragments
+from hardwood.llm import common, fragments
 from tests import oracle
-from tests.llm.helpers import frame, odd_documents, tables
+from tests.llm.helpers import files_written, frame, many_partitions, odd_documents, tables
 from tests.llm.test_near_dups import shingles
 
 DOCS = "doc_id long, text string"
@@ -109,3 +109,16 @@ def test_empty_table_and_refused_settings(spark):
     assert fragments.jaccard_join(frame(spark, [], DOCS)).count() == 0
     with pytest.raises(ValueError):
         fragments.jaccard_join(frame(spark, [], DOCS), percent=10)
+
+
+def test_few_files_from_many_partitions(spark, monkeypatch):
+    """A group in blocks, pairs in small buckets and rows that share an id, with a file for several partitions."""
+    monkeypatch.setattr(fragments, "SMALL", 6)
+    rows = [*(r[:2] for r in odd_documents(seed=4)), *((i + 2000, t) for i, t in copies(8, 60, 120, (0, 1, 3, 9)))]
+    files, n = files_written(monkeypatch), 280
+    with many_partitions(spark, n):
+        out = fragments.jaccard_join(frame(spark, rows, DOCS))
+        assert got(out) == brute(rows)
+        most = max(common.WAVES * spark.sparkContext.defaultParallelism, -(-n // common.PACK))
+        assert out.rdd.getNumPartitions() <= most
+    assert len(files) > 20 and max(files.values()) <= most
